@@ -176,3 +176,117 @@ def q_sample(spark, sf_dir):
 @query("cities_per_state")
 def q_cities(spark, sf_dir):
     return A.cities_per_state(staged(spark, sf_dir))
+
+
+# --- data quality (on the raw incident table) -------------------------------
+
+from hazardlens.operators import quality as Q  # noqa: E402
+from hazardlens.operators import features as FE  # noqa: E402
+from hazardlens.operators import scoring as SC  # noqa: E402
+
+
+@query("null_profile")
+def q_null_profile(spark, sf_dir):
+    return Q.null_counts(FX.incidents(spark, sf_dir), nonzero_only=True)
+
+
+@query("critical_nulls")
+def q_critical_nulls(spark, sf_dir):
+    return Q.null_counts(FX.incidents(spark, sf_dir), Q.CRITICAL_COLUMNS)
+
+
+@query("value_set_check")
+def q_value_set(spark, sf_dir):
+    return Q.value_set_check(FX.incidents(spark, sf_dir), "Severity", Q.SEVERITY_LEVELS)
+
+
+@query("range_check")
+def q_range(spark, sf_dir):
+    return Q.range_check(FX.incidents(spark, sf_dir))
+
+
+@query("duplicate_keys")
+def q_dups(spark, sf_dir):
+    return Q.duplicate_summary(FX.incidents(spark, sf_dir), "ID")
+
+
+@query("date_check")
+def q_dates(spark, sf_dir):
+    return Q.date_check(FX.incidents(spark, sf_dir), "Start_Time", as_of="2026-01-01 00:00:00")
+
+
+@query("quality_report")
+def q_quality(spark, sf_dir):
+    return Q.quality_report(FX.incidents(spark, sf_dir), as_of="2026-01-01 00:00:00")
+
+
+# --- features -------------------------------------------------------------------
+
+def _imputed(spark, sf_dir):
+    return FE.impute(FE.feature_source(staged(spark, sf_dir)))
+
+
+@query("imputed_features")
+def q_imputed(spark, sf_dir):
+    return _imputed(spark, sf_dir)
+
+
+@query("label_encoding")
+def q_label_enc(spark, sf_dir):
+    imp = _imputed(spark, sf_dir)
+    return (FE.label_codes(imp, "state").select(F.lit("state").alias("column"), "value", "code")
+            .unionByName(FE.label_codes(imp, "weather_condition")
+                         .select(F.lit("weather_condition").alias("column"), "value", "code")))
+
+
+@query("frequency_encoding")
+def q_freq_enc(spark, sf_dir):
+    return FE.frequency_codes(_imputed(spark, sf_dir), "city")
+
+
+@query("feature_table")
+def q_feature_table(spark, sf_dir):
+    return FE.feature_table(staged(spark, sf_dir))
+
+
+@query("hash_split")
+def q_hash_split(spark, sf_dir):
+    ids = staged(spark, sf_dir).select(F.col("ID").alias("accident_id"))
+    return FE.hash_split(ids, "accident_id", seed=42, train_pct=80)
+
+
+@query("class_balance")
+def q_class_balance(spark, sf_dir):
+    return A.class_balance(FE.feature_source(staged(spark, sf_dir)), "is_high_severity")
+
+
+# --- rule scoring and evaluation ------------------------------------------------
+
+def _scored(spark, sf_dir):
+    return SC.rule_score(staged(spark, sf_dir))
+
+
+@query("rule_scores")
+def q_rule_scores(spark, sf_dir):
+    return SC.describe_scores(_scored(spark, sf_dir)).select(
+        "ID", "risk_score", "risk_level", "confidence", "safety_score")
+
+
+@query("eval_metrics")
+def q_eval(spark, sf_dir):
+    return SC.eval_metrics(_scored(spark, sf_dir))
+
+
+@query("confusion_matrix")
+def q_confusion(spark, sf_dir):
+    return SC.confusion_matrix(_scored(spark, sf_dir))
+
+
+@query("class_report")
+def q_class_report(spark, sf_dir):
+    return SC.class_report(_scored(spark, sf_dir))
+
+
+@query("roc_points")
+def q_roc(spark, sf_dir):
+    return SC.roc_points(_scored(spark, sf_dir))

@@ -285,3 +285,237 @@ SELECT CAST(state_rank AS INTEGER) AS state_rank, "State", CAST(city_rank AS INT
     ON p."State" = s."State"
   WHERE s.state_rank <= 15) t
 WHERE city_rank <= 50""")
+
+
+# --- data quality -----------------------------------------------------------
+
+INCIDENT_COLUMNS = ["ID", "Source", "Severity", "Start_Time", "End_Time", "Start_Lat", "Start_Lng",
+                    "Distance(mi)", "City", "State", "Temperature(F)", "Humidity(%)", "Pressure(in)",
+                    "Visibility(mi)", "Wind_Speed(mph)", "Precipitation(in)", "Weather_Condition",
+                    "Junction", "Traffic_Signal", "Crossing", "Stop"]
+CRITICAL = ["ID", "Severity", "Start_Time", "Start_Lat", "Start_Lng"]
+
+
+def _null_rows(cols):
+    return "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS null_count,
+  CAST(COUNT(*) - COUNT("{c}") AS DOUBLE) * 100.0 / CAST(COUNT(*) AS DOUBLE) AS null_pct FROM incidents"""
+        for c in cols)
+
+
+ORACLE["null_profile"] = with_ctes(INCIDENTS_CTE, body=f"""
+SELECT * FROM ({_null_rows(INCIDENT_COLUMNS)}) t WHERE null_count > 0""")
+
+ORACLE["critical_nulls"] = with_ctes(INCIDENTS_CTE, body=_null_rows(CRITICAL))
+
+_BAD_SEV = '"Severity" IS NULL OR "Severity" NOT IN (1, 2, 3, 4)'
+
+ORACLE["value_set_check"] = with_ctes(INCIDENTS_CTE, body=f"""
+SELECT 'Severity' AS "column", CAST(SUM(CASE WHEN {_BAD_SEV} THEN 1 ELSE 0 END) AS BIGINT) AS invalid_count,
+  COUNT(DISTINCT CASE WHEN {_BAD_SEV} THEN "Severity" END) AS distinct_invalid_values,
+  COUNT(*) AS rows_checked FROM incidents""")
+
+ORACLE["range_check"] = with_ctes(INCIDENTS_CTE, body="""
+SELECT CAST(SUM(CASE WHEN "Start_Lat" < 24 OR "Start_Lat" > 50 THEN 1 ELSE 0 END) AS BIGINT) AS lat_out_of_range,
+  CAST(SUM(CASE WHEN "Start_Lng" < -130 OR "Start_Lng" > -60 THEN 1 ELSE 0 END) AS BIGINT) AS lng_out_of_range,
+  COUNT(*) AS rows_checked FROM incidents""")
+
+ORACLE["duplicate_keys"] = with_ctes(INCIDENTS_CTE, body="""
+SELECT COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows
+FROM (SELECT "ID", COUNT(*) AS n FROM incidents GROUP BY "ID" HAVING COUNT(*) > 1) d""")
+
+_TS = 'TRY_CAST("Start_Time" AS TIMESTAMP)'
+_ASOF = "TIMESTAMP '2026-01-01 00:00:00'"
+
+ORACLE["date_check"] = with_ctes(INCIDENTS_CTE, body=f"""
+SELECT CAST(SUM(CASE WHEN {_TS} IS NULL AND "Start_Time" IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparseable,
+  CAST(SUM(CASE WHEN "Start_Time" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing,
+  MIN({_TS}) AS min_time, MAX({_TS}) AS max_time,
+  CAST(SUM(CASE WHEN {_TS} > {_ASOF} THEN 1 ELSE 0 END) AS BIGINT) AS future_rows
+FROM incidents""")
+
+ORACLE["quality_report"] = with_ctes(INCIDENTS_CTE, body="SELECT *, issue_count = 0 AS passed FROM (\n" + "\nUNION ALL\n".join(
+    [f"""SELECT 'nulls:{c}' AS "check", CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS issue_count FROM incidents"""
+     for c in CRITICAL]
+    + [f"""SELECT 'severity_range', CAST(SUM(CASE WHEN {_BAD_SEV} THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
+       """SELECT 'latitude_range', CAST(SUM(CASE WHEN "Start_Lat" < 24 OR "Start_Lat" > 50 THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
+       """SELECT 'longitude_range', CAST(SUM(CASE WHEN "Start_Lng" < -130 OR "Start_Lng" > -60 THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
+       """SELECT 'duplicate_ids', CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM incidents GROUP BY "ID" HAVING COUNT(*) > 1) d""",
+       f"""SELECT 'future_dates', CAST(SUM(CASE WHEN {_TS} > {_ASOF} THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
+       """SELECT 'required_columns', CAST(0 AS BIGINT)"""]) + ") t")
+
+# --- features -----------------------------------------------------------------
+
+_FLAGS = _ROAD_FLAGS
+_NUM = ["temperature_f", "humidity_pct", "pressure_in", "visibility_mi", "wind_speed_mph",
+        "precipitation_in", "distance_mi", "duration_minutes", "latitude", "longitude"]
+_CAT = ["state", "city", "weather_condition", "time_period"]
+_TMP = ["hour", "day_of_week", "month", "year"]
+_SRC = (["accident_id", "hour", "day_of_week", "is_weekend", "time_period", "month", "year", "state",
+         "city", "latitude", "longitude", "temperature_f", "humidity_pct", "pressure_in",
+         "visibility_mi", "wind_speed_mph", "precipitation_in", "weather_condition"]
+        + _FLAGS + ["distance_mi", "duration_minutes", "is_high_severity"])
+
+SOURCE_CTE = """src AS (
+  SELECT "ID" AS accident_id, hour, day_of_week, is_weekend, time_period, month, year,
+    "State" AS state, "City" AS city, latitude, longitude, temperature_f, humidity_pct, pressure_in,
+    visibility_mi, wind_speed_mph, precipitation_in, weather_condition, """ + ", ".join(_FLAGS) + """,
+    distance_mi, duration_minutes, is_high_severity
+  FROM staged WHERE is_high_severity IS NOT NULL)"""
+
+
+def _mode_sql(c, default="NULL"):
+    return (f"COALESCE((SELECT {c} FROM src WHERE {c} IS NOT NULL GROUP BY {c} "
+            f"ORDER BY COUNT(*) DESC, {c} LIMIT 1), {default})")
+
+
+def _imputed_select():
+    out = []
+    for c in _SRC:
+        if c in _NUM:
+            out.append(f"COALESCE(CAST({c} AS DOUBLE), (SELECT MEDIAN(CAST({c} AS DOUBLE)) FROM src)) AS {c}")
+        elif c in _CAT:
+            out.append(f"COALESCE({c}, {_mode_sql(c, chr(39) + 'Unknown' + chr(39))}) AS {c}")
+        elif c in _TMP:
+            out.append(f"COALESCE({c}, {_mode_sql(c)}) AS {c}")
+        elif c.startswith("has_") or c == "is_weekend":
+            out.append(f"COALESCE({c}, false) AS {c}")
+        else:
+            out.append(c)
+    return ",\n    ".join(out)
+
+
+IMPUTED_CTE = f"""imputed AS (
+  SELECT {_imputed_select()}
+  FROM src)"""
+
+ENCODED_CTE = """state_codes AS (
+  SELECT value, CAST(DENSE_RANK() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT COALESCE(CAST(state AS VARCHAR), 'None') AS value FROM imputed) d),
+weather_codes AS (
+  SELECT value, CAST(DENSE_RANK() OVER (ORDER BY value) - 1 AS INTEGER) AS code
+  FROM (SELECT DISTINCT COALESCE(CAST(weather_condition AS VARCHAR), 'None') AS value FROM imputed) d),
+city_codes AS (
+  SELECT value, n, CAST(ROW_NUMBER() OVER (ORDER BY n DESC, value) - 1 AS INTEGER) AS code
+  FROM (SELECT city AS value, COUNT(*) AS n FROM imputed GROUP BY city) d),
+encoded AS (
+  SELECT i.*, s.code AS state_encoded, c.code AS city_encoded, w.code AS weather_encoded,
+    CAST(CASE i.time_period WHEN 'Night' THEN 0 WHEN 'Morning' THEN 1 WHEN 'Afternoon' THEN 2
+         WHEN 'Evening' THEN 3 ELSE 0 END AS INTEGER) AS time_period_encoded
+  FROM imputed i
+  LEFT JOIN state_codes s ON COALESCE(CAST(i.state AS VARCHAR), 'None') = s.value
+  LEFT JOIN city_codes c ON i.city = c.value
+  LEFT JOIN weather_codes w ON COALESCE(CAST(i.weather_condition AS VARCHAR), 'None') = w.value)"""
+
+FEATURES_BODY = """SELECT accident_id, hour, day_of_week, CAST(is_weekend AS INTEGER) AS is_weekend, month,
+  time_period_encoded,
+  CASE WHEN hour BETWEEN 7 AND 9 OR hour BETWEEN 16 AND 19 THEN 1 ELSE 0 END AS is_rush_hour,
+  state_encoded, city_encoded, latitude, longitude, temperature_f, humidity_pct, pressure_in,
+  visibility_mi, wind_speed_mph, precipitation_in, weather_encoded,
+  CASE WHEN visibility_mi < 5 OR precipitation_in > 0 THEN 1 ELSE 0 END AS poor_weather,
+  CASE WHEN temperature_f < 32 OR temperature_f > 95 THEN 1 ELSE 0 END AS extreme_temp,
+  """ + ", ".join(f"CAST({f} AS INTEGER) AS {f}" for f in _FLAGS) + """,
+  CAST(""" + " + ".join(f"CAST({f} AS INTEGER)" for f in _FLAGS) + """ AS INTEGER) AS road_feature_count,
+  distance_mi, CAST(is_high_severity AS INTEGER) AS is_high_severity
+FROM encoded"""
+
+FEAT = (*BASE, SOURCE_CTE, IMPUTED_CTE)
+
+ORACLE["imputed_features"] = with_ctes(*FEAT, body="SELECT * FROM imputed")
+
+ORACLE["label_encoding"] = with_ctes(*FEAT, ENCODED_CTE, body="""
+SELECT 'state' AS "column", value, code FROM state_codes
+UNION ALL SELECT 'weather_condition', value, code FROM weather_codes""")
+
+ORACLE["frequency_encoding"] = with_ctes(*FEAT, ENCODED_CTE, body="SELECT value, n, code FROM city_codes")
+
+ORACLE["feature_table"] = with_ctes(*FEAT, ENCODED_CTE, body=FEATURES_BODY)
+
+ORACLE["hash_split"] = with_ctes(*BASE, body="""
+SELECT "ID" AS accident_id,
+  CASE WHEN CAST('0x' || substr(md5(CAST("ID" AS VARCHAR) || ':' || '42'), 1, 8) AS BIGINT) % 100 < 80
+       THEN 'train' ELSE 'test' END AS split
+FROM staged""")
+
+ORACLE["class_balance"] = with_ctes(*BASE, SOURCE_CTE, body="""
+SELECT CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS positives,
+  CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS negatives,
+  CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 0 THEN 1 ELSE 0 END) AS DOUBLE)
+    / CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 1 THEN 1 ELSE 0 END) AS DOUBLE) AS scale_pos_weight
+FROM src""")
+
+# --- rule scores and evaluation ----------------------------------------------
+
+RULE_POINTS = """(35 + CASE WHEN visibility_mi < 5 THEN 15 ELSE 0 END
+     + CASE WHEN precipitation_in > 0 THEN 12 ELSE 0 END
+     + CASE WHEN weather_condition IN ('Fog', 'Snow', 'Thunderstorm') THEN 18 ELSE 0 END
+     + CASE WHEN has_junction THEN 8 ELSE 0 END + CASE WHEN has_crossing THEN 5 ELSE 0 END
+     + CASE WHEN hour BETWEEN 7 AND 9 OR hour BETWEEN 16 AND 19 THEN 10 ELSE 0 END
+     + CASE WHEN is_weekend AND hour >= 20 THEN 8 ELSE 0 END)"""
+
+SCORED_CTE = f"""scored AS (
+  SELECT "ID", is_high_severity,
+    CAST(LEAST(GREATEST({RULE_POINTS}, 5), 95) AS DOUBLE) / 100.0 AS risk_score
+  FROM staged)"""
+
+SCORE_TABLE_CTE = """st AS (
+  SELECT risk_score AS score,
+    CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 1 THEN 1 ELSE 0 END) AS BIGINT) AS pos,
+    CAST(SUM(CASE WHEN CAST(is_high_severity AS INTEGER) = 0 THEN 1 ELSE 0 END) AS BIGINT) AS neg
+  FROM scored GROUP BY risk_score),
+cc AS (
+  SELECT CAST(SUM(CASE WHEN score > 0.5 THEN pos ELSE 0 END) AS BIGINT) AS tp,
+    CAST(SUM(CASE WHEN score > 0.5 THEN neg ELSE 0 END) AS BIGINT) AS fp,
+    CAST(SUM(CASE WHEN NOT score > 0.5 THEN neg ELSE 0 END) AS BIGINT) AS tn,
+    CAST(SUM(CASE WHEN NOT score > 0.5 THEN pos ELSE 0 END) AS BIGINT) AS fn
+  FROM st)"""
+
+SCORING = (*BASE, SCORED_CTE)
+
+ORACLE["rule_scores"] = with_ctes(*SCORING, body="""
+SELECT "ID", risk_score,
+  CASE WHEN risk_score < 0.3 THEN 'LOW' WHEN risk_score < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+  ROUND(ABS(risk_score - 0.5) * 2, 4) AS confidence,
+  ROUND(100 - risk_score * 100, 1) AS safety_score
+FROM scored""")
+
+
+def _d(e):
+    return f"COALESCE(CAST({e.split('/')[0]} AS DOUBLE) / NULLIF(CAST({e.split('/')[1]} AS DOUBLE), 0), 0.0)"
+
+
+ORACLE["eval_metrics"] = with_ctes(*SCORING, SCORE_TABLE_CTE, body=f"""
+SELECT acc AS accuracy, p AS precision, r AS recall,
+  CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0.0 END AS f1,
+  n AS test_samples, tp + fn AS positive_samples, tn + fp AS negative_samples,
+  tp + fp AS predicted_positive, tn + fn AS predicted_negative,
+  (SELECT SUM(c) / (CAST(SUM(pos) AS DOUBLE) * SUM(neg)) FROM (
+     SELECT pos, neg, CAST(pos AS DOUBLE) * (CAST(COALESCE(SUM(neg) OVER (ORDER BY score
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) + neg * 0.5) AS c FROM st) a) AS roc_auc
+FROM (SELECT *, tp + fp + tn + fn AS n,
+        {_d('(tp + tn)/(tp + fp + tn + fn)')} AS acc,
+        {_d('tp/(tp + fp)')} AS p, {_d('tp/(tp + fn)')} AS r FROM cc) m""")
+
+ORACLE["confusion_matrix"] = with_ctes(*SCORING, SCORE_TABLE_CTE, body="""
+SELECT 1 AS label, 1 AS prediction, tp AS n FROM cc UNION ALL SELECT 0, 1, fp FROM cc
+UNION ALL SELECT 0, 0, tn FROM cc UNION ALL SELECT 1, 0, fn FROM cc""")
+
+ORACLE["class_report"] = with_ctes(*SCORING, SCORE_TABLE_CTE, body=f"""
+, k AS (SELECT {_d('tn/(tn + fn)')} AS p0, {_d('tn/(tn + fp)')} AS r0, tn + fp AS s0,
+          {_d('tp/(tp + fp)')} AS p1, {_d('tp/(tp + fn)')} AS r1, tp + fn AS s1 FROM cc),
+f AS (SELECT *, CASE WHEN p0 + r0 > 0 THEN 2 * p0 * r0 / (p0 + r0) ELSE 0.0 END AS f0,
+        CASE WHEN p1 + r1 > 0 THEN 2 * p1 * r1 / (p1 + r1) ELSE 0.0 END AS f1,
+        CAST(s0 + s1 AS DOUBLE) AS tot FROM k)
+SELECT '0' AS class, p0 AS precision, r0 AS recall, f0 AS f1_score, s0 AS support FROM f
+UNION ALL SELECT '1', p1, r1, f1, s1 FROM f
+UNION ALL SELECT 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, s0 + s1 FROM f
+UNION ALL SELECT 'weighted avg', (p0 * s0 + p1 * s1) / tot, (r0 * s0 + r1 * s1) / tot,
+  (f0 * s0 + f1 * s1) / tot, s0 + s1 FROM f""".replace("WITH", "WITH", 1))
+
+ORACLE["roc_points"] = with_ctes(*SCORING, SCORE_TABLE_CTE, body="""
+SELECT score AS threshold,
+  CAST(SUM(neg) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+    / SUM(neg) OVER () AS fpr,
+  CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+    / SUM(pos) OVER () AS tpr
+FROM st""")
