@@ -364,4 +364,6 @@ def normalize_key(s) -> Column:
 
 
 def location_string(lat, lon) -> Column:
-    return F.format_string("(%.5f, %.5f)", _c(lat), _c(lon))
+    """'(lat, lon)' at 5 digits. Java's %.5f rounds exact ties up; rounding
+    half-to-even first gives the usual printf result (33.515625 -> 33.51562)."""
+    return F.format_string("(%.5f, %.5f)", F.bround(_c(lat), 5), F.bround(_c(lon), 5))

@@ -290,3 +290,139 @@ def q_class_report(spark, sf_dir):
 @query("roc_points")
 def q_roc(spark, sf_dir):
     return SC.roc_points(_scored(spark, sf_dir))
+
+
+# --- routes ------------------------------------------------------------------------
+
+from hazardlens.operators import routes as R  # noqa: E402
+
+# Reference mock departures: Friday 2024-01-05 17:00 (route scoring) and
+# Friday 2024-02-02 (departure-time tests), manual weather Clear / 70 F / 10 mi.
+ROUTE_HOUR, ROUTE_DOW = 17, 5
+ANALYSIS_DATE = "2024-02-02"
+
+
+def _samples(spark, sf_dir):
+    return R.sample_waypoints(FX.waypoints(spark, sf_dir))
+
+
+def _seg_scores(spark, sf_dir, weather="Clear", temp=70.0, vis=10.0):
+    return R.score_segments(_samples(spark, sf_dir), ROUTE_HOUR, ROUTE_DOW, weather, temp, vis)
+
+
+@query("waypoint_distance")
+def q_wp_distance(spark, sf_dir):
+    return R.route_lengths(FX.waypoints(spark, sf_dir))
+
+
+@query("waypoint_sampling")
+def q_wp_sampling(spark, sf_dir):
+    return _samples(spark, sf_dir)
+
+
+@query("route_risk")
+def q_route_risk(spark, sf_dir):
+    return R.route_risk(FX.waypoints(spark, sf_dir), _seg_scores(spark, sf_dir))
+
+
+@query("danger_zones")
+def q_danger(spark, sf_dir):
+    return R.danger_zones(_seg_scores(spark, sf_dir, "Fog", 70.0, 3.0))
+
+
+@query("route_advice")
+def q_advice(spark, sf_dir):
+    return R.route_advice(R.route_risk(FX.waypoints(spark, sf_dir), _seg_scores(spark, sf_dir)))
+
+
+def _hourly(spark, sf_dir, hours):
+    wp = FX.waypoints(spark, sf_dir)
+    return R.hourly_route_scores(R.first_routes(wp), R.sample_waypoints(wp), ANALYSIS_DATE, hours)
+
+
+@query("departure_times")
+def q_departures(spark, sf_dir):
+    return R.departure_analysis(_hourly(spark, sf_dir, R.DEFAULT_HOURS), R.DEFAULT_HOURS)
+
+
+@query("compare_times")
+def q_compare(spark, sf_dir):
+    return R.compare_departures(_hourly(spark, sf_dir, [8, 17]), 8, 17)
+
+
+@query("best_window")
+def q_best_window(spark, sf_dir):
+    return R.best_window(_hourly(spark, sf_dir, list(range(R.WINDOW_MIN_HOUR, R.WINDOW_MAX_HOUR + 1))))
+
+
+@query("extreme_segments")
+def q_extremes(spark, sf_dir):
+    return R.extreme_segments(_seg_scores(spark, sf_dir), 3)
+
+
+@query("similar_routes")
+def q_similar(spark, sf_dir):
+    return R.similar_pairs(R.route_signatures(FX.waypoints(spark, sf_dir)))
+
+
+@query("dedup_routes")
+def q_dedup(spark, sf_dir):
+    sig = R.route_signatures(FX.waypoints(spark, sf_dir))
+    return R.dedup_routes(sig, R.similar_pairs(sig))
+
+
+# --- enrichment -------------------------------------------------------------------
+
+from hazardlens.operators import enrich as EN  # noqa: E402
+from hazardlens.functions import columns as C  # noqa: E402
+from hazardlens.sources.tables import load_table  # noqa: E402
+
+
+@query("unit_conversion")
+def q_units(spark, sf_dir):
+    return EN.parse_weather_payloads(EN.weather_payloads(FX.observations(spark, sf_dir)))
+
+
+@query("weather_asof")
+def q_asof(spark, sf_dir):
+    return EN.point_weather(FX.query_points(spark, sf_dir), FX.observations(spark, sf_dir))
+
+
+def _route_sample_weather(spark, sf_dir):
+    wp = FX.waypoints(spark, sf_dir)
+    firsts = R.first_routes(wp)
+    pts = (EN.route_sample_points(wp.join(firsts, ["trip_id", "route_id"]))
+           .join(FX.trip_departures(spark, sf_dir), "trip_id")
+           .select((F.col("route_id") * 1000 + F.col("seq")).alias("point_id"), "trip_id", "seq",
+                   "lat", "lon", F.col("departure_ts").alias("ts")))
+    return EN.point_weather(pts, FX.observations(spark, sf_dir))
+
+
+@query("route_weather")
+def q_route_weather(spark, sf_dir):
+    return EN.route_weather(_route_sample_weather(spark, sf_dir))
+
+
+@query("effective_weather")
+def q_effective(spark, sf_dir):
+    trips = FX.trip_departures(spark, sf_dir)
+    req = trips.select("trip_id", (F.col("trip_id") % 2 == 0).alias("auto_fetch"),
+                       F.when(F.col("trip_id") % 5 == 0, "Rain").alias("weather_condition"),
+                       F.when(F.col("trip_id") % 5 == 0, F.lit(45.0)).alias("temperature_f"),
+                       F.lit(None).cast("double").alias("visibility_mi"))
+    return EN.effective_weather(req, EN.route_weather(_route_sample_weather(spark, sf_dir)))
+
+
+@query("event_props")
+def q_props(spark, sf_dir):
+    return EN.event_props(load_table(spark, sf_dir, "events"))
+
+
+@query("weather_codes")
+def q_codes(spark, sf_dir):
+    codes = FX.observations(spark, sf_dir).select("code").distinct()
+    cat = C.weather_category("code")
+    return codes.select("code", cat.alias("category"),
+                        C.scorer_weather_code(cat).alias("scorer_code"),
+                        C.api_weather_code(cat).alias("api_code"),
+                        C.poor_weather_text(cat).alias("poor_weather"))

@@ -519,3 +519,237 @@ SELECT score AS threshold,
   CAST(SUM(pos) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
     / SUM(pos) OVER () AS tpr
 FROM st""")
+
+
+# --- routes -------------------------------------------------------------------
+
+WAYPOINTS_CTE = """wp AS (
+  SELECT c_custkey - c_custkey % 3 AS trip_id, c_custkey AS route_id, CAST(s.seq AS INTEGER) AS seq,
+    33.5E0 + CAST(s.seq AS DOUBLE) / 128
+      + CASE c_custkey % 3 WHEN 0 THEN 0.125E0 WHEN 1 THEN 0E0 ELSE CAST(1 AS DOUBLE) / 512 END AS lat,
+    -112E0 + CAST((s.seq * 5) % 7 AS DOUBLE) / 256 AS lon
+  FROM customer, range(0, 60) s(seq))"""
+
+
+def haversine_sql(lat1, lon1, lat2, lon2):
+    a = (f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
+         f" * pow(sin(radians({lon2} - {lon1}) / 2), 2))")
+    return f"(3959.0E0 * (2 * atan2(sqrt({a}), sqrt(1 - {a}))))"
+
+
+SEG_CTE = f"""seg AS (
+  SELECT w.*, {haversine_sql('p.lat', 'p.lon', 'w.lat', 'w.lon')} AS dist_mi
+  FROM wp w LEFT JOIN wp p ON p.route_id = w.route_id AND p.seq = w.seq - 1)"""
+
+SAMPLES_CTE = """walk(trip_id, route_id, seq, lat, lon, acc, kept) AS (
+  SELECT trip_id, route_id, seq, lat, lon, CAST(0.0 AS DOUBLE), true FROM seg
+  WHERE seq = 0 AND route_id IN (SELECT route_id FROM wp GROUP BY route_id HAVING COUNT(*) >= 2)
+  UNION ALL
+  SELECT s.trip_id, s.route_id, s.seq, s.lat, s.lon,
+    CASE WHEN w.acc + s.dist_mi >= 1.0 THEN CAST(0.0 AS DOUBLE) ELSE w.acc + s.dist_mi END,
+    w.acc + s.dist_mi >= 1.0
+  FROM walk w JOIN seg s ON s.route_id = w.route_id AND s.seq = w.seq + 1),
+kept AS (SELECT trip_id, route_id, seq, lat, lon FROM walk WHERE kept),
+lastpt AS (SELECT w.* FROM wp w JOIN (SELECT route_id, MAX(seq) AS m FROM wp GROUP BY route_id) l
+           ON w.route_id = l.route_id AND w.seq = l.m),
+lastkept AS (SELECT k.* FROM kept k JOIN (SELECT route_id, MAX(seq) AS m FROM kept GROUP BY route_id) l
+             ON k.route_id = l.route_id AND k.seq = l.m),
+samples0 AS (
+  SELECT * FROM kept
+  UNION ALL
+  SELECT p.trip_id, p.route_id, p.seq, p.lat, p.lon FROM lastpt p JOIN lastkept k ON p.route_id = k.route_id
+  WHERE NOT (k.lat = p.lat AND k.lon = p.lon)),
+samples AS (
+  SELECT trip_id, route_id, CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY seq) - 1 AS INTEGER)
+    AS segment_index, seq, lat, lon FROM samples0)"""
+
+
+def rule_sql(vis, precip, weather, junction, crossing, hour, weekend):
+    pts = (f"(35 + CASE WHEN {vis} < 5 THEN 15 ELSE 0 END + CASE WHEN {precip} > 0 THEN 12 ELSE 0 END"
+           f" + CASE WHEN {weather} IN ('Fog', 'Snow', 'Thunderstorm') THEN 18 ELSE 0 END"
+           f" + CASE WHEN {junction} THEN 8 ELSE 0 END + CASE WHEN {crossing} THEN 5 ELSE 0 END"
+           f" + CASE WHEN {hour} BETWEEN 7 AND 9 OR {hour} BETWEEN 16 AND 19 THEN 10 ELSE 0 END"
+           f" + CASE WHEN ({weekend}) AND {hour} >= 20 THEN 8 ELSE 0 END)")
+    return f"(CAST(LEAST(GREATEST({pts}, 5), 95) AS DOUBLE) / 100.0)"
+
+
+def level4_sql(p, moderate="MODERATE"):
+    return (f"CASE WHEN {p} < 0.3 THEN 'LOW' WHEN {p} < 0.5 THEN '{moderate}' "
+            f"WHEN {p} < 0.7 THEN 'HIGH' ELSE 'CRITICAL' END")
+
+
+def hour_label_sql(h):
+    return (f"CASE WHEN {h} = 0 THEN '12:00 AM' WHEN {h} < 12 THEN CAST({h} AS VARCHAR) || ':00 AM' "
+            f"WHEN {h} = 12 THEN '12:00 PM' ELSE CAST({h} - 12 AS VARCHAR) || ':00 PM' END")
+
+
+def r_up(x, n):
+    return f"(floor(({x}) * {10 ** n}.0 + 0.5) / {10 ** n}.0)"
+
+
+def segscores_cte(hour, dow, weather="'Clear'", temp="70.0", vis="10.0", name="segscores"):
+    score = rule_sql(vis, "0.0", weather, "false", "false", str(hour), f"{dow} IN (0, 6)")
+    return f"""{name} AS (
+  SELECT s.*, {hour} AS hour, {dow} AS day_of_week, {score} AS risk_score FROM samples s),
+{name}_l AS (
+  SELECT *, {level4_sql('risk_score')} AS risk_level, GREATEST(risk_score, 1 - risk_score) AS confidence
+  FROM {name})"""
+
+
+ROUTE_BASE = (WAYPOINTS_CTE, SEG_CTE, SAMPLES_CTE)
+
+
+def with_rec(*ctes, body):
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n" + body
+
+
+ORACLE["waypoint_distance"] = with_ctes(WAYPOINTS_CTE, SEG_CTE, body="""
+SELECT trip_id, route_id, COUNT(*) AS n_points, ROUND(SUM(dist_mi), 6) AS total_miles
+FROM seg GROUP BY trip_id, route_id""")
+
+ORACLE["waypoint_sampling"] = with_rec(*ROUTE_BASE, body="SELECT * FROM samples")
+
+ROUTE_RISK_BODY = """
+SELECT r.trip_id, r.route_id, COALESCE(ROUND(a.overall_risk, 6), 0.0) AS overall_risk,
+  COALESCE(a.max_risk, 0.0) AS max_risk, COALESCE(a.min_risk, 0.0) AS min_risk,
+  COALESCE(ROUND(100 - a.overall_risk * 100, 6), 100.0) AS safety_score,
+  COALESCE(a.segments_scored, 0) AS segments_scored, COALESCE(a.danger_zones, 0) AS danger_zones,
+  a.first_danger_level
+FROM (SELECT DISTINCT trip_id, route_id FROM wp) r LEFT JOIN (
+  SELECT trip_id, route_id, AVG(risk_score) AS overall_risk, MAX(risk_score) AS max_risk,
+    MIN(risk_score) AS min_risk, COUNT(*) AS segments_scored,
+    COUNT(CASE WHEN risk_score > 0.6 THEN 1 END) AS danger_zones,
+    arg_min(CASE WHEN risk_score > 0.6 THEN risk_level END,
+            CASE WHEN risk_score > 0.6 THEN segment_index END) AS first_danger_level
+  FROM segscores_l GROUP BY trip_id, route_id) a ON a.trip_id = r.trip_id AND a.route_id = r.route_id"""
+
+ORACLE["route_risk"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body=ROUTE_RISK_BODY)
+
+ORACLE["danger_zones"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5, "'Fog'", "70.0", "3.0"), body=f"""
+SELECT trip_id, route_id, segment_index AS segment, {r_up('risk_score', 3)} AS risk,
+  printf('(%.5f, %.5f)', lat, lon) AS location, risk_level
+FROM segscores_l WHERE risk_score > 0.6""")
+
+ORACLE["route_advice"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5),
+                                  "rr AS (" + ROUTE_RISK_BODY + ")", body=f"""
+, rk AS (
+  SELECT trip_id, route_id, {r_up('overall_risk', 3)} AS risk_score,
+    {level4_sql('overall_risk', 'MEDIUM')} AS risk_level, {r_up('safety_score', 1)} AS safety_score,
+    {r_up('max_risk', 3)} AS max_risk, {r_up('min_risk', 3)} AS min_risk, segments_scored AS segments_analyzed
+  FROM rr),
+rk2 AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score DESC, route_id) AS INTEGER) AS rank,
+    MAX(safety_score) OVER (PARTITION BY trip_id) - safety_score AS gap_to_best,
+    FIRST(risk_level) OVER (PARTITION BY trip_id ORDER BY safety_score DESC, route_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_level
+  FROM rk)
+SELECT trip_id, route_id, risk_score, risk_level, safety_score, max_risk, min_risk, segments_analyzed,
+  rank, gap_to_best,
+  CASE WHEN best_level = 'UNKNOWN' THEN NULL WHEN rank = 1 THEN 'Recommended - Safest option'
+       WHEN gap_to_best > 10 THEN printf('Higher risk - %.1f points less safe', gap_to_best)
+       WHEN gap_to_best > 5 THEN 'Slightly higher risk' ELSE 'Similar safety level' END AS recommendation
+FROM rk2""")
+
+
+def hourly_cte(hours, date_dow=5):
+    hl = ", ".join(str(h) for h in hours)
+    score = rule_sql("10.0", "0.0", "'Clear'", "false", "false", "h.hour", f"{date_dow} IN (0, 6)")
+    return f"""firsts AS (SELECT trip_id, MIN(route_id) AS route_id FROM wp GROUP BY trip_id),
+hsc AS (
+  SELECT s.trip_id, s.route_id, s.segment_index, h.hour, {score} AS risk_score
+  FROM samples s JOIN firsts f ON s.trip_id = f.trip_id AND s.route_id = f.route_id,
+       (SELECT CAST(unnest([{hl}]) AS INTEGER) AS hour) h),
+hsc_l AS (SELECT *, {level4_sql('risk_score')} AS risk_level FROM hsc),
+hourly0 AS (
+  SELECT trip_id, route_id, hour, ROUND(AVG(risk_score), 9) AS overall_risk, COUNT(*) AS segments_analyzed,
+    COUNT(CASE WHEN risk_score > 0.6 THEN 1 END) AS danger_zones_count,
+    arg_min(CASE WHEN risk_score > 0.6 THEN risk_level END,
+            CASE WHEN risk_score > 0.6 THEN segment_index END) AS first_level
+  FROM hsc_l GROUP BY trip_id, route_id, hour),
+hourly AS (
+  SELECT trip_id, route_id, hour, {hour_label_sql('hour')} AS time_label,
+    {r_up('100 - overall_risk * 100', 1)} AS safety_score, {r_up('overall_risk', 3)} AS risk_score,
+    COALESCE(first_level, {level4_sql('overall_risk')}) AS risk_level, segments_analyzed, danger_zones_count,
+    list_position([{hl}], hour) AS pos
+  FROM hourly0)"""
+
+
+ORACLE["departure_times"] = with_rec(*ROUTE_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
+, b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score DESC, pos) AS rb,
+          ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score ASC, pos DESC) AS rw FROM hourly)
+SELECT x.trip_id, x.time_label AS best_time, y.time_label AS worst_time,
+  x.safety_score AS best_safety_score, y.safety_score AS worst_safety_score,
+  CASE WHEN y.safety_score > 0 THEN floor(((x.safety_score - y.safety_score) / y.safety_score * 100) * 10.0 + 0.5) / 10.0
+       ELSE 0.0 END AS improvement_pct
+FROM b x JOIN b y ON x.trip_id = y.trip_id AND x.rb = 1 AND y.rw = 1""")
+
+ORACLE["compare_times"] = with_rec(*ROUTE_BASE, hourly_cte([8, 17]), body=f"""
+SELECT trip_id, '8:00 AM' AS time1_label, '5:00 PM' AS time2_label,
+  MAX(CASE WHEN hour = 8 THEN safety_score END) AS time1_safety,
+  MAX(CASE WHEN hour = 17 THEN safety_score END) AS time2_safety,
+  MAX(CASE WHEN hour = 8 THEN risk_score END) AS time1_risk,
+  MAX(CASE WHEN hour = 17 THEN risk_score END) AS time2_risk,
+  CASE WHEN MAX(CASE WHEN hour = 8 THEN safety_score END) > MAX(CASE WHEN hour = 17 THEN safety_score END) THEN 'time1'
+       WHEN MAX(CASE WHEN hour = 17 THEN safety_score END) > MAX(CASE WHEN hour = 8 THEN safety_score END) THEN 'time2'
+       ELSE 'equal' END AS safer,
+  {r_up('abs(MAX(CASE WHEN hour = 8 THEN safety_score END) - MAX(CASE WHEN hour = 17 THEN safety_score END))', 1)}
+    AS safety_difference
+FROM hourly GROUP BY trip_id""")
+
+ORACLE["best_window"] = with_rec(*ROUTE_BASE, hourly_cte(list(range(6, 23))), body=f"""
+, pairs AS (
+  SELECT trip_id, hour, LEAD(hour) OVER (PARTITION BY trip_id ORDER BY hour) AS next_hour,
+    (safety_score + LEAD(safety_score) OVER (PARTITION BY trip_id ORDER BY hour)) / 2 AS avg_safety
+  FROM hourly),
+best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY avg_safety DESC, hour) AS r
+         FROM pairs WHERE next_hour IS NOT NULL)
+SELECT trip_id, {hour_label_sql('hour')} AS window_start, {hour_label_sql('next_hour + 1')} AS window_end,
+  hour AS window_start_hour, next_hour + 1 AS window_end_hour, {r_up('avg_safety', 1)} AS avg_safety_score
+FROM best WHERE r = 1""")
+
+ORACLE["extreme_segments"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body="""
+SELECT * FROM (
+  SELECT trip_id, route_id, segment_index, risk_score,
+    CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY risk_score DESC, segment_index) AS INTEGER) AS top_rank,
+    CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY risk_score, segment_index) AS INTEGER) AS bottom_rank
+  FROM segscores) t WHERE top_rank <= 3 OR bottom_rank <= 3""")
+
+SIG_CTE = """sig0 AS (
+  SELECT trip_id, route_id, COUNT(*) AS n, string_agg(CAST(lat AS VARCHAR) || ',' || CAST(lon AS VARCHAR), ';' ORDER BY seq) AS line
+  FROM wp GROUP BY trip_id, route_id),
+sig AS (
+  SELECT s.trip_id, s.route_id, s.line,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.25) AS INTEGER) THEN w.lat END) AS lat_25,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.25) AS INTEGER) THEN w.lon END) AS lon_25,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.5) AS INTEGER) THEN w.lat END) AS lat_50,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.5) AS INTEGER) THEN w.lon END) AS lon_50,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.75) AS INTEGER) THEN w.lat END) AS lat_75,
+    MAX(CASE WHEN w.seq = CAST(floor(s.n * 0.75) AS INTEGER) THEN w.lon END) AS lon_75
+  FROM sig0 s JOIN wp w ON w.route_id = s.route_id GROUP BY s.trip_id, s.route_id, s.line),
+pairs AS (
+  SELECT DISTINCT a.trip_id, a.route_id AS route_a, b.route_id AS route_b
+  FROM sig a JOIN sig b ON a.trip_id = b.trip_id AND a.route_id < b.route_id
+  WHERE a.line = b.line OR (
+    sqrt(pow(a.lat_25 - b.lat_25, 2) + pow(a.lon_25 - b.lon_25, 2)) * 111 <= 1.0
+    AND sqrt(pow(a.lat_50 - b.lat_50, 2) + pow(a.lon_50 - b.lon_50, 2)) * 111 <= 1.0
+    AND sqrt(pow(a.lat_75 - b.lat_75, 2) + pow(a.lon_75 - b.lon_75, 2)) * 111 <= 1.0))"""
+
+ORACLE["similar_routes"] = with_ctes(WAYPOINTS_CTE, SIG_CTE, body="SELECT * FROM pairs")
+
+ORACLE["dedup_routes"] = with_rec(WAYPOINTS_CTE, SIG_CTE, """ordered AS (
+  SELECT trip_id, route_id, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY route_id) AS i FROM sig),
+simto AS (SELECT trip_id, route_b AS route_id, list(route_a) AS similar_to FROM pairs GROUP BY trip_id, route_b),
+fold(trip_id, i, kept) AS (
+  SELECT trip_id, i, [route_id] FROM ordered WHERE i = 1
+  UNION ALL
+  SELECT o.trip_id, o.i,
+    CASE WHEN len(f.kept) < 3 AND NOT list_has_any(f.kept, COALESCE(s.similar_to, CAST([] AS BIGINT[])))
+         THEN list_append(f.kept, o.route_id) ELSE f.kept END
+  FROM fold f JOIN ordered o ON o.trip_id = f.trip_id AND o.i = f.i + 1
+  LEFT JOIN simto s ON s.trip_id = o.trip_id AND s.route_id = o.route_id),
+final AS (SELECT f.trip_id, f.kept FROM fold f
+          JOIN (SELECT trip_id, MAX(i) AS m FROM ordered GROUP BY trip_id) x ON f.trip_id = x.trip_id AND f.i = x.m)""",
+    body="""
+SELECT trip_id, CAST(r AS INTEGER) AS route_rank, route_id FROM (
+  SELECT trip_id, generate_subscripts(kept, 1) AS r, unnest(kept) AS route_id FROM final) t
+WHERE r <= 3""")

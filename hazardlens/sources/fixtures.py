@@ -98,17 +98,20 @@ def waypoints(spark: SparkSession, sf_dir: str, points_per_route: int = 60) -> D
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weather observations (flattened weather payload) on a 4 x 2 grid.
+    """Weather observations (flattened weather payload).
 
-    Every event is a reading; purchases carry an unknown code (-> default).
+    Every event is a reading taken at one of 60 stations placed on the
+    route corridor of ``waypoints`` (station = user_id mod 60); purchases
+    carry an unknown code (-> default category).
     """
     e = load_table(spark, sf_dir, "events")
     eid, uid = F.col("event_id"), F.col("user_id")
     et = F.col("event_type")
+    st = uid % 60
     return e.select(
         eid.alias("obs_id"),
-        _d(25 + uid % 4).alias("lat"),
-        _d(-124 + uid % 2).alias("lon"),
+        (F.lit(33.5) + _d(st) / 128).alias("lat"),
+        (F.lit(-112.0) + _d((st * 5) % 7) / 256).alias("lon"),
         F.col("ts").alias("obs_ts"),
         F.when(et == "click", 800).when(et == "view", 501).when(et == "error", 741)
          .when(et == "signup", 600).otherwise(9999).cast("int").alias("code"),
@@ -120,12 +123,25 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def query_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Points that need the freshest earlier weather reading (every event)."""
+    """Points that need the freshest earlier weather reading: every event,
+    at the station of the next user (so a point rarely sees its own reading)."""
     e = load_table(spark, sf_dir, "events")
     eid, uid = F.col("event_id"), F.col("user_id")
+    st = (uid + 1) % 60
     return e.select(
         eid.alias("point_id"),
-        _d(25 + uid % 4).alias("lat"),
-        _d(-124 + uid % 2).alias("lon"),
+        (F.lit(33.5) + _d(st) / 128).alias("lat"),
+        (F.lit(-112.0) + _d((st * 5) % 7) / 256).alias("lon"),
         F.col("ts"),
     )
+
+
+def trip_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One departure time per trip, spread over the events' month:
+    2024-01-01 + (trip_id * 7919 mod 41760) minutes."""
+    c = load_table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    trips = c.select((k - k % 3).alias("trip_id")).distinct()
+    mins = ((F.col("trip_id") * 7919) % 41760).cast("int")
+    return trips.select("trip_id", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+                                    + F.make_dt_interval(mins=mins)).alias("departure_ts"))
