@@ -385,7 +385,8 @@ def q_units(spark, sf_dir):
 
 @query("weather_asof")
 def q_asof(spark, sf_dir):
-    return EN.point_weather(FX.query_points(spark, sf_dir), FX.observations(spark, sf_dir))
+    out = EN.point_weather(FX.query_points(spark, sf_dir), FX.observations(spark, sf_dir))
+    return out.withColumn("obs_id", F.col("obs_id").cast("double"))  # nullable id, compared as double
 
 
 def _route_sample_weather(spark, sf_dir):

@@ -753,3 +753,134 @@ final AS (SELECT f.trip_id, f.kept FROM fold f
 SELECT trip_id, CAST(r AS INTEGER) AS route_rank, route_id FROM (
   SELECT trip_id, generate_subscripts(kept, 1) AS r, unnest(kept) AS route_id FROM final) t
 WHERE r <= 3""")
+
+
+# --- enrichment -----------------------------------------------------------------
+
+from hazardlens.functions.columns import (  # noqa: E402
+    API_WEATHER_CONDITIONS, POOR_WEATHER_WORDS, SCORER_WEATHER_KEYWORDS, WEATHER_CODE_CATEGORIES)
+
+OBS_CTE = """obs AS (
+  SELECT event_id AS obs_id, 33.5E0 + CAST(user_id % 60 AS DOUBLE) / 128 AS lat,
+    -112E0 + CAST(((user_id % 60) * 5) % 7 AS DOUBLE) / 256 AS lon, ts AS obs_ts,
+    CAST(CASE event_type WHEN 'click' THEN 800 WHEN 'view' THEN 501 WHEN 'error' THEN 741
+         WHEN 'signup' THEN 600 ELSE 9999 END AS INTEGER) AS code,
+    273.15E0 + CAST(event_id % 40 AS DOUBLE) AS temp_k, CAST((event_id * 37) % 10000 AS DOUBLE) AS visibility_m,
+    CAST(event_id % 25 AS DOUBLE) / 2 AS wind_ms, CAST(event_id % 100 AS DOUBLE) AS humidity
+  FROM events)"""
+
+QP_CTE = """qp AS (
+  SELECT event_id AS point_id, 33.5E0 + CAST((user_id + 1) % 60 AS DOUBLE) / 128 AS lat,
+    -112E0 + CAST((((user_id + 1) % 60) * 5) % 7 AS DOUBLE) / 256 AS lon, ts
+  FROM events)"""
+
+
+def category_sql(code):
+    whens = " ".join(f"WHEN {k} THEN '{v}'" for k, v in WEATHER_CODE_CATEGORIES.items())
+    return f"(CASE CAST({code} AS INTEGER) {whens} ELSE 'Clear' END)"
+
+
+def asof_sql(points, point_cols):
+    cols = ", ".join(f"q.{c}" for c in point_cols)
+    found = "c.obs_id IS NOT NULL"
+    return f"""cand AS (
+  SELECT q.point_id, o.obs_id, o.obs_ts, o.code, o.temp_k, o.visibility_m, o.wind_ms, o.humidity,
+    ROW_NUMBER() OVER (PARTITION BY q.point_id ORDER BY o.obs_ts DESC, o.obs_id DESC) AS rn
+  FROM {points} q JOIN obs o ON ROUND(o.lat, 2) = ROUND(q.lat, 2) AND ROUND(o.lon, 2) = ROUND(q.lon, 2)
+    AND o.obs_ts < q.ts AND o.obs_ts >= q.ts - INTERVAL 30 MINUTE),
+pw AS (
+  SELECT {cols}, c.obs_id, c.obs_ts,
+    CASE WHEN {found} THEN {r_up('(c.temp_k - 273.15) * 9 / 5 + 32', 1)} ELSE 70.0 END AS temperature_f,
+    CASE WHEN {found} THEN {category_sql('c.code')} ELSE 'Clear' END AS weather_condition,
+    CASE WHEN {found} THEN {r_up('c.visibility_m / 1609.34', 1)} ELSE 10.0 END AS visibility_mi,
+    CASE WHEN {found} THEN c.humidity ELSE 50.0 END AS humidity_pct,
+    CASE WHEN {found} THEN {r_up('c.wind_ms * 2.237', 1)} ELSE 5.0 END AS wind_speed_mph,
+    CASE WHEN {found} THEN lower({category_sql('c.code')}) ELSE 'default (API unavailable)' END AS description,
+    CASE WHEN {found} THEN 'observed' ELSE 'default' END AS source
+  FROM {points} q LEFT JOIN cand c ON c.point_id = q.point_id AND c.rn = 1)"""
+
+
+ORACLE["weather_asof"] = with_ctes(OBS_CTE, QP_CTE, asof_sql("qp", ["point_id", "lat", "lon", "ts"]),
+                                   body="SELECT * REPLACE (CAST(obs_id AS DOUBLE) AS obs_id) FROM pw")
+
+ORACLE["unit_conversion"] = with_ctes(OBS_CTE, body=f"""
+SELECT obs_id, lat, lon, obs_ts,
+  CASE WHEN ok THEN {r_up('(temp_k - 273.15) * 9 / 5 + 32', 1)} ELSE 70.0 END AS temperature_f,
+  CASE WHEN ok THEN {category_sql('code')} ELSE 'Clear' END AS weather_condition,
+  CASE WHEN ok THEN {r_up('COALESCE(CASE WHEN code != 9999 THEN visibility_m END, 10000.0) / 1609.34', 1)}
+       ELSE 10.0 END AS visibility_mi,
+  CASE WHEN ok THEN COALESCE(humidity, 50.0) ELSE 50.0 END AS humidity_pct,
+  CASE WHEN ok THEN {r_up('COALESCE(wind_ms, 0.0) * 2.237', 1)} ELSE 5.0 END AS wind_speed_mph,
+  CASE WHEN ok THEN lower({category_sql('code')}) ELSE 'default (API unavailable)' END AS description,
+  ok AS parsed
+FROM (SELECT *, obs_id % 7 != 0 AS ok FROM obs) t""")
+
+DEPARTURES_CTE = """dep AS (
+  SELECT trip_id, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL 1 MINUTE * CAST((trip_id * 7919) % 41760 AS INTEGER)
+    AS departure_ts
+  FROM (SELECT DISTINCT c_custkey - c_custkey % 3 AS trip_id FROM customer) t)"""
+
+ROUTE_PTS_CTE = """firsts AS (SELECT trip_id, MIN(route_id) AS route_id FROM wp GROUP BY trip_id),
+fwp AS (SELECT w.* FROM wp w JOIN firsts f ON w.trip_id = f.trip_id AND w.route_id = f.route_id),
+fn AS (SELECT route_id, COUNT(*) AS n FROM fwp GROUP BY route_id),
+rpts AS (
+  SELECT w.route_id * 1000 + w.seq AS point_id, w.trip_id, w.seq, w.lat, w.lon, d.departure_ts AS ts
+  FROM fwp w JOIN fn ON fn.route_id = w.route_id JOIN dep d ON d.trip_id = w.trip_id
+  WHERE fn.n <= 5 OR list_contains([CAST(round_even(0 * (CAST(fn.n - 1 AS DOUBLE) / 4), 0) AS INTEGER),
+    CAST(round_even(1 * (CAST(fn.n - 1 AS DOUBLE) / 4), 0) AS INTEGER),
+    CAST(round_even(2 * (CAST(fn.n - 1 AS DOUBLE) / 4), 0) AS INTEGER),
+    CAST(round_even(3 * (CAST(fn.n - 1 AS DOUBLE) / 4), 0) AS INTEGER),
+    CAST(round_even(4 * (CAST(fn.n - 1 AS DOUBLE) / 4), 0) AS INTEGER)], w.seq))"""
+
+ROUTE_WX_CTE = f"""rc AS (
+  SELECT trip_id, weather_condition, COUNT(*) AS k, MIN(seq) AS first_pos FROM pw GROUP BY trip_id, weather_condition),
+rn AS (SELECT trip_id, COUNT(*) AS n FROM pw GROUP BY trip_id),
+dom AS (SELECT trip_id, weather_condition, first_pos,
+          ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY k DESC, first_pos) AS r FROM rc),
+warn AS (
+  SELECT rc.trip_id, COUNT(*) AS nc,
+    string_agg(rc.weather_condition || ' (' || CAST(rc.k AS VARCHAR) || '/' || CAST(rn.n AS VARCHAR) || ' points)',
+               ', ' ORDER BY rc.k DESC, rc.first_pos) AS w
+  FROM rc JOIN rn ON rc.trip_id = rn.trip_id GROUP BY rc.trip_id),
+rw AS (
+  SELECT p.trip_id,
+    {r_up('list_reduce(list(p.temperature_f ORDER BY p.seq), lambda a, b: a + b) / COUNT(*)', 1)} AS temperature_f,
+    MIN(d.weather_condition) AS weather_condition,
+    {r_up('list_reduce(list(p.visibility_mi ORDER BY p.seq), lambda a, b: a + b) / COUNT(*)', 1)} AS visibility_mi,
+    {r_up('list_reduce(list(p.humidity_pct ORDER BY p.seq), lambda a, b: a + b) / COUNT(*)', 1)} AS humidity_pct,
+    {r_up('list_reduce(list(p.wind_speed_mph ORDER BY p.seq), lambda a, b: a + b) / COUNT(*)', 1)} AS wind_speed_mph,
+    MIN(CASE WHEN p.seq = d.first_pos THEN p.description END) AS description,
+    CAST(COUNT(*) AS INTEGER) AS samples,
+    MIN(CASE WHEN x.nc > 1 THEN 'Weather varies along route: ' || x.w END) AS weather_warning
+  FROM pw p JOIN dom d ON d.trip_id = p.trip_id AND d.r = 1 JOIN warn x ON x.trip_id = p.trip_id
+  GROUP BY p.trip_id)"""
+
+RW_BASE = (WAYPOINTS_CTE, OBS_CTE, DEPARTURES_CTE, ROUTE_PTS_CTE,
+           asof_sql("rpts", ["point_id", "trip_id", "seq", "lat", "lon", "ts"]), ROUTE_WX_CTE)
+
+ORACLE["route_weather"] = with_ctes(*RW_BASE, body="SELECT * FROM rw")
+
+ORACLE["effective_weather"] = with_ctes(*RW_BASE, body="""
+SELECT d.trip_id, CASE WHEN d.trip_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS source,
+  CASE WHEN d.trip_id % 2 = 0 THEN rw.weather_condition
+       ELSE COALESCE(CASE WHEN d.trip_id % 5 = 0 THEN 'Rain' END, 'Clear') END AS weather_condition,
+  CASE WHEN d.trip_id % 2 = 0 THEN rw.temperature_f
+       ELSE COALESCE(CASE WHEN d.trip_id % 5 = 0 THEN 45.0 END, 70.0) END AS temperature_f,
+  CASE WHEN d.trip_id % 2 = 0 THEN rw.visibility_mi ELSE 10.0 END AS visibility_mi
+FROM dep d LEFT JOIN rw ON rw.trip_id = d.trip_id""")
+
+ORACLE["event_props"] = """
+SELECT event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events"""
+
+
+def _first_match(expr_pairs, default="0"):
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in expr_pairs) + f" ELSE {default} END"
+
+
+_LOW = "lower(category)"
+ORACLE["weather_codes"] = with_ctes(OBS_CTE, body=f"""
+SELECT code, category,
+  CAST({_first_match([(f"contains({_LOW}, '{k}')", i) for i, k in enumerate(SCORER_WEATHER_KEYWORDS)])} AS INTEGER) AS scorer_code,
+  CAST(CASE WHEN category IS NULL THEN 0 ELSE {_first_match([(f"(contains('{n.lower()}', {_LOW}) OR contains({_LOW}, '{n.lower()}'))", i) for i, n in enumerate(API_WEATHER_CONDITIONS)])} END AS INTEGER) AS api_code,
+  CASE WHEN {' OR '.join(f"contains({_LOW}, '{w}')" for w in POOR_WEATHER_WORDS)} THEN 1 ELSE 0 END AS poor_weather
+FROM (SELECT DISTINCT code, {category_sql('code')} AS category FROM obs) t""")
