@@ -427,3 +427,74 @@ def q_codes(spark, sf_dir):
                         C.scorer_weather_code(cat).alias("scorer_code"),
                         C.api_weather_code(cat).alias("api_code"),
                         C.poor_weather_text(cat).alias("poor_weather"))
+
+
+# --- Spark ML model (rows-only checks) ---------------------------------------------
+
+from hazardlens.operators import model as ML  # noqa: E402
+from hazardlens.session import scratch_path  # noqa: E402
+
+# The catalogue trains with fewer boosting rounds than the reference job
+# (100) to keep per-query latency low; ``ML.train_gbt(features)`` uses 100.
+CATALOG_GBT_ITER = 20
+_MODELS: dict = {}
+
+
+def _model(spark, sf_dir):
+    key = (sf_dir, CATALOG_GBT_ITER)
+    if key not in _MODELS:
+        feats = FE.feature_table(staged(spark, sf_dir))
+        _MODELS[key] = ML.train_gbt(feats, max_iter=CATALOG_GBT_ITER)
+    return _MODELS[key]
+
+
+@query("gbt_scores")
+def q_gbt_scores(spark, sf_dir):
+    model, _ = _model(spark, sf_dir)
+    test = FE.hash_split(FE.feature_table(staged(spark, sf_dir))).where(F.col("split") == "test")
+    return ML.score_model(model, test).select("accident_id", "is_high_severity", "risk_score",
+                                              "prediction", "risk_level", "confidence")
+
+
+@query("gbt_metrics")
+def q_gbt_metrics(spark, sf_dir):
+    model, _ = _model(spark, sf_dir)
+    return ML.evaluate(model, FE.feature_table(staged(spark, sf_dir)))
+
+
+@query("feature_importance")
+def q_importance(spark, sf_dir):
+    model, names = _model(spark, sf_dir)
+    return ML.feature_importance(spark, model, names)
+
+
+@query("contributing_factors")
+def q_factors(spark, sf_dir):
+    model, names = _model(spark, sf_dir)
+    feats = FE.hash_split(FE.feature_table(staged(spark, sf_dir))).where(F.col("split") == "test")
+    return SC.contributing_factors(feats.select("accident_id", *names),
+                                   ML.feature_importance(spark, model, names, top=len(names)), top_n=5)
+
+
+@query("model_metadata")
+def q_model_meta(spark, sf_dir):
+    model, names = _model(spark, sf_dir)
+    path = scratch_path(spark, f"gbt_model_{abs(hash(sf_dir)) % 10**8}")
+    ML.save_model(model, path, ML.metrics_dict(q_gbt_metrics(spark, sf_dir)), names)
+    ML.load_model(path)  # round trip
+    return ML.model_metadata(spark, path)
+
+
+# --- streaming ------------------------------------------------------------------------
+
+from hazardlens.streaming import stream as ST  # noqa: E402
+
+
+@query("streaming_rule_scores")
+def q_stream_scores(spark, sf_dir):
+    return ST.streaming_rule_scores(spark, sf_dir)
+
+
+@query("hourly_event_window")
+def q_hourly_events(spark, sf_dir):
+    return ST.hourly_event_window(spark, sf_dir)

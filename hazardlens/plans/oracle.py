@@ -884,3 +884,19 @@ SELECT code, category,
   CAST(CASE WHEN category IS NULL THEN 0 ELSE {_first_match([(f"(contains('{n.lower()}', {_LOW}) OR contains({_LOW}, '{n.lower()}'))", i) for i, n in enumerate(API_WEATHER_CONDITIONS)])} END AS INTEGER) AS api_code,
   CASE WHEN {' OR '.join(f"contains({_LOW}, '{w}')" for w in POOR_WEATHER_WORDS)} THEN 1 ELSE 0 END AS poor_weather
 FROM (SELECT DISTINCT code, {category_sql('code')} AS category FROM obs) t""")
+
+
+# --- streaming twins ----------------------------------------------------------------
+
+# X1 emits exactly the batch rule-score table.
+ORACLE["streaming_rule_scores"] = ORACLE["rule_scores"]
+
+# Final (watermark-closed) hourly windows = windows ending no later than
+# max(event time) - 30 minutes.
+ORACLE["hourly_event_window"] = """
+SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
+  time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
+  event_type, COUNT(*) AS n, ROUND(SUM(value), 6) AS value_sum
+FROM events
+GROUP BY 1, 2, 3
+HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 30 MINUTE"""

@@ -28,8 +28,13 @@ def incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     Bad dates, null coordinates and null weather readings are planted on
     fixed id residues so the cleaning paths are exercised.
     """
-    e = load_table(spark, sf_dir, "events").select(
-        "event_id", "ts", "user_id", "event_type", "value")
+    return incidents_from_events(spark, sf_dir, load_table(spark, sf_dir, "events"))
+
+
+def incidents_from_events(spark: SparkSession, sf_dir: str, events: DataFrame) -> DataFrame:
+    """Same as ``incidents`` over any events DataFrame, batch or streaming
+    (a stream joins the static dimensions as a stream-static join)."""
+    e = events.select("event_id", "ts", "user_id", "event_type", "value")
     c = load_table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     n = load_table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
 
