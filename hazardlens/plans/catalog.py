@@ -498,3 +498,130 @@ def q_stream_scores(spark, sf_dir):
 @query("hourly_event_window")
 def q_hourly_events(spark, sf_dir):
     return ST.hourly_event_window(spark, sf_dir)
+
+
+# --- sources and sinks ------------------------------------------------------------
+
+import uuid  # noqa: E402
+
+from hazardlens.sources import io as IO  # noqa: E402
+
+
+def _scratch(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
+
+
+@query("csv_roundtrip")
+def q_csv_roundtrip(spark, sf_dir):
+    base = _scratch(spark, "csv")
+    IO.write_csv(FX.incidents(spark, sf_dir), f"{base}/raw_csv")
+    typed = IO.read_typed_csv(spark, f"{base}/raw_csv")
+    IO.write_parquet(typed, f"{base}/raw_parquet")
+    return IO.verify_write(spark, typed, f"{base}/raw_parquet", source_path=f"{base}/raw_csv")
+
+
+@query("prefix_sample")
+def q_prefix(spark, sf_dir):
+    return IO.prefix_sample(FX.incidents(spark, sf_dir), 1000)
+
+
+@query("schema_listing")
+def q_schema(spark, sf_dir):
+    return IO.schema_listing(spark, staged(spark, sf_dir))
+
+
+@query("layer_sizes")
+def q_layers(spark, sf_dir):
+    base = _scratch(spark, "layers")
+    st = staged(spark, sf_dir)
+    paths = IO.write_layers(base, {
+        "raw.accidents": FX.incidents(spark, sf_dir), "staging.accidents": st,
+        "staging.location_summary": SM.location_summary(st, 10),
+        "staging.temporal_patterns": SM.temporal_patterns(st),
+        "staging.weather_impact": SM.weather_impact(st, 100)})
+    return IO.table_sizes({name: spark.read.parquet(p) for name, p in paths.items()})
+
+
+# --- requests, shares, history, payloads, modes ------------------------------------
+
+from hazardlens.operators import requests as RQ  # noqa: E402
+
+
+def _validated(spark, sf_dir):
+    return RQ.validate_requests(FX.prediction_requests(staged(spark, sf_dir)))
+
+
+@query("request_validation")
+def q_req_validation(spark, sf_dir):
+    # hour may be missing (that is what is being validated): compared as double
+    return _validated(spark, sf_dir).select("request_id", "latitude", F.col("hour").cast("double").alias("hour"),
+                                            "day_of_week", "month", "errors", "n_errors", "valid")
+
+
+@query("request_features")
+def q_req_features(spark, sf_dir):
+    imp = _imputed(spark, sf_dir)
+    valid = _validated(spark, sf_dir).where("valid")
+    return RQ.request_features(valid, FE.label_codes(imp, "state"), FE.frequency_codes(imp, "city"))
+
+
+@query("time_shares")
+def q_shares(spark, sf_dir):
+    st = staged(spark, sf_dir)
+    parts = [A.value_distribution(st, c).select(F.lit(name).alias("dimension"),
+                                                F.col("value").cast("string").alias("value"), "n", "pct")
+             for name, c in (("hour", "hour"), ("day_of_week", "day_of_week"), ("state", "State"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("segment_history")
+def q_seg_history(spark, sf_dir):
+    """Each sampled route segment joined to the incident history of its
+    grid cell (equi-join on the rounded coordinates; no cell -> zeros)."""
+    segs = _samples(spark, sf_dir)
+    dens = A.grid_density(staged(spark, sf_dir))
+    keyed = segs.select("*", C.grid_key("lat").alias("lat_cell"), C.grid_key("lon").alias("lon_cell"))
+    j = keyed.join(dens, ["lat_cell", "lon_cell"], "left")
+    return j.select("trip_id", "route_id", "segment_index", "lat_cell", "lon_cell",
+                    F.coalesce("n", F.lit(0)).alias("incidents"),
+                    F.coalesce("high_severity_count", F.lit(0)).alias("high_severity"),
+                    (F.coalesce("junction_count", F.lit(0)) > 0).alias("has_junction"),
+                    (F.coalesce("crossing_count", F.lit(0)) > 0).alias("has_crossing"))
+
+
+def route_payload_json(lengths):
+    """Directions-style JSON per route (first leg, polyline, summary); every
+    11th route lacks its legs, which the parser must drop."""
+    miles = F.col("total_miles")
+    secs = (miles * 60).cast("int")
+    leg = F.struct(
+        F.struct(F.concat(F.format_string("%.1f", F.bround(miles, 1)), F.lit(" mi")).alias("text"),
+                 F.floor(miles * 1609.34 + 0.5).cast("int").alias("value")).alias("distance"),
+        F.struct(F.concat((secs / 60).cast("int").cast("string"), F.lit(" mins")).alias("text"),
+                 secs.alias("value")).alias("duration"))
+    body = F.struct(
+        F.concat(F.lit("Route "), F.col("route_id").cast("string")).alias("summary"),
+        F.struct(F.concat(F.lit("pl"), F.col("route_id").cast("string"), F.lit("-"),
+                          F.col("n_points").cast("string")).alias("points")).alias("overview_polyline"),
+        F.when(F.col("route_id") % 11 != 0, F.array(leg)).alias("legs"))
+    return lengths.select("trip_id", "route_id", F.to_json(body).alias("payload"))
+
+
+@query("route_payloads")
+def q_route_payloads(spark, sf_dir):
+    parsed = EN.parse_route_payloads(route_payload_json(R.route_lengths(FX.waypoints(spark, sf_dir))))
+    return parsed.drop("duration_in_traffic_text", "duration_in_traffic_seconds")
+
+
+@query("mode_values")
+def q_modes(spark, sf_dir):
+    return A.mode_of(staged(spark, sf_dir), ["weather_condition", "State", "City", "hour"])
+
+
+@query("feature_summary")
+def q_feature_summary(spark, sf_dir):
+    ft = FE.feature_table(staged(spark, sf_dir))
+    nulls = Q.null_counts(ft)
+    types = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in ft.schema.fields],
+                                  "column string, type string")
+    return nulls.join(types, "column").select("column", "type", "null_count")

@@ -900,3 +900,113 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
 FROM events
 GROUP BY 1, 2, 3
 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 30 MINUTE"""
+
+ORACLE["layer_sizes"] = with_ctes(*BASE, LOCATION_CTE, TEMPORAL_CTE, WEATHER_CTE, body="""
+SELECT 'raw.accidents' AS "table", COUNT(*) AS rows FROM incidents
+UNION ALL SELECT 'staging.accidents', COUNT(*) FROM staged
+UNION ALL SELECT 'staging.location_summary', COUNT(*) FROM location_summary
+UNION ALL SELECT 'staging.temporal_patterns', COUNT(*) FROM temporal_patterns
+UNION ALL SELECT 'staging.weather_impact', COUNT(*) FROM weather_impact""")
+
+
+# --- requests, shares, history, payloads, modes ------------------------------------
+
+_WORDS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+_EID = 'CAST("ID" AS BIGINT)'
+
+REQ_CTE = f"""req AS (
+  SELECT "ID" AS request_id,
+    CASE WHEN {_EID} % 211 = 0 THEN 95.0 ELSE latitude END AS latitude, longitude,
+    "State" AS state, "City" AS city,
+    CASE WHEN {_EID} % 199 = 0 THEN NULL ELSE hour END AS hour,
+    CASE WHEN {_EID} % 3 = 0 THEN ({'['+', '.join(repr(w) for w in _WORDS)+']'})[((day_of_week + 6) % 7) + 1]
+         ELSE CAST((day_of_week + 6) % 7 AS VARCHAR) END AS day_of_week,
+    CASE WHEN {_EID} % 13 = 0 THEN NULL ELSE month END AS month,
+    is_weekend, temperature_f, humidity_pct, pressure_in, visibility_mi, wind_speed_mph,
+    precipitation_in, weather_condition, {', '.join(_FLAGS)}, distance_mi
+  FROM staged),
+dreq AS (
+  SELECT request_id, latitude, longitude, state, city, hour,
+    COALESCE(CASE lower(day_of_week) {' '.join(f"WHEN '{w}' THEN {i}" for i, w in enumerate(_WORDS))} END,
+             TRY_CAST(day_of_week AS INTEGER)) AS day_of_week,
+    COALESCE(month, 1) AS month, COALESCE(is_weekend, false) AS is_weekend,
+    COALESCE(temperature_f, 70.0) AS temperature_f, COALESCE(humidity_pct, 50.0) AS humidity_pct,
+    COALESCE(pressure_in, 29.92) AS pressure_in, COALESCE(visibility_mi, 10.0) AS visibility_mi,
+    COALESCE(wind_speed_mph, 5.0) AS wind_speed_mph, COALESCE(precipitation_in, 0.0) AS precipitation_in,
+    weather_condition, {', '.join(f'COALESCE({f}, false) AS {f}' for f in _FLAGS)},
+    COALESCE(distance_mi, 0.0) AS distance_mi
+  FROM req)"""
+
+_REQ_BOUNDS = [("latitude", -90, 90), ("longitude", -180, 180), ("hour", 0, 23), ("day_of_week", 0, 6),
+               ("month", 1, 12), ("humidity_pct", 0, 100), ("visibility_mi", 0, None),
+               ("wind_speed_mph", 0, None), ("precipitation_in", 0, None), ("distance_mi", 0, None)]
+_CHECKS = ([(f"{c} IS NULL", f"{c}: field required") for c in ["latitude", "longitude", "hour", "day_of_week"]]
+           + [x for c, lo, hi in _REQ_BOUNDS for x in
+              ([(f"{c} < {lo}", f"{c}: must be >= {lo}")] if lo is not None else [])
+              + ([(f"{c} > {hi}", f"{c}: must be <= {hi}")] if hi is not None else [])])
+
+VREQ_CTE = f"""vreq AS (
+  SELECT *, concat_ws('; ', {', '.join(f"CASE WHEN {c} THEN '{m}' END" for c, m in _CHECKS)}) AS errors,
+    CAST({' + '.join(f'CASE WHEN {c} THEN 1 ELSE 0 END' for c, _ in _CHECKS)} AS INTEGER) AS n_errors
+  FROM dreq)"""
+
+ORACLE["request_validation"] = with_ctes(*BASE, REQ_CTE, VREQ_CTE, body="""
+SELECT request_id, latitude, CAST(hour AS DOUBLE) AS hour, day_of_week, month, errors, n_errors,
+  n_errors = 0 AS valid FROM vreq""")
+
+_API_CODE = ("CASE WHEN weather_condition IS NULL THEN 0 ELSE "
+             + _first_match([(f"(contains('{n.lower()}', lower(weather_condition)) OR "
+                              f"contains(lower(weather_condition), '{n.lower()}'))", i)
+                             for i, n in enumerate(API_WEATHER_CONDITIONS)]) + " END")
+
+ORACLE["request_features"] = with_ctes(*FEAT, ENCODED_CTE, REQ_CTE, VREQ_CTE, body=f"""
+SELECT v.request_id, v.hour, v.day_of_week, CAST(v.is_weekend AS INTEGER) AS is_weekend, v.month,
+  CAST(CASE WHEN v.hour >= 6 AND v.hour < 12 THEN 1 WHEN v.hour >= 12 AND v.hour < 18 THEN 2
+            WHEN v.hour >= 18 AND v.hour < 22 THEN 3 ELSE 0 END AS INTEGER) AS time_period_encoded,
+  CASE WHEN v.hour BETWEEN 7 AND 9 OR v.hour BETWEEN 16 AND 19 THEN 1 ELSE 0 END AS is_rush_hour,
+  CAST(COALESCE(s.code, -1) AS INTEGER) AS state_encoded, CAST(COALESCE(c.code, -1) AS INTEGER) AS city_encoded,
+  v.latitude, v.longitude, v.temperature_f, v.humidity_pct, v.pressure_in, v.visibility_mi,
+  v.wind_speed_mph, v.precipitation_in, CAST({_API_CODE.replace('weather_condition', 'v.weather_condition')} AS INTEGER) AS weather_encoded,
+  CASE WHEN v.visibility_mi < 5 OR v.precipitation_in > 0 THEN 1 ELSE 0 END AS poor_weather,
+  CASE WHEN v.temperature_f < 32 OR v.temperature_f > 95 THEN 1 ELSE 0 END AS extreme_temp,
+  {', '.join(f'CAST(v.{f} AS INTEGER) AS {f}' for f in _FLAGS)},
+  {' + '.join(f'CAST(v.{f} AS INTEGER)' for f in _FLAGS)} AS road_feature_count, v.distance_mi
+FROM vreq v LEFT JOIN state_codes s ON v.state = s.value LEFT JOIN city_codes c ON v.city = c.value
+WHERE v.n_errors = 0""")
+
+ORACLE["time_shares"] = with_ctes(*BASE, body="\nUNION ALL\n".join(
+    f"""SELECT '{name}' AS dimension, CAST({col} AS VARCHAR) AS value, COUNT(*) AS n,
+  CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct FROM staged GROUP BY {col}"""
+    for name, col in (("hour", "hour"), ("day_of_week", "day_of_week"), ("state", '"State"'))))
+
+ORACLE["segment_history"] = with_rec(*BASE, *ROUTE_BASE, body="""
+, dens AS (
+  SELECT ROUND(latitude, 2) AS lat_cell, ROUND(longitude, 2) AS lon_cell, COUNT(*) AS n,
+    CAST(SUM(CASE WHEN is_high_severity THEN 1 ELSE 0 END) AS BIGINT) AS hs,
+    CAST(SUM(CASE WHEN has_junction THEN 1 ELSE 0 END) AS BIGINT) AS jc,
+    CAST(SUM(CASE WHEN has_crossing THEN 1 ELSE 0 END) AS BIGINT) AS cc
+  FROM staged GROUP BY 1, 2)
+SELECT s.trip_id, s.route_id, s.segment_index, ROUND(s.lat, 2) AS lat_cell, ROUND(s.lon, 2) AS lon_cell,
+  COALESCE(d.n, 0) AS incidents, COALESCE(d.hs, 0) AS high_severity,
+  COALESCE(d.jc, 0) > 0 AS has_junction, COALESCE(d.cc, 0) > 0 AS has_crossing
+FROM samples s LEFT JOIN dens d ON d.lat_cell = ROUND(s.lat, 2) AND d.lon_cell = ROUND(s.lon, 2)""")
+
+ORACLE["route_payloads"] = with_ctes(WAYPOINTS_CTE, SEG_CTE, body="""
+, rl AS (SELECT trip_id, route_id, COUNT(*) AS n_points, ROUND(SUM(dist_mi), 6) AS total_miles
+         FROM seg GROUP BY trip_id, route_id)
+SELECT trip_id, route_id, printf('%.1f', total_miles) || ' mi' AS distance_text,
+  CAST(floor(total_miles * 1609.34 + 0.5) AS INTEGER) AS distance_meters,
+  CAST(CAST(trunc(trunc(total_miles * 60) / 60.0) AS INTEGER) AS VARCHAR) || ' mins' AS duration_text,
+  CAST(trunc(total_miles * 60) AS INTEGER) AS duration_seconds,
+  'pl' || CAST(route_id AS VARCHAR) || '-' || CAST(n_points AS VARCHAR) AS polyline,
+  'Route ' || CAST(route_id AS VARCHAR) AS summary
+FROM rl WHERE route_id % 11 != 0""")
+
+
+def _mode(col):
+    return f"(SELECT {col} FROM staged WHERE {col} IS NOT NULL GROUP BY {col} ORDER BY COUNT(*) DESC, {col} LIMIT 1)"
+
+
+ORACLE["mode_values"] = with_ctes(*BASE, body=f"""
+SELECT {_mode('weather_condition')} AS weather_condition, {_mode('"State"')} AS "State",
+  {_mode('"City"')} AS "City", {_mode('hour')} AS hour""")

@@ -150,3 +150,29 @@ def trip_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
     mins = ((F.col("trip_id") * 7919) % 41760).cast("int")
     return trips.select("trip_id", (F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
                                     + F.make_dt_interval(mins=mins)).alias("departure_ts"))
+
+
+# Monday = 0 weekday words used in request payloads.
+_WEEKDAY_WORDS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+
+
+def prediction_requests(staged: DataFrame) -> DataFrame:
+    """Prediction requests derived from staged incidents, with planted
+    problems: latitude 95 (id % 211 = 0), missing hour (id % 199 = 0),
+    missing month (id % 13 = 0, defaulted); every third weekday is sent as
+    a word instead of a number (Monday = 0)."""
+    eid = F.col("ID").cast("bigint")
+    dow_mon0 = ((F.col("day_of_week") + 6) % 7).cast("int")
+    word = F.element_at(F.array(*[F.lit(w) for w in _WEEKDAY_WORDS]), dow_mon0 + 1)
+    flags = ["has_amenity", "has_bump", "has_crossing", "has_give_way", "has_junction",
+             "has_no_exit", "has_railway", "has_roundabout", "has_station", "has_stop",
+             "has_traffic_calming", "has_traffic_signal"]
+    return staged.select(
+        F.col("ID").alias("request_id"),
+        F.when(eid % 211 == 0, F.lit(95.0)).otherwise(F.col("latitude")).alias("latitude"),
+        "longitude", F.col("State").alias("state"), F.col("City").alias("city"),
+        F.when(eid % 199 == 0, F.lit(None).cast("int")).otherwise(F.col("hour")).alias("hour"),
+        F.when(eid % 3 == 0, word).otherwise(dow_mon0.cast("string")).alias("day_of_week"),
+        F.when(eid % 13 == 0, F.lit(None).cast("int")).otherwise(F.col("month")).alias("month"),
+        "is_weekend", "temperature_f", "humidity_pct", "pressure_in", "visibility_mi",
+        "wind_speed_mph", "precipitation_in", "weather_condition", *flags, "distance_mi")
