@@ -199,3 +199,24 @@ def contributing_factors(features: DataFrame, importances: DataFrame, id_col: st
     j = long.join(F.broadcast(top), "feature")
     return j.select(id_col, "rank", "feature",
                     C.round_half_away("importance", 4).alias("importance"), "value")
+
+
+# The factor importances the dashboard reports next to a rule score.
+RULE_FACTOR_IMPORTANCES = [("visibility_mi", 0.22), ("hour", 0.18), ("precipitation_in", 0.15),
+                           ("has_junction", 0.12), ("weather_condition", 0.10)]
+
+
+def rule_factor_table(spark) -> DataFrame:
+    """The rule scorer's (feature, importance) table: 5 fixed rows."""
+    return spark.createDataFrame(RULE_FACTOR_IMPORTANCES, "feature string, importance double")
+
+
+def score_requests(validated: DataFrame) -> DataFrame:
+    """M13 + M23 on validated requests: valid rows get the rule score, invalid
+    rows the fallback 0.5 / UNKNOWN / 0."""
+    ok = F.col("valid")
+    s = rule_score(validated)
+    s = (s.withColumn("risk_score", F.when(ok, F.col("risk_score")))
+          .withColumn("risk_level", F.when(ok, C.risk_level3("risk_score")))
+          .withColumn("confidence", F.when(ok, C.round_half_away(C.confidence_distance("risk_score"), 4))))
+    return with_fallback(s)

@@ -47,7 +47,7 @@ def q_staging(spark, sf_dir):
 
 @query("point_lookup")
 def q_point_lookup(spark, sf_dir):
-    return _rows_out(S.point_lookup(staged(spark, sf_dir), severity=3, limit=1000))
+    return _rows_out(S.point_lookup(staged(spark, sf_dir), severity=3, state="NATION_1", limit=1000))
 
 
 @query("location_summary")
@@ -625,3 +625,20 @@ def q_feature_summary(spark, sf_dir):
     types = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in ft.schema.fields],
                                   "column string, type string")
     return nulls.join(types, "column").select("column", "type", "null_count")
+
+
+@query("request_scores")
+def q_request_scores(spark, sf_dir):
+    return SC.score_requests(_validated(spark, sf_dir)).select(
+        "request_id", "valid", "risk_score", "risk_level", "confidence")
+
+
+@query("rule_factors")
+def q_rule_factors(spark, sf_dir):
+    """J5/M21 with the rule scorer's fixed importance table: each incident's
+    five factors with its own values (weather text has no numeric value)."""
+    st = staged(spark, sf_dir).select(
+        F.col("ID").alias("accident_id"), "visibility_mi", F.col("hour").cast("double").alias("hour"),
+        "precipitation_in", F.col("has_junction").cast("double").alias("has_junction"),
+        F.lit(None).cast("double").alias("weather_condition"))
+    return SC.contributing_factors(st, SC.rule_factor_table(spark), top_n=5)

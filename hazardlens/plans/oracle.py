@@ -116,7 +116,7 @@ ROW_COLS = 'SELECT * REPLACE (CAST(duration_minutes AS DOUBLE) AS duration_minut
 ORACLE["staging_incidents"] = with_ctes(*BASE, body=f"{ROW_COLS} FROM staged")
 
 ORACLE["point_lookup"] = with_ctes(*BASE, body=ROW_COLS + """
-FROM staged WHERE "Severity" = 3 ORDER BY "ID" LIMIT 1000""")
+FROM staged WHERE "Severity" = 3 AND "State" = 'NATION_1' ORDER BY "ID" LIMIT 1000""")
 
 ORACLE["location_summary"] = with_ctes(*BASE, LOCATION_CTE, body="SELECT * FROM location_summary")
 
@@ -1010,3 +1010,22 @@ def _mode(col):
 ORACLE["mode_values"] = with_ctes(*BASE, body=f"""
 SELECT {_mode('weather_condition')} AS weather_condition, {_mode('"State"')} AS "State",
   {_mode('"City"')} AS "City", {_mode('hour')} AS hour""")
+
+
+ORACLE["request_scores"] = with_ctes(*BASE, REQ_CTE, VREQ_CTE, body=f"""
+, sc AS (SELECT request_id, n_errors = 0 AS valid,
+           CASE WHEN n_errors = 0 THEN {rule_sql('visibility_mi', 'precipitation_in', 'weather_condition',
+                                                 'has_junction', 'has_crossing', 'hour', 'is_weekend')} END AS p
+         FROM vreq)
+SELECT request_id, valid, COALESCE(p, 0.5) AS risk_score,
+  CASE WHEN p IS NULL THEN 'UNKNOWN' WHEN p < 0.3 THEN 'LOW' WHEN p < 0.6 THEN 'MEDIUM' ELSE 'HIGH' END AS risk_level,
+  CASE WHEN p IS NULL THEN 0.0 ELSE ROUND(ABS(p - 0.5) * 2, 4) END AS confidence
+FROM sc""")
+
+ORACLE["rule_factors"] = with_ctes(*BASE, body="""
+SELECT accident_id, rank, feature, ROUND(CAST(importance AS DOUBLE), 4) AS importance, value FROM (
+  SELECT "ID" AS accident_id, 1 AS rank, 'visibility_mi' AS feature, 0.22 AS importance, visibility_mi AS value FROM staged
+  UNION ALL SELECT "ID", 2, 'hour', 0.18, CAST(hour AS DOUBLE) FROM staged
+  UNION ALL SELECT "ID", 3, 'precipitation_in', 0.15, precipitation_in FROM staged
+  UNION ALL SELECT "ID", 4, 'has_junction', 0.12, CAST(CAST(has_junction AS INTEGER) AS DOUBLE) FROM staged
+  UNION ALL SELECT "ID", 5, 'weather_condition', 0.10, CAST(NULL AS DOUBLE) FROM staged) t""")
