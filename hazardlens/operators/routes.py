@@ -9,9 +9,12 @@ Partitioning notes (1000-executor scale):
 * W3 pairs each point with its predecessor through an equi-join on the
   unique key (route_id, seq) - no window partitioned by route, so a very
   long route never lands in one task.
-* R1 (the resetting 1-mile sampler) is inherently sequential per route. It
-  runs as a JVM fold over that route's points; a route's size is bounded
-  by its geometry (a directions payload), not by the table size.
+* R1 (the resetting 1-mile sampler) is inherently sequential per route: its
+  output depends on the distance accumulated since the last kept point. It
+  runs as one JVM fold over that route's ordered points (one shuffle). A
+  route's size is bounded by its geometry (one directions polyline), not
+  by the table size; at ~40 bytes a point even a 10-million-point route is
+  a 400 MB array in one task.
 * Candidate hours are generated with ``explode`` (no join), and scoring
   happens once per (route, hour, segment).
 """
@@ -69,33 +72,35 @@ def sample_waypoints(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI) ->
     point if its coordinates differ from the last kept one. Routes with
     fewer than two points produce no segments.
 
+    One shuffle: the route's points are gathered (ordered by seq) and a JVM
+    fold walks them, computing each step's haversine distance from the
+    previous point inside the fold (no self-join). The accumulation order is
+    the sequential one, so results equal a plain loop bit for bit.
+
     Output: (trip_id, route_id, segment_index, seq, lat, lon).
     """
-    d = segment_distances(wp)
-    per_route = (d.groupBy("trip_id", "route_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "dist_mi")))
-                      .alias("pts"))
+    per_route = (wp.groupBy("trip_id", "route_id")
+                 .agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("pts"))
                  .where(F.size("pts") >= 2))
     pts = F.col("pts")
     first = pts[0]
-    init = F.struct(F.lit(0.0).alias("acc"),
-                    F.array(F.struct(first["seq"].alias("seq"), first["lat"].alias("lat"),
-                                     first["lon"].alias("lon"))).alias("kept"))
+    point = lambda p: F.struct(p["seq"].alias("seq"), p["lat"].alias("lat"), p["lon"].alias("lon"))
+    init = F.struct(F.lit(0.0).alias("acc"), first.alias("prev"), F.array(point(first)).alias("kept"))
 
     def step(state, p):
-        total = state["acc"] + p["dist_mi"]
+        d = C.haversine_miles(state["prev"]["lat"], state["prev"]["lon"], p["lat"], p["lon"])
+        total = state["acc"] + d
         hit = total >= F.lit(interval_mi)
         return F.struct(F.when(hit, F.lit(0.0)).otherwise(total).alias("acc"),
-                        F.when(hit, F.array_append(state["kept"], F.struct(
-                            p["seq"].alias("seq"), p["lat"].alias("lat"), p["lon"].alias("lon"))))
+                        p.alias("prev"),
+                        F.when(hit, F.array_append(state["kept"], point(p)))
                         .otherwise(state["kept"]).alias("kept"))
 
     folded = F.aggregate(F.slice(pts, 2, F.size(pts) - 1), init, step)["kept"]
     last = F.element_at(pts, -1)
     last_kept = F.element_at(folded, -1)
     same = (last_kept["lat"] == last["lat"]) & (last_kept["lon"] == last["lon"])
-    kept = F.when(same, folded).otherwise(F.array_append(folded, F.struct(
-        last["seq"].alias("seq"), last["lat"].alias("lat"), last["lon"].alias("lon"))))
+    kept = F.when(same, folded).otherwise(F.array_append(folded, point(last)))
     return (per_route.select("trip_id", "route_id", F.posexplode(kept).alias("segment_index", "p"))
             .select("trip_id", "route_id", "segment_index", "p.seq", "p.lat", "p.lon"))
 
