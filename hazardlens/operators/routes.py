@@ -11,7 +11,8 @@ Partitioning notes (1000-executor scale):
   long route never lands in one task.
 * R1 (the resetting 1-mile sampler) is inherently sequential per route: its
   output depends on the distance accumulated since the last kept point. It
-  runs as one JVM fold over that route's ordered points (one shuffle). A
+  runs as one JVM fold over that route's ordered step distances (one
+  shuffle; the distances themselves are a codegen'd lag window). A
   route's size is bounded by its geometry (one directions polyline), not
   by the table size; at ~40 bytes a point even a 10-million-point route is
   a 400 MB array in one task.
@@ -72,37 +73,41 @@ def sample_waypoints(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI) ->
     point if its coordinates differ from the last kept one. Routes with
     fewer than two points produce no segments.
 
-    One shuffle: the route's points are gathered (ordered by seq) and a JVM
-    fold walks them, computing each step's haversine distance from the
-    previous point inside the fold (no self-join). The accumulation order is
-    the sequential one, so results equal a plain loop bit for bit.
+    One shuffle: step distances come from a ``lag`` window partitioned by
+    route (whole-stage codegen), and the group-by on the same keys reuses
+    that partitioning; a JVM fold then walks each route's ordered steps
+    doing only additions and comparisons. Accumulation is sequential, so
+    results equal a plain loop bit for bit.
 
     Output: (trip_id, route_id, segment_index, seq, lat, lon).
     """
-    per_route = (wp.groupBy("trip_id", "route_id")
-                 .agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon"))).alias("pts"))
+    keys = ["trip_id", "route_id"]
+    w = Window.partitionBy(*keys).orderBy("seq")
+    steps = wp.withColumn("d", C.haversine_miles(F.lag("lat").over(w), F.lag("lon").over(w),
+                                                 F.col("lat"), F.col("lon")))
+    per_route = (steps.groupBy(*keys)
+                 .agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "d"))).alias("pts"))
                  .where(F.size("pts") >= 2))
     pts = F.col("pts")
-    first = pts[0]
-    point = lambda p: F.struct(p["seq"].alias("seq"), p["lat"].alias("lat"), p["lon"].alias("lon"))
-    init = F.struct(F.lit(0.0).alias("acc"), first.alias("prev"), F.array(point(first)).alias("kept"))
+    # The fold carries only the running distance, a position counter and the
+    # kept positions (ints); points are looked up once at the end.
+    init = F.struct(F.lit(0.0).alias("acc"), F.lit(1).alias("i"), F.array(F.lit(1)).alias("kept"))
 
     def step(state, p):
-        d = C.haversine_miles(state["prev"]["lat"], state["prev"]["lon"], p["lat"], p["lon"])
-        total = state["acc"] + d
+        total = state["acc"] + p["d"]
         hit = total >= F.lit(interval_mi)
-        return F.struct(F.when(hit, F.lit(0.0)).otherwise(total).alias("acc"),
-                        p.alias("prev"),
-                        F.when(hit, F.array_append(state["kept"], point(p)))
-                        .otherwise(state["kept"]).alias("kept"))
+        i = state["i"] + 1
+        return F.struct(F.when(hit, F.lit(0.0)).otherwise(total).alias("acc"), i.alias("i"),
+                        F.when(hit, F.array_append(state["kept"], i)).otherwise(state["kept"]).alias("kept"))
 
-    folded = F.aggregate(F.slice(pts, 2, F.size(pts) - 1), init, step)["kept"]
+    pos = F.aggregate(F.slice(pts, 2, F.size(pts) - 1), init, step)["kept"]
     last = F.element_at(pts, -1)
-    last_kept = F.element_at(folded, -1)
+    last_kept = F.element_at(pts, F.element_at(pos, -1))
     same = (last_kept["lat"] == last["lat"]) & (last_kept["lon"] == last["lon"])
-    kept = F.when(same, folded).otherwise(F.array_append(folded, point(last)))
-    return (per_route.select("trip_id", "route_id", F.posexplode(kept).alias("segment_index", "p"))
-            .select("trip_id", "route_id", "segment_index", "p.seq", "p.lat", "p.lon"))
+    pos = F.when(same, pos).otherwise(F.array_append(pos, F.size(pts)))
+    kept = F.transform(pos, lambda k: F.element_at(pts, k))
+    return (per_route.select(*keys, F.posexplode(kept).alias("segment_index", "p"))
+            .select(*keys, "segment_index", "p.seq", "p.lat", "p.lon"))
 
 
 # M15 -----------------------------------------------------------------------

@@ -174,8 +174,10 @@ def roc_points(scored: DataFrame, label: str = "is_high_severity",
     w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     tot = Window.partitionBy()
     return (st.select(F.col("score").alias("threshold"),
-                      (F.sum("neg").over(w).cast("double") / F.sum("neg").over(tot)).alias("fpr"),
-                      (F.sum("pos").over(w).cast("double") / F.sum("pos").over(tot)).alias("tpr"))
+                      F.try_divide(F.sum("neg").over(w).cast("double"),
+                                   F.sum("neg").over(tot).cast("double")).alias("fpr"),
+                      F.try_divide(F.sum("pos").over(w).cast("double"),
+                                   F.sum("pos").over(tot).cast("double")).alias("tpr"))
             .orderBy(F.desc("threshold")))
 
 
