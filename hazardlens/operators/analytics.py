@@ -359,6 +359,13 @@ def cities_per_state(staged: DataFrame, max_states: int = 15, max_cities: int =
             .orderBy("state_rank", "city_rank"))
 
 
+def cities_for_state(staged: DataFrame, state: str, state_col: str = "State",
+                     city_col: str = "City") -> DataFrame:
+    """Distinct non-empty cities of one state, alphabetical. The
+    state equality reaches the scan as a pushed filter."""
+    return distinct_values(staged.where(F.col(state_col) == state), city_col, non_empty=True)
+
+
 def distinct_values(df: DataFrame, col: str, non_empty: bool = True) -> DataFrame:
     out = df.select(col)
     if non_empty:

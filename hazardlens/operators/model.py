@@ -73,7 +73,8 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list,
                                "feature string, importance double")
     from pyspark.sql import Window
     return (df.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
-              .where(F.col("rank") <= top))
+              .where(F.col("rank") <= top)
+              .withColumn("display_name", C.display_name("feature")))
 
 
 def save_model(model: PipelineModel, path: str, metrics: dict | None = None,

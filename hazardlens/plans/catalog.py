@@ -642,3 +642,8 @@ def q_rule_factors(spark, sf_dir):
         "precipitation_in", F.col("has_junction").cast("double").alias("has_junction"),
         F.lit(None).cast("double").alias("weather_condition"))
     return SC.contributing_factors(st, SC.rule_factor_table(spark), top_n=5)
+
+
+@query("cities_for_state")
+def q_cities_for_state(spark, sf_dir):
+    return A.cities_for_state(staged(spark, sf_dir), "NATION_1")

@@ -1029,3 +1029,6 @@ SELECT accident_id, rank, feature, ROUND(CAST(importance AS DOUBLE), 4) AS impor
   UNION ALL SELECT "ID", 3, 'precipitation_in', 0.15, precipitation_in FROM staged
   UNION ALL SELECT "ID", 4, 'has_junction', 0.12, CAST(CAST(has_junction AS INTEGER) AS DOUBLE) FROM staged
   UNION ALL SELECT "ID", 5, 'weather_condition', 0.10, CAST(NULL AS DOUBLE) FROM staged) t""")
+
+ORACLE["cities_for_state"] = with_ctes(*BASE, body="""
+SELECT DISTINCT "City" FROM staged WHERE "State" = 'NATION_1' AND "City" IS NOT NULL AND "City" != ''""")

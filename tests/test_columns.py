@@ -95,3 +95,9 @@ def test_weekday_helpers(spark):
                               C.dow_monday0(F.lit("2024-01-05").cast("date")).alias("m"),
                               C.weekday_name(F.lit(5)).alias("n")).first()
     assert (r.s, r.m, r.n) == (5, 4, "Friday")
+
+
+def test_display_name_and_key(spark):
+    r = spark.range(1).select(C.display_name(F.lit("has_traffic_signal")).alias("d"),
+                              C.normalize_key(F.lit("  Tempe, AZ ")).alias("k")).first()
+    assert r.d == "Has Traffic Signal" and r.k == "tempe, az"
