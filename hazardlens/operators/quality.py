@@ -128,21 +128,14 @@ def quality_report(df: DataFrame, as_of: str = "2026-01-01 00:00:00") -> DataFra
         _count_when(ts > F.lit(as_of).cast("timestamp_ntz")).alias("future_dates"),
     ]
     one = df.agg(*aggs)
-    dups = duplicate_summary(df).select(F.col("duplicate_rows").alias("duplicate_ids"))
-    # Both sides are single-row aggregates, so this pairing is 1 x 1.
-    both = _pair_one_rows(one, dups)
     checks = [(f"nulls:{c}", f"null_{c}") for c in crit]
     checks += [("severity_range", "invalid_severity"), ("latitude_range", "lat_out_of_range"),
-               ("longitude_range", "lng_out_of_range"), ("duplicate_ids", "duplicate_ids"),
-               ("future_dates", "future_dates")]
+               ("longitude_range", "lng_out_of_range"), ("future_dates", "future_dates")]
     args = ", ".join(f"'{name}', CAST(`{col}` AS BIGINT)" for name, col in checks)
-    long = both.selectExpr(f"stack({len(checks)}, {args}) as (check, issue_count)")
-    long = long.unionByName(
+    long = one.selectExpr(f"stack({len(checks)}, {args}) as (check, issue_count)")
+    dups = duplicate_summary(df).select(F.lit("duplicate_ids").alias("check"),
+                                        F.col("duplicate_rows").alias("issue_count"))
+    long = long.unionByName(dups).unionByName(
         long.sparkSession.createDataFrame([("required_columns", len(missing_req))],
                                           "check string, issue_count bigint"))
     return long.withColumn("passed", F.col("issue_count") == 0).orderBy("check")
-
-
-def _pair_one_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Join two single-row aggregates side by side on a constant key."""
-    return a.withColumn("__k", F.lit(1)).join(b.withColumn("__k", F.lit(1)), "__k").drop("__k")

@@ -102,34 +102,43 @@ def confusion_counts(st: DataFrame, threshold: float = 0.5) -> DataFrame:
                   F.sum(F.when(~hi, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"))
 
 
-def auc_from_table(st: DataFrame) -> DataFrame:
-    """ROC-AUC by the rank-sum rule with ties counted half, over distinct scores."""
+def _with_auc_terms(st: DataFrame) -> DataFrame:
+    """Per distinct score, its rank-sum AUC term pos * (negatives below + neg / 2).
+
+    The cumulative window runs over the distinct-score table only."""
     w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    contrib = st.select("pos", "neg",
-                        (F.col("pos").cast("double") * (below.cast("double") + F.col("neg") * 0.5))
-                        .alias("c"))
-    return contrib.agg(F.try_divide(F.sum("c"), F.sum("pos").cast("double") * F.sum("neg"))
-                       .alias("roc_auc"))
+    return st.withColumn("c", F.col("pos").cast("double") * (below.cast("double") + F.col("neg") * 0.5))
+
+
+def auc_from_table(st: DataFrame) -> DataFrame:
+    """ROC-AUC by the rank-sum rule with ties counted half, over distinct scores."""
+    return _with_auc_terms(st).agg(
+        F.try_divide(F.sum("c"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 
 
 def eval_metrics(scored: DataFrame, label: str = "is_high_severity", score: str = "risk_score",
                  threshold: float = 0.5) -> DataFrame:
-    """Accuracy, precision, recall, F1, ROC-AUC and sample counts (one row)."""
-    st = score_table(scored, label, score)
-    cc = confusion_counts(st, threshold)
+    """Accuracy, precision, recall, F1, ROC-AUC and sample counts (one row).
+
+    Confusion counts and the AUC sum come out of ONE aggregation over the
+    distinct-score table (no join of partial results)."""
+    st = _with_auc_terms(score_table(scored, label, score))
+    hi = F.col("score") > threshold
+    one = st.agg(F.sum(F.when(hi, F.col("pos")).otherwise(0)).cast("bigint").alias("tp"),
+                 F.sum(F.when(hi, F.col("neg")).otherwise(0)).cast("bigint").alias("fp"),
+                 F.sum(F.when(~hi, F.col("neg")).otherwise(0)).cast("bigint").alias("tn"),
+                 F.sum(F.when(~hi, F.col("pos")).otherwise(0)).cast("bigint").alias("fn"),
+                 F.try_divide(F.sum("c"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
     tp, fp, tn, fn = (F.col(c) for c in ("tp", "fp", "tn", "fn"))
     n = tp + fp + tn + fn
     prec, rec = _div(tp, tp + fp), _div(tp, tp + fn)
-    m = cc.select(
+    return one.select(
         _div(tp + tn, n).alias("accuracy"), prec.alias("precision"), rec.alias("recall"),
         F.when(prec + rec > 0, 2 * prec * rec / (prec + rec)).otherwise(0.0).alias("f1"),
         n.alias("test_samples"), (tp + fn).alias("positive_samples"),
         (tn + fp).alias("negative_samples"), (tp + fp).alias("predicted_positive"),
-        (tn + fn).alias("predicted_negative"))
-    # Both sides are single-row aggregates of the small score table.
-    return (m.withColumn("__k", F.lit(1))
-            .join(auc_from_table(st).withColumn("__k", F.lit(1)), "__k").drop("__k"))
+        (tn + fn).alias("predicted_negative"), "roc_auc")
 
 
 def confusion_matrix(scored: DataFrame, label: str = "is_high_severity", score: str = "risk_score",
