@@ -241,8 +241,23 @@ def median_of(df: DataFrame, cols: list, exact: bool = True) -> DataFrame:
 # A18 -----------------------------------------------------------------------
 
 def mode_of(df: DataFrame, cols: list) -> DataFrame:
-    """Most frequent value per column, lowest value on ties (null ignored)."""
-    return df.agg(*[F.mode(c, deterministic=True).alias(c) for c in cols])
+    """Most frequent value per column, lowest value on ties (null ignored).
+
+    Distributed: (column, value) pairs are counted by a group-by and each
+    column keeps its best pair with a bounded ``min_by``; the result is
+    pivoted to one row with the original column types.
+    """
+    types = dict(df.dtypes)
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+                      for c in cols])
+    counts = (df.select(F.explode(pairs).alias("p")).where(F.col("p.value").isNotNull())
+              .groupBy("p.col", "p.value").agg(F.count(F.lit(1)).alias("n")))
+    # Ties go to the lowest value in the column's own type (numbers numerically).
+    order_key = F.struct(-F.col("n"), *[F.when(F.col("col") == c, F.col("value").cast(types[c]))
+                                        .alias(f"k{i}") for i, c in enumerate(cols)])
+    best = counts.groupBy("col").agg(F.min_by("value", order_key).alias("value"))
+    wide = best.groupBy().pivot("col", cols).agg(F.first("value"))
+    return wide.select(*[F.col(c).cast(types[c]).alias(c) for c in cols])
 
 
 # A19 -----------------------------------------------------------------------

@@ -55,32 +55,59 @@ def feature_source(staged: DataFrame) -> DataFrame:
 
 # M1-M4 -----------------------------------------------------------------------
 
+def _modes(df: DataFrame, cols: list) -> dict:
+    """Most frequent non-null value of each column (lowest value on ties).
+
+    One distributed pass for all columns: every row emits (column, value)
+    pairs, a group-by counts them (partial aggregation absorbs hot values),
+    and a second group-by per column keeps the best pair with ``min_by`` -
+    a bounded aggregate, never a map of all distinct values in one task.
+    """
+    if not cols:
+        return {}
+    pairs = F.array(*[F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("value"))
+                      for c in cols])
+    counts = (df.select(F.explode(pairs).alias("p")).where(F.col("p.value").isNotNull())
+              .groupBy("p.col", "p.value").agg(F.count(F.lit(1)).alias("n")))
+    types = dict(df.dtypes)
+    order_key = F.struct(-F.col("n"), *[F.when(F.col("col") == c, F.col("value").cast(types[c]))
+                                        .alias(f"k{i}") for i, c in enumerate(cols)])
+    best = counts.groupBy("col").agg(F.min_by("value", order_key).alias("value"))
+    return {r["col"]: r["value"] for r in best.collect()}  # one row per column
+
+
 def fit_imputer(df: DataFrame, exact: bool = True) -> dict:
-    """All fill values in ONE aggregation: medians (numeric), modes
-    (categorical -> 'Unknown' when a column is all null, temporal), False
-    for booleans. Returns a small dict (one value per column)."""
+    """Fill values for the columns that contain nulls: medians (numeric),
+    modes (categorical -> 'Unknown' when a column is all null, temporal),
+    False for booleans. Returns a small dict (one value per column).
+
+    Pass 1 counts nulls of every candidate column in one aggregation; only
+    columns with nulls are then summarised, as the reference does. Medians
+    are exact (``percentile``) or sketch-based with ``exact=False``.
+    """
     num = [c for c in NUMERIC_IMPUTE if c in df.columns]
     cat = [c for c in CATEGORICAL_IMPUTE if c in df.columns]
     tmp = [c for c in TEMPORAL_IMPUTE if c in df.columns]
-    med = (lambda c: F.median(F.col(c).cast("double"))) if exact else \
-          (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000))
-    aggs = [med(c).alias(c) for c in num]
-    aggs += [F.mode(c, deterministic=True).alias(c) for c in cat + tmp]
-    if not aggs:
-        return {}
-    row = df.agg(*aggs).first().asDict()
-    fills = {}
-    for c in num:
-        if row[c] is not None:
-            fills[c] = float(row[c])
+    cand = num + cat + tmp
+    fills = {c: False for c in df.columns if c.startswith("has_") or c == "is_weekend"}
+    if not cand:
+        return fills
+    nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cand]).first().asDict()
+    need = [c for c in cand if nulls[c] > 0]
+    med_cols = [c for c in num if c in need]
+    if med_cols:
+        med = (lambda c: F.median(F.col(c).cast("double"))) if exact else \
+              (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000))
+        row = df.agg(*[med(c).alias(c) for c in med_cols]).first().asDict()
+        fills.update({c: float(row[c]) for c in med_cols if row[c] is not None})
+    modes = _modes(df, [c for c in cat + tmp if c in need])
+    types = dict(df.dtypes)
     for c in cat:
-        fills[c] = row[c] if row[c] is not None else "Unknown"
+        if c in need:
+            fills[c] = modes.get(c, "Unknown")
     for c in tmp:
-        if row[c] is not None:
-            fills[c] = row[c]
-    for c in df.columns:
-        if c.startswith("has_") or c == "is_weekend":
-            fills[c] = False
+        if c in need and c in modes:
+            fills[c] = int(modes[c]) if types[c] in ("int", "bigint", "smallint", "tinyint") else modes[c]
     return fills
 
 
