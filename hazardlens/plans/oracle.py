@@ -1032,3 +1032,16 @@ SELECT accident_id, rank, feature, ROUND(CAST(importance AS DOUBLE), 4) AS impor
 
 ORACLE["cities_for_state"] = with_ctes(*BASE, body="""
 SELECT DISTINCT "City" FROM staged WHERE "State" = 'NATION_1' AND "City" IS NOT NULL AND "City" != ''""")
+
+_FEATURE_COLS = (["accident_id", "hour", "day_of_week", "is_weekend", "month", "time_period_encoded",
+                  "is_rush_hour", "state_encoded", "city_encoded", "latitude", "longitude", "temperature_f",
+                  "humidity_pct", "pressure_in", "visibility_mi", "wind_speed_mph", "precipitation_in",
+                  "weather_encoded", "poor_weather", "extreme_temp"] + _FLAGS
+                 + ["road_feature_count", "distance_mi", "is_high_severity"])
+_SPARK_TYPE = ("CASE t WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' "
+               "WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(t) END")
+
+ORACLE["feature_summary"] = with_ctes(*FEAT, ENCODED_CTE, "features AS (" + FEATURES_BODY + ")", body=(
+    f"SELECT \"column\", {_SPARK_TYPE} AS type, null_count FROM (\n" + "\nUNION ALL\n".join(
+        f"""SELECT '{c}' AS "column", (SELECT typeof({c}) FROM features LIMIT 1) AS t,
+  CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count FROM features""" for c in _FEATURE_COLS) + ") x"))
