@@ -44,10 +44,15 @@ def events_stream(spark: SparkSession, sf_dir: str, max_files_per_trigger: int |
 
 
 def _run(df: DataFrame, name: str, mode: str = "append", trigger: dict | None = None,
-         partition_by: list | None = None) -> str:
+         partition_by: list | None = None, run_id: str | None = None) -> str:
     """Start a Parquet sink under the shared checkpoint folder and wait for
-    the available data to be processed. Returns the output path."""
-    base = os.path.join(checkpoint_dir(df.sparkSession), "streams", f"{name}-{uuid.uuid4().hex[:12]}")
+    the available data to be processed. Returns the output path.
+
+    With a ``run_id`` the sink and checkpoint paths are stable, so a rerun
+    (or a restart after a failure) resumes where the last one committed;
+    without one every call is a fresh back-fill."""
+    tag = run_id or uuid.uuid4().hex[:12]
+    base = os.path.join(checkpoint_dir(df.sparkSession), "streams", f"{name}-{tag}")
     w = (df.writeStream.outputMode(mode).format("parquet")
          .option("path", os.path.join(base, "out"))
          .option("checkpointLocation", os.path.join(base, "checkpoint")))
