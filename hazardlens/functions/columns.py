@@ -317,6 +317,13 @@ def hour_label(hour) -> Column:
             .otherwise(F.format_string("%d:00 PM", h - 12)))
 
 
+def clock_label(hour) -> Column:
+    """Zero-padded 12-hour clock at the full hour: 8 -> '08:00 AM', 17 -> '05:00 PM'."""
+    h = _c(hour)
+    h12 = F.when(h % 12 == 0, 12).otherwise(h % 12)
+    return F.format_string("%02d:00 %s", h12, F.when(h < 12, "AM").otherwise("PM"))
+
+
 def weekday_name(dow_sun0) -> Column:
     return F.element_at(F.array(*[F.lit(n) for n in WEEKDAY_NAMES]), _c(dow_sun0).cast("int") + 1)
 

@@ -129,15 +129,17 @@ def high_risk_segments(staged: DataFrame, min_severity: int = 2, min_count: int
 
 # A11 / W1 / A23 ------------------------------------------------------------
 
-def value_distribution(df: DataFrame, col: str, value_alias: str = "value") -> DataFrame:
-    """count and percent of total per value.
+def value_distribution(df: DataFrame, col: str, value_alias: str = "value",
+                       digits: int | None = None) -> DataFrame:
+    """count and percent of total per value (``digits`` rounds the percent).
 
     The grand total is a window over the *aggregated* rows (one per
     distinct value), so the single-partition window never sees raw rows.
     """
     agg = df.groupBy(F.col(col).alias(value_alias)).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy())
-    return (agg.withColumn("pct", F.col("n").cast("double") * 100.0 / total)
+    pct = F.col("n").cast("double") * 100.0 / total
+    return (agg.withColumn("pct", _rnd(pct, digits) if digits is not None else pct)
             .orderBy(value_alias))
 
 
@@ -358,17 +360,18 @@ def random_sample(df: DataFrame, n: int, key: str = "ID", seed: int = 42) -> Dat
 def cities_per_state(staged: DataFrame, max_states: int = 15, max_cities: int = 50) -> DataFrame:
     """First ``max_cities`` cities (alphabetical) of the first ``max_states`` states (L4).
 
-    One distinct + two windows instead of one query per state. Ranking
-    states needs the distinct state list only, which is tiny.
+    One distinct + two windows instead of one query per state; ranking the
+    states needs the distinct state list only, which is tiny. Nulls sort
+    last, as in SQL, and a null state is matched null-safely.
     """
-    pairs = (staged.where(F.col("City").isNotNull() & (F.col("City") != "")
-                          & F.col("State").isNotNull())
-             .select("State", "City").distinct())
+    pairs = staged.select("State", "City").distinct()
     states = (pairs.select("State").distinct()
-              .withColumn("state_rank", F.dense_rank().over(Window.orderBy("State"))))
-    ranked = (pairs.join(states.where(F.col("state_rank") <= max_states), "State")
+              .withColumn("state_rank", F.dense_rank().over(Window.orderBy(F.asc_nulls_last("State"))))
+              .where(F.col("state_rank") <= max_states)
+              .withColumnRenamed("State", "__s"))
+    ranked = (pairs.join(states, pairs.State.eqNullSafe(states.__s)).drop("__s")
               .withColumn("city_rank", F.row_number().over(
-                  Window.partitionBy("State").orderBy("City"))))
+                  Window.partitionBy("State").orderBy(F.asc_nulls_last("City")))))
     return (ranked.where(F.col("city_rank") <= max_cities)
             .select("state_rank", "State", "city_rank", "City")
             .orderBy("state_rank", "city_rank"))

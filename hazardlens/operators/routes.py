@@ -296,12 +296,18 @@ def compare_departures(hourly: DataFrame, hour1: int, hour2: int) -> DataFrame:
         F.max(F.when(F.col("hour") == hour1, F.col("risk_score"))).alias("time1_risk"),
         F.max(F.when(F.col("hour") == hour2, F.col("risk_score"))).alias("time2_risk"))
     s1, s2 = F.col("time1_safety"), F.col("time2_safety")
-    l1 = C.hour_label(F.lit(hour1))
-    l2 = C.hour_label(F.lit(hour2))
+    l1 = C.clock_label(F.lit(hour1))
+    l2 = C.clock_label(F.lit(hour2))
+    diff = C.round_half_up(F.abs(s1 - s2), 1)
+    better = lambda a, b: F.concat(F.lit("Departing at "), a, F.lit(" is safer by "),
+                                   diff.cast("string"), F.lit(" safety points compared to "), b, F.lit("."))
+    text = (F.when(s1 > s2, better(l1, l2)).when(s2 > s1, better(l2, l1))
+            .otherwise(F.concat(F.lit("Both departure times have the same safety score ("),
+                                s1.cast("string"), F.lit(")."))))
     return p.select("trip_id", l1.alias("time1_label"), l2.alias("time2_label"),
                     "time1_safety", "time2_safety", "time1_risk", "time2_risk",
                     F.when(s1 > s2, "time1").when(s2 > s1, "time2").otherwise("equal").alias("safer"),
-                    C.round_half_up(F.abs(s1 - s2), 1).alias("safety_difference"))
+                    diff.alias("safety_difference"), text.alias("recommendation"))
 
 
 # R7 / W6 ---------------------------------------------------------------------------
@@ -318,10 +324,14 @@ def best_window(hourly: DataFrame) -> DataFrame:
                     F.struct(-F.col("avg_safety"), F.col("hour")))
     agg = pairs.groupBy("trip_id").agg(best.alias("b"))
     start, end = F.col("b.hour"), F.col("b.next_hour") + 1
+    avg = C.round_half_up("b.avg_safety", 1)
+    text = F.concat(F.lit("The safest 2-hour departure window is "), C.hour_label(start),
+                    F.lit(" \u2013 "), C.hour_label(end), F.lit(" (avg safety score "),
+                    avg.cast("string"), F.lit("/100)."))
     return agg.select("trip_id", C.hour_label(start).alias("window_start"),
                       C.hour_label(end).alias("window_end"), start.alias("window_start_hour"),
-                      end.alias("window_end_hour"),
-                      C.round_half_up("b.avg_safety", 1).alias("avg_safety_score"))
+                      end.alias("window_end_hour"), avg.alias("avg_safety_score"),
+                      text.alias("recommendation"))
 
 
 # W11 ---------------------------------------------------------------------------------

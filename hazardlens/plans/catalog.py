@@ -47,7 +47,11 @@ def q_staging(spark, sf_dir):
 
 @query("point_lookup")
 def q_point_lookup(spark, sf_dir):
-    return _rows_out(S.point_lookup(staged(spark, sf_dir), severity=3, state="NATION_1", limit=1000))
+    """The warehouse smoke lookup on the raw table. The two nullable raw
+    flags are emitted as text so a missing value compares equal everywhere."""
+    out = S.point_lookup(FX.incidents(spark, sf_dir), severity=3, state="NATION_1", limit=1000)
+    return (out.withColumn("Junction", F.col("Junction").cast("string"))
+               .withColumn("Traffic_Signal", F.col("Traffic_Signal").cast("string")))
 
 
 @query("location_summary")
@@ -110,12 +114,12 @@ def q_high_risk_segments(spark, sf_dir):
 
 @query("severity_distribution")
 def q_severity_distribution(spark, sf_dir):
-    return A.value_distribution(staged(spark, sf_dir), "Severity")
+    return A.value_distribution(FX.incidents(spark, sf_dir), "Severity", digits=2)
 
 
 @query("top_states")
 def q_top_states(spark, sf_dir):
-    return A.top_categories(staged(spark, sf_dir), "State", k=10)
+    return A.top_categories(FX.incidents(spark, sf_dir), "State", k=10)
 
 
 @query("time_part_counts")
@@ -340,6 +344,12 @@ def _hourly(spark, sf_dir, hours):
     return R.hourly_route_scores(R.first_routes(wp), R.sample_waypoints(wp), ANALYSIS_DATE, hours)
 
 
+@query("departure_hours")
+def q_departure_hours(spark, sf_dir):
+    """Each trip's candidate hours with safety, risk, level and danger count."""
+    return _hourly(spark, sf_dir, R.DEFAULT_HOURS)
+
+
 @query("departure_times")
 def q_departures(spark, sf_dir):
     return R.departure_analysis(_hourly(spark, sf_dir, R.DEFAULT_HOURS), R.DEFAULT_HOURS)

@@ -115,8 +115,9 @@ ROW_COLS = 'SELECT * REPLACE (CAST(duration_minutes AS DOUBLE) AS duration_minut
 
 ORACLE["staging_incidents"] = with_ctes(*BASE, body=f"{ROW_COLS} FROM staged")
 
-ORACLE["point_lookup"] = with_ctes(*BASE, body=ROW_COLS + """
-FROM staged WHERE "Severity" = 3 AND "State" = 'NATION_1' ORDER BY "ID" LIMIT 1000""")
+ORACLE["point_lookup"] = with_ctes(INCIDENTS_CTE, body="""
+SELECT * REPLACE (CAST("Junction" AS VARCHAR) AS "Junction", CAST("Traffic_Signal" AS VARCHAR) AS "Traffic_Signal")
+FROM incidents WHERE "Severity" = 3 AND "State" = 'NATION_1' ORDER BY "ID" LIMIT 1000""")
 
 ORACLE["location_summary"] = with_ctes(*BASE, LOCATION_CTE, body="SELECT * FROM location_summary")
 
@@ -188,16 +189,16 @@ SELECT "State", "City", time_period, COUNT(*) AS accident_count,
 FROM staged WHERE "Severity" >= 2
 GROUP BY "State", "City", time_period HAVING COUNT(*) >= 50""")
 
-ORACLE["severity_distribution"] = with_ctes(*BASE, body="""
+ORACLE["severity_distribution"] = with_ctes(INCIDENTS_CTE, body="""
 SELECT "Severity" AS value, COUNT(*) AS n,
-  CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct
-FROM staged GROUP BY "Severity\"""")
+  ROUND(CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER (), 2) AS pct
+FROM incidents GROUP BY "Severity\"""")
 
-ORACLE["top_states"] = with_ctes(*BASE, body="""
+ORACLE["top_states"] = with_ctes(INCIDENTS_CTE, body="""
 SELECT value, n, pct FROM (
   SELECT "State" AS value, COUNT(*) AS n,
     CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct
-  FROM staged GROUP BY "State") t
+  FROM incidents GROUP BY "State") t
 ORDER BY n DESC, value LIMIT 10""")
 
 ORACLE["time_part_counts"] = with_ctes(*BASE, body="""
@@ -276,13 +277,11 @@ ORDER BY md5(CAST("ID" AS VARCHAR) || ':' || '42'), "ID" LIMIT 500""")
 ORACLE["cities_per_state"] = with_ctes(*BASE, body="""
 SELECT CAST(state_rank AS INTEGER) AS state_rank, "State", CAST(city_rank AS INTEGER) AS city_rank, "City" FROM (
   SELECT p."State", p."City", s.state_rank,
-    ROW_NUMBER() OVER (PARTITION BY p."State" ORDER BY p."City") AS city_rank
-  FROM (SELECT DISTINCT "State", "City" FROM staged
-        WHERE "City" IS NOT NULL AND "City" != '' AND "State" IS NOT NULL) p
-  JOIN (SELECT "State", DENSE_RANK() OVER (ORDER BY "State") AS state_rank
-        FROM (SELECT DISTINCT "State" FROM staged
-              WHERE "City" IS NOT NULL AND "City" != '' AND "State" IS NOT NULL) d) s
-    ON p."State" = s."State"
+    ROW_NUMBER() OVER (PARTITION BY p."State" ORDER BY p."City" ASC NULLS LAST) AS city_rank
+  FROM (SELECT DISTINCT "State", "City" FROM staged) p
+  JOIN (SELECT "State", DENSE_RANK() OVER (ORDER BY "State" ASC NULLS LAST) AS state_rank
+        FROM (SELECT DISTINCT "State" FROM staged) d) s
+    ON p."State" IS NOT DISTINCT FROM s."State"
   WHERE s.state_rank <= 15) t
 WHERE city_rank <= 50""")
 
@@ -674,6 +673,10 @@ hourly AS (
   FROM hourly0)"""
 
 
+ORACLE["departure_hours"] = with_rec(*ROUTE_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
+SELECT trip_id, route_id, hour, time_label, safety_score, risk_score, risk_level, segments_analyzed,
+  danger_zones_count FROM hourly""")
+
 ORACLE["departure_times"] = with_rec(*ROUTE_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
 , b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score DESC, pos) AS rb,
           ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score ASC, pos DESC) AS rw FROM hourly)
@@ -684,7 +687,13 @@ SELECT x.trip_id, x.time_label AS best_time, y.time_label AS worst_time,
 FROM b x JOIN b y ON x.trip_id = y.trip_id AND x.rb = 1 AND y.rw = 1""")
 
 ORACLE["compare_times"] = with_rec(*ROUTE_BASE, hourly_cte([8, 17]), body=f"""
-SELECT trip_id, '8:00 AM' AS time1_label, '5:00 PM' AS time2_label,
+SELECT *, CASE WHEN safer = 'time1' THEN 'Departing at 08:00 AM is safer by ' || CAST(safety_difference AS VARCHAR)
+                  || ' safety points compared to 05:00 PM.'
+             WHEN safer = 'time2' THEN 'Departing at 05:00 PM is safer by ' || CAST(safety_difference AS VARCHAR)
+                  || ' safety points compared to 08:00 AM.'
+             ELSE 'Both departure times have the same safety score (' || CAST(time1_safety AS VARCHAR) || ').' END
+  AS recommendation FROM (
+SELECT trip_id, '08:00 AM' AS time1_label, '05:00 PM' AS time2_label,
   MAX(CASE WHEN hour = 8 THEN safety_score END) AS time1_safety,
   MAX(CASE WHEN hour = 17 THEN safety_score END) AS time2_safety,
   MAX(CASE WHEN hour = 8 THEN risk_score END) AS time1_risk,
@@ -694,7 +703,7 @@ SELECT trip_id, '8:00 AM' AS time1_label, '5:00 PM' AS time2_label,
        ELSE 'equal' END AS safer,
   {r_up('abs(MAX(CASE WHEN hour = 8 THEN safety_score END) - MAX(CASE WHEN hour = 17 THEN safety_score END))', 1)}
     AS safety_difference
-FROM hourly GROUP BY trip_id""")
+FROM hourly GROUP BY trip_id) c""")
 
 ORACLE["best_window"] = with_rec(*ROUTE_BASE, hourly_cte(list(range(6, 23))), body=f"""
 , pairs AS (
@@ -704,7 +713,9 @@ ORACLE["best_window"] = with_rec(*ROUTE_BASE, hourly_cte(list(range(6, 23))), bo
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY avg_safety DESC, hour) AS r
          FROM pairs WHERE next_hour IS NOT NULL)
 SELECT trip_id, {hour_label_sql('hour')} AS window_start, {hour_label_sql('next_hour + 1')} AS window_end,
-  hour AS window_start_hour, next_hour + 1 AS window_end_hour, {r_up('avg_safety', 1)} AS avg_safety_score
+  hour AS window_start_hour, next_hour + 1 AS window_end_hour, {r_up('avg_safety', 1)} AS avg_safety_score,
+  'The safest 2-hour departure window is ' || {hour_label_sql('hour')} || ' \u2013 ' || {hour_label_sql('next_hour + 1')}
+    || ' (avg safety score ' || CAST({r_up('avg_safety', 1)} AS VARCHAR) || '/100).' AS recommendation
 FROM best WHERE r = 1""")
 
 ORACLE["extreme_segments"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body="""
