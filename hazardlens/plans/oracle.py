@@ -719,7 +719,9 @@ SELECT trip_id, {hour_label_sql('hour')} AS window_start, {hour_label_sql('next_
 FROM best WHERE r = 1""")
 
 ORACLE["extreme_segments"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body="""
-SELECT * FROM (
+SELECT trip_id, route_id, segment_index, risk_score,
+  CASE WHEN top_rank <= 3 THEN top_rank END AS top_rank,
+  CASE WHEN bottom_rank <= 3 THEN bottom_rank END AS bottom_rank FROM (
   SELECT trip_id, route_id, segment_index, risk_score,
     CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY risk_score DESC, segment_index) AS INTEGER) AS top_rank,
     CAST(ROW_NUMBER() OVER (PARTITION BY route_id ORDER BY risk_score, segment_index) AS INTEGER) AS bottom_rank
