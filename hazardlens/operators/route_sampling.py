@@ -1,0 +1,172 @@
+"""Exact 1-mile waypoint sampling for routes too long for one task (R1 at scale).
+
+The sampler keeps point k, then the first later point j where the distance
+accumulated from k (sequentially, starting at 0) reaches the interval, and
+repeats. Because the accumulator is exactly 0 after every kept point, the
+next kept point after k depends on k alone: ``next(k)``. The kept points
+are the orbit 0, next(0), next(next(0)), ...
+
+Distributed plan (no task ever holds a whole route):
+
+1. step distances: equi-join of each point with its predecessor on the
+   unique key (route_id, seq);
+2. ``next(k)`` for every k, per block of ``block`` points plus look-ahead
+   blocks (a group-by on (route, block) with a small per-point Python scan
+   inside the task). Points whose mile is not covered by the look-ahead are
+   re-done with 4x the look-ahead until none is left;
+3. ``exit(k)``: the first point of the chain from k that lies beyond k's
+   block (a backwards pass within the block);
+4. the block entries of the orbit of 0 by pointer doubling on ``exit``:
+   log2(#blocks) equi-joins, each input checkpointed to cut the lineage;
+5. the kept points inside each block from its entry (per block again),
+   plus the route's last point when it differs from the last kept one;
+6. ``segment_index`` = kept points in earlier blocks (a window over the
+   per-block counts, one row per block) + rank inside the block.
+
+Requires ``seq`` = 0..n-1 per route (as produced by exploding a polyline).
+"""
+
+from __future__ import annotations
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from hazardlens.functions import columns as C
+from hazardlens.session import checkpoint_dir
+
+END = -1          # chain runs off the end of the route
+UNRESOLVED = -2   # look-ahead too short; recomputed with a longer one
+
+
+def _step_distances(wp: DataFrame) -> DataFrame:
+    prev = wp.select(F.col("route_id").alias("__r"), (F.col("seq") + 1).alias("__s"),
+                     F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
+    j = wp.join(prev, (wp.route_id == prev.__r) & (wp.seq == prev.__s), "left")
+    return j.select("route_id", "seq",
+                    C.haversine_miles("__plat", "__plon", "lat", "lon").alias("d"))
+
+
+def _next_exit_fn(block: int, interval: float):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("seq")
+        seq = pdf["seq"].to_numpy()
+        d = pdf["d"].to_numpy()
+        own = pdf["own"].to_numpy()
+        n_route = int(pdf["n_route"].iloc[0])
+        blk = int(pdf["blk"].iloc[0])
+        lo, hi = blk * block, (blk + 1) * block
+        m = len(seq)
+        nxt = {}
+        for a in range(m):
+            if not own[a]:
+                continue
+            acc, res = 0.0, None
+            for b in range(a + 1, m):
+                acc = acc + d[b]
+                if acc >= interval:
+                    res = int(seq[b])
+                    break
+            if res is None:
+                res = END if int(seq[m - 1]) == n_route - 1 else UNRESOLVED
+            nxt[int(seq[a])] = res
+        ext = {}
+        for k in sorted(nxt, reverse=True):
+            n = nxt[k]
+            ext[k] = n if (n < 0 or n >= hi) else ext[n]
+        keys = sorted(nxt)
+        return pd.DataFrame({"route_id": [int(pdf["route_id"].iloc[0])] * len(keys),
+                             "seq": keys, "nxt": [nxt[k] for k in keys],
+                             "ext": [ext[k] for k in keys], "blk": [blk] * len(keys)})
+    return fn
+
+
+def _next_pointers(d: DataFrame, n: DataFrame, block: int, interval: float,
+                   lookahead: int) -> DataFrame:
+    """next / exit for every point, with ``lookahead`` extra blocks per group."""
+    pts = d.join(n, "route_id").withColumn("__b", (F.col("seq") / block).cast("long"))
+    shifts = F.sequence(F.lit(0), F.lit(lookahead))
+    rep = (pts.select("route_id", "seq", "d", "n_route", "__b", F.explode(shifts).alias("__w"))
+              .withColumn("blk", F.col("__b") - F.col("__w"))
+              .where(F.col("blk") >= 0)
+              .withColumn("own", F.col("__w") == 0)
+              .select("route_id", "blk", "seq", F.coalesce("d", F.lit(0.0)).alias("d"), "own", "n_route"))
+    schema = "route_id long, seq long, nxt long, ext long, blk long"
+    return rep.groupBy("route_id", "blk").applyInPandas(_next_exit_fn(block, interval), schema)
+
+
+def _chain_fn(block: int):
+    def fn(ptrs: pd.DataFrame, entry: pd.DataFrame) -> pd.DataFrame:
+        if ptrs.empty or entry.empty:
+            return pd.DataFrame({c: pd.Series([], dtype="int64") for c in ("route_id", "seq", "blk")})
+        nxt = dict(zip(ptrs["seq"].astype(int), ptrs["nxt"].astype(int)))
+        blk = int(ptrs["blk"].iloc[0])
+        hi = (blk + 1) * block
+        x, kept = int(entry["x"].min()), []
+        while 0 <= x < hi and x in nxt:
+            kept.append(x)
+            x = nxt[x]
+        rid = int(ptrs["route_id"].iloc[0])
+        return pd.DataFrame({"route_id": [rid] * len(kept), "seq": kept, "blk": [blk] * len(kept)})
+    return fn
+
+
+def sample_long_routes(wp: DataFrame, interval_mi: float = 1.0, block: int = 4096,
+                       lookahead: int = 1) -> DataFrame:
+    """Same output as ``routes.sample_waypoints`` for routes of any length:
+    (trip_id, route_id, segment_index, seq, lat, lon)."""
+    spark = wp.sparkSession
+    checkpoint_dir(spark)
+    n = wp.groupBy("route_id").agg(F.count(F.lit(1)).alias("n_route")).where(F.col("n_route") >= 2)
+    d = _step_distances(wp)
+
+    ptrs = _next_pointers(d, n, block, interval_mi, lookahead).checkpoint()
+    # Exactness: any point whose mile outruns the look-ahead is recomputed
+    # with a longer one (only the routes that need it).
+    while ptrs.where(F.col("nxt") == UNRESOLVED).limit(1).count() > 0:
+        lookahead *= 4
+        bad = ptrs.where(F.col("nxt") == UNRESOLVED).select("route_id").distinct()
+        redo = _next_pointers(d.join(bad, "route_id", "left_semi"), n.join(bad, "route_id", "left_semi"),
+                              block, interval_mi, lookahead)
+        ptrs = ptrs.join(bad, "route_id", "left_anti").unionByName(redo).checkpoint()
+
+    # Block entries of the orbit of 0 by pointer doubling on exit().
+    blocks = n.select(F.max(F.ceil(F.col("n_route") / block)).alias("m")).first()["m"] or 1
+    rounds = max(1, int(blocks - 1).bit_length() + 1)
+    jump = ptrs.select("route_id", F.col("seq").alias("x"), F.col("ext").alias("y"))
+    reach = n.select("route_id", F.lit(0).cast("long").alias("x"))
+    for _ in range(rounds):
+        step = (reach.join(jump, ["route_id", "x"]).where(F.col("y") >= 0)
+                .select("route_id", F.col("y").alias("x")))
+        reach = reach.unionByName(step).distinct().checkpoint()
+        j2 = jump.select("route_id", F.col("x").alias("y"), F.col("y").alias("z"))
+        jump = (jump.join(j2, ["route_id", "y"], "left")
+                .select("route_id", "x", F.when(F.col("y") < 0, F.col("y")).otherwise(F.col("z")).alias("y"))
+                .checkpoint())
+
+    entries = reach.withColumn("blk", (F.col("x") / block).cast("long"))
+    kept = (ptrs.groupBy("route_id", "blk")
+            .cogroup(entries.groupBy("route_id", "blk"))
+            .applyInPandas(_chain_fn(block), "route_id long, seq long, blk long"))
+
+    # The last point is added when its coordinates differ from the last kept one.
+    coords = wp.select("trip_id", "route_id", "seq", "lat", "lon")
+    last_kept = kept.groupBy("route_id").agg(F.max("seq").alias("seq")).join(coords, ["route_id", "seq"])
+    last_pt = (n.select("route_id", (F.col("n_route") - 1).alias("seq")).join(coords, ["route_id", "seq"]))
+    extra = (last_pt.alias("p").join(last_kept.alias("k"), "route_id")
+             .where(~((F.col("p.lat") == F.col("k.lat")) & (F.col("p.lon") == F.col("k.lon"))))
+             .select("route_id", F.col("p.seq").alias("seq"),
+                     (F.col("p.seq") / block).cast("long").alias("blk")))
+    allk = kept.unionByName(extra)
+
+    # segment_index = kept points in earlier blocks + rank inside the block.
+    per_blk = allk.groupBy("route_id", "blk").agg(F.count(F.lit(1)).alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("route_id").orderBy("blk")
+                                        .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offs = per_blk.select("route_id", "blk", before.alias("off"))
+    ranked = (allk.join(offs, ["route_id", "blk"])
+              .withColumn("segment_index", (F.col("off") + F.row_number().over(
+                  Window.partitionBy("route_id", "blk").orderBy("seq")) - 1).cast("int")))
+    return (ranked.join(coords, ["route_id", "seq"])
+            .select("trip_id", "route_id", "segment_index", F.col("seq").cast("int").alias("seq"),
+                    "lat", "lon"))

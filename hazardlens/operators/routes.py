@@ -110,6 +110,23 @@ def sample_waypoints(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI) ->
             .select(*keys, "segment_index", "p.seq", "p.lat", "p.lon"))
 
 
+def sample_waypoints_any_length(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI,
+                                long_route_points: int = 200_000, block: int = 4096) -> DataFrame:
+    """R1 for routes of any length: routes up to ``long_route_points`` points
+    use the single-task fold above; longer ones use the exact block-parallel
+    sampler (``route_sampling.sample_long_routes``), so no task ever gathers
+    a huge route. Both give the same result as a sequential loop."""
+    from hazardlens.operators.route_sampling import sample_long_routes
+    sizes = wp.groupBy("route_id").agg(F.count(F.lit(1)).alias("__n"))
+    long_ids = sizes.where(F.col("__n") > long_route_points).select("route_id")
+    if long_ids.limit(1).count() == 0:
+        return sample_waypoints(wp, interval_mi)
+    short = wp.join(long_ids, "route_id", "left_anti")
+    long = wp.join(long_ids, "route_id", "left_semi")
+    return (sample_waypoints(short, interval_mi)
+            .unionByName(sample_long_routes(long, interval_mi, block=block)))
+
+
 # M15 -----------------------------------------------------------------------
 
 def segment_features(segments: DataFrame, hour, day_of_week_sun0, weather, temperature_f,

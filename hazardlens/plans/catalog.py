@@ -307,7 +307,7 @@ ANALYSIS_DATE = "2024-02-02"
 
 
 def _samples(spark, sf_dir):
-    return R.sample_waypoints(FX.waypoints(spark, sf_dir))
+    return R.sample_waypoints_any_length(FX.waypoints(spark, sf_dir))
 
 
 def _seg_scores(spark, sf_dir, weather="Clear", temp=70.0, vis=10.0):
@@ -341,7 +341,7 @@ def q_advice(spark, sf_dir):
 
 def _hourly(spark, sf_dir, hours):
     wp = FX.waypoints(spark, sf_dir)
-    return R.hourly_route_scores(R.first_routes(wp), R.sample_waypoints(wp), ANALYSIS_DATE, hours)
+    return R.hourly_route_scores(R.first_routes(wp), R.sample_waypoints_any_length(wp), ANALYSIS_DATE, hours)
 
 
 @query("departure_hours")

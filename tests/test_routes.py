@@ -96,3 +96,33 @@ def test_advice_orders_safest_first(spark):
     assert rows[0].recommendation == "Recommended - Safest option"
     assert rows[1].recommendation == "Slightly higher risk"
     assert rows[2].recommendation == "Higher risk - 20.0 points less safe"
+
+
+def test_block_parallel_sampler_matches_loop(spark):
+    """The exact block-parallel sampler equals the loop for any block size,
+    including blocks shorter than a mile (forcing look-ahead growth) and
+    chains that jump over whole blocks."""
+    from hazardlens.operators.route_sampling import sample_long_routes
+    dense = [(33.4 + i * 0.004, -111.9 + (i % 5) * 0.003) for i in range(230)]
+    sparse = [(33.0 + i * 0.03, -111.0) for i in range(40)]          # ~2 miles per step
+    dup_end = MOCK_14 + [MOCK_14[-1]]                                   # last point repeated
+    ultra = [(33.0 + i * 0.0004, -111.0) for i in range(300)]          # ~36 points per mile
+    routes = [MOCK_14, dense, sparse, dup_end, MOCK_5, ultra]
+    wp = _routes_df(spark, routes)
+    for block in (3, 7, 64):
+        got = sample_long_routes(wp, block=block).orderBy("route_id", "segment_index").collect()
+        for rid, pts in enumerate(routes):
+            mine = [(r.lat, r.lon) for r in got if r.route_id == rid]
+            assert mine == _brute_sample(pts), (block, rid)
+            idx = [r.segment_index for r in got if r.route_id == rid]
+            assert idx == list(range(len(idx)))
+
+
+def test_dispatcher_uses_both_paths(spark):
+    dense = [(33.4 + i * 0.004, -111.9 + (i % 5) * 0.003) for i in range(230)]
+    routes = [MOCK_14, dense, MOCK_5]
+    wp = _routes_df(spark, routes)
+    got = R.sample_waypoints_any_length(wp, long_route_points=100, block=16) \
+        .orderBy("route_id", "segment_index").collect()
+    for rid, pts in enumerate(routes):
+        assert [(r.lat, r.lon) for r in got if r.route_id == rid] == _brute_sample(pts)
