@@ -376,12 +376,12 @@ def extreme_segments(seg_scores: DataFrame, k: int = 3) -> DataFrame:
 # J3 / W8 / C18 / D3 / R10 / L6 ----------------------------------------------------------
 
 def route_signatures(wp: DataFrame) -> DataFrame:
-    """Per route: point count, a polyline identity hash and the waypoints at
-    25 / 50 / 75 % (index = int(n * f))."""
+    """Per route: point count, an order-independent polyline fingerprint
+    (``bit_xor`` of per-point hashes, a partial aggregate - the route is
+    never gathered) and the waypoints at 25 / 50 / 75 % (index = int(n*f))."""
     n = wp.groupBy("trip_id", "route_id").agg(
         F.count(F.lit(1)).alias("n"),
-        F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon")))), 256)
-        .alias("polyline_hash"))
+        F.bit_xor(F.xxhash64("seq", "lat", "lon")).alias("polyline_hash"))
     j = wp.join(n, ["trip_id", "route_id"])
     idx = {f: F.floor(F.col("n") * f).cast("int") for f in SIMILAR_FRACTIONS}
     pick = lambda f, c: F.max(F.when(F.col("seq") == idx[f], F.col(c)))
@@ -390,14 +390,32 @@ def route_signatures(wp: DataFrame) -> DataFrame:
         *[pick(f, c).alias(f"{c}_{int(f * 100)}") for f in SIMILAR_FRACTIONS for c in ("lat", "lon")])
 
 
-def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM) -> DataFrame:
+def identical_polylines(sig: DataFrame, wp: DataFrame) -> DataFrame:
+    """Pairs (a < b) of the same trip with exactly the same waypoint list.
+
+    Candidates share (n, fingerprint); each candidate is verified point by
+    point with an equi-join on (pair, seq), so a fingerprint collision can
+    never produce a false pair."""
+    a = sig.select("trip_id", F.col("route_id").alias("route_a"), "n", "polyline_hash")
+    b = sig.select("trip_id", F.col("route_id").alias("route_b"), "n", "polyline_hash")
+    cand = a.join(b, ["trip_id", "n", "polyline_hash"]).where(F.col("route_a") < F.col("route_b"))
+    pa = wp.select(F.col("route_id").alias("route_a"), "seq", F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    pb = wp.select(F.col("route_id").alias("route_b"), "seq", F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    same = (cand.join(pa, "route_a").join(pb, ["route_b", "seq"])
+            .where((F.col("la") == F.col("lb")) & (F.col("oa") == F.col("ob")))
+            .groupBy("trip_id", "route_a", "route_b", "n").agg(F.count(F.lit(1)).alias("m")))
+    return same.where(F.col("m") == F.col("n")).select("trip_id", "route_a", "route_b")
+
+
+def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM, wp: DataFrame | None = None) -> DataFrame:
     """Pairs (a < b) of the same trip that are similar: same polyline, or
     all three sample points within ``threshold_km`` (planar, 111 km/degree).
 
     Candidates come from an equi-join on (trip, grid cell of the 50 % point)
     over the 3 x 3 neighbouring cells, cells being at least ``threshold_km``
     wide, so any pair within the threshold shares a key; identical
-    polylines are matched by a second equi-join on the hash.
+    polylines come from ``identical_polylines`` when the waypoints ``wp``
+    are given (otherwise by fingerprint alone).
     """
     cell = threshold_km / C.KM_PER_DEGREE
     base = sig.withColumn("__cx", F.floor(F.col("lat_50") / cell).cast("long")) \
@@ -420,39 +438,41 @@ def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM) -> DataFrame
     by_shape = cand.where(near).select(F.col("a_trip_id").alias("trip_id"),
                                        F.col("a_route_id").alias("route_a"),
                                        F.col("b_route_id").alias("route_b"))
-    pa = sig.select(F.col("trip_id"), F.col("route_id").alias("route_a"), "polyline_hash")
-    pb = sig.select(F.col("trip_id"), F.col("route_id").alias("route_b"), "polyline_hash")
-    by_line = (pa.join(pb, ["trip_id", "polyline_hash"])
-               .where(F.col("route_a") < F.col("route_b")).select("trip_id", "route_a", "route_b"))
+    if wp is not None:
+        by_line = identical_polylines(sig, wp)
+    else:
+        pa = sig.select("trip_id", F.col("route_id").alias("route_a"), "n", "polyline_hash")
+        pb = sig.select("trip_id", F.col("route_id").alias("route_b"), "n", "polyline_hash")
+        by_line = (pa.join(pb, ["trip_id", "n", "polyline_hash"])
+                   .where(F.col("route_a") < F.col("route_b")).select("trip_id", "route_a", "route_b"))
     return by_shape.unionByName(by_line).distinct()
 
 
 def dedup_routes(sig: DataFrame, pairs: DataFrame, initial_count: int = 1,
                  max_routes: int = MAX_ROUTES) -> DataFrame:
-    """The first ``initial_count`` routes of a trip are kept as
-    returned; each later alternative is added only while fewer than
-    ``max_routes`` are kept and if it is not similar to an already kept
-    route; finally at most ``max_routes`` survive.
-
-    The order-dependent keep is a fold over each trip's (few) routes.
+    """The first ``initial_count`` routes of a trip (by id) are kept
+    as returned; each later alternative is added, in order, only while fewer
+    than ``max_routes`` are kept and if it is not similar to a kept route.
+
+    A route rejected once stays rejected (kept routes never leave), so the
+    next kept route is always min{r > max(kept) : r similar to no kept
+    route}. That makes the greedy keep ``max_routes`` rounds of an anti-join
+    plus a per-trip ``min`` - no trip is ever gathered into one task.
     """
-    earlier = (pairs.groupBy("trip_id", F.col("route_b").alias("route_id"))
-               .agg(F.collect_list("route_a").alias("similar_to")))
-    r = (sig.select("trip_id", "route_id").join(earlier, ["trip_id", "route_id"], "left")
-         .withColumn("similar_to", F.coalesce("similar_to", F.array().cast("array<bigint>"))))
-    per_trip = r.groupBy("trip_id").agg(
-        F.array_sort(F.collect_list(F.struct("route_id", "similar_to"))).alias("rs"))
-
-    def step(acc, x):
-        pos = F.size(acc["kept"])
-        initial = acc["i"] < initial_count
-        ok = initial | ((pos < max_routes)
-                        & ~F.exists(x["similar_to"], lambda s: F.array_contains(acc["kept"], s)))
-        return F.struct((acc["i"] + 1).alias("i"),
-                        F.when(ok, F.array_append(acc["kept"], x["route_id"]))
-                        .otherwise(acc["kept"]).alias("kept"))
-
-    init = F.struct(F.lit(0).alias("i"), F.array().cast("array<bigint>").alias("kept"))
-    kept = F.slice(F.aggregate("rs", init, step)["kept"], 1, max_routes)
-    return (per_trip.select("trip_id", F.posexplode(kept).alias("route_rank", "route_id"))
-            .select("trip_id", (F.col("route_rank") + 1).alias("route_rank"), "route_id"))
+    routes = sig.select("trip_id", "route_id")
+    kept = None
+    for rank in range(1, max_routes + 1):
+        if kept is None:
+            cand = routes
+        else:
+            last = kept.groupBy("trip_id").agg(F.max("route_id").alias("__last"))
+            cand = routes.join(last, "trip_id").where(F.col("route_id") > F.col("__last")).drop("__last")
+            if rank > initial_count:
+                blocked = (pairs.join(kept.select("trip_id", F.col("route_id").alias("route_a")),
+                                      ["trip_id", "route_a"])
+                           .select("trip_id", F.col("route_b").alias("route_id")))
+                cand = cand.join(blocked, ["trip_id", "route_id"], "left_anti")
+        nxt = cand.groupBy("trip_id").agg(F.min("route_id").alias("route_id")) \
+                  .withColumn("route_rank", F.lit(rank))
+        kept = nxt if kept is None else kept.unionByName(nxt)
+    return kept.select("trip_id", F.col("route_rank").cast("int").alias("route_rank"), "route_id")

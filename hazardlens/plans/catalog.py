@@ -372,13 +372,15 @@ def q_extremes(spark, sf_dir):
 
 @query("similar_routes")
 def q_similar(spark, sf_dir):
-    return R.similar_pairs(R.route_signatures(FX.waypoints(spark, sf_dir)))
+    wp = FX.waypoints(spark, sf_dir)
+    return R.similar_pairs(R.route_signatures(wp), wp=wp)
 
 
 @query("dedup_routes")
 def q_dedup(spark, sf_dir):
-    sig = R.route_signatures(FX.waypoints(spark, sf_dir))
-    return R.dedup_routes(sig, R.similar_pairs(sig))
+    wp = FX.waypoints(spark, sf_dir)
+    sig = R.route_signatures(wp)
+    return R.dedup_routes(sig, R.similar_pairs(sig, wp=wp))
 
 
 # --- enrichment -------------------------------------------------------------------

@@ -79,9 +79,10 @@ def test_dedup_and_similarity(spark):
     far = [(la + 0.2, lo) for la, lo in MOCK_14]           # ~22 km away: distinct
     wp = _routes_df(spark, [MOCK_14, shifted, far, MOCK_14])
     sig = R.route_signatures(wp)
-    pairs = {(r.route_a, r.route_b) for r in R.similar_pairs(sig).collect()}
+    pairs = {(r.route_a, r.route_b) for r in R.similar_pairs(sig, wp=wp).collect()}
     assert pairs == {(0, 1), (0, 3), (1, 3)}
-    kept = [r.route_id for r in R.dedup_routes(sig, R.similar_pairs(sig)).orderBy("route_rank").collect()]
+    assert {(r.route_a, r.route_b) for r in R.identical_polylines(sig, wp).collect()} == {(0, 3)}
+    kept = [r.route_id for r in R.dedup_routes(sig, R.similar_pairs(sig, wp=wp)).orderBy("route_rank").collect()]
     assert kept == [0, 2]
     assert len(kept) <= R.MAX_ROUTES
 
@@ -126,3 +127,23 @@ def test_dispatcher_uses_both_paths(spark):
         .orderBy("route_id", "segment_index").collect()
     for rid, pts in enumerate(routes):
         assert [(r.lat, r.lon) for r in got if r.route_id == rid] == _brute_sample(pts)
+
+
+def _brute_dedup(ids, similar, initial=1, cap=3):
+    kept = []
+    for i, r in enumerate(ids):
+        if i < initial or (len(kept) < cap and not any((k, r) in similar for k in kept)):
+            kept.append(r)
+    return kept[:cap]
+
+
+def test_dedup_rounds_match_greedy_loop(spark):
+    import random
+    rnd = random.Random(7)
+    ids = list(range(12))
+    similar = {(a, b) for a in ids for b in ids if a < b and rnd.random() < 0.35}
+    sig = spark.createDataFrame([(0, r) for r in ids], "trip_id long, route_id long")
+    pairs = spark.createDataFrame([(0, a, b) for a, b in similar], "trip_id long, route_a long, route_b long")
+    for initial in (1, 2):
+        got = [r.route_id for r in R.dedup_routes(sig, pairs, initial_count=initial).orderBy("route_rank").collect()]
+        assert got == _brute_dedup(ids, similar, initial), initial
