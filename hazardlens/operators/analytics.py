@@ -202,25 +202,35 @@ def city_centroids(staged: DataFrame) -> DataFrame:
 
 # A16 / A17 -----------------------------------------------------------------
 
-def numeric_summary(df: DataFrame, cols: list, exact: bool = True,
+def numeric_summary(df: DataFrame, cols: list, exact: bool = True, distributed: bool = True,
                     accuracy: int = 10000) -> DataFrame:
     """count, mean, std (both to 6 digits), min, quartiles, max per numeric column.
 
-    One aggregation computes every column's statistics (partial aggregates
-    merge per task, nothing is collected), then ``stack`` turns the single
-    row into one row per column. ``exact=False`` uses ``percentile_approx``
-    (bounded memory per group) instead of exact percentiles.
+    One aggregation computes every column's moments (partial aggregates
+    merge per task, nothing is collected) and ``stack`` turns the single row
+    into one row per column. Quartiles are exact: by default through
+    ``quantiles.exact_quantiles_multi`` (distributed histogram refinement,
+    no per-value counters in one task); ``distributed=False`` uses Spark's
+    ``percentile`` aggregate (fine for low-cardinality columns) and
+    ``exact=False`` the bounded ``percentile_approx`` sketch.
     """
+    probs = [0.25, 0.5, 0.75]
+    qs = None
+    if exact and distributed:
+        from hazardlens.operators.quantiles import exact_quantiles_multi
+        qs = exact_quantiles_multi(df, cols, probs)
     aggs = []
     for c in cols:
         v = F.col(c).cast("double")
-        if exact:
-            q = F.percentile(v, [0.25, 0.5, 0.75])
+        if qs is not None:
+            q = F.array(*[F.lit(x).cast("double") for x in qs[c]])
+        elif exact:
+            q = F.percentile(v, probs)
         else:
-            q = F.percentile_approx(v, [0.25, 0.5, 0.75], accuracy)
+            q = F.percentile_approx(v, probs, accuracy)
         aggs += [F.count(v).alias(f"{c}__count"), F.avg(v).alias(f"{c}__mean"),
                  F.stddev_samp(v).alias(f"{c}__std"), F.min(v).alias(f"{c}__min"),
-                 q.alias(f"{c}__q"), F.max(v).alias(f"{c}__max")]
+                 (F.first(q) if qs is not None else q).alias(f"{c}__q"), F.max(v).alias(f"{c}__max")]
     one = df.agg(*aggs)
     stack_args = ", ".join(
         f"'{c}', `{c}__count`, `{c}__mean`, `{c}__std`, `{c}__min`, `{c}__q`, `{c}__max`"

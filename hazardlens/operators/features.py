@@ -76,14 +76,16 @@ def _modes(df: DataFrame, cols: list) -> dict:
     return {r["col"]: r["value"] for r in best.collect()}  # one row per column
 
 
-def fit_imputer(df: DataFrame, exact: bool = True) -> dict:
+def fit_imputer(df: DataFrame, exact: bool = True, distributed: bool = True) -> dict:
     """Fill values for the columns that contain nulls: medians (numeric),
     modes (categorical -> 'Unknown' when a column is all null, temporal),
     False for booleans. Returns a small dict (one value per column).
 
     Pass 1 counts nulls of every candidate column in one aggregation; only
     columns with nulls are then summarised, as the reference does. Medians
-    are exact (``percentile``) or sketch-based with ``exact=False``.
+    are exact - by distributed histogram refinement (default) or Spark's
+    ``percentile`` aggregate (``distributed=False``) - or sketch-based with
+    ``exact=False``.
     """
     num = [c for c in NUMERIC_IMPUTE if c in df.columns]
     cat = [c for c in CATEGORICAL_IMPUTE if c in df.columns]
@@ -95,7 +97,11 @@ def fit_imputer(df: DataFrame, exact: bool = True) -> dict:
     nulls = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in cand]).first().asDict()
     need = [c for c in cand if nulls[c] > 0]
     med_cols = [c for c in num if c in need]
-    if med_cols:
+    if med_cols and exact and distributed:
+        from hazardlens.operators.quantiles import exact_quantiles_multi
+        qs = exact_quantiles_multi(df, med_cols, [0.5])
+        fills.update({c: float(qs[c][0]) for c in med_cols if qs[c][0] is not None})
+    elif med_cols:
         med = (lambda c: F.median(F.col(c).cast("double"))) if exact else \
               (lambda c: F.percentile_approx(F.col(c).cast("double"), 0.5, 10000))
         row = df.agg(*[med(c).alias(c) for c in med_cols]).first().asDict()
