@@ -7,6 +7,7 @@ thresholds. The SQL twin of each entry (when SQL can express it) is in
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,18 @@ from hazardlens.operators import analytics as A
 from hazardlens.operators import staging as S
 from hazardlens.operators import summaries as SM
 from hazardlens.sources import fixtures as FX
+from hazardlens.functions import columns as C
+from hazardlens.operators import enrich as EN
+from hazardlens.operators import features as FE
+from hazardlens.operators import model as ML
+from hazardlens.operators import quality as Q
+from hazardlens.operators import requests as RQ
+from hazardlens.operators import routes as R
+from hazardlens.operators import scoring as SC
+from hazardlens.session import scratch_path
+from hazardlens.sources import io as IO
+from hazardlens.sources.tables import load_table
+from hazardlens.streaming import stream as ST
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -184,10 +197,6 @@ def q_cities(spark, sf_dir):
 
 # --- data quality (on the raw incident table) -------------------------------
 
-from hazardlens.operators import quality as Q  # noqa: E402
-from hazardlens.operators import features as FE  # noqa: E402
-from hazardlens.operators import scoring as SC  # noqa: E402
-
 
 @query("null_profile")
 def q_null_profile(spark, sf_dir):
@@ -298,7 +307,6 @@ def q_roc(spark, sf_dir):
 
 # --- routes ------------------------------------------------------------------------
 
-from hazardlens.operators import routes as R  # noqa: E402
 
 # Reference mock departures: Friday 2024-01-05 17:00 (route scoring) and
 # Friday 2024-02-02 (departure-time tests), manual weather Clear / 70 F / 10 mi.
@@ -385,10 +393,6 @@ def q_dedup(spark, sf_dir):
 
 # --- enrichment -------------------------------------------------------------------
 
-from hazardlens.operators import enrich as EN  # noqa: E402
-from hazardlens.functions import columns as C  # noqa: E402
-from hazardlens.sources.tables import load_table  # noqa: E402
-
 
 @query("unit_conversion")
 def q_units(spark, sf_dir):
@@ -443,8 +447,6 @@ def q_codes(spark, sf_dir):
 
 # --- Spark ML model (rows-only checks) ---------------------------------------------
 
-from hazardlens.operators import model as ML  # noqa: E402
-from hazardlens.session import scratch_path  # noqa: E402
 
 # The catalogue trains with fewer boosting rounds than the reference job
 # (100) to keep per-query latency low; ``ML.train_gbt(features)`` uses 100.
@@ -501,8 +503,6 @@ def q_model_meta(spark, sf_dir):
 
 # --- streaming ------------------------------------------------------------------------
 
-from hazardlens.streaming import stream as ST  # noqa: E402
-
 
 @query("streaming_rule_scores")
 def q_stream_scores(spark, sf_dir):
@@ -516,10 +516,6 @@ def q_hourly_events(spark, sf_dir):
 
 # --- sources and sinks ------------------------------------------------------------
 
-import uuid  # noqa: E402
-
-from hazardlens.sources import io as IO  # noqa: E402
-
 
 def _scratch(spark, name):
     return scratch_path(spark, f"{name}-{uuid.uuid4().hex[:12]}")
@@ -558,8 +554,6 @@ def q_layers(spark, sf_dir):
 
 # --- requests, shares, history, payloads, modes ------------------------------------
 
-from hazardlens.operators import requests as RQ  # noqa: E402
-
 
 def _validated(spark, sf_dir):
     return RQ.validate_requests(FX.prediction_requests(staged(spark, sf_dir)))

@@ -8,6 +8,9 @@ side (counts BIGINT, date parts INTEGER, measures DOUBLE).
 
 from __future__ import annotations
 
+from hazardlens.functions.columns import (
+    API_WEATHER_CONDITIONS, POOR_WEATHER_WORDS, SCORER_WEATHER_KEYWORDS, WEATHER_CODE_CATEGORIES)
+
 INCIDENTS_CTE = """incidents AS (
   SELECT CAST(e.event_id AS VARCHAR) AS "ID", 'events' AS "Source",
     CAST(1 + (e.event_id * 7 + e.user_id) % 4 AS INTEGER) AS "Severity",
@@ -770,8 +773,6 @@ WHERE r <= 3""")
 
 # --- enrichment -----------------------------------------------------------------
 
-from hazardlens.functions.columns import (  # noqa: E402
-    API_WEATHER_CONDITIONS, POOR_WEATHER_WORDS, SCORER_WEATHER_KEYWORDS, WEATHER_CODE_CATEGORIES)
 
 OBS_CTE = """obs AS (
   SELECT event_id AS obs_id, 33.5E0 + CAST(user_id % 60 AS DOUBLE) / 128 AS lat,
