@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from hazardlens.functions import columns as C
 from hazardlens.operators import scoring as SC
+from hazardlens.session import checkpoint_dir
 
 # Fixed values from the reference.
 SAMPLE_INTERVAL_MI = 1.0
@@ -459,7 +460,11 @@ def dedup_routes(sig: DataFrame, pairs: DataFrame, initial_count: int = 1,
     route}. That makes the greedy keep ``max_routes`` rounds of an anti-join
     plus a per-trip ``min`` - no trip is ever gathered into one task.
     """
-    routes = sig.select("trip_id", "route_id")
+    # Every round reads the same routes and pairs: materialise them once in
+    # the shared checkpoint folder instead of re-deriving them per round.
+    checkpoint_dir(sig.sparkSession)
+    routes = sig.select("trip_id", "route_id").checkpoint()
+    pairs = pairs.select("trip_id", "route_a", "route_b").checkpoint()
     kept = None
     for rank in range(1, max_routes + 1):
         if kept is None:
@@ -474,5 +479,5 @@ def dedup_routes(sig: DataFrame, pairs: DataFrame, initial_count: int = 1,
                 cand = cand.join(blocked, ["trip_id", "route_id"], "left_anti")
         nxt = cand.groupBy("trip_id").agg(F.min("route_id").alias("route_id")) \
                   .withColumn("route_rank", F.lit(rank))
-        kept = nxt if kept is None else kept.unionByName(nxt)
+        kept = (nxt if kept is None else kept.unionByName(nxt)).checkpoint()
     return kept.select("trip_id", F.col("route_rank").cast("int").alias("route_rank"), "route_id")
