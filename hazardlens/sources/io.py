@@ -106,11 +106,16 @@ def register_layers(spark: SparkSession, paths: dict) -> None:
         spark.read.parquet(p).createOrReplaceTempView(name.replace(".", "_"))
 
 
-def schema_listing(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """(position, column, type, nullable) of a DataFrame's schema."""
-    return spark.createDataFrame(
+def schema_listing(spark: SparkSession, df: DataFrame, with_nulls: bool = True) -> DataFrame:
+    """(position, column, type, nullable) of a DataFrame's schema, plus
+    each column's null count from one aggregation over the data."""
+    meta = spark.createDataFrame(
         [(i, f.name, f.dataType.simpleString(), f.nullable) for i, f in enumerate(df.schema.fields)],
         "position int, column string, type string, nullable boolean")
+    if not with_nulls:
+        return meta
+    from hazardlens.operators.quality import null_counts
+    return meta.join(null_counts(df).select("column", "null_count"), "column").orderBy("position")
 
 
 def table_sizes(tables: dict) -> DataFrame:
