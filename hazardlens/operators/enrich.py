@@ -244,15 +244,16 @@ def route_weather(samples_with_weather: DataFrame, key: str = "trip_id") -> Data
 def effective_weather(requests: DataFrame, route_wx: DataFrame, key: str = "trip_id") -> DataFrame:
     """Weather used for scoring: the route's sampled weather when
     ``auto_fetch`` is set, else the request's values with Clear / 70 / 10
-    defaults; ``source`` says which."""
+    defaults (an empty condition also means Clear); ``source`` says which."""
     j = requests.join(route_wx.select(key, F.col("weather_condition").alias("__wc"),
                                       F.col("temperature_f").alias("__t"),
                                       F.col("visibility_mi").alias("__v")), key, "left")
     auto = F.col("auto_fetch")
     return j.select(
         key, F.when(auto, "auto").otherwise("manual").alias("source"),
-        F.when(auto, F.col("__wc")).otherwise(F.coalesce("weather_condition", F.lit("Clear")))
-         .alias("weather_condition"),
+        F.when(auto, F.col("__wc"))
+         .when(F.coalesce(F.col("weather_condition"), F.lit("")) == "", F.lit("Clear"))
+         .otherwise(F.col("weather_condition")).alias("weather_condition"),
         F.when(auto, F.col("__t")).otherwise(F.coalesce(F.col("temperature_f").cast("double"), F.lit(70.0)))
          .alias("temperature_f"),
         F.when(auto, F.col("__v")).otherwise(F.coalesce(F.col("visibility_mi").cast("double"), F.lit(10.0)))

@@ -877,7 +877,7 @@ ORACLE["route_weather"] = with_ctes(*RW_BASE, body="SELECT * FROM rw")
 ORACLE["effective_weather"] = with_ctes(*RW_BASE, body="""
 SELECT d.trip_id, CASE WHEN d.trip_id % 2 = 0 THEN 'auto' ELSE 'manual' END AS source,
   CASE WHEN d.trip_id % 2 = 0 THEN rw.weather_condition
-       ELSE COALESCE(CASE WHEN d.trip_id % 5 = 0 THEN 'Rain' END, 'Clear') END AS weather_condition,
+       ELSE COALESCE(NULLIF(CASE WHEN d.trip_id % 5 = 0 THEN 'Rain' END, ''), 'Clear') END AS weather_condition,
   CASE WHEN d.trip_id % 2 = 0 THEN rw.temperature_f
        ELSE COALESCE(CASE WHEN d.trip_id % 5 = 0 THEN 45.0 END, 70.0) END AS temperature_f,
   CASE WHEN d.trip_id % 2 = 0 THEN rw.visibility_mi ELSE 10.0 END AS visibility_mi
