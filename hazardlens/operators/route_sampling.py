@@ -16,8 +16,10 @@ Distributed plan (no task ever holds a whole route):
    re-done with 4x the look-ahead until none is left;
 3. ``exit(k)``: the first point of the chain from k that lies beyond k's
    block (a backwards pass within the block);
-4. the block entries of the orbit of 0 by pointer doubling on ``exit``:
-   log2(#blocks) equi-joins, each input checkpointed to cut the lineage;
+4. the block entries of the orbit of 0 by pointer doubling on ``exit``,
+   restricted to the points a jump can enter a block at (0 and the targets
+   of boundary-crossing jumps): log2(#blocks) equi-joins, each input
+   checkpointed to cut the lineage;
 5. the kept points inside each block from its entry (per block again),
    plus the route's last point when it differs from the last kept one;
 6. ``segment_index`` = kept points in earlier blocks (a window over the
@@ -133,7 +135,13 @@ def sample_long_routes(wp: DataFrame, interval_mi: float = 1.0, block: int = 409
     # Block entries of the orbit of 0 by pointer doubling on exit().
     blocks = n.select(F.max(F.ceil(F.col("n_route") / block)).alias("m")).first()["m"] or 1
     rounds = max(1, int(blocks - 1).bit_length() + 1)
-    jump = ptrs.select("route_id", F.col("seq").alias("x"), F.col("ext").alias("y"))
+    # Only 0 and points reached by a jump across a block boundary can be
+    # block entries, and exit() maps that set into itself: double on it.
+    crossing = (ptrs.where((F.col("nxt") >= 0) & ((F.col("nxt") / block).cast("long") > F.col("blk")))
+                .select("route_id", F.col("nxt").alias("x")))
+    cands = crossing.unionByName(n.select("route_id", F.lit(0).cast("long").alias("x"))).distinct()
+    jump = (ptrs.select("route_id", F.col("seq").alias("x"), F.col("ext").alias("y"))
+            .join(cands, ["route_id", "x"], "left_semi").checkpoint())
     reach = n.select("route_id", F.lit(0).cast("long").alias("x"))
     for _ in range(rounds):
         step = (reach.join(jump, ["route_id", "x"]).where(F.col("y") >= 0)
