@@ -509,6 +509,11 @@ def q_stream_scores(spark, sf_dir):
     return ST.streaming_rule_scores(spark, sf_dir)
 
 
+@query("streaming_request_scores")
+def q_stream_requests(spark, sf_dir):
+    return ST.streaming_request_scores(spark, sf_dir)
+
+
 @query("hourly_event_window")
 def q_hourly_events(spark, sf_dir):
     return ST.hourly_event_window(spark, sf_dir)

@@ -1059,3 +1059,6 @@ ORACLE["feature_summary"] = with_ctes(*FEAT, ENCODED_CTE, "features AS (" + FEAT
     f"SELECT \"column\", {_SPARK_TYPE} AS type, null_count FROM (\n" + "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", (SELECT typeof({c}) FROM features LIMIT 1) AS t,
   CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count FROM features""" for c in _FEATURE_COLS) + ") x"))
+
+# X1 request path emits exactly the batch request scores.
+ORACLE["streaming_request_scores"] = ORACLE["request_scores"]

@@ -78,6 +78,19 @@ def streaming_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(out)
 
 
+def streaming_request_scores(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """X1 (request path): requests arriving as a stream are defaulted,
+    validated and rule-scored; invalid ones get the fallback score. Every
+    step is a stateless projection, so the batch functions run unchanged."""
+    from hazardlens.operators import requests as RQ
+    ev = events_stream(spark, sf_dir)
+    reqs = FX.prediction_requests(S.stage_incidents(FX.incidents_from_events(spark, sf_dir, ev)))
+    scored = SC.score_requests(RQ.validate_requests(reqs))
+    out = _run(scored.select("request_id", "valid", "risk_score", "risk_level", "confidence"),
+               "request-scores", run_id=run_id)
+    return spark.read.parquet(out)
+
+
 def hourly_event_profile_stream(events: DataFrame, watermark: str = WATERMARK,
                                 window: str = WINDOW) -> DataFrame:
     """X2 transform: per (hour window, event type) count and value sum, with a
