@@ -514,6 +514,11 @@ def q_stream_requests(spark, sf_dir):
     return ST.streaming_request_scores(spark, sf_dir)
 
 
+@query("hourly_incident_window")
+def q_hourly_incidents(spark, sf_dir):
+    return ST.hourly_incident_window(spark, sf_dir)
+
+
 @query("hourly_event_window")
 def q_hourly_events(spark, sf_dir):
     return ST.hourly_event_window(spark, sf_dir)

@@ -1062,3 +1062,14 @@ ORACLE["feature_summary"] = with_ctes(*FEAT, ENCODED_CTE, "features AS (" + FEAT
 
 # X1 request path emits exactly the batch request scores.
 ORACLE["streaming_request_scores"] = ORACLE["request_scores"]
+
+# X2 on incidents: closed hourly windows of the staged incidents.
+ORACLE["hourly_incident_window"] = with_ctes(*BASE, body="""
+SELECT time_bucket(INTERVAL 1 HOUR, start_time) AS window_start,
+  time_bucket(INTERVAL 1 HOUR, start_time) + INTERVAL 1 HOUR AS window_end,
+  COUNT(*) AS accident_count, ROUND(AVG("Severity"), 6) AS avg_severity,
+  CAST(SUM(CASE WHEN is_high_severity THEN 1 ELSE 0 END) AS BIGINT) AS high_severity_count
+FROM staged
+GROUP BY 1, 2
+HAVING time_bucket(INTERVAL 1 HOUR, start_time) + INTERVAL 1 HOUR
+       <= (SELECT MAX(start_time) FROM staged) - INTERVAL 30 MINUTE""")

@@ -111,3 +111,28 @@ def hourly_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     and read the emitted (final) windows back."""
     out = _run(hourly_event_profile_stream(events_stream(spark, sf_dir)), "hourly-events")
     return spark.read.parquet(out)
+
+
+def hourly_incident_profile_stream(staged: DataFrame, watermark: str = WATERMARK,
+                                   window: str = WINDOW) -> DataFrame:
+    """X2 on incidents (the hourly risk profile over event time): per hour
+    window, incident count, mean severity and high-severity count; state is
+    dropped once the watermark passes a window."""
+    return (staged.withColumn("event_time", F.col("start_time").cast("timestamp"))
+            .withWatermark("event_time", watermark)
+            .groupBy(F.window("event_time", window).alias("w"))
+            .agg(F.count(F.lit(1)).alias("accident_count"),
+                 F.avg("Severity").alias("avg_severity"),
+                 F.sum(F.when(F.col("is_high_severity"), 1).otherwise(0)).cast("bigint")
+                 .alias("high_severity_count"))
+            .select(F.col("w.start").cast("timestamp_ntz").alias("window_start"),
+                    F.col("w.end").cast("timestamp_ntz").alias("window_end"),
+                    "accident_count", C.round_half_away("avg_severity", 6).alias("avg_severity"),
+                    "high_severity_count"))
+
+
+def hourly_incident_window(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """Incidents streamed through staging into watermarked hourly windows."""
+    staged = S.stage_incidents(FX.incidents_from_events(spark, sf_dir, events_stream(spark, sf_dir)))
+    out = _run(hourly_incident_profile_stream(staged), "hourly-incidents", run_id=run_id)
+    return spark.read.parquet(out)
