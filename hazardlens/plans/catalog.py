@@ -665,3 +665,13 @@ def q_rule_factors(spark, sf_dir):
 @query("cities_for_state")
 def q_cities_for_state(spark, sf_dir):
     return A.cities_for_state(staged(spark, sf_dir), "NATION_1")
+
+
+@query("top_weather")
+def q_top_weather(spark, sf_dir):
+    return A.top_categories(FX.incidents(spark, sf_dir), "Weather_Condition", k=10)
+
+
+@query("top_cities")
+def q_top_cities(spark, sf_dir):
+    return A.top_categories(FX.incidents(spark, sf_dir), "City", k=10)

@@ -1073,3 +1073,16 @@ FROM staged
 GROUP BY 1, 2
 HAVING time_bucket(INTERVAL 1 HOUR, start_time) + INTERVAL 1 HOUR
        <= (SELECT MAX(start_time) FROM staged) - INTERVAL 30 MINUTE""")
+
+
+def _top_sql(col):
+    return with_ctes(INCIDENTS_CTE, body=f"""
+SELECT value, n, pct FROM (
+  SELECT "{col}" AS value, COUNT(*) AS n,
+    CAST(COUNT(*) AS DOUBLE) * 100.0 / SUM(COUNT(*)) OVER () AS pct
+  FROM incidents GROUP BY "{col}") t
+ORDER BY n DESC, value NULLS FIRST LIMIT 10""")
+
+
+ORACLE["top_weather"] = _top_sql("Weather_Condition")
+ORACLE["top_cities"] = _top_sql("City")
