@@ -8,7 +8,6 @@ applies the unpartitioned window to the aggregated rows only.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
