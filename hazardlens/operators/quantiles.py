@@ -59,6 +59,7 @@ def _values_at_ranks(vals: DataFrame, targets: dict, buckets: int, fetch_limit:
         per = {}
         for row in rows:
             per.setdefault(row["t"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
+        fetch = []
         for i, ((g, r), (_, _, below)) in enumerate(items):
             acc = below
             for _, c, mn, mx in sorted(per.get(i, [])):
@@ -67,16 +68,26 @@ def _values_at_ranks(vals: DataFrame, targets: dict, buckets: int, fetch_limit:
                         state[(g, r)] = (mn, mx, acc)
                     else:
                         del state[(g, r)]
-                        cond = (F.col("g") == g) & (F.col("v") >= mn) & (F.col("v") <= mx)
-                        vs = sorted(x["v"] for x in vals.where(cond).select("v").collect())  # <= fetch_limit
-                        out[(g, r)] = vs[r - acc]
+                        fetch.append((g, r, mn, mx, acc))
                     break
                 acc += c
+        if fetch:
+            # One job fetches every small bucket of this round (each holds at
+            # most fetch_limit rows); each target then ranks its own bucket.
+            ranges = {(g, mn, mx) for g, _, mn, mx, _ in fetch}
+            cond = None
+            for g, mn, mx in ranges:
+                c = (F.col("g") == g) & (F.col("v") >= mn) & (F.col("v") <= mx)
+                cond = c if cond is None else cond | c
+            got = vals.where(cond).select("g", "v").collect()
+            for g, r, mn, mx, acc in fetch:
+                vs = sorted(x["v"] for x in got if x["g"] == g and mn <= x["v"] <= mx)
+                out[(g, r)] = vs[r - acc]
     return out
 
 
 def exact_quantiles_multi(df: DataFrame, cols: list, probs: list, buckets: int = 1024,
-                          fetch_limit: int = 50_000) -> dict:
+                          fetch_limit: int = 20_000) -> dict:
     """{column: [quantile per prob]} (nulls and NaN ignored; None if empty)."""
     pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v"))
                       for i, c in enumerate(cols)])
@@ -107,6 +118,6 @@ def exact_quantiles_multi(df: DataFrame, cols: list, probs: list, buckets: int =
 
 
 def exact_quantiles(df: DataFrame, col: str, probs: list, buckets: int = 1024,
-                    fetch_limit: int = 50_000) -> list:
+                    fetch_limit: int = 20_000) -> list:
     """Exact quantiles of one column (nulls ignored); None for an empty column."""
     return exact_quantiles_multi(df, [col], probs, buckets, fetch_limit)[col]
