@@ -457,7 +457,7 @@ _MODELS: dict = {}
 def _model(spark, sf_dir):
     # One fit per (application, input): a model's JVM handle dies with its
     # SparkContext, so the application id is part of the key.
-    key = (spark.sparkContext.applicationId, sf_dir, CATALOG_GBT_ITER)
+    key = (spark.conf.get("spark.app.id", None) or id(spark), sf_dir, CATALOG_GBT_ITER)
     if key not in _MODELS:
         feats = FE.feature_table(staged(spark, sf_dir))
         _MODELS[key] = ML.train_gbt(feats, max_iter=CATALOG_GBT_ITER)

@@ -51,17 +51,22 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
     On a cluster this setting points at shared storage and is only read.
     It is set here (to a fresh local folder) only when unset, which happens
-    in local tests.
+    in local tests. Sessions without a local SparkContext (Spark Connect)
+    keep whatever the server is configured with.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001  (Spark Connect: no driver-side context)
+        sc = None
+    if not current and sc is not None and hasattr(sc, "getCheckpointDir"):
+        current = sc.getCheckpointDir()
     if not current:
         import tempfile
         current = tempfile.mkdtemp(prefix="hazardlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
+    if sc is not None:
+        sc.setCheckpointDir(current)
     return current
 
 
