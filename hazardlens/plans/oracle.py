@@ -1086,3 +1086,17 @@ ORDER BY n DESC, value NULLS FIRST LIMIT 10""")
 
 ORACLE["top_weather"] = _top_sql("Weather_Condition")
 ORACLE["top_cities"] = _top_sql("City")
+
+
+STAGED_COLUMNS = (["ID", "Source", "Severity", "start_time", "end_time", "year", "month", "day", "hour",
+                   "day_of_week", "is_weekend", "time_period", "latitude", "longitude", "distance_mi",
+                   "Street", "City", "County", "State", "Zipcode", "Country", "temperature_f",
+                   "humidity_pct", "pressure_in", "visibility_mi", "wind_speed_mph", "precipitation_in",
+                   "weather_condition"] + _FLAGS + ["duration_minutes", "is_high_severity"])
+_SPARK_TYPE_NTZ = _SPARK_TYPE.replace("ELSE lower(t) END", "WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(t) END")
+
+ORACLE["schema_listing"] = with_ctes(*BASE, body=(
+    f"SELECT position, \"column\", {_SPARK_TYPE_NTZ} AS type, null_count FROM (\n" + "\nUNION ALL\n".join(
+        f"""SELECT CAST({i} AS INTEGER) AS position, '{c}' AS "column", (SELECT typeof("{c}") FROM staged LIMIT 1) AS t,
+  CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS null_count FROM staged""" for i, c in enumerate(STAGED_COLUMNS))
+    + ") x"))
