@@ -196,20 +196,28 @@ def contributing_factors(features: DataFrame, importances: DataFrame, id_col: st
                          top_n: int = 5) -> DataFrame:
     """The top-n features by importance with each row's value.
 
-    ``importances`` is (feature, importance), one row per model feature
-    (33 rows), so it is broadcast. Features are unpivoted with ``stack``,
-    joined to the importance table, and the top-n kept per row with a
-    window bounded by the feature count.
+    ``importances`` is (feature, importance), one row per model feature.
+    Its top-n rows (at most n, read once) decide which columns matter, so
+    each row is unpivoted into just those n (rank, feature, importance,
+    value) rows with ``stack`` - no join and no row per model feature. A
+    top feature missing from ``features`` gets a null value.
     """
-    names = [c for c in features.columns if c != id_col]
-    args = ", ".join(f"'{c}', CAST(`{c}` AS DOUBLE)" for c in names)
-    long = features.selectExpr(f"`{id_col}`", f"stack({len(names)}, {args}) as (feature, value)")
-    top = (importances.withColumn("rank", F.row_number().over(
-               Window.orderBy(F.desc("importance"), "feature")))
-           .where(F.col("rank") <= top_n))
-    j = long.join(F.broadcast(top), "feature")
-    return j.select(id_col, "rank", "feature",
-                    C.round_half_away("importance", 4).alias("importance"), "value")
+    top = importances.orderBy(F.desc("importance"), "feature").limit(top_n).collect()
+    if not top:
+        return features.select(F.col(id_col), F.lit(None).cast("int").alias("rank"),
+                               F.lit(None).cast("string").alias("feature"),
+                               F.lit(None).cast("double").alias("importance"),
+                               F.lit(None).cast("double").alias("value")).where(F.lit(False))
+    have = set(features.columns)
+    parts = []
+    for rank, r in enumerate(top, start=1):
+        name = r["feature"].replace("'", "''")
+        value = f"CAST(`{r['feature']}` AS DOUBLE)" if r["feature"] in have else "CAST(NULL AS DOUBLE)"
+        parts.append(f"{rank}, '{name}', CAST({float(r['importance'])!r} AS DOUBLE), {value}")
+    long = features.selectExpr(f"`{id_col}`", f"stack({len(parts)}, {', '.join(parts)}) "
+                                              "as (rank, feature, importance, value)")
+    return long.select(id_col, F.col("rank").cast("int").alias("rank"), "feature",
+                       C.round_half_away("importance", 4).alias("importance"), "value")
 
 
 # The factor importances the dashboard reports next to a rule score.
