@@ -142,21 +142,36 @@ def impute(df: DataFrame, exact: bool = True) -> DataFrame:
 
 # M5 / M6 / W2 / J1 -----------------------------------------------------------
 
-def label_codes(df: DataFrame, col: str) -> DataFrame:
-    """Alphabetical 0-based code per distinct value (a label encoder).
-
-    The ranking window runs over the distinct values only.
+def ordinal(df: DataFrame, order: list, out: str = "code") -> DataFrame:
+    """0-based position of every row in a total order, computed without a
+    single-partition window.
+
+    Rows are range-partitioned on the order (partition i holds the i-th key
+    range), numbered inside their partition, and shifted by the number of
+    rows in earlier partitions - one small row per partition. The order
+    must be total (unique keys), as it is for distinct values.
     """
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    ranged = df.repartitionByRange(int(parts), *order).withColumn("__pid", F.spark_partition_id())
+    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
+    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
+    offs = sizes.select("__pid", F.coalesce(F.sum("__c").over(
+        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
+    return (local.join(F.broadcast(offs), "__pid")
+            .withColumn(out, (F.col("__off") + F.col("__r") - 1).cast("int"))
+            .drop("__pid", "__r", "__off"))
+
+
+def label_codes(df: DataFrame, col: str) -> DataFrame:
+    """Alphabetical 0-based code per distinct value (a label encoder)."""
     v = F.coalesce(F.col(col).cast("string"), F.lit("None"))
-    return (df.select(v.alias("value")).distinct()
-            .select("value", (F.dense_rank().over(Window.orderBy("value")) - 1).alias("code")))
+    return ordinal(df.select(v.alias("value")).distinct(), [F.col("value")]).select("value", "code")
 
 
 def frequency_codes(df: DataFrame, col: str) -> DataFrame:
     """0-based rank by descending frequency, ties alphabetical."""
-    return (df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-            .select("value", "n",
-                    (F.row_number().over(Window.orderBy(F.desc("n"), "value")) - 1).alias("code")))
+    counts = df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    return ordinal(counts, [F.desc("n"), F.asc_nulls_first("value")]).select("value", "n", "code")
 
 
 def encode(df: DataFrame, col: str, codes: DataFrame, out: str,

@@ -101,3 +101,14 @@ def test_display_name_and_key(spark):
     r = spark.range(1).select(C.display_name(F.lit("has_traffic_signal")).alias("d"),
                               C.normalize_key(F.lit("  Tempe, AZ ")).alias("k")).first()
     assert r.d == "Has Traffic Signal" and r.k == "tempe, az"
+
+
+def test_ordinal_matches_window(spark):
+    from pyspark.sql import Window
+    from hazardlens.operators.features import ordinal
+    df = spark.range(0, 997).select(((F.col("id") * 7919) % 1009).cast("string").alias("value"),
+                                    (F.col("id") % 13).alias("n"))
+    got = {r.value: r.code for r in ordinal(df, [F.desc("n"), F.col("value")]).collect()}
+    want = {r.value: r.code for r in df.select("value", (F.row_number().over(
+        Window.orderBy(F.desc("n"), "value")) - 1).alias("code")).collect()}
+    assert got == want and sorted(got.values()) == list(range(997))
