@@ -369,13 +369,15 @@ def random_sample(df: DataFrame, n: int, key: str = "ID", seed: int = 42) -> Dat
 def cities_per_state(staged: DataFrame, max_states: int = 15, max_cities: int = 50) -> DataFrame:
     """First ``max_cities`` cities (alphabetical) of the first ``max_states`` states (L4).
 
-    One distinct + two windows instead of one query per state; ranking the
-    states needs the distinct state list only, which is tiny. Nulls sort
-    last, as in SQL, and a null state is matched null-safely.
+    One distinct, a distributed ordinal over the distinct states and a
+    per-state top-k window (limited map-side) instead of one query per
+    state. Nulls sort last, as in SQL, and a null state is matched
+    null-safely.
     """
     pairs = staged.select("State", "City").distinct()
-    states = (pairs.select("State").distinct()
-              .withColumn("state_rank", F.dense_rank().over(Window.orderBy(F.asc_nulls_last("State"))))
+    from hazardlens.operators.features import ordinal
+    states = (ordinal(pairs.select("State").distinct(), [F.asc_nulls_last("State")], "state_rank")
+              .withColumn("state_rank", F.col("state_rank") + 1)
               .where(F.col("state_rank") <= max_states)
               .withColumnRenamed("State", "__s"))
     ranked = (pairs.join(states, pairs.State.eqNullSafe(states.__s)).drop("__s")
