@@ -61,3 +61,31 @@ def test_watermark_drops_late_rows(spark):
     eight = [r for r in rows if r.window_start == base]
     assert len(eight) == 1 and eight[0].n == 1      # closed once, late row dropped
     assert all(r.window_start != base + timedelta(hours=4) for r in rows)  # 12:00 still open
+
+
+def test_route_sample_indices_follow_python_round(spark):
+    from hazardlens.operators.enrich import route_sample_points
+    rows = [(1, i, 0.0, 0.0) for i in range(60)] + [(2, i, 0.0, 0.0) for i in range(4)] \
+        + [(3, i, 0.0, 0.0) for i in range(7)]
+    wp = spark.createDataFrame(rows, "route_id long, seq int, lat double, lon double")
+    got = {}
+    for r in route_sample_points(wp).collect():
+        got.setdefault(r.route_id, []).append(r.seq)
+    for rid, n in ((1, 60), (2, 4), (3, 7)):
+        want = list(range(n)) if n <= 5 else [round(i * (n - 1) / 4) for i in range(5)]
+        assert sorted(got[rid]) == want, rid
+
+
+def test_asof_excludes_same_instant_and_stale(spark):
+    t0 = datetime(2024, 1, 1, 12, 0, 0)
+    obs = spark.createDataFrame(
+        [(1, 30.0, -100.0, t0 - timedelta(minutes=31), 800, 280.0, 5000.0, 1.0, 40.0),   # too old
+         (2, 30.0, -100.0, t0 - timedelta(minutes=30), 501, 281.0, 5000.0, 1.0, 40.0),   # exactly 30 min: valid
+         (3, 30.0, -100.0, t0, 741, 282.0, 5000.0, 1.0, 40.0),                            # same instant: excluded
+         (4, 30.001, -100.0, t0 - timedelta(minutes=1), 600, 283.0, 5000.0, 1.0, 40.0)],  # same 2-digit cell
+        "obs_id long, lat double, lon double, obs_ts timestamp_ntz, code int, temp_k double, "
+        "visibility_m double, wind_ms double, humidity double")
+    pts = spark.createDataFrame([(10, 30.0, -100.0, t0), (11, 30.0, -100.0, t0 - timedelta(minutes=31))],
+                                "point_id long, lat double, lon double, ts timestamp_ntz")
+    got = {r.point_id: r.obs_id for r in EN.freshest_weather(pts, obs).collect()}
+    assert got == {10: 4, 11: None}
