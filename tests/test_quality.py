@@ -50,3 +50,20 @@ def test_report_flags_failures(spark):
     assert rep["required_columns"] == (0, True)
     partial = {r.check: r.issue_count for r in Q.quality_report(_df(spark).drop("State")).collect()}
     assert partial["required_columns"] == 1
+
+
+def test_route_payload_parser(spark):
+    from hazardlens.operators.enrich import parse_route_payloads
+    full = ('{"summary": "I-17 N", "overview_polyline": {"points": "abc"}, "legs": [{"distance": '
+            '{"text": "116 mi", "value": 186000}, "duration": {"text": "1 hour 52 mins", "value": 6720}, '
+            '"duration_in_traffic": {"text": "2 hours", "value": 7200}}]}')
+    no_traffic = full.replace(', "duration_in_traffic": {"text": "2 hours", "value": 7200}', "")
+    no_legs = '{"summary": "x", "overview_polyline": {"points": "abc"}}'
+    no_poly = full.replace('"overview_polyline": {"points": "abc"}, ', "")
+    broken = full[:30]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate([full, no_traffic, no_legs, no_poly, broken])],
+                               "route_id int, payload string")
+    rows = {r.route_id: r for r in parse_route_payloads(df).collect()}
+    assert set(rows) == {0, 1}
+    assert rows[0].distance_meters == 186000 and rows[0].duration_in_traffic_seconds == 7200
+    assert rows[1].duration_in_traffic_text is None and rows[1].summary == "I-17 N"
