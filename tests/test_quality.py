@@ -67,3 +67,19 @@ def test_route_payload_parser(spark):
     assert set(rows) == {0, 1}
     assert rows[0].distance_meters == 186000 and rows[0].duration_in_traffic_seconds == 7200
     assert rows[1].duration_in_traffic_text is None and rows[1].summary == "I-17 N"
+
+
+def test_weather_payload_parser(spark):
+    from hazardlens.operators.enrich import parse_weather_payloads
+    full = ('{"main": {"temp": 300.15, "humidity": 61}, "weather": [{"id": 502, "description": "heavy rain"}], '
+            '"visibility": 3218.68, "wind": {"speed": 4.0}}')
+    sparse = '{"main": {"temp": 273.15}, "weather": [{"id": 9999}]}'
+    bad = full[:25]
+    df = spark.createDataFrame([(0, full), (1, sparse), (2, bad)], "obs_id int, payload string")
+    r = {x.obs_id: x for x in parse_weather_payloads(df).collect()}
+    assert (r[0].temperature_f, r[0].weather_condition, r[0].visibility_mi, r[0].humidity_pct,
+            r[0].wind_speed_mph, r[0].description) == (80.6, "Heavy Rain", 2.0, 61.0, 8.9, "heavy rain")
+    # absent visibility -> 10 000 m, humidity -> 50, wind -> 0; unknown code -> Clear
+    assert (r[1].temperature_f, r[1].weather_condition, r[1].visibility_mi, r[1].humidity_pct,
+            r[1].wind_speed_mph, r[1].description) == (32.0, "Clear", 6.2, 50.0, 0.0, "Clear")
+    assert (r[2].parsed, r[2].weather_condition, r[2].temperature_f, r[2].wind_speed_mph) == (False, "Clear", 70.0, 5.0)
