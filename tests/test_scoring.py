@@ -47,3 +47,21 @@ def test_rule_score_and_fallback(spark):
                               "has_junction boolean, has_crossing boolean, hour int, is_weekend boolean")
     out = [(r.risk_score, r.risk_level, r.confidence) for r in SC.score_requests(v).collect()]
     assert out == [(0.43, "MEDIUM", 0.14), (0.5, "UNKNOWN", 0.0)]
+
+
+def test_request_defaults_and_validation(spark):
+    from hazardlens.operators.requests import validate_requests
+    rows = [("ok", 34.05, -118.24, 8, "Monday", None, None),
+            ("words", 34.05, -118.24, 17, "sunday", 12, 40.0),
+            ("bad", 95.0, -200.0, 24, "funday", 13, 150.0),
+            ("missing", None, -118.24, None, "3", 1, None)]
+    df = spark.createDataFrame(rows, "request_id string, latitude double, longitude double, hour int, "
+                                     "day_of_week string, month int, humidity_pct double")
+    r = {x.request_id: x for x in validate_requests(df).collect()}
+    assert r["ok"].valid and r["ok"].day_of_week == 0 and r["ok"].month == 1 and r["ok"].humidity_pct == 50.0
+    assert r["ok"].pressure_in == 29.92 and r["ok"].has_junction is False and r["ok"].distance_mi == 0.0
+    assert r["words"].valid and r["words"].day_of_week == 6
+    assert not r["bad"].valid and r["bad"].n_errors == 6
+    assert r["bad"].errors == ("day_of_week: field required; latitude: must be <= 90; longitude: must be >= -180; "
+                               "hour: must be <= 23; month: must be <= 12; humidity_pct: must be <= 100")
+    assert r["missing"].errors == "latitude: field required; hour: field required" and r["missing"].day_of_week == 3
