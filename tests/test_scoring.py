@@ -65,3 +65,18 @@ def test_request_defaults_and_validation(spark):
     assert r["bad"].errors == ("day_of_week: field required; latitude: must be <= 90; longitude: must be >= -180; "
                                "hour: must be <= 23; month: must be <= 12; humidity_pct: must be <= 100")
     assert r["missing"].errors == "latitude: field required; hour: field required" and r["missing"].day_of_week == 3
+
+
+def test_hash_split_and_sample_are_deterministic(spark):
+    from pyspark.sql import functions as F
+    from hazardlens.operators.analytics import random_sample
+    from hazardlens.operators.features import hash_split
+    ids = spark.range(0, 20000).select(F.col("id").cast("string").alias("accident_id"))
+    a = {r.accident_id: r.split for r in hash_split(ids).collect()}
+    b = {r.accident_id: r.split for r in hash_split(ids.repartition(7)).collect()}
+    assert a == b
+    share = sum(v == "train" for v in a.values()) / len(a)
+    assert 0.78 < share < 0.82
+    s1 = [r.accident_id for r in random_sample(ids, 50, key="accident_id").collect()]
+    s2 = [r.accident_id for r in random_sample(ids.repartition(5), 50, key="accident_id").collect()]
+    assert s1 == s2 and len(set(s1)) == 50
