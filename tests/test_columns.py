@@ -112,3 +112,15 @@ def test_ordinal_matches_window(spark):
     want = {r.value: r.code for r in df.select("value", (F.row_number().over(
         Window.orderBy(F.desc("n"), "value")) - 1).alias("code")).collect()}
     assert got == want and sorted(got.values()) == list(range(997))
+
+
+def test_period_label_codes_compat(spark):
+    labels = ["Night", "Morning Rush", "Midday", "Evening Rush", "Evening", "Morning", "Afternoon", None]
+    df = spark.createDataFrame([(x,) for x in labels], "p string")
+    rows = df.select("p", C.period_label_code("p", compat=True).alias("c"),
+                     C.period_label_code("p", compat=False).alias("f")).collect()
+    got = {r.p: (r.c, r.f) for r in rows}
+    # training map: only Night/Morning/Afternoon/Evening exist, anything else -> 0
+    assert [got[x][0] for x in labels] == [0, 0, 0, 0, 3, 1, 2, 0]
+    # full five-level ordinal over the staging labels
+    assert [got[x][1] for x in labels[:5]] == [0, 1, 2, 3, 4]
