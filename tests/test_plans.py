@@ -11,7 +11,7 @@ from conftest import SMALL
 EAGER = {"gbt_scores", "gbt_metrics", "feature_importance", "contributing_factors", "model_metadata",
          "streaming_rule_scores", "hourly_event_window", "csv_roundtrip", "layer_sizes",
          "feature_summary"}
-QUERIES = E.queries()
+QUERIES = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 
 
 def _plan(df):

@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__ as E
 from conftest import SMALL
 
-QUERIES = E.queries()
+QUERIES = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 ORACLES = E.oracle_sql()
 
 
