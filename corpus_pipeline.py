@@ -1,21 +1,63 @@
 """Preparing a training corpus: stages of text operators, each over all rows
-that its predecessor kept."""
+that its predecessor kept.
+
+Documents scored as toxic go; of each group of near-duplicates the document
+with the smallest id stays; secrets are masked; documents are repeated or left
+out so that the sources reach their target weights; the texts are encoded into
+pieces. All stages but the last return the columns of ``documents``. Rows with
+null ids or texts, empty texts and empty tables pass like any others.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from hazardlens.llm import op1_sentencepiece, op2_secret_scan, op3_minhash_dedup, op4_toxicity, op9_source_mixing
+from hazardlens.llm.common import stored, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below 0.5, by a model trained on their labels."""
+    return op4_toxicity.without_toxic(docs, op4_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return op3_minhash_dedup.deduplicated(docs)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return op2_secret_scan.redacted(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return op9_source_mixing.mixed(docs)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of each document."""
+    return op1_sentencepiece.encoded(docs)
+
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("secrets", mask_secrets),
+    ("mixing", mix_sources),
+    ("sentencepiece", encode),
+]
 
-# No SQL twin: several stages (trained scores, lattice search) cannot be
-# written in SQL; tests/llm compares the stages with brute force instead.
+# No SQL twin: trained scores and lattice search cannot be written in SQL;
+# tests/llm holds the stages against brute force instead.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; each result is written and read back."""
-    from hazardlens.llm.common import stored, table
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir) if STAGES else docs
+    return STAGES[-1][1](spark, docs, sf_dir)

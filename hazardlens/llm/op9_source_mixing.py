@@ -87,6 +87,23 @@ def mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, share=SHARE, limit=LI
     return d.select(*keys, "source", "size", "source_size", "target", "copies")
 
 
+def mixed(docs: DataFrame, **parameters) -> DataFrame:
+    """All columns of ``docs``, each row as often as the mix takes it."""
+    rows = docs.select("*", word_count().alias("_size"))
+    ids = rows.select("doc_id", "source", F.col("_size").alias("size"))
+    # Rows with the same id, source and size may share copies in any order.
+    taken = mix(ids, ["doc_id"], **parameters)
+    n = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
+    left = taken.withColumn("_i", F.row_number().over(n)).select(
+        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_i", "copies")
+    m = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
+    rows = rows.withColumn("_k", F.row_number().over(m))
+    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
+            & (F.col("_size") == F.col("_n")) & (F.col("_k") == F.col("_i")))
+    out = rows.join(left, same).where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return out.select(*[F.col(c) for c in docs.columns])
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
     return mix(docs, ["doc_id"]).select("doc_id", "size", "source_size", "target",
