@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, mix64, range_hashes, stored, table, window_hashes, word_hashes
+from .common import WORD, map_batches, mix64, range_hashes, stored, table, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -203,17 +203,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of the rows that stay: of each component the row of its
-    smallest id (one of equal rows). Rows without an id or words stay."""
-    found = near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Rows that repeat an id are copies of one document or texts under one id: the smallest text stays.
-    again = (found.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("k"))
-             .where("k > 1").select(F.col("doc_id").alias("_again")))
-    single = left.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    twice = left.join(again, F.col("doc_id") == F.col("_again"), "left_semi")
+    smallest id, of rows that repeat this id the longest. Rows without an id
+    or without words stay."""
+    verdict = (near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
+               .agg(F.max("kept").alias("_kept")).withColumnRenamed("doc_id", "_id"))
+    rows = docs.join(verdict, F.col("doc_id") == F.col("_id"), "left")
     first = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    return single.union(twice.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r"))
+    rows = rows.withColumn("_row", F.row_number().over(first))
+    unlinked = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    return rows.where(unlinked | (F.col("_kept") & (F.col("_row") == 1))).select(*[F.col(c) for c in docs.columns])
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
