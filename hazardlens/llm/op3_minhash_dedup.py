@@ -8,11 +8,14 @@ candidates, and candidates are confirmed by the exact Jaccard similarity of
 their full sets.
 
 Equal sets are one class and are compared once. Within a bucket every class
-is compared with the bucket's smallest set; only where classes of a bucket
-stay in different components are its remaining pairs compared, and buckets
-of more than ``SPLIT`` classes are first split by a second band. So copies
-are never expanded into pairs. A pair at the threshold misses all bands with
-a chance below 2e-6, one at 0.8 below 2e-9.
+is compared with two leaders, the smallest set and one chosen by a hash; that
+joins groups of near copies without expanding them into pairs. Only classes
+that still stand outside their bucket's main component are compared with the
+rest of the bucket, each pair once, if it shares a second band; where more
+than ``SPLIT`` classes stand outside, the bucket is split by that second band.
+Shingles that no other candidate holds bound what two sets can share; pairs
+that cannot reach the threshold by this bound are not made. A pair at the threshold misses all bands with a chance below 2e-6, and shares
+fewer than two with one below 3e-5; at 0.8 both are below 2e-7.
 
 Documents without words have empty sets and link with nothing; fewer than
 five words are one shingle. Null text counts as empty. Rows with equal ids
@@ -153,21 +156,54 @@ def _ordered(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _rest(members: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket but not yet a component."""
-    m = members.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("component", F.coalesce("component", "c"))
-    m = m.select("key", "c", "n", "lead", "component", "bands")
-    mixed = m.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    mixed = mixed.where("lo <> hi and k > 2").select("key", "k")
-    m = stored(m.join(mixed, "key"), "minhash-mixed")
-    small = m.where(F.col("k") <= SPLIT).select("key", "c", "n", "lead", "component")
-    # The members of a large bucket meet again where a second band agrees too.
-    second = (m.where(F.col("k") > SPLIT).select("key", "c", "n", "lead", "component", F.explode("bands").alias("band"))
-              .where("band <> key").withColumn("key", F.xxhash64("key", "band")).drop("band"))
-    halves = small.union(second)
-    return (halves.alias("x").join(halves.alias("y"), "key")
-            .where("x.c < y.c and x.component <> y.component and x.c <> x.lead and y.c <> y.lead").where(_fits("x.n", "y.n"))
-            .select(F.col("x.c").alias("a"), F.col("y.c").alias("b")).distinct())
+_OWN = T.StructType([T.StructField("c", T.LongType()), T.StructField("h", T.LongType())])
+
+
+def _own_shingles(sets: DataFrame) -> DataFrame:
+    """(c, own): how many shingles of a class no other class of ``sets`` holds."""
+    def make():
+        def run(cols):
+            found = [np.frombuffer(x, np.int64) for x in cols["set"]]
+            owner = np.repeat(np.array(cols["c"], np.int64), [len(x) for x in found])
+            return {"c": pa.array(owner), "h": pa.array(np.concatenate(found) if found else owner)}
+        return run
+
+    held = map_batches(sets, make, _OWN).groupBy("h").agg(F.count(F.lit(1)).alias("k"), F.min("c").alias("c"))
+    return held.where("k = 1").groupBy("c").agg(F.count(F.lit(1)).alias("own"))
+
+
+def _rest(members: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs of classes that share a bucket, are not in one component, and
+    were not compared with each other as leaders."""
+    m = members.join(label.withColumnRenamed("node", "c"), "c", "left")
+    m = m.withColumn("component", F.coalesce("component", "c"))
+    sizes = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
+    main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
+                                    F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"))
+    main = main.where("parts > 1 and k > 2").select("key", "main")
+    m = m.join(main, "key").select("key", "c", "n", "lead", "any", "component", (F.col("component") != F.col("main")).alias("out"))
+    m = stored(m, "minhash-mixed")
+    some = sets.join(m.select("c").distinct(), "c", "left_semi")
+    m = m.join(_own_shingles(some), "c", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
+    m = m.where("100 * common >= 75 * n").join(classes.select("c", "bands"), "c")
+    crowd = m.groupBy("key").agg(F.count_if("out").alias("outside"))
+    m = stored(m.join(crowd, "key"), "minhash-mixed")
+    shared = F.array_intersect("x.bands", "y.bands")
+    most = F.least("x.common", "y.common")
+    new = (F.expr("x.component <> y.component and (not y.out or x.c < y.c) and x.c not in (y.lead, y.`any`) and y.c not in (x.lead, x.`any`)")
+           & (100 * most >= 75 * (F.col("x.n") + F.col("y.n") - most)))
+
+    def pairs(rows: DataFrame, first) -> DataFrame:
+        met = rows.where("out").alias("x").join(rows.alias("y"), "key").where(new & first)
+        return met.select(*_ordered("x.c", "y.c"))
+
+    once = pairs(m.where(F.col("outside") <= SPLIT), (F.element_at(shared, 1) == F.col("key")) & (F.size(shared) > 1))
+    # The classes of a crowded bucket meet where a later band agrees.
+    later = F.slice("bands", F.array_position("bands", F.col("key")).cast("int") + 1, F.lit(BANDS))
+    second = (m.where(F.col("outside") > SPLIT).withColumn("band", F.explode(later))
+              .withColumn("first", F.col("key")).withColumn("key", F.xxhash64("key", "band")))
+    twice = pairs(second, (F.element_at(shared, 1) == F.col("x.first")) & (F.get(shared, F.lit(1)) == F.col("x.band")))
+    return once.union(twice).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -177,18 +213,22 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = stored(classes, "minhash-classes")
     spread = classes.select("c", "n", F.explode("bands").alias("key"))
-    shared = (spread.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c")).alias("low"))
-              .where("k > 1").select("key", F.col("low.c").alias("lead"), F.col("low.n").alias("lead_n")))
+    mark = F.xxhash64("key", "c")
+    shared = (spread.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c")).alias("low"),
+                                        F.min(F.struct(mark.alias("mark"), "c", "n")).alias("some"))
+              .where("k > 1").select("key", F.col("low.c").alias("lead"), F.col("low.n").alias("lead_n"),
+                                     F.col("some.c").alias("any"), F.col("some.n").alias("any_n")))
     members = stored(spread.join(shared, "key"), "minhash-members")
-    first = members.where("c <> lead").where(_fits("n", "lead_n")).select(*_ordered("c", "lead")).distinct()
+    led = members.select("c", "n", F.inline(F.array(F.struct(F.col("lead").alias("other"), F.col("lead_n").alias("other_n")),
+                                                    F.struct(F.col("any").alias("other"), F.col("any_n").alias("other_n")))))
+    first = led.where("c <> other").where(_fits("n", "other_n")).select(*_ordered("c", "other")).distinct()
     first = stored(first, "minhash-first")
     reps = classes.select("c", "rep")
     wanted = reps.join(members.select("c").distinct(), "c")
     sets = stored(_sets(docs, wanted).dropDuplicates(["c"]), "minhash-sets")
     links = stored(confirmed(first, sets), "minhash-links")
     label = components(links)
-    with_bands = members.select("key", "c", "n", "lead").join(classes.select("c", "bands"), "c")
-    more = stored(confirmed(_rest(with_bands, label), sets), "minhash-links")
+    more = stored(confirmed(_rest(members, label, classes, sets), sets), "minhash-links")
     if not more.isEmpty():
         label = components(links.union(more))
     # A component's id is its smallest document id; classes stand for all their rows.
