@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -35,6 +36,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_KEYS = 1_000_000  # at most so many keys (16 bytes each) are sent to all tasks
+
+
+def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose ``on`` columns occur in ``keys``. Few keys, by count, are
+    broadcast, so the other rows are dropped before any shuffle; more are joined."""
+    side = F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+    return rows.join(side, on, "left_semi")
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` over dicts of Python lists.
 

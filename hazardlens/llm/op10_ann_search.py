@@ -71,10 +71,12 @@ def balanced_parts(near: np.ndarray, parts: int, seed: int = SEED) -> np.ndarray
     follows its weakest cut, split at the median, then swap pairs that gain."""
     rng = np.random.default_rng(seed)
     label = np.zeros(len(near), np.int64)
-    for _ in range(int(round(math.log2(parts)))):
-        for p in range(label.max() + 1):
+    for level in range(int(round(math.log2(parts)))):
+        halved = np.zeros(len(near), np.int64)
+        for p in range(1 << level):
             rows = np.flatnonzero(label == p)
             if len(rows) < 2:
+                halved[rows] = 2 * p
                 continue
             place = np.full(len(near), -1)
             place[rows] = np.arange(len(rows))
@@ -101,7 +103,8 @@ def balanced_parts(near: np.ndarray, parts: int, seed: int = SEED) -> np.ndarray
                 if not good:
                     break
                 side[up[:good]], side[down[:good]] = False, True
-            label[rows] = 2 * p + side
+            halved[rows] = 2 * p + side
+        label = halved
     return label
 
 

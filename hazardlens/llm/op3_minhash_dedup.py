@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, map_batches, mix64, range_hashes, stored, table, window_hashes, word_hashes
+from .common import WORD, map_batches, mix64, narrowed, range_hashes, stored, table, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
@@ -108,7 +108,8 @@ def signed(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(c, set) of the classes in ``wanted`` (c, rep), read from one text each."""
-    texts = docs.select("doc_id", "text").join(wanted.select(F.col("rep").alias("doc_id"), F.col("c").alias("want")), "doc_id")
+    wanted = stored(wanted.select(F.col("rep").alias("doc_id"), F.col("c").alias("want")), "minhash-wanted")
+    texts = narrowed(docs.select("doc_id", "text"), wanted.select("doc_id"), ["doc_id"]).join(wanted, "doc_id")
 
     def make():
         def run(cols):
@@ -213,7 +214,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.first("n").alias("n"), F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = stored(classes, "minhash-classes")
     spread = classes.select("c", "n", F.explode("bands").alias("key"))
-    mark = F.xxhash64("key", "c")
+    mark = F.xxhash64("c")  # the same order in all buckets: few leaders stand for many
     shared = (spread.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("n", "c")).alias("low"),
                                         F.min(F.struct(mark.alias("mark"), "c", "n")).alias("some"))
               .where("k > 1").select("key", F.col("low.c").alias("lead"), F.col("low.n").alias("lead_n"),

@@ -101,13 +101,14 @@ def _bucket(bounds: list[int]) -> Column:
     return F.size(F.filter(F.lit(bounds), lambda b: b <= F.col("_key")))
 
 
-def with_next(docs: DataFrame, add) -> DataFrame:
-    """``add(docs)`` with ``_next``, a struct of the same columns of the next
-    row by descending id (the first row's, behind the last).
+def with_next(docs: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with ``next_text``, the text of the next row by
+    descending id (the first row's, behind the last).
 
     Rows are dealt into ranges by bounds that are fixed first (approximate
     quantiles of the ids); a window looks ahead inside a range, and each
     range's last row takes the first row of the next range that has rows.
+    The tables of ranges have a fixed number of rows and are broadcast.
     """
     spark = docs.sparkSession
     ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -115,26 +116,23 @@ def with_next(docs: DataFrame, add) -> DataFrame:
     cuts = d.agg(F.percentile_approx("_key", [i / ranges for i in range(1, ranges)], 10_000)).first()[0]
     d = d.withColumn("_range", _bucket(sorted(set(cuts or []))))
     tops = d.groupBy("_range").agg(F.max("_key").alias("_top"))
-    first = (d.join(tops, "_range").where("_key = _top").groupBy("_range").agg(F.max("text").alias("text")))
-    row = F.struct(*add(first.limit(0)).drop("_range").columns)
-    first = add(first).select("_range", row.alias("_f"))
+    first = (d.join(F.broadcast(tops), "_range").where("_key = _top").groupBy("_range").agg(F.max("text").alias("_f")))
     ahead = Window.orderBy(F.col("_range").desc())
     everyone = ahead.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = first.select("_range", F.coalesce(F.lead("_f").over(ahead), F.first("_f").over(everyone)).alias("_f"))
     inside = Window.partitionBy("_range").orderBy(F.col("_key").desc(), F.col("text").desc())
-    d = add(d).withColumn("_lead", F.lead(row).over(inside)).join(first, "_range")
-    return d.withColumn("_next", F.coalesce("_lead", "_f")).drop("_lead", "_f", "_range", "_key")
+    d = d.withColumn("_lead", F.lead("text").over(inside)).join(first, "_range")
+    return d.select("doc_id", "text", F.coalesce("_lead", "_f").alias("next_text"))
 
 
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    d = with_next(docs, lambda x: x.withColumn("sigs", signature_set(F.col("text"))))
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
-    edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("_next.text"), half))
-    d = d.select("doc_id", n.cast("long").alias("n_chars"), "sigs", F.col("_next.sigs").alias("next_sigs"),
-                 edited.alias("edited"))
-    d = d.withColumn("edited_sigs", signature_set(F.col("edited")))
+    edited = F.concat(F.left(F.col("text"), n - half), F.left(F.col("next_text"), half))
+    d = with_next(docs).withColumn("n_chars", n.cast("long")).withColumn("edited", edited)
+    for name, text in (("sigs", "text"), ("edited_sigs", "edited"), ("next_sigs", "next_text")):
+        d = d.withColumn(name, signature_set(F.col(text)))
     return d.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"),
                     fingerprint(F.col("sigs")).alias("fingerprint"),
                     fingerprint(F.col("edited_sigs")).alias("edited_fingerprint"),

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_batches, range_hashes, stored, table, window_hashes, word_hashes
+from .common import map_batches, narrowed, range_hashes, stored, table, window_hashes, word_hashes
 
 WINDOW = 35
 SEED = 8
@@ -98,7 +98,9 @@ def _boundary_windows(texts: DataFrame, asked: DataFrame) -> DataFrame:
     """(w, block, t, start) for the windows of the asked blocks."""
     one = asked.groupBy("t").agg(F.min("doc_id").alias("owner"), F.collect_set(F.struct("start", "n", "block")).alias("ranges"))
     owned = F.coalesce(F.col("doc_id"), F.lit(-1))
-    rows = texts.withColumn("owner", owned).join(one, ["owner", "t"]).select("t", "text", "ranges")
+    one = stored(one, "rlz-asked")
+    rows = narrowed(texts.withColumn("owner", owned), one.select("owner", "t"), ["owner", "t"])
+    rows = rows.join(one, ["owner", "t"]).select("t", "text", "ranges")
 
     def make():
         def run(cols):

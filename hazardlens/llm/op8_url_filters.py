@@ -48,7 +48,7 @@ class Level:
         return [F.pmod(F.xxhash64(key, F.lit(self.seed * 64 + i)), F.lit(self.bits)) for i in range(self.hashes)]
 
     def holds(self, key: Column) -> Column:
-        words = F.lit(list(self.words))
+        words = F.lit(list(self.words)).cast("array<bigint>")  # small words would make it array<int>
         out = F.lit(True)
         for p in self.positions(key):
             word = F.element_at(words, F.shiftright(p, 6).cast("int") + 1)
