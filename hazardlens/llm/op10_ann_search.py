@@ -35,7 +35,7 @@ MIN_PARTS, MAX_PARTS = 8, 256
 NEIGHBOURS = 12
 HIDDEN = 128
 FILED_UNDER = 2      # parts that hold a row
-PROBE_SHARE = 0.35   # share of the parts a query visits
+PROBE_SHARE = 0.6    # share of the parts a query visits
 BLOCK = 8192         # rows of one block of a part
 SLICE = 4096         # queries of one slice
 SEED = 11
