@@ -346,13 +346,16 @@ def round_half_away(x, digits: int) -> Column:
     """
     scale = float(10 ** digits)
     v = _c(x).cast("double")
-    return F.signum(v) * F.floor(F.abs(v) * scale + 0.5) / scale
+    big = F.abs(v) * scale
+    # From 2^52 on (and for NaN) there is nothing left to round, and floor() would saturate.
+    return F.when(big < float(1 << 52), F.signum(v) * F.floor(big + 0.5) / scale).otherwise(v)
 
 
 def round_half_up(x, digits: int) -> Column:
     """floor(x * 10^n + 0.5) / 10^n: engine-neutral rounding for nonnegative scores."""
     scale = float(10 ** digits)
-    return F.floor(_c(x).cast("double") * scale + 0.5) / scale
+    v = _c(x).cast("double")
+    return F.when(F.abs(v) * scale < float(1 << 52), F.floor(v * scale + 0.5) / scale).otherwise(v)
 
 
 def rate_pct(part, total) -> Column:

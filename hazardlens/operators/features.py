@@ -9,10 +9,13 @@ broadcasts when the category table is under the size threshold.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens.functions import columns as C
+from hazardlens.session import scratch_path
 
 # Column groups and the 33-feature order used at training
 # and scoring time.
@@ -151,8 +154,14 @@ def ordinal(df: DataFrame, order: list, out: str = "code") -> DataFrame:
     rows in earlier partitions - one small row per partition. The order
     must be total (unique keys), as it is for distinct values.
     """
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    spark = df.sparkSession
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    # Written before it is read on two branches: range boundaries are sampled
+    # anew on each execution, so rows and sizes must come from the same one.
+    path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
     ranged = df.repartitionByRange(int(parts), *order).withColumn("__pid", F.spark_partition_id())
+    ranged.write.parquet(path)
+    ranged = spark.read.schema(ranged.schema).parquet(path)
     local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
     sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
     offs = sizes.select("__pid", F.coalesce(F.sum("__c").over(

@@ -10,6 +10,7 @@ lineage. Scoring is ``model.transform`` over a whole table (no row cap).
 from __future__ import annotations
 
 import json
+from datetime import datetime, timezone
 import os
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -78,14 +79,14 @@ def feature_importance(spark: SparkSession, model: PipelineModel, names: list,
 
 
 def save_model(model: PipelineModel, path: str, metrics: dict | None = None,
-               names: list | None = None) -> None:
+               names: list | None = None, spark: SparkSession | None = None) -> None:
     """Model directory plus a metadata JSON (timestamp, type, metrics)."""
     model.write().overwrite().save(path)
     gbt = model.stages[-1]
     params = {"maxDepth": gbt.getMaxDepth(), "stepSize": gbt.getStepSize(), "maxIter": gbt.getMaxIter()}
-    meta = {"model_type": "GBTClassifier", "params": params, "feature_names": names or [],
+    meta = {"model_type": "GBTClassifier", "saved_at": datetime.now(timezone.utc).isoformat(), "params": params, "feature_names": names or [],
             "metrics": metrics or {}}
-    spark = SparkSession.getActiveSession()
+    spark = spark or SparkSession.getActiveSession()
     (spark.createDataFrame([(json.dumps(meta),)], "value string")
      .write.mode("overwrite").text(os.path.join(path, "_hazardlens_metadata")))
 
@@ -110,10 +111,7 @@ def metrics_dict(metrics_df: DataFrame) -> dict:
     return {k: float(v) for k, v in r.items() if v is not None}
 
 
-def evaluate(model: PipelineModel, features: DataFrame, digits: int = 6) -> DataFrame:
-    """M16 on the held-out split; scores are rounded to ``digits`` so the
-    per-score table stays bounded however many rows are scored."""
+def evaluate(model: PipelineModel, features: DataFrame) -> DataFrame:
+    """M16 on the held-out split, on the scores as they are."""
     test = FE.hash_split(features).where(F.col("split") == "test")
-    scored = score_model(model, test).withColumn("risk_score",
-                                                 C.round_half_away("risk_score", digits))
-    return SC.eval_metrics(scored)
+    return SC.eval_metrics(score_model(model, test))

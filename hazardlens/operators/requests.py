@@ -71,6 +71,8 @@ def request_features(valid: DataFrame, state_codes: DataFrame | None = None,
                      city_codes: DataFrame | None = None, unknown: int = -1) -> DataFrame:
     """Request -> the 33 model features.
 
+    Requests count weekdays from Monday = 0, the model's layout from Sunday = 0.
+
     Period from an explicit label (training map) else from the hour (request
     bands); rush hour 7-9 / 16-19; poor weather and extreme temperature from
     the numbers; weather code by two-way containment. State and city use the
@@ -91,7 +93,7 @@ def request_features(valid: DataFrame, state_codes: DataFrame | None = None,
                                         else F.lit(None), F.lit(unknown)).cast("int"))
     return out.select(
         *[c for c in ("request_id",) if c in out.columns],
-        "hour", "day_of_week", F.col("is_weekend").cast("int").alias("is_weekend"), "month",
+        "hour", C.monday0_to_sunday0("day_of_week").alias("day_of_week"), F.col("is_weekend").cast("int").alias("is_weekend"), "month",
         period.cast("int").alias("time_period_encoded"), C.is_rush_hour("hour").alias("is_rush_hour"),
         "state_encoded", "city_encoded", "latitude", "longitude", "temperature_f", "humidity_pct",
         "pressure_in", "visibility_mi", "wind_speed_mph", "precipitation_in",

@@ -974,7 +974,7 @@ _API_CODE = ("CASE WHEN weather_condition IS NULL THEN 0 ELSE "
                              for i, n in enumerate(API_WEATHER_CONDITIONS)]) + " END")
 
 ORACLE["request_features"] = with_ctes(*FEAT, ENCODED_CTE, REQ_CTE, VREQ_CTE, body=f"""
-SELECT v.request_id, v.hour, v.day_of_week, CAST(v.is_weekend AS INTEGER) AS is_weekend, v.month,
+SELECT v.request_id, v.hour, CAST((v.day_of_week + 1) % 7 AS INTEGER) AS day_of_week, CAST(v.is_weekend AS INTEGER) AS is_weekend, v.month,
   CAST(CASE WHEN v.hour >= 6 AND v.hour < 12 THEN 1 WHEN v.hour >= 12 AND v.hour < 18 THEN 2
             WHEN v.hour >= 18 AND v.hour < 22 THEN 3 ELSE 0 END AS INTEGER) AS time_period_encoded,
   CASE WHEN v.hour BETWEEN 7 AND 9 OR v.hour BETWEEN 16 AND 19 THEN 1 ELSE 0 END AS is_rush_hour,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 
 from pyspark.sql import SparkSession
 
@@ -50,9 +51,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting points at shared storage and is only read.
-    It is set here (to a fresh local folder) only when unset, which happens
-    in local tests. Sessions without a local SparkContext (Spark Connect)
-    keep whatever the server is configured with.
+    It is set here (to a fresh local folder) only when unset and the master
+    is ``local[*]``, as in tests; any other master needs the setting. Sessions
+    without a local SparkContext (Spark Connect) keep whatever the server is
+    configured with.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -62,6 +64,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None and hasattr(sc, "getCheckpointDir"):
         current = sc.getCheckpointDir()
     if not current:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder (master is {master!r})")
         import tempfile
         current = tempfile.mkdtemp(prefix="hazardlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)

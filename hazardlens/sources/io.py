@@ -33,10 +33,21 @@ BOOLEAN_FLAGS = ["Amenity", "Bump", "Crossing", "Give_Way", "Junction", "No_Exit
 
 
 def read_typed_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA,
-                   fill_flags: bool = True) -> DataFrame:
-    """CSV with header and an explicit schema (no inference pass);
-    boolean road flags that are present get null -> false."""
-    df = spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+                   fill_flags: bool = True, corrupt_column: str | None = None) -> DataFrame:
+    """CSV with header, typed by column name (no inference pass).
+
+    The header gives the columns and their order; names in ``schema`` take its
+    type, all others stay strings. Files whose header differs fail the scan.
+    With ``corrupt_column``, rows that do not parse keep their raw line there.
+    Boolean road flags that are present get null -> false."""
+    types = {f.name: f.dataType for f in schema} | {f: T.BooleanType() for f in BOOLEAN_FLAGS}
+    header = spark.read.option("header", True).csv(path).columns
+    by_name = T.StructType([T.StructField(c, types.get(c, T.StringType())) for c in header])
+    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", False)
+    if corrupt_column:
+        by_name = by_name.add(corrupt_column, T.StringType())
+        reader = reader.option("columnNameOfCorruptRecord", corrupt_column)
+    df = reader.schema(by_name).csv(path)
     if fill_flags:
         flags = {f: False for f in BOOLEAN_FLAGS if f in df.columns}
         df = df.fillna(flags) if flags else df
