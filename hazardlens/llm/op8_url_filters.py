@@ -145,7 +145,8 @@ def filter_urls(pages: DataFrame, rules=RULES, default: str = "allow") -> DataFr
     universe = base.select(F.explode(candidate_keys(shapes)).alias("key"))
     cascades = {}
     for verdict in ("allow", "block"):
-        keys = spark.createDataFrame([(h + p,) for v, h, p in rules if v == verdict], "key string")
+        names = F.lit([h + p for v, h, p in rules if v == verdict]).cast("array<string>")
+        keys = spark.range(1).select(F.explode(names).alias("key"))
         cascades[verdict] = build_cascade(keys, universe)
 
     def judged(key: Column) -> Column:
