@@ -132,11 +132,11 @@ def value_distribution(df: DataFrame, col: str, value_alias: str = "value",
                        digits: int | None = None) -> DataFrame:
     """count and percent of total per value (``digits`` rounds the percent).
 
-    The grand total is a window over the *aggregated* rows (one per
-    distinct value), so the single-partition window never sees raw rows.
+    The grand total is a scalar subquery over the aggregated rows: one
+    number reaches every task, no row does.
     """
     agg = df.groupBy(F.col(col).alias(value_alias)).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = agg.agg(F.sum("n")).scalar()
     pct = F.col("n").cast("double") * 100.0 / total
     return (agg.withColumn("pct", _rnd(pct, digits) if digits is not None else pct)
             .orderBy(value_alias))
@@ -147,7 +147,7 @@ def value_distribution(df: DataFrame, col: str, value_alias: str = "value",
 def top_categories(df: DataFrame, col: str, k: int = 10, value_alias: str = "value") -> DataFrame:
     """Top-k values by count (ties by value); also the share of all rows."""
     agg = df.groupBy(F.col(col).alias(value_alias)).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = agg.agg(F.sum("n")).scalar()
     return (agg.withColumn("pct", F.col("n").cast("double") * 100.0 / total)
             .orderBy(F.desc("n"), value_alias).limit(k))
 
@@ -307,7 +307,7 @@ def relative_risk(staged: DataFrame, by: str = "weather_condition", baseline: st
                 _count_when(F.col("is_high_severity")).alias("high_severity_count"))
            .where(F.col("n") >= min_count)
            .withColumn("rate", F.col("high_severity_count").cast("double") / F.col("n")))
-    base = F.max(F.when(F.col("category") == baseline, F.col("rate"))).over(Window.partitionBy())
+    base = agg.where(F.col("category") == baseline).agg(F.max("rate")).scalar()
     return (agg.withColumn("relative_risk", F.try_divide(F.col("rate"), base))
             .orderBy("category"))
 

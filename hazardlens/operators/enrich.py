@@ -65,13 +65,14 @@ def parse_weather_payloads(df: DataFrame, payload: str = "payload") -> DataFrame
     -> mph (0 when absent), humidity 50 when absent; each rounded as the
     service rounds (1 digit) and the code mapped to its category.
     """
-    p = F.from_json(F.col(payload), WEATHER_PAYLOAD_SCHEMA)
+    parsed = df.withColumn("_json", F.from_json(F.col(payload), WEATHER_PAYLOAD_SCHEMA))  # once per row
+    p = F.col("_json")
     temp_k = p["main"]["temp"]
     code = F.element_at(p["weather"], 1)["id"]
     ok = temp_k.isNotNull() & code.isNotNull()
     cond = C.weather_category(code)
     d = DEFAULT_WEATHER
-    return df.select(
+    return parsed.select(
         *[c for c in df.columns if c != payload],
         F.when(ok, _r1(C.kelvin_to_f(temp_k))).otherwise(d["temperature_f"]).alias("temperature_f"),
         F.when(ok, cond).otherwise(d["weather_condition"]).alias("weather_condition"),
@@ -106,9 +107,10 @@ def weather_payloads(obs: DataFrame, corrupt_every: int = 7) -> DataFrame:
 def parse_route_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Directions JSON -> flat route record from its first leg; rows missing a
     required key (leg, distance, duration, polyline) are dropped."""
-    p = F.from_json(F.col(payload), ROUTE_PAYLOAD_SCHEMA)
+    parsed = df.withColumn("_json", F.from_json(F.col(payload), ROUTE_PAYLOAD_SCHEMA))  # once per row
+    p = F.col("_json")
     leg = F.element_at(p["legs"], 1)
-    out = df.select(
+    out = parsed.select(
         *[c for c in df.columns if c != payload],
         leg["distance"]["text"].alias("distance_text"),
         leg["distance"]["value"].alias("distance_meters"),

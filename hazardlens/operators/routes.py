@@ -9,19 +9,17 @@ Partitioning notes (1000-executor scale):
 * W3 pairs each point with its predecessor through an equi-join on the
   unique key (route_id, seq) - no window partitioned by route, so a very
   long route never lands in one task.
-* R1 (the resetting 1-mile sampler) is inherently sequential per route: its
-  output depends on the distance accumulated since the last kept point. It
-  runs as one JVM fold over that route's ordered step distances (one
-  shuffle; the distances themselves are a codegen'd lag window). A
-  route's size is bounded by its geometry (one directions polyline), not
-  by the table size; at ~40 bytes a point even a 10-million-point route is
-  a 400 MB array in one task.
+* R1 (the resetting 1-mile sampler) is sequential per route: its output
+  depends on the distance accumulated since the last kept point. Sorted rows
+  stream through one linear pass; a task holds a batch, never a route.
 * Candidate hours are generated with ``explode`` (no join), and scoring
   happens once per (route, hour, segment).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,64 +66,89 @@ def route_lengths(wp: DataFrame) -> DataFrame:
 
 # R1 / W4 / W5 --------------------------------------------------------------
 
+def _next_hits(d: np.ndarray, lo: int, hi: int, travelled: float, interval: float) -> tuple[list, float]:
+    """Positions in [lo, hi) where the distance since the last one reaches the
+    interval, and the distance left at the end. Sums run in row order."""
+    hits, at, width = [], lo, 16
+    while at < hi:
+        end = min(at + width, hi)
+        total = np.add.accumulate(np.concatenate(([travelled], d[at:end])))[1:]
+        reached = total >= interval
+        k = int(reached.argmax())
+        if reached[k]:
+            hits.append(at + k)
+            travelled, at, width = 0.0, at + k + 1, 16
+        else:
+            travelled, at, width = float(total[-1]), end, 2 * width
+    return hits, travelled
+
+
+_SAMPLED = ["trip_id", "route_id", "segment_index", "seq", "lat", "lon"]
+
+
+def _sampler(interval: float):
+    """Walks sorted waypoints batch by batch; only the state of the route at
+    hand is carried on, whatever its length."""
+    def run(batches):
+        first = kept = last = None
+        index, travelled, out = 0, 0.0, []
+
+        def keep(row):
+            nonlocal index, kept
+            out.append((row[0], row[1], index, *row[2:]))
+            index, kept = index + 1, row
+
+        def close():
+            if last is not None and not (last[3] == kept[3] and last[4] == kept[4]):
+                keep(last)
+
+        for pdf in batches:
+            nth, d = pdf["nth"].to_numpy(), pdf["d"].to_numpy(dtype="float64", na_value=np.nan)
+            values = [pdf[c].array for c in ("trip_id", "route_id", "seq", "lat", "lon")]
+            edges = np.union1d(np.flatnonzero(nth == 1), [0, len(pdf)]).tolist() if len(pdf) else []
+            for lo, hi in zip(edges, edges[1:]):
+                if nth[lo] == 1:
+                    close()
+                    first, kept, last = tuple(v[lo] for v in values), None, None
+                    index, travelled, lo = 0, 0.0, lo + 1
+                if lo == hi:
+                    continue
+                if kept is None:
+                    keep(first)
+                hits, travelled = _next_hits(d, lo, hi, travelled, interval)
+                for i in hits:
+                    keep(tuple(v[i] for v in values))
+                last = tuple(v[hi - 1] for v in values)
+            yield pd.DataFrame(out, columns=_SAMPLED)
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=_SAMPLED)
+
+    return run
+
+
 def sample_waypoints(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI) -> DataFrame:
     """Keep the first point, every point where the distance accumulated since
     the last kept point reaches ``interval_mi`` (then reset), and the last
     point if its coordinates differ from the last kept one. Routes with
     fewer than two points produce no segments.
 
-    One shuffle: step distances come from a ``lag`` window partitioned by
-    route (whole-stage codegen), and the group-by on the same keys reuses
-    that partitioning; a JVM fold then walks each route's ordered steps
-    doing only additions and comparisons. Accumulation is sequential, so
-    results equal a plain loop bit for bit.
+    One shuffle and one linear pass for routes of any length: the rows of a
+    route meet in one partition, sorted, and stream through in Arrow batches;
+    a task holds one batch and the distance since the last kept point. Step
+    distances come from a ``lag`` window over the same partitioning. Sums are
+    sequential, so results equal a plain loop bit for bit.
 
     Output: (trip_id, route_id, segment_index, seq, lat, lon).
     """
     keys = ["trip_id", "route_id"]
     w = Window.partitionBy(*keys).orderBy("seq")
-    steps = wp.withColumn("d", C.haversine_miles(F.lag("lat").over(w), F.lag("lon").over(w),
-                                                 F.col("lat"), F.col("lon")))
-    per_route = (steps.groupBy(*keys)
-                 .agg(F.array_sort(F.collect_list(F.struct("seq", "lat", "lon", "d"))).alias("pts"))
-                 .where(F.size("pts") >= 2))
-    pts = F.col("pts")
-    # The fold carries only the running distance, a position counter and the
-    # kept positions (ints); points are looked up once at the end.
-    init = F.struct(F.lit(0.0).alias("acc"), F.lit(1).alias("i"), F.array(F.lit(1)).alias("kept"))
-
-    def step(state, p):
-        total = state["acc"] + p["d"]
-        hit = total >= F.lit(interval_mi)
-        i = state["i"] + 1
-        return F.struct(F.when(hit, F.lit(0.0)).otherwise(total).alias("acc"), i.alias("i"),
-                        F.when(hit, F.array_append(state["kept"], i)).otherwise(state["kept"]).alias("kept"))
-
-    pos = F.aggregate(F.slice(pts, 2, F.size(pts) - 1), init, step)["kept"]
-    last = F.element_at(pts, -1)
-    last_kept = F.element_at(pts, F.element_at(pos, -1))
-    same = (last_kept["lat"] == last["lat"]) & (last_kept["lon"] == last["lon"])
-    pos = F.when(same, pos).otherwise(F.array_append(pos, F.size(pts)))
-    kept = F.transform(pos, lambda k: F.element_at(pts, k))
-    return (per_route.select(*keys, F.posexplode(kept).alias("segment_index", "p"))
-            .select(*keys, "segment_index", "p.seq", "p.lat", "p.lon"))
-
-
-def sample_waypoints_any_length(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI,
-                                long_route_points: int = 200_000, block: int = 4096) -> DataFrame:
-    """R1 for routes of any length: routes up to ``long_route_points`` points
-    use the single-task fold above; longer ones use the exact block-parallel
-    sampler (``route_sampling.sample_long_routes``), so no task ever gathers
-    a huge route. Both give the same result as a sequential loop."""
-    from hazardlens.operators.route_sampling import sample_long_routes
-    sizes = wp.groupBy("route_id").agg(F.count(F.lit(1)).alias("__n"))
-    long_ids = sizes.where(F.col("__n") > long_route_points).select("route_id")
-    if long_ids.limit(1).count() == 0:
-        return sample_waypoints(wp, interval_mi)
-    short = wp.join(long_ids, "route_id", "left_anti")
-    long = wp.join(long_ids, "route_id", "left_semi")
-    return (sample_waypoints(short, interval_mi)
-            .unionByName(sample_long_routes(long, interval_mi, block=block)))
+    steps = (wp.repartition(*keys)
+             .select(*keys, "seq", "lat", "lon", F.row_number().over(w).alias("nth"),
+                     C.haversine_miles(F.lag("lat").over(w), F.lag("lon").over(w), F.col("lat"), F.col("lon")).alias("d"))
+             .sortWithinPartitions(*keys, "seq"))
+    kinds = {f.name: f.dataType.simpleString() for f in wp.schema} | {"segment_index": "int"}
+    return steps.mapInPandas(_sampler(interval_mi), ", ".join(f"{c} {kinds[c]}" for c in _SAMPLED))
 
 
 # M15 -----------------------------------------------------------------------

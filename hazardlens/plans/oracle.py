@@ -912,8 +912,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start,
   time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR AS window_end,
   event_type, COUNT(*) AS n, ROUND(SUM(value), 6) AS value_sum
 FROM events
-GROUP BY 1, 2, 3
-HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT MAX(ts) FROM events) - INTERVAL 30 MINUTE"""
+GROUP BY 1, 2, 3"""
 
 ORACLE["layer_sizes"] = with_ctes(*BASE, LOCATION_CTE, TEMPORAL_CTE, WEATHER_CTE, body="""
 SELECT 'raw.accidents' AS "table", COUNT(*) AS rows FROM incidents
@@ -1070,9 +1069,7 @@ SELECT time_bucket(INTERVAL 1 HOUR, start_time) AS window_start,
   COUNT(*) AS accident_count, ROUND(AVG("Severity"), 6) AS avg_severity,
   CAST(SUM(CASE WHEN is_high_severity THEN 1 ELSE 0 END) AS BIGINT) AS high_severity_count
 FROM staged
-GROUP BY 1, 2
-HAVING time_bucket(INTERVAL 1 HOUR, start_time) + INTERVAL 1 HOUR
-       <= (SELECT MAX(start_time) FROM staged) - INTERVAL 30 MINUTE""")
+GROUP BY 1, 2""")
 
 
 def _top_sql(col):

@@ -14,6 +14,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hazardlens.functions import columns as C
 from hazardlens.operators import scoring as SC
@@ -63,6 +64,27 @@ def _run(df: DataFrame, name: str, mode: str = "append", trigger: dict | None =
     return os.path.join(base, "out")
 
 
+def _run_windows(df: DataFrame, name: str, keys: list, run_id: str | None = None) -> DataFrame:
+    """Run a windowed aggregation in update mode and read back the newest
+    state of every window, the still open ones included. Each micro-batch
+    writes the windows it changed under its own number, so a replayed batch
+    overwrites itself; the watermark bounds the state as in append mode."""
+    tag = run_id or uuid.uuid4().hex[:12]
+    base = os.path.join(checkpoint_dir(df.sparkSession), "streams", f"{name}-{tag}")
+    out = os.path.join(base, "out")
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch}"))
+
+    q = (df.writeStream.outputMode("update").option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .foreachBatch(write).trigger(availableNow=True).start())
+    q.awaitTermination()
+    values = [c for c in df.columns if c not in keys]
+    stored = df.sparkSession.read.schema(T.StructType([*df.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
+    return (stored.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("v"))
+            .select(*keys, *[F.col(f"v.{c}").alias(c) for c in values]))
+
+
 def streaming_rule_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents arriving as a stream are staged and rule-scored.
 
@@ -107,10 +129,10 @@ def hourly_event_profile_stream(events: DataFrame, watermark: str = WATERMARK,
 
 
 def hourly_event_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run the windowed aggregation as an append-mode stream to completion
-    and read the emitted (final) windows back."""
-    out = _run(hourly_event_profile_stream(events_stream(spark, sf_dir)), "hourly-events")
-    return spark.read.parquet(out)
+    """Run the windowed aggregation as a stream over all available events
+    and read every window back."""
+    return _run_windows(hourly_event_profile_stream(events_stream(spark, sf_dir)), "hourly-events",
+                        ["window_start", "window_end", "event_type"])
 
 
 def hourly_incident_profile_stream(staged: DataFrame, watermark: str = WATERMARK,
@@ -134,5 +156,5 @@ def hourly_incident_profile_stream(staged: DataFrame, watermark: str = WATERMARK
 def hourly_incident_window(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
     """Incidents streamed through staging into watermarked hourly windows."""
     staged = S.stage_incidents(FX.incidents_from_events(spark, sf_dir, events_stream(spark, sf_dir)))
-    out = _run(hourly_incident_profile_stream(staged), "hourly-incidents", run_id=run_id)
-    return spark.read.parquet(out)
+    return _run_windows(hourly_incident_profile_stream(staged), "hourly-incidents",
+                        ["window_start", "window_end"], run_id=run_id)

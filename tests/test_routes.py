@@ -99,34 +99,40 @@ def test_advice_orders_safest_first(spark):
     assert rows[2].recommendation == "Higher risk - 20.0 points less safe"
 
 
-def test_block_parallel_sampler_matches_loop(spark):
-    """The exact block-parallel sampler equals the loop for any block size,
-    including blocks shorter than a mile (forcing look-ahead growth) and
-    chains that jump over whole blocks."""
-    from hazardlens.operators.route_sampling import sample_long_routes
+def test_sampler_carries_state_over_batches(spark):
+    """Routes cut at any place by Arrow batches equal the loop; single points
+    make no segments."""
     dense = [(33.4 + i * 0.004, -111.9 + (i % 5) * 0.003) for i in range(230)]
     sparse = [(33.0 + i * 0.03, -111.0) for i in range(40)]          # ~2 miles per step
     dup_end = MOCK_14 + [MOCK_14[-1]]                                   # last point repeated
     ultra = [(33.0 + i * 0.0004, -111.0) for i in range(300)]          # ~36 points per mile
-    routes = [MOCK_14, dense, sparse, dup_end, MOCK_5, ultra]
-    wp = _routes_df(spark, routes)
-    for block in (3, 7, 64):
-        got = sample_long_routes(wp, block=block).orderBy("route_id", "segment_index").collect()
-        for rid, pts in enumerate(routes):
-            mine = [(r.lat, r.lon) for r in got if r.route_id == rid]
-            assert mine == _brute_sample(pts), (block, rid)
-            idx = [r.segment_index for r in got if r.route_id == rid]
-            assert idx == list(range(len(idx)))
-
-
-def test_dispatcher_uses_both_paths(spark):
-    dense = [(33.4 + i * 0.004, -111.9 + (i % 5) * 0.003) for i in range(230)]
-    routes = [MOCK_14, dense, MOCK_5]
-    wp = _routes_df(spark, routes)
-    got = R.sample_waypoints_any_length(wp, long_route_points=100, block=16) \
-        .orderBy("route_id", "segment_index").collect()
-    for rid, pts in enumerate(routes):
-        assert [(r.lat, r.lon) for r in got if r.route_id == rid] == _brute_sample(pts)
+    single = [(33.0, -111.0)]
+    routes = [MOCK_14, single, dense, sparse, dup_end, single, MOCK_5, ultra]
+    wp = _routes_df(spark, routes).repartition(3)
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch in (1, 2, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+            got = R.sample_waypoints(wp).orderBy("route_id", "segment_index").collect()
+            for rid, pts in enumerate(routes):
+                mine = [(r.lat, r.lon) for r in got if r.route_id == rid]
+                assert mine == (_brute_sample(pts) if len(pts) > 1 else []), (batch, rid)
+                assert [r.segment_index for r in got if r.route_id == rid] == list(range(len(mine)))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_sampler_long_route(spark):
+    """A route of 100,000 points, about one a mile, in one linear pass."""
+    wp = spark.range(100_000).selectExpr("0L AS trip_id", "0L AS route_id", "CAST(id AS INT) AS seq",
+                                         "(id % 1000) * 0.015 AS lat", "-111.0D AS lon")
+    wp = wp.withColumn("lat", wp.lat.cast("double"))
+    got = R.sample_waypoints(wp)
+    assert got.count() == 100_000 == got.agg({"segment_index": "max"}).first()[0] + 1
+
+
+def test_sampler_empty(spark):
+    assert R.sample_waypoints(_routes_df(spark, [])).count() == 0
 
 
 def _brute_dedup(ids, similar, initial=1, cap=3):

@@ -89,3 +89,21 @@ def test_asof_excludes_same_instant_and_stale(spark):
                                 "point_id long, lat double, lon double, ts timestamp_ntz")
     got = {r.point_id: r.obs_id for r in EN.freshest_weather(pts, obs).collect()}
     assert got == {10: 4, 11: None}
+
+
+def test_windows_hold_every_event(spark, tmp_path):
+    """Open windows are read back too, and a window fed by several batches
+    keeps its newest state."""
+    import datetime as dt
+    from hazardlens.streaming import stream as ST
+    src = str(tmp_path / "in")
+    at = dt.datetime(2024, 1, 1, 8, 0)
+    for part in range(3):
+        rows = [(at + dt.timedelta(minutes=10 * i + part), "click", 1.0) for i in range(12)]
+        spark.createDataFrame(rows, "ts timestamp_ntz, event_type string, value double").coalesce(1) \
+            .write.mode("append").parquet(src)
+    ev = (spark.readStream.schema("ts timestamp_ntz, event_type string, value double")
+          .option("maxFilesPerTrigger", 1).parquet(src))
+    got = ST._run_windows(ST.hourly_event_profile_stream(ev, watermark="1 day"), "whole-test",
+                          ["window_start", "window_end", "event_type"]).orderBy("window_start").collect()
+    assert [(r.window_start.hour, r.n, r.value_sum) for r in got] == [(8, 18, 18.0), (9, 18, 18.0)]
