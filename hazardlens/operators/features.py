@@ -9,13 +9,11 @@ broadcasts when the category table is under the size threshold.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.functions import columns as C
-from hazardlens.session import scratch_path
+from hazardlens.operators.running import running_sums
 
 # Column groups and the 33-feature order used at training
 # and scoring time.
@@ -149,26 +147,11 @@ def ordinal(df: DataFrame, order: list, out: str = "code") -> DataFrame:
     """0-based position of every row in a total order, computed without a
     single-partition window.
 
-    Rows are range-partitioned on the order (partition i holds the i-th key
-    range), numbered inside their partition, and shifted by the number of
-    rows in earlier partitions - one small row per partition. The order
-    must be total (unique keys), as it is for distinct values.
+    Made of running sums; the order must be total (unique keys), as it is for
+    distinct values.
     """
-    spark = df.sparkSession
-    parts = spark.conf.get("spark.sql.shuffle.partitions")
-    # Written before it is read on two branches: range boundaries are sampled
-    # anew on each execution, so rows and sizes must come from the same one.
-    path = scratch_path(spark, f"ranged-{uuid.uuid4().hex}")
-    ranged = df.repartitionByRange(int(parts), *order).withColumn("__pid", F.spark_partition_id())
-    ranged.write.parquet(path)
-    ranged = spark.read.schema(ranged.schema).parquet(path)
-    local = ranged.withColumn("__r", F.row_number().over(Window.partitionBy("__pid").orderBy(*order)))
-    sizes = local.groupBy("__pid").agg(F.count(F.lit(1)).alias("__c"))
-    offs = sizes.select("__pid", F.coalesce(F.sum("__c").over(
-        Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__off"))
-    return (local.join(F.broadcast(offs), "__pid")
-            .withColumn(out, (F.col("__off") + F.col("__r") - 1).cast("int"))
-            .drop("__pid", "__r", "__off"))
+    placed = running_sums(df.withColumn("__one", F.lit(1)), order, {"__at": "__one"})
+    return placed.withColumn(out, (F.col("__at") - 1).cast("int")).drop("__one", "__at")
 
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:

@@ -380,21 +380,16 @@ def best_window(hourly: DataFrame) -> DataFrame:
 def extreme_segments(seg_scores: DataFrame, k: int = 3) -> DataFrame:
     """Top-k riskiest and k safest segments of each route (ties by index).
 
-    Each side is a single ``row_number() <= k`` filter, which Spark turns
-    into a map-side WindowGroupLimit: a route with millions of segments
-    ships only k rows per task into the shuffle. The two sides are merged
-    per segment with a group-by (a segment can rank on both sides).
+    Both ranks come from one pass over the scored segments: two windows over
+    one partitioning by route.
     """
-    base = seg_scores.select("trip_id", "route_id", "segment_index", "risk_score")
     hi = Window.partitionBy("route_id").orderBy(F.desc("risk_score"), "segment_index")
     lo = Window.partitionBy("route_id").orderBy("risk_score", "segment_index")
-    top = (base.withColumn("top_rank", F.row_number().over(hi)).where(F.col("top_rank") <= k)
-           .withColumn("bottom_rank", F.lit(None).cast("int")))
-    bottom = (base.withColumn("bottom_rank", F.row_number().over(lo)).where(F.col("bottom_rank") <= k)
-              .withColumn("top_rank", F.lit(None).cast("int")))
-    return (top.unionByName(bottom)
-            .groupBy("trip_id", "route_id", "segment_index", "risk_score")
-            .agg(F.max("top_rank").alias("top_rank"), F.max("bottom_rank").alias("bottom_rank")))
+    top, bottom = F.col("top_rank"), F.col("bottom_rank")
+    return (seg_scores.select("trip_id", "route_id", "segment_index", "risk_score",
+                              F.row_number().over(hi).alias("top_rank"), F.row_number().over(lo).alias("bottom_rank"))
+            .where((top <= k) | (bottom <= k))
+            .withColumn("top_rank", F.when(top <= k, top)).withColumn("bottom_rank", F.when(bottom <= k, bottom)))
 
 
 # J3 / W8 / C18 / D3 / R10 / L6 ----------------------------------------------------------

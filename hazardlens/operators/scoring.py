@@ -9,10 +9,11 @@ table, so the raw rows are shuffled once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hazardlens.functions import columns as C
+from hazardlens.operators.running import running_sums
 
 # Rule-scorer weights in hundredths (0.35 base, clamp .05-.95).
 RULE_BASE = 35
@@ -105,16 +106,10 @@ def confusion_counts(st: DataFrame, threshold: float = 0.5) -> DataFrame:
 def _with_auc_terms(st: DataFrame) -> DataFrame:
     """Per distinct score, its rank-sum AUC term pos * (negatives below + neg / 2).
 
-    The cumulative window runs over the distinct-score table only."""
-    w = Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("neg").over(w), F.lit(0))
-    return st.withColumn("c", F.col("pos").cast("double") * (below.cast("double") + F.col("neg") * 0.5))
-
-
-def auc_from_table(st: DataFrame) -> DataFrame:
-    """ROC-AUC by the rank-sum rule with ties counted half, over distinct scores."""
-    return _with_auc_terms(st).agg(
-        F.try_divide(F.sum("c"), F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
+    Negatives below are running sums over the range-partitioned scores."""
+    run = running_sums(st, [F.asc("score")], {"__upto": "neg"})
+    below = (F.col("__upto") - F.col("neg")).cast("double")
+    return run.withColumn("c", F.col("pos").cast("double") * (below + F.col("neg") * 0.5)).drop("__upto")
 
 
 def eval_metrics(scored: DataFrame, label: str = "is_high_severity", score: str = "risk_score",
@@ -180,13 +175,11 @@ def roc_points(scored: DataFrame, label: str = "is_high_severity",
                score: str = "risk_score") -> DataFrame:
     """(threshold, fpr, tpr) at every distinct score, highest first."""
     st = score_table(scored, label, score)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return (st.select(F.col("score").alias("threshold"),
-                      F.try_divide(F.sum("neg").over(w).cast("double"),
-                                   F.sum("neg").over(tot).cast("double")).alias("fpr"),
-                      F.try_divide(F.sum("pos").over(w).cast("double"),
-                                   F.sum("pos").over(tot).cast("double")).alias("tpr"))
+    run = running_sums(st, [F.desc("score")], {"__neg": "neg", "__pos": "pos"})
+    neg, pos = st.agg(F.sum("neg").cast("double")).scalar(), st.agg(F.sum("pos").cast("double")).scalar()
+    return (run.select(F.col("score").alias("threshold"),
+                       F.try_divide(F.col("__neg").cast("double"), neg).alias("fpr"),
+                       F.try_divide(F.col("__pos").cast("double"), pos).alias("tpr"))
             .orderBy(F.desc("threshold")))
 
 

@@ -40,3 +40,17 @@ def test_rounding_of_large_values_and_nan(spark, fn):
     got = [r[0] for r in df.select(fn("x", 6)).collect()]
     assert got[0] == 1e15 and got[1] == 0.0 and math.isnan(got[2]) and got[3] is None
     assert got[4] == pytest.approx(12.345679, abs=1e-6)
+
+
+def test_running_sums_without_exchange_reuse(spark):
+    """Sums over many keys and partitions are right, whatever the optimiser reuses."""
+    from hazardlens.operators.running import running_sums
+    df = spark.range(300_000).select(F.xxhash64("id").alias("k"), (F.col("id") % 7).alias("v"))
+    before = spark.conf.get("spark.sql.exchange.reuse")
+    try:
+        spark.conf.set("spark.sql.exchange.reuse", "false")
+        got = running_sums(df, [F.col("k")], {"upto": "v"}).toPandas().sort_values("k")
+    finally:
+        spark.conf.set("spark.sql.exchange.reuse", before)
+    assert len(got) == 300_000
+    assert (got["upto"] == got["v"].cumsum()).all()
