@@ -242,13 +242,6 @@ def numeric_summary(df: DataFrame, cols: list, exact: bool = True, distributed:
                        F.col("q")[2].alias("p75"), "max")
 
 
-def median_of(df: DataFrame, cols: list, exact: bool = True) -> DataFrame:
-    """One-row medians of several columns."""
-    if exact:
-        return df.agg(*[F.median(F.col(c).cast("double")).alias(c) for c in cols])
-    return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, 10000).alias(c) for c in cols])
-
-
 # A18 -----------------------------------------------------------------------
 
 def mode_of(df: DataFrame, cols: list) -> DataFrame:

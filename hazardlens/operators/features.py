@@ -224,10 +224,6 @@ def select_final(df: DataFrame) -> DataFrame:
                        for c in present])
 
 
-def missing_features(df: DataFrame) -> list:
-    return [c for c in [ID_COL] + FEATURE_ORDER + [LABEL_COL] if c not in df.columns]
-
-
 def feature_table(staged: DataFrame, exact: bool = True, compat_periods: bool = True) -> DataFrame:
     """staging -> F11 -> M1-M4 -> M5/M6/C8 -> M7 -> M8."""
     src = impute(feature_source(staged), exact)
