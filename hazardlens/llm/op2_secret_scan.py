@@ -10,8 +10,8 @@ by how sensitive its target names are and how much it looks like a value
 drawn at random. A literal that scores ``THRESHOLD`` or more is a span, at
 the place where it is written, unless a pattern span covers it.
 
-Null text counts as empty: no spans. Texts are scanned whole; offsets are
-code points, ends exclusive. Equal texts have equal spans. An empty table
+Null text counts as empty: no spans. Texts are scanned whole, literals of any
+length included, in time linear in the text; offsets are code points, ends exclusive. Equal texts have equal spans. An empty table
 gives an empty result; other columns are passed on by ``redacted`` and
 dropped by the scan.
 """
@@ -37,7 +37,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so shorter ones never ma
 KINDS = ("assign", "access", "hex", "literal")
 
 THRESHOLD = 0.5
-MAX_LITERAL = 4096  # longer literals are data, not secrets
+LONG = 4096  # in longer literals marks of placeholders ("xxxx", "${") turn up by chance
 
 # How sensitive a word of a target name is.
 SENSITIVE = {
@@ -58,8 +58,8 @@ EMPTY_VALUES = frozenset("none null nil true false undefined changeme password s
 
 _OPERATOR = re.compile(r"==+|!=|<=|>=|:=|=>|=|:(?!:|//)|(?<=:):")
 _NAME = re.compile(r"""(?:["'\[])?([A-Za-z_$][\w$]{0,63}(?:[.-][A-Za-z_]\w{0,63}){0,4})["'\]]{0,2}\x20{0,8}$""", re.ASCII)
-_STRING = re.compile(r'''[fFrRbBuU]{0,2}(?:"((?:[^"\\\n]|\\.){0,%d})"|'((?:[^'\\\n]|\\.){0,%d})'|`([^`\n]{0,%d})`)''' % ((MAX_LITERAL,) * 3))
-_BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>#]{1,%d}" % MAX_LITERAL)
+_STRING = re.compile(r'''[fFrRbBuU]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)''')
+_BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>#]++")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_]\w*)*", re.ASCII)
 _PLUS = re.compile(r"\x20{0,8}\+\x20{0,8}")
 _GAP = re.compile(r"[\x20\t]{0,8}")
@@ -109,58 +109,69 @@ def name_score(name: str) -> float:
 def value_score(value: str) -> float:
     """How much a literal looks drawn at random: 0 for placeholders and prose."""
     v = value.strip()
-    if len(v) < 6 or v.lower() in EMPTY_VALUES or re.search(r"\s|\$\{|\{\{|<[^>]+>|%\(|\*{3}|[xX]{4}|\.{3}|^(your|my|the)[_-]", v):
+    if len(v) < 6 or v.lower() in EMPTY_VALUES or re.search(r"\s", v) or _POSSESSIVE.match(v):
         return 0.0
-    counts = Counter(v)
-    bits = -sum(c / len(v) * math.log2(c / len(v)) for c in counts.values())
-    kinds = sum(bool(re.search(p, v)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w]"))
-    return min(1.0, bits / 4.0) * (0.55 if kinds == 1 else 0.85 if kinds == 2 else 1.0) * min(1.0, len(v) / 10)
+    if len(v) <= LONG and re.search(r"\$\{|\{\{|<[^>]+>|%\(|\*{3}|[xX]{4}|\.{3}", v):
+        return 0.0
+    return _drawn(Counter(v))
+
+
+_POSSESSIVE = re.compile(r"(your|my|the)[_-]")
+
+
+def _drawn(counts: Counter) -> float:
+    """How random characters with these counts look."""
+    n = sum(counts.values())
+    bits = -sum(c / n * math.log2(c / n) for c in counts.values())
+    used = "".join(counts)
+    kinds = sum(bool(re.search(p, used)) for p in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w]"))
+    return min(1.0, bits / 4.0) * (0.55 if kinds == 1 else 0.85 if kinds == 2 else 1.0) * min(1.0, n / 10)
 
 
 class _Value(NamedTuple):
-    text: str
     spans: tuple[tuple[int, int], ...]
+    bare: bool = False
 
 
 def pairs(text: str) -> list[tuple[str, _Value]]:
     """Name-literal pairs in order; constants stand for their literals."""
     known: dict[str, _Value] = {}
     out: list[tuple[str, _Value]] = []
+    run = [0, 0, 0]  # the last bare run: where it begins, ends, and ends without punctuation
     for m in _OPERATOR.finditer(text):
         if m.group() not in ("=", ":", ":=", "=>"):
             continue
         name = _NAME.search(text[max(0, m.start() - 400):m.start()])
         if not name:
             continue
-        value = _read(text, m.end(), known)
+        value = _read(text, m.end(), known, run)
         if value:
             known[name.group(1)] = value
             out.append((name.group(1), value))
     return out
 
 
-def _read(text: str, at: int, known: dict[str, _Value]) -> _Value | None:
+def _read(text: str, at: int, known: dict[str, _Value], run: list[int]) -> _Value | None:
     """The value behind an operator: literals and known constants joined by ``+``."""
-    parts: list[str] = []
     spans: list[tuple[int, int]] = []
     at = _GAP.match(text, at).end()
     while True:
         if m := _STRING.match(text, at):
-            g = m.lastindex
-            parts.append(m.group(g))
-            spans.append(m.span(g))
+            spans.append(m.span(m.lastindex))
         elif (m := _IDENTIFIER.match(text, at)) and m.group() in known:
-            parts.append(known[m.group()].text)
             spans.extend(known[m.group()].spans)
-        elif not parts and (m := _BARE.match(text, at)):
-            return _Value(m.group().rstrip(".,;"), ((m.start(), m.start() + len(m.group().rstrip(".,;"))),))
+        elif not spans and (run[0] <= at < run[1] or _BARE.match(text, at)):
+            if not run[0] <= at < run[1]:  # values in one run end where it ends: each run is read once
+                m = _BARE.match(text, at)
+                run[:] = m.start(), m.end(), m.start() + len(m.group().rstrip(".,;"))
+            return _Value(((at, max(at, run[2])),), True)
         else:
             break
         more = _PLUS.match(text, m.end())
         if not more:
             break
         at = more.end()
-    return _Value("".join(parts), tuple(spans)) if parts else None
+    return _Value(tuple(spans)) if spans else None
 
 
 def literal_spans(text: str) -> set[tuple[int, int]]:
@@ -168,9 +179,25 @@ def literal_spans(text: str) -> set[tuple[int, int]]:
     found: set[tuple[int, int]] = set()
     if "=" not in text and ":" not in text:
         return found
+    scores: dict[tuple[tuple[int, int], ...], float] = {}
+    rest, upto, counts = -1, 0, Counter()  # characters of a long bare run from ``upto`` to its end at ``rest``
     for name, value in pairs(text):
         s = name_score(name)
-        if s >= THRESHOLD and s * value_score(value.text) >= THRESHOLD:
+        if s < THRESHOLD:
+            continue
+        if value.spans not in scores:
+            start, end = value.spans[0]
+            if value.bare and end - start > LONG:  # such values nest: count their run once
+                if end == rest:
+                    counts.subtract(text[upto:start])
+                    counts = +counts
+                else:
+                    rest, counts = end, Counter(text[start:end])
+                upto = start
+                scores[value.spans] = 0.0 if _POSSESSIVE.match(text, start) else _drawn(counts)
+            else:
+                scores[value.spans] = value_score("".join(text[a:b] for a, b in value.spans))
+        if s * scores[value.spans] >= THRESHOLD:
             found.update(x for x in value.spans if x[1] > x[0])
     return found
 

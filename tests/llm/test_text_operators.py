@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -97,6 +98,30 @@ def test_lexer_propagates_constants_and_scores_names():
     assert o2.redact("nothing: here") == "nothing: here" and o2.redact(None) is None
 
 
+@pytest.mark.parametrize("size", [5_000, 100_000])
+def test_long_literals_are_read_whole(size):
+    rnd = random.Random(size)
+    key = "".join(rnd.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(size))
+    for quote in ('"', "'", "`", ""):
+        text = f"db_pwd = {quote}{key}{quote}\nnext line"
+        at = text.index(key)
+        assert (at, at + size) in o2.literal_spans(text)
+        assert o2.redact(text) == f"db_pwd = {quote}[SECRET]{quote}\nnext line"
+    assert not o2.literal_spans(f'title = "{key}"') and not o2.literal_spans('credentials = "' + "some words " * (size // 10) + '"')
+    escaped = 'credentials = "' + key + '\\"' * size + '"'
+    assert o2.redact(escaped) == 'credentials = "[SECRET]"'
+
+
+def test_literals_are_read_in_linear_time():
+    for text in ("db_pwd=Zx9" * 30_000, 'db_pwd="' * 50_000, "db_pwd='\\" * 50_000, 'db_pwd="' + "<{$" * 50_000):
+        began = time.process_time()
+        o2.redact(text)
+        assert time.process_time() - began < 20
+    nested = "db_pwd=Zx9!kLmP02qq;" + "auth=Zx9" * 600
+    assert o2.literal_spans(nested) == {(7, 19)} | {(i + 5, len(nested)) for i in range(20, len(nested), 8) if o2.value_score(
+        nested[i + 5:]) * 0.6 >= o2.THRESHOLD}
+
+
 def test_scan_odd_cases(docs, empty):
     got = rows(o2.scanned(docs))
     assert len(got) == docs.count()
