@@ -4,8 +4,9 @@ Pattern spans come first: assignments to a few sensitive names, access key
 ids and long hex runs (``base_spans``). The lexer then reads source and
 configuration syntax around every assignment operator into name-literal
 pairs (``name = "x"``, ``name: x``, ``"name": "x"``, ``name := x``,
-``name => x``, ``name="x"`` attributes), joins literals written with ``+``,
-carries constants to the names they are assigned to, and scores each literal
+``name => x``, ``name="x"`` attributes, ``name: type = x``), with any run of
+blanks and tabs around operators, joins literals written with ``+``, carries
+constants to the names they are assigned to, and scores each literal
 by how sensitive its target names are and how much it looks like a value
 drawn at random. A literal that scores ``THRESHOLD`` or more is a span, at
 the place where it is written, unless a pattern span covers it.
@@ -57,12 +58,13 @@ EMPTY_VALUES = frozenset("none null nil true false undefined changeme password s
                          "todo default string required optional unknown".split())
 
 _OPERATOR = re.compile(r"==+|!=|<=|>=|:=|=>|=|:(?!:|//)|(?<=:):")
-_NAME = re.compile(r"""(?:["'\[])?([A-Za-z_$][\w$]{0,63}(?:[.-][A-Za-z_]\w{0,63}){0,4})["'\]]{0,2}\x20{0,8}$""", re.ASCII)
+_NAME = re.compile(r"""(?:["'\[])?([A-Za-z_$][\w$]{0,63}(?:[.-][A-Za-z_]\w{0,63}){0,4})["'\]]{0,2}$""", re.ASCII)
 _STRING = re.compile(r'''[fFrRbBuU]{0,2}(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`)''')
 _BARE = re.compile(r"[^\s,;\"'`(){}\[\]<>#]++")
 _IDENTIFIER = re.compile(r"[A-Za-z_$][\w$]*(?:\.[A-Za-z_]\w*)*", re.ASCII)
-_PLUS = re.compile(r"\x20{0,8}\+\x20{0,8}")
-_GAP = re.compile(r"[\x20\t]{0,8}")
+_PLUS = re.compile(r"[\x20\t]*+\+[\x20\t]*+")
+_GAP = re.compile(r"[\x20\t]*+")
+_TYPE = re.compile(r"""[\x20\t]*+(?:[&*?]|'\w++[\x20\t]++|(?:mut|const|dyn)[\x20\t]++)*+["']?[\w.:$]++["']?[?!]?[\x20\t]*+""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -133,21 +135,69 @@ class _Value(NamedTuple):
     bare: bool = False
 
 
+class _Annotation:
+    """The name before a ``:`` that may begin a type, and what follows it:
+    the type with its brackets' content as one ``_``."""
+
+    def __init__(self, name: str, at: int):
+        self.name, self.at, self.depth, self.top = name, at, 0, []
+
+    def read(self, text: str, end: int) -> bool | None:
+        """Reads on to ``end``; True: a whole type, None: inside its brackets, False: no type."""
+        for c in text[self.at:end]:
+            if c in "[<({":
+                self.depth += 1
+            elif c in "]>)}":
+                self.depth -= 1
+                if self.depth < 0:
+                    return False
+                self.top.append("_")
+            elif not self.depth:
+                if c in "\n,;=":
+                    return False
+                self.top.append(c)
+        self.at = end
+        return None if self.depth else all(map(_TYPE.fullmatch, "".join(self.top).split("|")))
+
+
+def _name_before(text: str, at: int) -> str | None:
+    """The name that ends before an operator, blanks and tabs apart."""
+    if at and text[at - 1] == "\n":
+        at -= 1
+    while at and text[at - 1] in " \t":
+        at -= 1
+    m = _NAME.search(text[max(0, at - 400):at])
+    return m.group(1) if m else None
+
+
 def pairs(text: str) -> list[tuple[str, _Value]]:
     """Name-literal pairs in order; constants stand for their literals."""
     known: dict[str, _Value] = {}
     out: list[tuple[str, _Value]] = []
     run = [0, 0, 0]  # the last bare run: where it begins, ends, and ends without punctuation
+    typed: _Annotation | None = None
     for m in _OPERATOR.finditer(text):
+        names = []
+        if typed and m.group() in ("=", ":", "=>"):
+            whole = typed.read(text, m.start())
+            if whole and m.group() == "=":
+                names.append(typed.name)
+            if whole is not None and not (m.group() == ":" and text[m.start() - 1] == ":"):  # "::" is part of a type
+                typed = None
         if m.group() not in ("=", ":", ":=", "=>"):
             continue
-        name = _NAME.search(text[max(0, m.start() - 400):m.start()])
-        if not name:
+        name = _name_before(text, m.start())
+        if name:
+            names.append(name)
+            if m.group() == ":" and not typed:
+                typed = _Annotation(name, m.end())
+        if not names:
             continue
         value = _read(text, m.end(), known, run)
         if value:
-            known[name.group(1)] = value
-            out.append((name.group(1), value))
+            for name in names:
+                known[name] = value
+                out.append((name, value))
     return out
 
 

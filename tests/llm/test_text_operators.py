@@ -112,8 +112,36 @@ def test_long_literals_are_read_whole(size):
     assert o2.redact(escaped) == 'credentials = "[SECRET]"'
 
 
+@pytest.mark.parametrize("gap", ["", " ", " " * 8, " " * 9, "\t", " \t\t ", " " * 5_000])
+def test_blanks_around_operators(gap):
+    for text in (f'db_pwd{gap}={gap}"Zx9!kLmP02qq"', f"db_pwd{gap}:{gap}Zx9!kLmP02qq\n", f'"db_pwd"{gap}=>{gap}"Zx9!kLmP02qq"'):
+        at = text.index("Zx9")
+        assert o2.literal_spans(text) == {(at, at + 12)}
+    joined = f'db_pwd = "Zx9!kL"{gap}+{gap}"mP02qq"'
+    assert o2.redact(joined) == f'db_pwd = "[SECRET]"{gap}+{gap}"[SECRET]"'
+
+
+@pytest.mark.parametrize("kind", ["str", "str | None", "Optional[str]", "Dict[str, List[str]]", "typing.Final", "&'static str",
+                                  "&str", "std::string", "Option<String>", "string[]", "Annotated[str, Field(min=8)]", "'str'",
+                                  "Annotated[\n    str, 8]", "[u8; 12]"])
+def test_annotated_assignments(kind):
+    text = f'def f(a: int, db_pwd: {kind} = "Zx9!kLmP02qq"): pass'
+    at = text.index("Zx9")
+    assert (at, at + 12) in o2.literal_spans(text)
+    assert '"[SECRET]"): pass' in o2.redact(text.replace(" = ", "\t =  "))
+    assert not o2.literal_spans(text.replace("db_pwd", "title"))
+
+
+def test_names_reach_over_types_only():
+    for between in (" yes, title", "\n title", " the long title", " a; title", " (a) title", " a == b = title"):
+        assert not o2.literal_spans(f'db_pwd:{between} = "Zx9!kLmP02qq"')
+    assert o2.literal_spans('db_pwd: str = "Zx9!kLmP02qq"\nb = db_pwd') == {(15, 27)}
+    assert o2.literal_spans('x: secret = "Zx9!kLmP02qq"') == {(13, 25)}
+
+
 def test_literals_are_read_in_linear_time():
-    for text in ("db_pwd=Zx9" * 30_000, 'db_pwd="' * 50_000, "db_pwd='\\" * 50_000, 'db_pwd="' + "<{$" * 50_000):
+    for text in ("db_pwd=Zx9" * 30_000, 'db_pwd="' * 50_000, "db_pwd='\\" * 50_000, 'db_pwd="' + "<{$" * 50_000,
+                 "db_pwd" + "\t " * 100_000 + "=" + " " * 100_000, "a: [" + "b=" * 50_000, "a: b" * 50_000):
         began = time.process_time()
         o2.redact(text)
         assert time.process_time() - began < 20
