@@ -19,6 +19,9 @@ decoding gives the text back exactly, a literal U+2581 included. Null counts
 as empty; an empty text has no pieces and one segmentation of score 0. Ties
 are settled the same way in every run. Very long texts and words are encoded
 whole. An empty table gives an empty result; extra columns are dropped.
+
+``decoded`` turns any table of ids back into texts and keeps the table's other
+columns. Null ids give a null text; an id that the model lacks is an error.
 """
 
 from __future__ import annotations
@@ -31,9 +34,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import map_batches, table
+from .common import table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -43,6 +48,7 @@ VECTOR_LENGTH = 32        # up to this length
 CACHED_WORDS = 300_000    # words whose segmentation a task keeps
 CACHED_SEARCHES = 20_000  # words whose alternatives a task keeps
 UNKNOWN_PENALTY = 10.0
+DECODED_ROWS = 1000       # rows decoded together
 
 # A part: blanks and letters, blanks and other characters, a line end, or blanks alone.
 PART = re.compile(r" *(?:[^\W\d_²]+|(?:[\d_²]|[^\w \n])+)|\n| +")
@@ -53,6 +59,20 @@ _BASE = np.uint64(0x100000001B3)
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _piece_bytes(sp) -> list[bytes]:
+    """The UTF-8 bytes that each id stands for."""
+    raw = []
+    for i in range(sp.vocab_size()):
+        piece = sp.id_to_piece(i)
+        if sp.is_byte(i):
+            raw.append(bytes([int(piece[3:5], 16)]))
+        elif sp.is_control(i) or sp.is_unknown(i):
+            raw.append(b"")
+        else:
+            raw.append(piece.replace("▁", " ").encode())
+    return raw
+
+
 class PieceModel:
     """Pieces, scores and byte pieces of a SentencePiece model file."""
 
@@ -61,21 +81,14 @@ class PieceModel:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
-        self.raw: list[bytes] = []
+        self.raw = _piece_bytes(sp)
         self.byte_ids = [0] * 256
-        for i in range(sp.vocab_size()):
-            piece = sp.id_to_piece(i)
+        for i, raw in enumerate(self.raw):
             if sp.is_byte(i):
-                value = int(piece[3:5], 16)
-                self.byte_ids[value] = i
-                self.raw.append(bytes([value]))
-            elif sp.is_control(i) or sp.is_unknown(i):
-                self.raw.append(b"")
-            else:
-                plain = piece.replace("▁", " ")
-                self.ids[plain] = i
-                self.scores[plain] = sp.get_score(i)
-                self.raw.append(plain.encode())
+                self.byte_ids[raw[0]] = i
+            elif raw:
+                self.ids[raw.decode()] = i
+                self.scores[raw.decode()] = sp.get_score(i)
         self.longest = max(map(len, self.ids))
         self.unknown = min(self.scores.values()) - UNKNOWN_PENALTY
         # Slots of a hash table over the pieces, for whole arrays of substrings.
@@ -358,11 +371,11 @@ class Segmenter:
         return b"".join(map(self.m.raw.__getitem__, ids))[1:].decode()
 
 
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("n_pieces", T.LongType()),
-    T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("score", T.DoubleType()),
-    T.StructField("n_best_scores", T.ArrayType(T.DoubleType())), T.StructField("n_best_pieces", T.ArrayType(T.IntegerType())),
-    T.StructField("n_best_sha256", T.StringType()), T.StructField("round_trip", T.BooleanType()),
+_IDS = T.ArrayType(T.IntegerType())
+_FOUND = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("n_best_ids", T.ArrayType(_IDS)),
+    T.StructField("n_best_scores", T.ArrayType(T.DoubleType())), T.StructField("n_best_sha256", T.StringType()),
+    T.StructField("round_trip", T.BooleanType()),
 ])
 
 
@@ -378,38 +391,85 @@ def _blocks(texts: list[str]):
         yield first, len(texts)
 
 
+def _lists(values: pa.Array, sizes: list[int], kind: pa.DataType) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), values).cast(kind)
+
+
+def _decode(raw: list[bytes], lists: pa.Array) -> list[str | None]:
+    """The text of each list of ids, None for null."""
+    flat = lists.flatten()
+    if flat.null_count:
+        flat = flat.fill_null(raw.index(b""))
+    flat = flat.to_numpy(zero_copy_only=False)
+    if len(flat) and not 0 <= flat.min() <= flat.max() < len(raw):
+        raise ValueError("ids without a piece in the model")
+    out, at = [], 0
+    for size in lists.value_lengths().to_pylist():
+        if size is None:
+            out.append(None)
+        else:
+            joined = b"".join(map(raw.__getitem__, flat[at:at + size].tolist()))
+            out.append(joined.removeprefix(b" ").decode(errors="replace"))
+            at += size
+    return out
+
+
+def decoded(rows: DataFrame, ids: str = "ids", into: str = "text", model_path: str = MODEL_PATH) -> DataFrame:
+    """All rows and columns with ``into``, the text of the piece ids in the
+    column ``ids`` (array<int>), or the texts of several lists (array<array<int>>)."""
+    several = isinstance(rows.schema[ids].dataType.elementType, T.ArrayType)
+    kind = T.ArrayType(T.StringType()) if several else T.StringType()
+    schema = T.StructType([f for f in rows.schema if f.name != into] + [T.StructField(into, kind)])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        import sentencepiece
+        raw = _piece_bytes(sentencepiece.SentencePieceProcessor(model_file=model_path))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, DECODED_ROWS):
+                b = batch.slice(at, DECODED_ROWS)
+                lists = b.column(ids)
+                if several:
+                    sizes = lists.value_lengths().fill_null(0).to_pylist()
+                    found = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()),
+                                                     pa.array(_decode(raw, lists.flatten()), pa.string()), mask=lists.is_null())
+                else:
+                    found = pa.array(_decode(raw, lists), pa.string())
+                yield pa.RecordBatch.from_arrays([(found if f.name == into else b.column(f.name)).cast(f.type) for f in arrow],
+                                                 schema=arrow)
+
+    return rows.mapInArrow(run, schema)
+
+
 def encoded(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> DataFrame:
-    """Per row: ids of the best segmentation, scores, lengths and a digest of
-    the ``n`` best, and whether each of them decodes to the text."""
-    def make():
-        seg = Segmenter(PieceModel(model_path))
+    """Per row: ids of the best segmentation, ids, scores, lengths and a digest
+    of the ``n`` best, and whether the ids returned decode to the text, each of them."""
+    arrow = to_arrow_schema(_FOUND)
 
-        def run(cols):
-            out = {f.name: [] for f in SCHEMA}
-            flat, offsets = [], [0]
-            texts = [t or "" for t in cols["text"]]
+    def run(batches):
+        seg = Segmenter(PieceModel(model_path))
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _blocks(texts):
-                for text, paths in zip(texts[a:b], seg.encode_block(texts[a:b], n)):
-                    flat.append(paths[0][1])
-                    offsets.append(offsets[-1] + len(paths[0][1]))
-                    digest = hashlib.sha256()
-                    for _, ids in paths:
-                        digest.update(ids.astype("<i4").tobytes() + b"|")
-                    for k, v in (("n_pieces", len(paths[0][1])), ("score", paths[0][0]),
-                                 ("n_best_scores", [s for s, _ in paths]), ("n_best_pieces", [len(ids) for _, ids in paths]),
-                                 ("n_best_sha256", digest.hexdigest()),
-                                 ("round_trip", all(seg.decode(ids.tolist()) == text for _, ids in paths))):
-                        out[k].append(v)
-            out["doc_id"] = cols["doc_id"]
-            ids = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-            out["ids"] = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids).cast(_IDS)
-            return out
-        return run
-
-    return map_batches(docs.select("doc_id", "text"), make, SCHEMA)
-
-
-_IDS = pa.list_(pa.field("element", pa.int32()))
+                found = seg.encode_block(texts[a:b], n)
+                sizes = list(map(len, found))
+                paths = [ids for x in found for _, ids in x]
+                inner = _lists(pa.array(np.concatenate(paths), pa.int32()), list(map(len, paths)), arrow.field(1).type.value_type)
+                back = iter(_decode(seg.m.raw, inner))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(a, b - a), _lists(inner, sizes, arrow.field(1).type),
+                    _lists(pa.array([s for x in found for s, _ in x], pa.float64()), sizes, arrow.field(2).type),
+                    pa.array([hashlib.sha256(b"".join(ids.astype("<i4").tobytes() + b"|" for _, ids in x)).hexdigest()
+                              for x in found], pa.string()),
+                    pa.array([all([next(back) == t for _ in range(k)]) for t, k in zip(texts[a:b], sizes)], pa.bool_())],
+                    schema=arrow)
+
+    found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
+    best = F.element_at("n_best_ids", 1)
+    return found.select("doc_id", F.size(best).cast("long").alias("n_pieces"), best.alias("ids"),
+                        F.element_at("n_best_scores", 1).alias("score"), "n_best_ids", "n_best_scores",
+                        F.transform("n_best_ids", F.size).alias("n_best_pieces"), "n_best_sha256", "round_trip")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,6 +77,33 @@ def test_encode_odd_cases(docs, empty):
     assert o1.encoded(empty).count() == 0
 
 
+def test_n_best_ids_are_returned_and_decoded(spark, segmenter, docs):
+    got = rows(o1.encoded(docs))
+    texts = collections.Counter((r["doc_id"], r["text"] or "") for r in rows(docs))
+    for r in got:
+        paths = [tuple(x) for x in r["n_best_ids"]]
+        assert paths[0] == tuple(r["ids"]) and len(set(paths)) == len(paths) == len(r["n_best_scores"])
+        assert r["n_best_pieces"] == list(map(len, paths)) and r["score"] == r["n_best_scores"][0]
+        assert {(r["doc_id"], segmenter.decode(x)) for x in paths} <= texts.keys()
+        digest = hashlib.sha256(b"".join(np.array(x, "<i4").tobytes() + b"|" for x in paths)).hexdigest()
+        assert r["n_best_sha256"] == digest
+    assert {len(r["n_best_ids"]) for r in got if r["doc_id"] == 1} == {o1.N_BEST}
+    back = rows(o1.decoded(o1.encoded(docs).select("doc_id", "ids")))
+    assert collections.Counter((r["doc_id"], r["text"]) for r in back) == texts
+
+
+def test_decode_any_table_of_ids(spark, segmenter):
+    ids = list(segmenter.encode("the cat 文 x")[0][1])
+    table = spark.createDataFrame([(1, ids, "a"), (2, [], "b"), (3, None, "c")], "k long, p array<int>, text string")
+    assert [tuple(r) for r in o1.decoded(table, "p", "out").collect()] == [
+        (1, ids, "a", "the cat 文 x"), (2, [], "b", ""), (3, None, "c", None)]
+    several = spark.createDataFrame([([ids, None, []],), (None,), ([],)], "p array<array<int>>")
+    assert [r["text"] for r in o1.decoded(several, "p").collect()] == [["the cat 文 x", None, ""], None, []]
+    assert o1.decoded(table.where("false"), "p").count() == 0
+    with pytest.raises(Exception, match="ids without a piece"):
+        o1.decoded(spark.createDataFrame([([-1],)], "ids array<int>")).collect()
+
+
 # 2: secrets
 
 def test_base_spans_match_patterns():
