@@ -2,7 +2,10 @@
 
 A text's signatures are chains: the next ``CHAIN`` content words behind each
 occurrence of a common word (the anchor), the text's start being an anchor
-too. The fingerprint is the sorted set of the signatures' hashes. Sets are
+too. Where more than ``GAP`` content words follow an anchor before the next
+one or the text's end, each of them is an anchor as well, so texts without
+common words (tables, lists, other languages) are covered to their end, and
+the rule for a passage does not depend on the rest of its text. The fingerprint is the sorted set of the signatures' hashes. Sets are
 partitioned by their length, and the likeness of two sets is their Jaccard
 similarity; sets whose lengths alone rule a threshold out are not compared.
 
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from .common import stored, table
 
 CHAIN = 3
+GAP = 12  # content words in a row that the chain behind one anchor may stand for
 THRESHOLD = 0.75
 
 # The anchors, the commonest function words of four languages.
@@ -47,9 +51,11 @@ def signature_set(text: Column) -> Column:
     marked = F.transform(words, lambda w: F.when(w.isin(*ANCHORS), F.lit("")).otherwise(w))
     spots = lambda m: F.array_compact(F.transform(m, lambda w, i: F.when(w == "", i)))
     # Of the words before spot p, j are anchors: p - j content words come first.
-    chains = lambda b: F.transform(
-        F.filter(F.transform(b["spots"], lambda p, j: p - j), lambda k: k < F.size(b["content"])),
-        lambda k: F.xxhash64(F.slice(b["content"], k + 1, F.lit(CHAIN))))
+    firsts = lambda b: F.transform(b["spots"], lambda p, j: p - j)
+    ends = lambda b: F.concat(F.slice(firsts(b), F.lit(2), F.size(b["spots"])), F.array(F.size(b["content"])))
+    starts = lambda b: F.flatten(F.zip_with(firsts(b), ends(b), lambda k, end: (
+        F.when(end - k > GAP, F.sequence(k, end - 1)).when(k < F.size(b["content"]), F.array(k)).otherwise(F.array().cast("array<int>")))))
+    chains = lambda b: F.transform(starts(b), lambda k: F.xxhash64(F.slice(b["content"], k + 1, F.lit(CHAIN))))
     each = _let(marked, lambda m: F.struct(spots(m).alias("spots"), F.array_remove(m, "").alias("content")))
     found = _let(each, lambda b: F.sort_array(F.array_distinct(chains(b))))
     # Nothing but common words or other characters: the whole text is the signature.

@@ -290,6 +290,28 @@ def test_signatures_by_hand(spark):
     assert n == 3
 
 
+def test_texts_without_anchors_are_covered_to_their_end(spark):
+    first, a, b = ([f"{x}{i}" for i in range(300)] for x in ("start", "one", "two"))
+    texts = {"a": first + a, "b": first + b, "end": first + a[:-1] + ["other"], "again": first + a, "mid": first + ["the"] + a[:2] + b}
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()], "k string, text string")
+    sigs = {r["k"]: r["s"] for r in d.select("k", o5.signature_set(F.col("text")).alias("s")).collect()}
+    assert len(sigs["a"]) == len(sigs["b"]) == 600 and sigs["a"] == sigs["again"]
+    pairs = spark.createDataFrame([(k, sigs["a"], sigs[k]) for k in sigs], "k string, x array<long>, y array<long>")
+    near = {r["k"]: r["n"] for r in pairs.select("k", o5.likeness(F.col("x"), F.col("y")).alias("n")).collect()}
+    assert near["a"] == near["again"] == 1.0 and 0.9 < near["end"] < 1.0
+    assert near["b"] == pytest.approx(298 / 902)  # 2 of the 300 first chains reach over the change
+    assert near["mid"] > 0.3  # an anchor further on leaves the first passage as it is
+
+
+def test_anchor_rule_at_its_bounds(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [words[:n] for n in (0, 1, o5.GAP, o5.GAP + 1)] + [["the"], ["the", *words[:o5.GAP], "of", *words[:o5.GAP + 1], "and"]]
+    d = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "k int, text string")
+    got = {r["k"]: r["n"] for r in d.select("k", F.size(o5.signature_set(F.col("text"))).alias("n")).collect()}
+    # last: the first run's chain begins like the second run's, whose every word is an anchor
+    assert got == {0: 1, 1: 1, 2: 1, 3: o5.GAP + 1, 4: 1, 5: o5.GAP + 1}
+
+
 def test_similar_pairs(spark):
     sets = [(i, [j for j in range(1, 40) if j % 13 != i]) for i in range(4)] + [(9, [100, 101]), (10, [100, 101])]
     got = {(r["a"], r["b"]) for r in rows(o5.similar_pairs(spark.createDataFrame(sets, "id long, sigs array<long>")))}
