@@ -8,6 +8,12 @@ sliding windows of ``WINDOW`` lines: text begins where the sum surges above
 the threshold and ends where it dives to nothing. The lines with weight
 between a surge and its dive are kept.
 
+A class or id only suggests that an element is outside. Words behind
+with/no/has/without say nothing. An element that holds more than half of the
+text outside links (of the marked text, where there is any) is a wrapper; one
+named like an advert, a comment or a notice is one only if it holds the page's
+one article. Inside the article only the words in ``INSIDE_WORDS`` count.
+
 Null or empty html gives an empty text. Unclosed and misnested elements are
 closed by the next end tag that fits. Equal pages give equal texts; an empty
 table gives an empty result; extra columns are dropped.
@@ -17,6 +23,7 @@ from __future__ import annotations
 
 import html as _html
 import re
+from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -38,6 +45,13 @@ promotion nav navbar navigation menu menubar breadcrumb breadcrumbs header masth
 consent gdpr notice notices alert popup modal overlay comment comments commentlist disqus respond reply replies related
 recommended share sharing social newsletter subscribe subscription signup login search pagination pager widget widgets
 copyright legal disclaimer toolbar topbar skip tags""".split())
+# Elements that hold no page, and those that no article has as text of its own.
+NOTICE_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promotion
+cookie cookies consent gdpr popup modal comment comments commentlist disqus respond reply replies newsletter subscribe
+subscription signup login""".split())
+INSIDE_WORDS = NOTICE_WORDS | frozenset("nav navbar navigation menu menubar breadcrumb breadcrumbs sidebar search pagination pager share sharing".split())
+NOT_ARTICLE_WORDS = frozenset("comment comments ad promo related reply".split())
+NEGATIONS = frozenset("with no has without".split())
 _ATTRIBUTES = re.compile(r"""\b(class|id|role|hidden|itemprop)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.IGNORECASE)
 _TAG = re.compile(r"""</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|</?([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""")
 _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
@@ -53,8 +67,29 @@ class _Line:
         self.main = main
 
 
+class _Named:
+    """An element whose class or id suggests that it is outside: its lines
+    [first, end), and whether an article begins in it."""
+    __slots__ = ("first", "end", "notice", "article")
+
+    def __init__(self, first: int, notice: bool):
+        self.first, self.end, self.notice, self.article = first, -1, notice, False
+
+
+def _words(value: str) -> set[str]:
+    """Words of class names and ids, without those behind a negation."""
+    out: set[str] = set()
+    for name in value.split():
+        for w in _SPLIT.split(name):
+            if w.lower() in NEGATIONS:
+                break
+            out.add(w.lower())
+    return out
+
+
 def _kind(tag: str, attributes: str, in_main: bool) -> str:
-    """What an element holds: 'outside' the article, the article ('main'), or ''."""
+    """What an element holds: 'outside' the article, by its name perhaps
+    something outside ('notice', 'layout'), the article ('main'), or ''."""
     if tag in OUTSIDE or tag == "header" and not in_main:
         return "outside"
     kind = "main" if tag in ("article", "main") else ""
@@ -69,10 +104,11 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
             if key == "role" and value.lower() in ("main", "article") or key == "itemprop" and value == "articleBody":
                 kind = "main"
             elif key in ("class", "id"):
-                words.update(w.lower() for w in _SPLIT.split(value))
-        if tag not in ("html", "body", "main") and words & OUTSIDE_WORDS and not (kind == "main" and tag == "article"
-                                                                              and not words & {"comment", "comments", "ad", "promo", "related", "reply"}):
-            return "outside"
+                words |= _words(value)
+        if tag not in ("html", "body", "main"):
+            words &= NOT_ARTICLE_WORDS if kind == "main" else INSIDE_WORDS if in_main else OUTSIDE_WORDS
+            if words:
+                return "notice" if words & NOTICE_WORDS else "layout"
     return kind
 
 
@@ -82,6 +118,8 @@ def lines(page: str) -> list[_Line]:
     stack: list[tuple[str, str]] = []
     outside = main = links = 0
     line = _Line(False, False)
+    named: list[_Named] = []
+    within: list[_Named] = []
 
     def turn() -> None:
         nonlocal line
@@ -89,6 +127,22 @@ def lines(page: str) -> list[_Line]:
             out.append(line)
         line = _Line(outside > 0, main > 0)
 
+    def leave() -> str:
+        nonlocal outside, main, links
+        if stack[-1][1] in ("outside", "notice", "layout"):
+            turn()  # text behind the element is not part of it
+        tag, kind = stack.pop()
+        outside -= kind == "outside"
+        main -= kind == "main"
+        links -= tag == "a"
+        if kind in ("notice", "layout"):
+            e = within.pop()
+            e.end = len(out)
+            if within and e.article:
+                within[-1].article = True
+        line.outside, line.main = line.outside if line.parts else outside > 0, line.main if line.parts else main > 0
+        return tag
+
     at, end = 0, len(page)
     while at < end:
         lt = page.find("<", at)
@@ -119,13 +173,8 @@ def lines(page: str) -> list[_Line]:
             if any(t == tag for t, _ in stack):
                 if tag in BLOCKS:
                     turn()
-                while True:
-                    t, k = stack.pop()
-                    outside -= k == "outside"
-                    main -= k == "main"
-                    links -= t == "a"
-                    if t == tag:
-                        break
+                while leave() != tag:
+                    pass
                 if tag in BLOCKS:
                     turn()
             elif tag in BLOCKS:
@@ -138,11 +187,7 @@ def lines(page: str) -> list[_Line]:
         if tag in BLOCKS:
             if tag == "p" or tag.startswith("h") and len(tag) == 2:  # a paragraph ends where the next block begins
                 while stack and stack[-1][0] in ("p", "b", "i", "em", "strong", "span", "a", "u", "font") and any(t == "p" for t, _ in stack):
-                    t, k = stack.pop()
-                    outside -= k == "outside"
-                    main -= k == "main"
-                    links -= t == "a"
-                    if t == "p":
+                    if leave() == "p":
                         break
             turn()
         elif tag == "br":
@@ -153,17 +198,51 @@ def lines(page: str) -> list[_Line]:
             continue
         kind = _kind(tag, attributes, main > 0)
         stack.append((tag, kind))
+        if kind in ("outside", "notice", "layout"):  # an inline element outside the article has a line of its own
+            turn()
         outside += kind == "outside"
         main += kind == "main"
         links += tag == "a"
-        if tag in BLOCKS:
-            turn()
-        elif kind == "outside":  # an inline element outside the article has a line of its own
+        if kind in ("notice", "layout"):
+            within.append(_Named(len(out), kind == "notice"))
+            named.append(within[-1])
+        elif kind == "main" and within:
+            within[-1].article = True
+        if tag in BLOCKS or kind == "outside":
             turn()
     turn()
+    while stack:
+        leave()
+    if named:
+        _leave_out(out, named)
     return out
 
 
+def _leave_out(found: list[_Line], named: list[_Named]) -> None:
+    """Marks the lines of named elements that wrap neither article nor page."""
+    weights = [0 if x.outside else max(0, len(" ".join("".join(x.parts).split())) - x.linked) for x in found]
+    marked = any(w and x.main for w, x in zip(weights, found))
+    if marked:
+        weights = [w if x.main else 0 for w, x in zip(weights, found)]
+    upto = [0, *accumulate(weights)]
+
+    def covered(elements: list[_Named]) -> list[int]:
+        edge = [0] * (len(found) + 1)
+        for e in elements:
+            edge[e.first] += 1
+            edge[e.end] -= 1
+        return list(accumulate(edge))[:-1]
+
+    free = any(w and not c for w, c in zip(weights, covered([e for e in named if e.notice])))
+
+    def wraps(e: _Named) -> bool:
+        held = upto[e.end] - upto[e.first]
+        return 2 * held > upto[-1] and (marked or held > SURGE) and (not e.notice or marked and e.article and not free)
+
+    for x, c in zip(found, covered([e for e in named if not wraps(e)])):
+        x.outside = x.outside or c > 0
+
+
 def extract(page: str | None) -> str:
     """The article's blocks, one per line."""
     rows = []

@@ -338,6 +338,34 @@ def test_extract_article():
     assert o6.extract("<p>" + "x" * 100_000) == "x" * 100_000
 
 
+@pytest.mark.parametrize("wrap", ['class="page with-sidebar"', 'id="no-header-layout"', 'class="hasSidebar left"', 'class="header-page"',
+                                  'class="sidebar-layout menu"', 'class="legal"', 'class="without_ads"'])
+def test_a_wrapper_is_not_outside(wrap):
+    text = "<h1>Head</h1><p>A long paragraph that carries the text of the page.</p><p>Short one.</p>"
+    want = "Head\nA long paragraph that carries the text of the page.\nShort one."
+    rest = '<div class="menu"><a href=x>Home</a> or not</div>%s<div class="comments"><p>A comment as long as the text of the page is.</p></div>'
+    for page in (f"<article>{text}</article>", f"<main>{text}</main>", text):
+        assert o6.extract(f"<body><div {wrap}>{rest % page}</div><footer>f</footer>") == want
+    for page in (f"<div {wrap}>" * 50 + text, f"<article><div {wrap}>{text}</div></article>"):
+        assert o6.extract(page) == want
+
+
+def test_inside_the_article_only_foreign_blocks_go():
+    kept = ("legal", "tags", "related", "article-header", "copyright", "notice", "skip", "footer", "no-ad")
+    gone = ("ad", "post-comments", "cookie-notice", "share", "sidebar", "menu", "newsletter")
+    page = "<article><p>" + "text of the article " * 9 + "</p>" + "".join(f'<div class="{c}">{c} x</div>' for c in kept + gone) + "</article>"
+    assert o6.extract(page).split("\n")[1:] == [f"{c} x" for c in kept]
+
+
+def test_notices_do_not_wrap_a_page():
+    long = "<p>" + "words " * 200 + "</p>"
+    assert o6.extract(f'<article><p>a</p></article><div id="comments"><article>{long}</article></div>') == "a"
+    assert o6.extract(f'<div class="ad">{long}</div>') == o6.extract(f'<article><div class="ad">{long}</div></article>') == ""
+    assert o6.extract(f'<article>{long}</article><div class="related"><article>teaser</article></div>') == ("words " * 200).strip()
+    assert o6.extract('<div class="comments"><article><p>a</p></article></div>') == "a"
+    assert o6.extract('<article><p>a <span class="ad">buy</span> b</article>') == "a\nb"
+
+
 def test_extract_rows(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>a</p></article>", 5), (None, None, None, 6)],
                                   "page_id long, url string, html string, text long")
