@@ -1,4 +1,4 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup by content-cut blocks, after relative Lempel-Ziv parsing.
 
 The reference is every text, cut into blocks by content: a window of
 ``WINDOW`` words belongs to its smallest ``SEED``-word hash, and the windows
@@ -10,7 +10,8 @@ itself is found nowhere else: at these factor boundaries the windows of the
 block are looked up one by one, against the windows of every other block with
 the same smallest hash, each distinct block being indexed once.
 
-The result is exact: a word goes when a window that covers it has the same
+No factors (source, position, length) are formed: the spans removed say where
+a text repeats, not what it repeats. The result is exact: a word goes when a window that covers it has the same
 words as a window that starts elsewhere, in any text or the same one. Equal
 64-bit hashes stand for equal words.
 
@@ -21,8 +22,6 @@ gives an empty result. Very long texts are parsed whole.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,9 +63,10 @@ _RANGE = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.St
                                    T.StructField("block", T.LongType())]))
 _WINDOW = T.StructType([T.StructField("w", T.LongType()), T.StructField("block", T.LongType()),
                         T.StructField("t", T.LongType()), T.StructField("start", T.IntegerType())])
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 _PARSED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()),
-                        T.StructField("n_removed", T.LongType()), T.StructField("kept_sha256", T.StringType()),
-                        T.StructField("n_factors", T.LongType())])
+                        T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType()),
+                        T.StructField("removed", _SPANS)])
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -150,7 +150,9 @@ def covered(n_words: int, ranges) -> np.ndarray:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """Per row: words, words removed, digest of the words kept, factors removed."""
+    """Per row: words, words removed, the text of the words kept, joined by
+    blanks, and the spans of words removed, [start, end) in order; digest of
+    the text kept, number of spans."""
     rows = _texts(docs).join(matches(docs), "t", "left").select("doc_id", "text", "ranges")
 
     def make():
@@ -158,20 +160,20 @@ def deduplicated(docs: DataFrame) -> DataFrame:
             out = {f.name: [] for f in _PARSED}
             for i, text, ranges in zip(cols["doc_id"], cols["text"], cols["ranges"]):
                 words = text.encode().split()
-                factors = removed = 0
+                spans, removed, kept = [], 0, words
                 if ranges:
                     gone = covered(len(words), ranges)
                     removed = int(gone.sum())
-                    factors = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist()) if not g])
-                else:
-                    kept = b" ".join(words)
-                for k, v in zip(out, (i, len(words), removed, hashlib.sha256(kept).hexdigest(), factors)):
+                    edges = np.flatnonzero(np.diff(np.r_[False, gone, False].astype(np.int8))).tolist()
+                    spans = [{"start": a, "end": b} for a, b in zip(edges[0::2], edges[1::2])]
+                    kept = [w for w, g in zip(words, gone.tolist()) if not g]
+                for k, v in zip(out, (i, len(words), removed, b" ".join(kept).decode(), spans)):
                     out[k].append(v)
             return out
         return run
 
-    return map_batches(rows, make, _PARSED)
+    return map_batches(rows, make, _PARSED).withColumns({"kept_sha256": F.sha2("kept", 256),
+                                                         "n_factors": F.size("removed").cast("long")})
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

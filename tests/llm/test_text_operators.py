@@ -409,6 +409,19 @@ def test_substring_dedup_matches_brute_force(spark):
     assert o7.deduplicated(df.where("false")).count() == 0
 
 
+def test_substring_dedup_returns_text_and_spans(spark):
+    p = [f"p{i}" for i in range(40)]
+    texts = [["a", *p, "b", "é"], ["c", "d", *p], p[:34], ["x"] * 50, []]
+    df = spark.createDataFrame([(k, "  ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in rows(o7.deduplicated(df))}
+    assert {k: r["kept"] for k, r in got.items()} == {0: "a b é", 1: "c d", 2: " ".join(p[:34]), 3: "", 4: ""}
+    assert {k: [tuple(s) for s in r["removed"]] for k, r in got.items()} == {0: [(1, 41)], 1: [(2, 42)], 2: [], 3: [(0, 50)], 4: []}
+    for k, r in got.items():
+        gone = {i for a, b in r["removed"] for i in range(a, b)}
+        assert r["kept"] == " ".join(w for i, w in enumerate(texts[k]) if i not in gone)
+        assert r["kept_sha256"] == hashlib.sha256(r["kept"].encode()).hexdigest() and r["n_factors"] == len(r["removed"])
+
+
 # 8: url filters
 
 def test_url_rules(spark):
