@@ -3,10 +3,10 @@
 The reference is every text, cut into blocks by content: a window of
 ``WINDOW`` words belongs to its smallest ``SEED``-word hash, and the windows
 of one such hash in a row cover one block, so equal passages are cut alike
-wherever they stand. Blocks are indexed by hash; a text's greedy parse copies
-each block that the index also holds elsewhere, and neighbouring copies join
-into one factor. Where a passage begins or ends inside a block, the block
-itself is found nowhere else: at these factor boundaries the windows of the
+wherever they stand. Blocks are indexed by hash; a block that the index also
+holds elsewhere is a copy, and neighbouring copies join into one span. Where a
+passage begins or ends inside a block, the block itself is found nowhere
+else: at these span boundaries the windows of the
 block are looked up one by one, against the windows of every other block with
 the same smallest hash, each distinct block being indexed once.
 
