@@ -3,7 +3,7 @@
 import os
 import tempfile
 
-from conftest import SMALL
+from paths import SMALL
 
 
 def test_warehouse_job(spark):

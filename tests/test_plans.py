@@ -4,7 +4,7 @@ nested-loop join, and fixture scans must read pruned columns."""
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from paths import SMALL
 
 # These queries execute eagerly (training, streaming, file writes) before
 # returning a DataFrame over their output; their plans are scans.

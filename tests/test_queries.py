@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as E
-from conftest import SMALL
+from paths import SMALL
 
 QUERIES = {k: v for k, v in E.queries().items() if k not in E.LLM_QUERIES}
 ORACLES = E.oracle_sql()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hazardlens.operators import enrich as EN
 from hazardlens.sources import fixtures as FX
 from hazardlens.streaming import stream as ST
-from conftest import SMALL
+from paths import SMALL
 
 
 def _brute(points, obs, max_age=timedelta(minutes=30)):
