@@ -12,6 +12,9 @@ from . import op7_substring_dedup as o7
 from . import op8_url_filters as o8
 from . import op9_source_mixing as o9
 from . import op10_ann_search as o10
+from . import op11_source_audit as o11
+from . import op12_merkle_manifest as o12
+from . import op13_warc as o13
 
 QUERIES = {
     "op1_sentencepiece": o1.op1_sentencepiece,
@@ -24,8 +27,12 @@ QUERIES = {
     "op8_url_filters": o8.op8_url_filters,
     "op9_source_mixing": o9.op9_source_mixing,
     "op10_ann_search": o10.op10_ann_search,
+    "op11_source_audit": o11.op11_source_audit,
+    "op12_merkle_manifest": o12.op12_merkle_manifest,
+    "op13_warc": o13.op13_warc,
 }
 
 # The other queries train models, search lattices or walk graphs; their tests
 # hold them against brute force.
-ORACLE = {"op8_url_filters": o8.ORACLE_SQL}
+ORACLE = {"op8_url_filters": o8.ORACLE_SQL, "op11_source_audit": o11.ORACLE_SQL,
+          "op12_merkle_manifest": o12.ORACLE_SQL, "op13_warc": o13.ORACLE_SQL}
