@@ -121,13 +121,14 @@ def group_sizes(docs: DataFrame, counts: DataFrame, scale: int = SCALE) -> tuple
     """Groups (lang, source, size, p0), p0 being the price of an absent term,
     and languages (lang, terms, lang_size); sizes are N + V."""
     langs = counts.groupBy("lang").agg(F.sum("n").alias("_n"), F.count_if("first").alias("terms"))
-    langs = langs.select("lang", "terms", (F.col("_n") + F.col("terms")).alias("lang_size"))
+    langs = stored(langs.select("lang", "terms", (F.col("_n") + F.col("terms")).alias("lang_size")), "audit-langs")
     sums = counts.groupBy("lang", "source").agg(F.sum("n").alias("_n"))
     groups = (_read(docs).groupBy("lang", "source").agg(F.lit(1).alias("_one"))
               .join(sums, ["lang", "source"], "left").join(langs, "lang", "left"))
     size = F.coalesce("_n", F.lit(0)) + F.coalesce("terms", F.lit(0))
     groups = groups.select("lang", "source", size.alias("size"))
-    return groups.withColumn("p0", F.when(F.col("size") > 0, price(F.lit(0).cast("long"), F.col("size"), scale))), langs
+    p0 = F.when(F.col("size") > 0, price(F.lit(0).cast("long"), F.col("size"), scale))
+    return stored(groups.withColumn("p0", p0), "audit-groups"), langs
 
 
 def blocks(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -135,7 +136,9 @@ def blocks(counts: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     Classes hold terms within half a power of two; each has as many slots as
     its rows need, and terms are dealt to them by hash."""
     c = counts.withColumn("class", F.floor(F.log2("total") * 2).cast("int"))
-    slots = c.groupBy("lang", "class").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_slots"))
+    # Written, so its size is known when the join is planned: a small table is
+    # broadcast, and the counts are not dealt by language and class.
+    slots = stored(c.groupBy("lang", "class").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("long").alias("_slots")), "audit-slots")
     return (c.join(slots, ["lang", "class"])
             .withColumn("slot", F.pmod(F.xxhash64("term"), F.col("_slots"))).drop("_slots"))
 
@@ -221,7 +224,7 @@ def level_products(counts: DataFrame, groups: DataFrame, block_rows: int = BLOCK
     # Each block also gets a row per group of its language: level 0.
     zero = b.select(*keys).distinct().join(groups, "lang").select(
         *keys, "source", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), F.col("p0").alias("p"))
-    return seen.unionByName(zero).groupBy(*keys).applyInArrow(_block_tables(cells, tile), _CELLS)
+    return seen.unionByName(zero).repartition(*keys).groupBy(*keys).applyInArrow(_block_tables(cells, tile), _CELLS)
 
 
 def joint_tables(products: DataFrame) -> DataFrame:
@@ -258,7 +261,6 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, top_terms: int = TOP_TERMS,
     """(lang, source, part, item, value, rank); see the module's description."""
     counts = stored(term_counts(docs, min_docs), "audit-counts")
     groups, langs = group_sizes(docs, counts)
-    groups = stored(groups, "audit-groups")
     pairs = pair_divergences(level_products(counts, groups, **parameters), groups)
     terms = term_divergences(counts, groups, langs)
     rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
