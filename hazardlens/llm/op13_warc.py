@@ -214,11 +214,17 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: ``capture`` (response or revisit record),
     ``request`` and ``metadata`` records, joined through their concurrent-to ids."""
-    fields = [F.col(c) for c in records.columns]
-    main = records.where(F.col("record_type").isin("response", "revisit")).select("record_id", F.struct(*fields).alias("capture"))
-    part = lambda kind: records.where(F.col("record_type") == kind).select(
-        F.col("concurrent_to").alias("record_id"), F.struct(*fields).alias(kind))
-    return main.join(part("request"), "record_id", "left").join(part("metadata"), "record_id", "left").drop("record_id")
+    def of(name, *kinds):
+        return records.where(F.col("record_type").isin(*kinds)).select(*[F.col(c).alias(f"{name}_{c}") for c in records.columns])
+
+    # Joined as flat columns and nested at the end, so fields that a query does
+    # not use, payloads above all, are not shuffled.
+    found = of("capture", "response", "revisit")
+    for name in ("request", "metadata"):
+        found = found.join(of(name, name), F.col("capture_record_id") == F.col(f"{name}_concurrent_to"), "left")
+    nested = lambda name: F.struct(*[F.col(f"{name}_{c}").alias(c) for c in records.columns])
+    return found.select(nested("capture").alias("capture"), *[
+        F.when(F.col(f"{name}_record_id").isNotNull(), nested(name)).alias(name) for name in ("request", "metadata")])
 
 
 _ABOUT = "page_id long, url string, payload_id string"
@@ -229,9 +235,9 @@ def pages_of(found: DataFrame) -> DataFrame:
     record_type, payload (null for revisits), its digest and length, and, for
     revisits, the page_id of the response that holds the payload."""
     about = F.from_json("metadata.payload", _ABOUT)
-    p = found.select(about.alias("about"), "capture").select(
-        "about.page_id", "about.url", "about.payload_id", "capture.record_type", F.col("capture.refers_to").alias("_target"),
-        "capture.payload", "capture.payload_digest", "capture.payload_bytes", "capture.stated_digest", "capture.stated_bytes")
+    p = found.select(about.alias("about"), "capture.record_type", F.col("capture.refers_to").alias("_target"), "capture.payload",
+                     "capture.payload_digest", "capture.payload_bytes", "capture.stated_digest", "capture.stated_bytes")
+    p = p.select("about.page_id", "about.url", "about.payload_id", *p.columns[1:])
     # Responses that revisits can name; those alike in page and payload are one.
     named = (p.where("payload_id is not null").groupBy("payload_id")
              .agg(F.first("page_id").alias("_first"), F.first("payload_digest").alias("_digest"), F.first("payload_bytes").alias("_bytes")))
