@@ -9,11 +9,14 @@ broadcasts when the category table is under the size threshold.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hazardlens.functions import columns as C
 from hazardlens.operators.running import running_sums
+from hazardlens.session import scratch_path
 
 # Column groups and the 33-feature order used at training
 # and scoring time.
@@ -54,6 +57,14 @@ def feature_source(staged: DataFrame) -> DataFrame:
             .select(*[F.col(src).alias(dst) for src, dst in SOURCE_COLUMNS if src in present]))
 
 
+def written_source(staged: DataFrame) -> DataFrame:
+    """F11, written once to the shared checkpoint folder and read back."""
+    spark = staged.sparkSession
+    path = scratch_path(spark, f"feature-source-{uuid.uuid4().hex[:12]}")
+    feature_source(staged).write.parquet(path)
+    return spark.read.parquet(path)
+
+
 # M1-M4 -----------------------------------------------------------------------
 
 def _modes(df: DataFrame, cols: list) -> dict:
@@ -225,11 +236,32 @@ def select_final(df: DataFrame) -> DataFrame:
 
 
 def feature_table(staged: DataFrame, exact: bool = True, compat_periods: bool = True) -> DataFrame:
-    """staging -> F11 -> M1-M4 -> M5/M6/C8 -> M7 -> M8."""
-    src = impute(feature_source(staged), exact)
+    """staging -> F11 -> M1-M4 -> M5/M6/C8 -> M7 -> M8. The source is written
+    once, since every fitting pass reads it."""
+    src = impute(written_source(staged), exact)
     return select_final(add_derived(encode_categoricals(src, compat_periods)))
 
 
+# M9 -----------------------------------------------------------------------------
+
+def feature_summary(features: DataFrame, label: str = LABEL_COL) -> DataFrame:
+    """(column, type, null_count) of every column, then a row per class of the
+    label: (label = class, 'class', rows, share of labelled rows in percent).
+
+    One aggregation counts nulls, one the classes of the label.
+    """
+    null = [F.sum(F.col(c).isNull().cast("int")).cast("bigint").alias(c) for c in features.columns]
+    entry = lambda f: F.struct(F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+                               F.coalesce(F.col(f.name), F.lit(0)).alias("null_count"))
+    columns = features.agg(*null).select(F.inline(F.array(*[entry(f) for f in features.schema])))
+    classes = features.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy(F.lit(1)))  # one row per class
+    shares = classes.select(F.concat(F.lit(f"{label} = "), F.col(label).cast("string")).alias("column"), F.lit("class").alias("type"),
+                            F.lit(0).cast("bigint").alias("null_count"), F.col("n").alias("rows"), (F.col("n") * 100.0 / total).alias("share_pct"))
+    return (columns.withColumn("rows", F.lit(None).cast("bigint")).withColumn("share_pct", F.lit(None).cast("double"))
+            .unionByName(shares))
+
+
 # M10 ----------------------------------------------------------------------------
 
 def hash_bucket(id_col, seed: int = 42) -> Column:
@@ -243,3 +275,25 @@ def hash_split(df: DataFrame, id_col: str = ID_COL, seed: int = 42, train_pct: i
     """Adds ``split`` = 'train' (about train_pct %) or 'test'."""
     return df.withColumn("split", F.when(hash_bucket(id_col, seed) < train_pct, "train")
                          .otherwise("test"))
+
+
+def stratified_split(df: DataFrame, label: str = LABEL_COL, id_col: str = ID_COL, seed: int = 42,
+                     test_pct: int = 20) -> DataFrame:
+    """Adds ``split`` with an exact share of every class: of n rows of a class,
+    the round(n * test_pct / 100) with the highest hash of their id are 'test'.
+
+    Ranks are running sums over one range partitioning by (class, hash), so a
+    class with any number of rows spans many tasks; class sizes are one small
+    row per class. Null labels are a class of their own; ids must be unique.
+    """
+    h = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(str(seed))))
+    keyed = df.withColumn("__h", h).withColumn("__one", F.lit(1))
+    ranked = running_sums(keyed, [F.asc_nulls_first(label), F.col("__h"), F.col(id_col)], {"__at": "__one"})
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    # Rows of earlier classes precede a class in the running rank.
+    before = Window.orderBy(F.asc_nulls_first("__label")).rowsBetween(Window.unboundedPreceding, -1)  # one row per class
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    test = F.floor((F.col("__n") * test_pct * 2 + 100) / 200)
+    rank = F.col("__at") - F.col("__before")
+    return (ranked.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
+            .select(*df.columns, F.when(rank > F.col("__n") - test, "test").otherwise("train").alias("split")))

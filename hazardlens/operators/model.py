@@ -38,13 +38,18 @@ def class_weights(train: DataFrame, label: str = FE.LABEL_COL) -> float:
     return float(r.n) / float(r.p) if r.p else 1.0
 
 
+def split_of(features: DataFrame) -> DataFrame:
+    """``features`` with their train / test split, by class unless they have one."""
+    return features if "split" in features.columns else FE.stratified_split(features)
+
+
 def train_gbt(features: DataFrame, max_iter: int | None = None, seed: int = SEED,
               label: str = FE.LABEL_COL) -> tuple[PipelineModel, list]:
     """Fit assembler + GBT on the 'train' split; returns (model, feature names)."""
     spark = features.sparkSession
     checkpoint_dir(spark)
     names = [c for c in FE.FEATURE_ORDER if c in features.columns]
-    train = FE.hash_split(features).where(F.col("split") == "train")
+    train = split_of(features).where(F.col("split") == "train")
     w = class_weights(train, label)
     train = train.withColumn("__w", F.when(F.col(label) == 1, F.lit(w)).otherwise(F.lit(1.0)))
     gbt = GBTClassifier(labelCol=label, featuresCol="features", weightCol="__w",
@@ -98,10 +103,10 @@ def load_model(path: str) -> PipelineModel:
 def model_metadata(spark: SparkSession, path: str) -> DataFrame:
     """One-row metadata table read back from a saved model directory."""
     raw = spark.read.text(os.path.join(path, "_hazardlens_metadata"))
-    schema = ("model_type string, params struct<maxDepth:int,stepSize:double,maxIter:int>, "
+    schema = ("model_type string, saved_at timestamp, params struct<maxDepth:int,stepSize:double,maxIter:int>, "
               "feature_names array<string>, metrics map<string,double>")
     return raw.select(F.from_json("value", schema).alias("m")).select(
-        "m.model_type", "m.params", F.size("m.feature_names").alias("feature_count"),
+        "m.model_type", "m.saved_at", "m.params", F.size("m.feature_names").alias("feature_count"),
         "m.feature_names", "m.metrics")
 
 
@@ -113,5 +118,5 @@ def metrics_dict(metrics_df: DataFrame) -> dict:
 
 def evaluate(model: PipelineModel, features: DataFrame) -> DataFrame:
     """M16 on the held-out split, on the scores as they are."""
-    test = FE.hash_split(features).where(F.col("split") == "test")
+    test = split_of(features).where(F.col("split") == "test")
     return SC.eval_metrics(score_model(model, test))

@@ -68,7 +68,7 @@ def validate_requests(req: DataFrame, id_col: str = "request_id") -> DataFrame:
 
 
 def request_features(valid: DataFrame, state_codes: DataFrame | None = None,
-                     city_codes: DataFrame | None = None, unknown: int = -1) -> DataFrame:
+                     city_codes: DataFrame | None = None, unknown: int = -1, keep: list | None = None) -> DataFrame:
     """Request -> the 33 model features.
 
     Requests count weekdays from Monday = 0, the model's layout from Sunday = 0.
@@ -77,7 +77,8 @@ def request_features(valid: DataFrame, state_codes: DataFrame | None = None,
     bands); rush hour 7-9 / 16-19; poor weather and extreme temperature from
     the numbers; weather code by two-way containment. State and city use the
     code tables fitted at training time (J1 joins); unseen values get
-    ``unknown`` instead of a per-process hash.
+    ``unknown`` instead of a per-process hash. ``keep`` names further columns
+    to carry along.
     """
     out = valid
     tp = (C.period_label_code("time_period", compat=True) if "time_period" in out.columns
@@ -92,7 +93,7 @@ def request_features(valid: DataFrame, state_codes: DataFrame | None = None,
                              F.coalesce(F.col(f"{name}_encoded") if f"{name}_encoded" in out.columns
                                         else F.lit(None), F.lit(unknown)).cast("int"))
     return out.select(
-        *[c for c in ("request_id",) if c in out.columns],
+        *[c for c in ("request_id", *(keep or [])) if c in out.columns],
         "hour", C.monday0_to_sunday0("day_of_week").alias("day_of_week"), F.col("is_weekend").cast("int").alias("is_weekend"), "month",
         period.cast("int").alias("time_period_encoded"), C.is_rush_hour("hour").alias("is_rush_hour"),
         "state_encoded", "city_encoded", "latitude", "longitude", "temperature_f", "humidity_pct",

@@ -43,6 +43,11 @@ ADVICE_BEST = "Recommended - Safest option"
 ADVICE_SLIGHT = "Slightly higher risk"
 ADVICE_SIMILAR = "Similar safety level"
 ADVICE_HIGHER = "Higher risk - %.1f points less safe"
+ADVICE_FAILED = "Scoring failed - use with caution"
+FAILED_RISK, FAILED_LEVEL, FAILED_SAFETY = 0.5, "UNKNOWN", 50.0
+
+CELLS_PER_DEGREE = 10                # grid of the incident history (about 11 km)
+HISTORY_FLAGS = ["has_junction", "has_crossing", "has_traffic_signal", "has_stop"]
 
 
 # W3 / C17 ------------------------------------------------------------------
@@ -151,6 +156,24 @@ def sample_waypoints(wp: DataFrame, interval_mi: float = SAMPLE_INTERVAL_MI) ->
     return steps.mapInPandas(_sampler(interval_mi), ", ".join(f"{c} {kinds[c]}" for c in _SAMPLED))
 
 
+# J6 ------------------------------------------------------------------------
+
+def with_history(segments: DataFrame, staged: DataFrame, cells_per_degree: int = CELLS_PER_DEGREE,
+                 flags=tuple(HISTORY_FLAGS)) -> DataFrame:
+    """Segments with road flags (0 / 1) taken from past incidents: a flag is
+    set where any incident of the segment's grid cell had it.
+
+    Incidents are reduced to one row per cell before the equi-join, so a cell
+    with any number of incidents costs one row.
+    """
+    cell = lambda c: F.floor(F.col(c) * float(cells_per_degree))
+    past = (staged.groupBy(cell("latitude").alias("__cx"), cell("longitude").alias("__cy"))
+            .agg(*[F.bool_or(f).alias(f"__{f}") for f in flags]))
+    keyed = segments.select("*", cell("lat").alias("__cx"), cell("lon").alias("__cy"))
+    return keyed.join(past, ["__cx", "__cy"], "left").select(
+        *segments.columns, *[F.coalesce(F.col(f"__{f}"), F.lit(False)).cast("int").alias(f) for f in flags])
+
+
 # M15 -----------------------------------------------------------------------
 
 def segment_features(segments: DataFrame, hour, day_of_week_sun0, weather, temperature_f,
@@ -159,16 +182,21 @@ def segment_features(segments: DataFrame, hour, day_of_week_sun0, weather, tempe
 
     ``hour``/``day_of_week_sun0``/weather inputs are Columns (or literals),
     so the same projection serves one departure or many candidate hours.
-    The unknown road flags stay 0 and the never-passed parameters keep
-    their defaults, as in the reference scorer.
+    Road flags that ``segments`` does not have (see ``with_history``) stay 0
+    and the never-passed parameters keep their defaults, as in the reference
+    scorer.
     """
     lit = lambda v: v if isinstance(v, Column) else F.lit(v)
     h, dow, w = lit(hour), lit(day_of_week_sun0), lit(weather)
     t, vis = lit(temperature_f).cast("double"), lit(visibility_mi).cast("double")
     d = SEGMENT_DEFAULTS
-    zero = F.lit(0)
+    known = set(segments.columns)
+    flag = lambda f: F.col(f) if f in known else F.lit(0)
+    count = flag(C.ROAD_FLAGS[0])
+    for f in C.ROAD_FLAGS[1:]:
+        count = count + flag(f)
     return segments.select(
-        "*",
+        *[c for c in segments.columns if c not in C.ROAD_FLAGS],
         h.alias("hour"), dow.alias("day_of_week"),
         F.when(dow.isin(0, 6), 1).otherwise(0).alias("is_weekend"),
         F.lit(d["month"]).alias("month"),
@@ -182,8 +210,8 @@ def segment_features(segments: DataFrame, hour, day_of_week_sun0, weather, tempe
         F.lit(d["precipitation_in"]).alias("precipitation_in"),
         C.scorer_weather_code(w).alias("weather_encoded"),
         C.poor_weather_text(w).alias("poor_weather"), C.extreme_temp(t).alias("extreme_temp"),
-        *[zero.alias(f) for f in C.ROAD_FLAGS],
-        zero.alias("road_feature_count"), F.lit(d["distance_mi"]).alias("distance_mi"),
+        *[flag(f).alias(f) for f in C.ROAD_FLAGS],
+        count.alias("road_feature_count"), F.lit(d["distance_mi"]).alias("distance_mi"),
         w.alias("weather_condition"),
         (dow.isin(0, 6)).alias("__weekend_flag"),
     )
@@ -199,13 +227,14 @@ def rule_segment_scorer(features: DataFrame) -> DataFrame:
 
 def score_segments(segments: DataFrame, hour, day_of_week_sun0, weather="Clear",
                    temperature_f=70.0, visibility_mi=10.0, scorer=rule_segment_scorer) -> DataFrame:
-    """Segments + risk_score, scorer risk level (4-way, MODERATE) and confidence."""
+    """Segments + risk_score, scorer risk level (4-way, MODERATE) and confidence.
+    Segments without a score get 0.5 / UNKNOWN / 0 (M23)."""
     feats = segment_features(segments, hour, day_of_week_sun0, weather, temperature_f, visibility_mi)
     scored = scorer(feats)
     p = F.col("risk_score")
-    return scored.select(*segments.columns, "hour", "day_of_week", "risk_score",
-                         C.risk_level4(p, "MODERATE").alias("risk_level"),
-                         C.confidence_max(p).alias("confidence"))
+    return SC.with_fallback(scored.select(*segments.columns, "hour", "day_of_week", "risk_score",
+                                          C.risk_level4(p, "MODERATE").alias("risk_level"),
+                                          C.confidence_max(p).alias("confidence")))
 
 
 # R2 / R3 -------------------------------------------------------------------
@@ -244,10 +273,37 @@ def danger_zones(seg_scores: DataFrame, threshold: float = DANGER_THRESHOLD) ->
                     C.location_string("lat", "lon").alias("location"), "risk_level"))
 
 
+# M23 -----------------------------------------------------------------------
+
+def checked_waypoints(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Waypoints that arrive as text, parsed: (waypoints of sound routes, failed
+    routes with the error of their first bad point).
+
+    Parsing uses ``try_cast``, so a broken route is a row with an error, not a
+    failed job, and does not touch the other routes of its trip.
+    """
+    lat, lon = F.col("lat").try_cast("double"), F.col("lon").try_cast("double")
+    named = lambda text: F.concat(F.lit("point "), F.col("seq").cast("string"), F.lit(f": {text}"))
+    error = (F.when(F.col("lat").isNull() | F.col("lon").isNull(), named("coordinate missing"))
+             .when(lat.isNull() | lon.isNull(), named("coordinate is no number"))
+             .when((F.abs(lat) > 90) | (F.abs(lon) > 180), named("coordinate off the globe")))
+    points = raw.select("trip_id", "route_id", "seq", lat.alias("lat"), lon.alias("lon"), error.alias("error"))
+    failed = (points.where(F.col("error").isNotNull()).groupBy("trip_id", "route_id")
+              .agg(F.min_by("error", "seq").alias("error")))
+    sound = points.drop("error").join(failed.select("trip_id", "route_id"), ["trip_id", "route_id"], "left_anti")
+    return sound, failed
+
+
 # R4 / W10 / L5 -------------------------------------------------------------
 
-def route_advice(risk: DataFrame) -> DataFrame:
-    """Rank each trip's routes safest first and attach the advice text."""
+def route_advice(risk: DataFrame, failed: DataFrame | None = None, overwrite_failed: bool = False) -> DataFrame:
+    """Rank each trip's routes safest first and attach the advice text.
+
+    ``failed`` routes (trip_id, route_id, error) take part with risk 0.5, level
+    UNKNOWN, safety 50 and no segments. If one of them ranks first, the others
+    get no advice. Failed routes keep their warning; the reference replaces it
+    by a comparison when a sound route ranks first (``overwrite_failed=True``).
+    """
     safety = C.round_half_up("safety_score", 1)
     ranked = risk.select("trip_id", "route_id",
                          C.round_half_up("overall_risk", 3).alias("risk_score"),
@@ -256,13 +312,22 @@ def route_advice(risk: DataFrame) -> DataFrame:
                          C.round_half_up("max_risk", 3).alias("max_risk"),
                          C.round_half_up("min_risk", 3).alias("min_risk"),
                          F.col("segments_scored").alias("segments_analyzed"))
+    if failed is not None:
+        half = F.lit(FAILED_RISK)
+        rows = failed.select("trip_id", "route_id", half.alias("risk_score"), F.lit(FAILED_LEVEL).alias("risk_level"),
+                             F.lit(FAILED_SAFETY).alias("safety_score"), half.alias("max_risk"), half.alias("min_risk"),
+                             F.lit(0).cast("long").alias("segments_analyzed"), "error")
+        ranked = ranked.withColumn("error", F.lit(None).cast("string")).unionByName(rows)
     w = Window.partitionBy("trip_id").orderBy(F.desc("safety_score"), "route_id")
     best = F.max("safety_score").over(Window.partitionBy("trip_id"))
     best_level = F.first("risk_level").over(w.rowsBetween(Window.unboundedPreceding,
                                                           Window.unboundedFollowing))
     diff = best - F.col("safety_score")
     rank = F.row_number().over(w)
-    advice = (F.when(best_level == "UNKNOWN", F.lit(None).cast("string"))
+    warned = F.col("error").isNotNull() if failed is not None else F.lit(False)
+    if overwrite_failed:
+        warned = warned & (best_level == FAILED_LEVEL)
+    advice = (F.when(warned, ADVICE_FAILED).when(best_level == "UNKNOWN", F.lit(None).cast("string"))
               .when(rank == 1, ADVICE_BEST)
               .when(diff > 10, F.format_string(ADVICE_HIGHER, F.bround(diff, 1)))
               .when(diff > 5, ADVICE_SLIGHT).otherwise(ADVICE_SIMILAR))
@@ -276,16 +341,20 @@ def _level_from(first_danger, mean) -> Column:
     return F.coalesce(first_danger, C.risk_level4(mean, "MODERATE"))
 
 
-def hourly_route_scores(first_routes: DataFrame, segments: DataFrame, date: str, hours,
+def hourly_route_scores(first_routes: DataFrame | None, segments: DataFrame, date, hours,
                         weather="Clear", temperature_f=70.0, visibility_mi=10.0,
                         scorer=rule_segment_scorer) -> DataFrame:
-    """Score each trip's route at every candidate hour of ``date``.
+    """Score each trip's route at every candidate hour of ``date`` (a day, or a
+    date column of ``segments``). ``first_routes`` limits the segments to one
+    route per trip unless they are already.
 
     Hours come from ``explode`` of a literal array (J2 without a join); the
     sampled geometry is reused for every hour.
     """
-    dow = C.dow_sunday0(F.lit(date).cast("date"))
-    segs = segments.join(first_routes.select("trip_id", "route_id"), ["trip_id", "route_id"])
+    dow = C.dow_sunday0(date if isinstance(date, Column) else F.lit(date).cast("date"))
+    segs = segments
+    if first_routes is not None:
+        segs = segments.join(first_routes.select("trip_id", "route_id"), ["trip_id", "route_id"])
     with_h = segs.withColumn("__hour", F.explode(F.array(*[F.lit(int(h)) for h in hours])))
     scored = score_segments(with_h, F.col("__hour"), dow, weather, temperature_f, visibility_mi,
                             scorer)
@@ -328,17 +397,19 @@ def departure_analysis(hourly: DataFrame, hours=DEFAULT_HOURS) -> DataFrame:
 
 # R6 ------------------------------------------------------------------------------
 
-def compare_departures(hourly: DataFrame, hour1: int, hour2: int) -> DataFrame:
-    """Which of two departure hours is safer for each trip (pivot of two rows)."""
-    two = hourly.where(F.col("hour").isin(hour1, hour2))
-    p = two.groupBy("trip_id").agg(
-        F.max(F.when(F.col("hour") == hour1, F.col("safety_score"))).alias("time1_safety"),
-        F.max(F.when(F.col("hour") == hour2, F.col("safety_score"))).alias("time2_safety"),
-        F.max(F.when(F.col("hour") == hour1, F.col("risk_score"))).alias("time1_risk"),
-        F.max(F.when(F.col("hour") == hour2, F.col("risk_score"))).alias("time2_risk"))
+def compare_departures(hourly: DataFrame, hour1, hour2) -> DataFrame:
+    """Which of two departure hours is safer for each trip (pivot of two
+    rows). The hours are numbers, or columns of ``hourly`` that are the same
+    for all rows of a trip."""
+    first, second = (h if isinstance(h, Column) else F.lit(h) for h in (hour1, hour2))
+    p = hourly.withColumn("__h1", first).withColumn("__h2", second).where("hour in (__h1, __h2)")
+    at = lambda h, c: F.max(F.when(F.col("hour") == F.col(h), F.col(c)))
+    p = p.groupBy("trip_id").agg(
+        F.min("__h1").alias("__h1"), F.min("__h2").alias("__h2"),
+        at("__h1", "safety_score").alias("time1_safety"), at("__h2", "safety_score").alias("time2_safety"),
+        at("__h1", "risk_score").alias("time1_risk"), at("__h2", "risk_score").alias("time2_risk"))
     s1, s2 = F.col("time1_safety"), F.col("time2_safety")
-    l1 = C.clock_label(F.lit(hour1))
-    l2 = C.clock_label(F.lit(hour2))
+    l1, l2 = C.clock_label(F.col("__h1")), C.clock_label(F.col("__h2"))
     diff = C.round_half_up(F.abs(s1 - s2), 1)
     better = lambda a, b: F.concat(F.lit("Departing at "), a, F.lit(" is safer by "),
                                    diff.cast("string"), F.lit(" safety points compared to "), b, F.lit("."))

@@ -7,9 +7,11 @@ thresholds. The SQL twin of each entry (when SQL can express it) is in
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +27,7 @@ from hazardlens.operators import quality as Q
 from hazardlens.operators import requests as RQ
 from hazardlens.operators import routes as R
 from hazardlens.operators import scoring as SC
+from hazardlens.operators import serving as SV
 from hazardlens.session import scratch_path
 from hazardlens.sources import io as IO
 from hazardlens.sources.tables import load_table
@@ -210,27 +213,27 @@ def q_critical_nulls(spark, sf_dir):
 
 @query("value_set_check")
 def q_value_set(spark, sf_dir):
-    return Q.value_set_check(FX.incidents(spark, sf_dir), "Severity", Q.SEVERITY_LEVELS)
+    return Q.value_set_check(FX.dirty_incidents(spark, sf_dir), "Severity", Q.SEVERITY_LEVELS)
 
 
 @query("range_check")
 def q_range(spark, sf_dir):
-    return Q.range_check(FX.incidents(spark, sf_dir))
+    return Q.range_check(FX.dirty_incidents(spark, sf_dir))
 
 
 @query("duplicate_keys")
 def q_dups(spark, sf_dir):
-    return Q.duplicate_summary(FX.incidents(spark, sf_dir), "ID")
+    return Q.duplicate_summary(FX.dirty_incidents(spark, sf_dir), "ID")
 
 
 @query("date_check")
 def q_dates(spark, sf_dir):
-    return Q.date_check(FX.incidents(spark, sf_dir), "Start_Time", as_of="2026-01-01 00:00:00")
+    return Q.date_check(FX.dirty_incidents(spark, sf_dir), "Start_Time", as_of="2026-01-01 00:00:00")
 
 
 @query("quality_report")
 def q_quality(spark, sf_dir):
-    return Q.quality_report(FX.incidents(spark, sf_dir), as_of="2026-01-01 00:00:00")
+    return Q.quality_report(FX.dirty_incidents(spark, sf_dir), as_of="2026-01-01 00:00:00")
 
 
 # --- features -------------------------------------------------------------------
@@ -308,18 +311,22 @@ def q_roc(spark, sf_dir):
 # --- routes ------------------------------------------------------------------------
 
 
-# Reference mock departures: Friday 2024-01-05 17:00 (route scoring) and
-# Friday 2024-02-02 (departure-time tests), manual weather Clear / 70 F / 10 mi.
+# Reference mock departure: Friday 2024-01-05 17:00, manual weather Clear / 70 F / 10 mi.
 ROUTE_HOUR, ROUTE_DOW = 17, 5
-ANALYSIS_DATE = "2024-02-02"
 
 
 def _samples(spark, sf_dir):
     return R.sample_waypoints(FX.waypoints(spark, sf_dir))
 
 
-def _seg_scores(spark, sf_dir, weather="Clear", temp=70.0, vis=10.0):
-    return R.score_segments(_samples(spark, sf_dir), ROUTE_HOUR, ROUTE_DOW, weather, temp, vis)
+def _segments(spark, sf_dir, wp=None):
+    """Sampled segments with the road flags of past incidents around them."""
+    wp = FX.waypoints(spark, sf_dir) if wp is None else wp
+    return R.with_history(R.sample_waypoints(wp), staged(spark, sf_dir))
+
+
+def _seg_scores(spark, sf_dir, weather="Clear", temp=70.0, vis=10.0, wp=None):
+    return R.score_segments(_segments(spark, sf_dir, wp), ROUTE_HOUR, ROUTE_DOW, weather, temp, vis)
 
 
 @query("waypoint_distance")
@@ -339,7 +346,8 @@ def q_route_risk(spark, sf_dir):
 
 @query("danger_zones")
 def q_danger(spark, sf_dir):
-    return R.danger_zones(_seg_scores(spark, sf_dir, "Fog", 70.0, 3.0))
+    """In poor visibility, segments past a junction or crossing are dangerous."""
+    return R.danger_zones(_seg_scores(spark, sf_dir, "Clear", 70.0, 3.0))
 
 
 @query("route_advice")
@@ -347,30 +355,46 @@ def q_advice(spark, sf_dir):
     return R.route_advice(R.route_risk(FX.waypoints(spark, sf_dir), _seg_scores(spark, sf_dir)))
 
 
+@query("route_outcomes")
+def q_outcomes(spark, sf_dir):
+    """Routes as they arrive, some broken: sound ones are ranked by
+    their risk, broken ones take part with the fallback and a warning."""
+    sound, failed = R.checked_waypoints(FX.raw_waypoints(spark, sf_dir))
+    return R.route_advice(R.route_risk(sound, _seg_scores(spark, sf_dir, wp=sound)), failed)
+
+
 def _hourly(spark, sf_dir, hours):
+    """Scores of each trip's first route at ``hours`` of the day it asks for,
+    with the columns of its request."""
     wp = FX.waypoints(spark, sf_dir)
-    return R.hourly_route_scores(R.first_routes(wp), R.sample_waypoints(wp), ANALYSIS_DATE, hours)
+    first = wp.join(R.first_routes(wp), ["trip_id", "route_id"])
+    asked = FX.trip_requests(spark, sf_dir)
+    segments = _segments(spark, sf_dir, first).join(asked.select("trip_id", "date"), "trip_id")
+    return R.hourly_route_scores(None, segments, F.col("date"), hours).join(asked, "trip_id")
 
 
 @query("departure_hours")
 def q_departure_hours(spark, sf_dir):
     """Each trip's candidate hours with safety, risk, level and danger count."""
-    return _hourly(spark, sf_dir, R.DEFAULT_HOURS)
+    asked = FX.trip_requests(spark, sf_dir).columns[1:]
+    return _hourly(spark, sf_dir, R.DEFAULT_HOURS).where("hour between earliest and latest").drop(*asked)
 
 
 @query("departure_times")
 def q_departures(spark, sf_dir):
-    return R.departure_analysis(_hourly(spark, sf_dir, R.DEFAULT_HOURS), R.DEFAULT_HOURS)
+    hourly = _hourly(spark, sf_dir, R.DEFAULT_HOURS).where("hour between earliest and latest")
+    return R.departure_analysis(hourly, R.DEFAULT_HOURS)
 
 
 @query("compare_times")
 def q_compare(spark, sf_dir):
-    return R.compare_departures(_hourly(spark, sf_dir, [8, 17]), 8, 17)
+    return R.compare_departures(_hourly(spark, sf_dir, [8, 12, 17, 21]), F.col("time1"), F.col("time2"))
 
 
 @query("best_window")
 def q_best_window(spark, sf_dir):
-    return R.best_window(_hourly(spark, sf_dir, list(range(R.WINDOW_MIN_HOUR, R.WINDOW_MAX_HOUR + 1))))
+    hours = list(range(R.WINDOW_MIN_HOUR, R.WINDOW_MAX_HOUR + 1))
+    return R.best_window(_hourly(spark, sf_dir, hours).where("hour >= window_from"))
 
 
 @query("extreme_segments")
@@ -406,7 +430,7 @@ def q_asof(spark, sf_dir):
 
 
 def _route_sample_weather(spark, sf_dir):
-    wp = FX.waypoints(spark, sf_dir)
+    wp = FX.corridor_waypoints(spark, sf_dir)
     firsts = R.first_routes(wp)
     pts = (EN.route_sample_points(wp.join(firsts, ["trip_id", "route_id"]))
            .join(FX.trip_departures(spark, sf_dir), "trip_id")
@@ -445,58 +469,167 @@ def q_codes(spark, sf_dir):
                         C.poor_weather_text(cat).alias("poor_weather"))
 
 
-# --- Spark ML model (rows-only checks) ---------------------------------------------
+# --- the trained model ------------------------------------------------------------------
 
 
-_MODELS: dict = {}
+def _model_path(spark, sf_dir):
+    """Folder of the pipeline trained on ``sf_dir`` in this application. It is
+    trained, saved with its metrics and feature table once, and loaded from
+    there by every query."""
+    app = spark.conf.get("spark.app.id", None) or str(id(spark))
+    base = scratch_path(spark, f"risk-{app}-{hashlib.md5(sf_dir.encode()).hexdigest()[:12]}")
+    try:
+        spark.read.text(f"{base}/done")
+    except AnalysisException:  # not trained yet
+        model, feats = SV.fit_risk_pipeline(staged(spark, sf_dir))
+        feats.write.mode("overwrite").parquet(f"{base}/features")
+        SV.save_risk_pipeline(spark, model, spark.read.parquet(f"{base}/features"), f"{base}/model")
+        spark.createDataFrame([("trained",)], "value string").write.mode("overwrite").text(f"{base}/done")
+    return base
 
 
 def _model(spark, sf_dir):
-    # One fit per (application, input): a model's JVM handle dies with its
-    # SparkContext, so the application id is part of the key.
-    # The feature table is written once; fitting and scoring read it.
-    key = (spark.conf.get("spark.app.id", None) or id(spark), sf_dir)
-    if key not in _MODELS:
-        path = _scratch(spark, "features")
-        FE.feature_table(staged(spark, sf_dir)).write.parquet(path)
-        feats = spark.read.parquet(path)
-        _MODELS[key] = (*ML.train_gbt(feats), feats)
-    return _MODELS[key]
+    base = _model_path(spark, sf_dir)
+    return SV.load_risk_pipeline(f"{base}/model"), spark.read.parquet(f"{base}/features")
 
 
 @query("gbt_scores")
 def q_gbt_scores(spark, sf_dir):
-    model, _, feats = _model(spark, sf_dir)
-    return ML.score_model(model, feats).select("accident_id", "is_high_severity", "risk_score",
-                                              "prediction", "risk_level", "confidence")
+    model, feats = _model(spark, sf_dir)
+    return ML.score_model(SV.booster(model), feats).select("accident_id", "is_high_severity", "risk_score",
+                                                           "prediction", "risk_level", "confidence")
+
+
+@query("gbt_checks")
+def q_gbt_checks(spark, sf_dir):
+    """What must hold for every scored incident, whatever was learned:
+    a probability; level, prediction and confidence as functions of it; and the
+    same score from raw fields through the whole pipeline."""
+    model, feats = _model(spark, sf_dir)
+    a = ML.score_model(SV.booster(model), feats)
+    b = SV.score_incidents(model, staged(spark, sf_dir)).select("accident_id", F.col("risk_score").alias("again"))
+    return a.join(b, "accident_id").select(
+        "accident_id", "split", F.col("risk_score").between(0, 1).alias("is_probability"),
+        (F.col("risk_level") == C.risk_level3("risk_score")).alias("level_follows"),
+        ((F.col("risk_score") > 0.5).cast("double") == F.col("prediction")).alias("prediction_follows"),
+        (F.abs(F.col("confidence") - F.abs(F.col("risk_score") - 0.5) * 2) < 1e-4).alias("confidence_follows"),
+        (F.abs(F.col("risk_score") - F.col("again")) < 1e-9).alias("same_from_raw"))
 
 
 @query("gbt_metrics")
 def q_gbt_metrics(spark, sf_dir):
-    model, _, feats = _model(spark, sf_dir)
-    return ML.evaluate(model, feats)
+    model, feats = _model(spark, sf_dir)
+    return ML.evaluate(SV.booster(model), feats)
+
+
+@query("gbt_metrics_check")
+def q_gbt_metrics_check(spark, sf_dir):
+    """Sizes of the held-out rows, and that the metrics saved with the
+    model are those of the loaded model on these rows."""
+    base = _model_path(spark, sf_dir)
+    now = ML.evaluate(SV.booster(SV.load_risk_pipeline(f"{base}/model")), spark.read.parquet(f"{base}/features"))
+    then = ML.model_metadata(spark, f"{base}/model").select("metrics", "saved_at", "feature_count", "model_type")
+    same = F.lit(True)
+    for c in now.columns:
+        same = same & (F.abs(F.col(c) - F.col("metrics")[c]) < 1e-9)
+    both = now.withColumn("__k", F.lit(1)).join(then.withColumn("__k", F.lit(1)), "__k")  # one row each
+    return both.select("test_samples", "positive_samples", "negative_samples", "model_type", "feature_count",
+                       same.alias("metrics_as_saved"), F.col("saved_at").isNotNull().alias("has_time"),
+                       F.col("roc_auc").between(0, 1).alias("auc_in_range"))
 
 
 @query("feature_importance")
 def q_importance(spark, sf_dir):
-    model, names, _ = _model(spark, sf_dir)
-    return ML.feature_importance(spark, model, names)
+    model, _ = _model(spark, sf_dir)
+    return ML.feature_importance(spark, SV.booster(model), SV.feature_names(model))
+
+
+@query("importance_check")
+def q_importance_check(spark, sf_dir):
+    """Every feature has one importance, they sum to 1 and rank downwards."""
+    model, _ = _model(spark, sf_dir)
+    names = SV.feature_names(model)
+    imp = ML.feature_importance(spark, SV.booster(model), names, top=len(names))
+    total = imp.agg(F.sum("importance")).first()[0]
+    later = imp.select((F.col("rank") - 1).alias("rank"), F.col("importance").alias("__next"))
+    return imp.join(later, "rank", "left").select(
+        "feature", "display_name", (F.col("importance") >= F.coalesce("__next", F.lit(0.0))).alias("ranked"),
+        F.lit(abs(total - 1) < 1e-9).alias("sums_to_one"))
 
 
 @query("contributing_factors")
 def q_factors(spark, sf_dir):
-    model, names, feats = _model(spark, sf_dir)
+    model, feats = _model(spark, sf_dir)
+    names = SV.feature_names(model)
     return SC.contributing_factors(feats.select("accident_id", *names),
-                                   ML.feature_importance(spark, model, names, top=len(names)), top_n=5)
+                                   ML.feature_importance(spark, SV.booster(model), names, top=len(names)), top_n=5)
 
 
 @query("model_metadata")
 def q_model_meta(spark, sf_dir):
-    model, names, _ = _model(spark, sf_dir)
-    path = _scratch(spark, "gbt_model")
-    ML.save_model(model, path, ML.metrics_dict(q_gbt_metrics(spark, sf_dir)), names, spark)
-    ML.load_model(path)  # round trip
-    return ML.model_metadata(spark, path)
+    return ML.model_metadata(spark, f"{_model_path(spark, sf_dir)}/model")
+
+
+@query("model_request_scores")
+def q_model_requests(spark, sf_dir):
+    """Every request through the saved pipeline; rejected ones get the fallback."""
+    model, _ = _model(spark, sf_dir)
+    return SV.predict_requests(model, _validated(spark, sf_dir))
+
+
+@query("model_request_checks")
+def q_model_request_checks(spark, sf_dir):
+    """Ids and validity of all requests, and that level, confidence, fallback
+    and factors follow from the score."""
+    scored = q_model_requests(spark, sf_dir)
+    p, known = F.col("risk_score"), F.col("risk_level") != SC.FALLBACK_LEVEL
+    fallback = (p == SC.FALLBACK_RISK) & (F.col("confidence") == 0) & F.col("contributing_factors").isNull()
+    return scored.select(
+        "request_id", "valid", (known == F.col("valid")).alias("scored_if_valid"), p.between(0, 1).alias("is_probability"),
+        F.when(known, F.abs(F.col("confidence") - F.abs(p - 0.5) * 2) < 2e-4).otherwise(fallback).alias("confidence_follows"),
+        F.when(known, (F.col("risk_level") == C.risk_level3(p)) | (F.abs(p - 0.3) < 1e-4) | (F.abs(p - 0.6) < 1e-4))
+        .otherwise(fallback).alias("level_follows"),
+        F.when(known, F.size("contributing_factors") == 5).otherwise(fallback).alias("factors_follow"))
+
+
+def _model_segments(spark, sf_dir):
+    """Segments of all routes, scored by the model at the departure, in the
+    weather and past the road features that belong to them."""
+    model, _ = _model(spark, sf_dir)
+    asked = FX.trip_requests(spark, sf_dir).select("trip_id", "date", "earliest")
+    segments = _segments(spark, sf_dir).join(asked, "trip_id")
+    foggy = F.col("trip_id") % 4 == 0
+    return R.score_segments(segments, F.col("earliest"), C.dow_sunday0(F.col("date")),
+                            F.when(foggy, "Fog").otherwise("Clear"), F.when(foggy, 45.0).otherwise(70.0),
+                            F.when(foggy, 2.0).otherwise(10.0), scorer=SV.segment_scorer(model)).drop("date", "earliest")
+
+
+@query("model_route_risk")
+def q_model_route_risk(spark, sf_dir):
+    """Route risk from the trained model."""
+    return R.route_risk(FX.waypoints(spark, sf_dir), _model_segments(spark, sf_dir))
+
+
+@query("model_route_checks")
+def q_model_route_checks(spark, sf_dir):
+    """Routes with their sampled segments, and that the risks are in order and
+    safety, danger zones and first danger level follow from them."""
+    risk = q_model_route_risk(spark, sf_dir)
+    low, mid, high = F.col("min_risk"), F.col("overall_risk"), F.col("max_risk")
+    danger = F.col("danger_zones") > 0
+    return risk.select(
+        "trip_id", "route_id", "segments_scored", (low.between(0, 1) & high.between(0, 1)).alias("are_probabilities"),
+        ((low <= mid + 1e-6) & (mid <= high + 1e-6)).alias("in_order"),
+        (F.abs(F.col("safety_score") - (100 - 100 * mid)) < 1e-3).alias("safety_follows"),
+        ((high > R.DANGER_THRESHOLD) == danger).alias("danger_follows"),
+        (F.col("first_danger_level").isNotNull() == danger).alias("level_follows"),
+        (F.col("danger_zones") <= F.col("segments_scored")).alias("danger_counted"))
+
+
+@query("stratified_split")
+def q_stratified(spark, sf_dir):
+    rows = FE.feature_source(staged(spark, sf_dir)).select("accident_id", F.col("is_high_severity").cast("int").alias("is_high_severity"))
+    return FE.stratified_split(rows)
 
 
 # --- streaming ------------------------------------------------------------------------
@@ -638,11 +771,9 @@ def q_modes(spark, sf_dir):
 
 @query("feature_summary")
 def q_feature_summary(spark, sf_dir):
+    """M9: type and nulls of every feature, and the share of each class."""
     ft = FE.feature_table(staged(spark, sf_dir))
-    nulls = Q.null_counts(ft)
-    types = spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in ft.schema.fields],
-                                  "column string, type string")
-    return nulls.join(types, "column").select("column", "type", "null_count")
+    return FE.feature_summary(ft)
 
 
 @query("request_scores")

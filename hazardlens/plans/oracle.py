@@ -312,38 +312,49 @@ ORACLE["critical_nulls"] = with_ctes(INCIDENTS_CTE, body=_null_rows(CRITICAL))
 
 _BAD_SEV = '"Severity" IS NULL OR "Severity" NOT IN (1, 2, 3, 4)'
 
-ORACLE["value_set_check"] = with_ctes(INCIDENTS_CTE, body=f"""
+_ROW = 'CAST("ID" AS BIGINT)'
+DIRTY_CTE = f"""clean AS (SELECT * FROM incidents),
+dirty AS (
+  SELECT * REPLACE (
+    CASE WHEN {_ROW} % 401 = 0 THEN NULL WHEN {_ROW} % 307 = 0 THEN CAST({_ROW} - 1 AS VARCHAR) ELSE "ID" END AS "ID",
+    CASE WHEN {_ROW} % 103 = 0 THEN NULL WHEN {_ROW} % 109 = 0 THEN 5 WHEN {_ROW} % 113 = 0 THEN 0 ELSE "Severity" END AS "Severity",
+    CASE WHEN {_ROW} % 127 = 0 THEN 60.0E0 ELSE "Start_Lat" END AS "Start_Lat",
+    CASE WHEN {_ROW} % 131 = 0 THEN -20.0E0 ELSE "Start_Lng" END AS "Start_Lng",
+    CASE WHEN {_ROW} % 137 = 0 THEN NULL WHEN {_ROW} % 139 = 0 THEN '2031-05-06 07:08:09' ELSE "Start_Time" END AS "Start_Time")
+  FROM clean)"""
+
+ORACLE["value_set_check"] = with_ctes(INCIDENTS_CTE, DIRTY_CTE, body=f"""
 SELECT 'Severity' AS "column", CAST(SUM(CASE WHEN {_BAD_SEV} THEN 1 ELSE 0 END) AS BIGINT) AS invalid_count,
   COUNT(DISTINCT CASE WHEN {_BAD_SEV} THEN "Severity" END) AS distinct_invalid_values,
-  COUNT(*) AS rows_checked FROM incidents""")
+  COUNT(*) AS rows_checked FROM dirty""")
 
-ORACLE["range_check"] = with_ctes(INCIDENTS_CTE, body="""
+ORACLE["range_check"] = with_ctes(INCIDENTS_CTE, DIRTY_CTE, body="""
 SELECT CAST(SUM(CASE WHEN "Start_Lat" < 24 OR "Start_Lat" > 50 THEN 1 ELSE 0 END) AS BIGINT) AS lat_out_of_range,
   CAST(SUM(CASE WHEN "Start_Lng" < -130 OR "Start_Lng" > -60 THEN 1 ELSE 0 END) AS BIGINT) AS lng_out_of_range,
-  COUNT(*) AS rows_checked FROM incidents""")
+  COUNT(*) AS rows_checked FROM dirty""")
 
-ORACLE["duplicate_keys"] = with_ctes(INCIDENTS_CTE, body="""
+ORACLE["duplicate_keys"] = with_ctes(INCIDENTS_CTE, DIRTY_CTE, body="""
 SELECT COUNT(*) AS duplicate_keys, CAST(COALESCE(SUM(n), 0) AS BIGINT) AS duplicate_rows
-FROM (SELECT "ID", COUNT(*) AS n FROM incidents GROUP BY "ID" HAVING COUNT(*) > 1) d""")
+FROM (SELECT "ID", COUNT(*) AS n FROM dirty GROUP BY "ID" HAVING COUNT(*) > 1) d""")
 
 _TS = 'TRY_CAST("Start_Time" AS TIMESTAMP)'
 _ASOF = "TIMESTAMP '2026-01-01 00:00:00'"
 
-ORACLE["date_check"] = with_ctes(INCIDENTS_CTE, body=f"""
+ORACLE["date_check"] = with_ctes(INCIDENTS_CTE, DIRTY_CTE, body=f"""
 SELECT CAST(SUM(CASE WHEN {_TS} IS NULL AND "Start_Time" IS NOT NULL THEN 1 ELSE 0 END) AS BIGINT) AS unparseable,
   CAST(SUM(CASE WHEN "Start_Time" IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing,
   MIN({_TS}) AS min_time, MAX({_TS}) AS max_time,
   CAST(SUM(CASE WHEN {_TS} > {_ASOF} THEN 1 ELSE 0 END) AS BIGINT) AS future_rows
-FROM incidents""")
+FROM dirty""")
 
-ORACLE["quality_report"] = with_ctes(INCIDENTS_CTE, body="SELECT *, issue_count = 0 AS passed FROM (\n" + "\nUNION ALL\n".join(
-    [f"""SELECT 'nulls:{c}' AS "check", CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS issue_count FROM incidents"""
+ORACLE["quality_report"] = with_ctes(INCIDENTS_CTE, DIRTY_CTE, body="SELECT *, issue_count = 0 AS passed FROM (\n" + "\nUNION ALL\n".join(
+    [f"""SELECT 'nulls:{c}' AS "check", CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS issue_count FROM dirty"""
      for c in CRITICAL]
-    + [f"""SELECT 'severity_range', CAST(SUM(CASE WHEN {_BAD_SEV} THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
-       """SELECT 'latitude_range', CAST(SUM(CASE WHEN "Start_Lat" < 24 OR "Start_Lat" > 50 THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
-       """SELECT 'longitude_range', CAST(SUM(CASE WHEN "Start_Lng" < -130 OR "Start_Lng" > -60 THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
-       """SELECT 'duplicate_ids', CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM incidents GROUP BY "ID" HAVING COUNT(*) > 1) d""",
-       f"""SELECT 'future_dates', CAST(SUM(CASE WHEN {_TS} > {_ASOF} THEN 1 ELSE 0 END) AS BIGINT) FROM incidents""",
+    + [f"""SELECT 'severity_range', CAST(SUM(CASE WHEN {_BAD_SEV} THEN 1 ELSE 0 END) AS BIGINT) FROM dirty""",
+       """SELECT 'latitude_range', CAST(SUM(CASE WHEN "Start_Lat" < 24 OR "Start_Lat" > 50 THEN 1 ELSE 0 END) AS BIGINT) FROM dirty""",
+       """SELECT 'longitude_range', CAST(SUM(CASE WHEN "Start_Lng" < -130 OR "Start_Lng" > -60 THEN 1 ELSE 0 END) AS BIGINT) FROM dirty""",
+       """SELECT 'duplicate_ids', CAST(COALESCE(SUM(n), 0) AS BIGINT) FROM (SELECT COUNT(*) AS n FROM dirty GROUP BY "ID" HAVING COUNT(*) > 1) d""",
+       f"""SELECT 'future_dates', CAST(SUM(CASE WHEN {_TS} > {_ASOF} THEN 1 ELSE 0 END) AS BIGINT) FROM dirty""",
        """SELECT 'required_columns', CAST(0 AS BIGINT)"""]) + ") t")
 
 # --- features -----------------------------------------------------------------
@@ -526,12 +537,39 @@ FROM st""")
 # --- routes -------------------------------------------------------------------
 
 WAYPOINTS_CTE = """wp AS (
+  SELECT c_custkey // 5 AS trip_id, c_custkey AS route_id, CAST(s.seq AS INTEGER) AS seq,
+    CAST(25 + (c_custkey // 5 + 1) % 24 AS DOUBLE) + CAST(s.seq AS DOUBLE) / 128
+      + CASE c_custkey % 5 WHEN 1 THEN CAST(1 AS DOUBLE) / 512 WHEN 2 THEN 0.125E0
+             WHEN 3 THEN CAST(50 AS DOUBLE) / 128 WHEN 4 THEN 0.25E0 ELSE 0E0 END AS lat,
+    CAST(-124 + ((c_custkey // 5 + 1) * 7) % 57 AS DOUBLE) + CAST(s.seq AS DOUBLE) / 64 AS lon
+  FROM customer, range(0, 60) s(seq))"""
+
+# Routes along the weather corridor.
+CORRIDOR_CTE = """wp AS (
   SELECT c_custkey - c_custkey % 3 AS trip_id, c_custkey AS route_id, CAST(s.seq AS INTEGER) AS seq,
     33.5E0 + CAST(s.seq AS DOUBLE) / 128
       + CASE c_custkey % 3 WHEN 0 THEN 0.125E0 WHEN 1 THEN 0E0 ELSE CAST(1 AS DOUBLE) / 512 END AS lat,
     -112E0 + CAST((s.seq * 5) % 7 AS DOUBLE) / 256 AS lon
   FROM customer, range(0, 60) s(seq))"""
 
+# What each trip asks for.
+ASKED_CTE = """asked AS (
+  SELECT DISTINCT c_custkey // 5 AS trip_id, (5 + (c_custkey // 5) % 7) % 7 AS dow,
+    CASE (c_custkey // 5) % 3 WHEN 0 THEN 6 WHEN 1 THEN 9 ELSE 18 END AS earliest,
+    CASE (c_custkey // 5) % 3 WHEN 1 THEN 15 ELSE 21 END AS latest,
+    CASE (c_custkey // 5) % 3 WHEN 0 THEN 6 WHEN 1 THEN 12 ELSE 17 END AS window_from,
+    CASE (c_custkey // 5) % 3 WHEN 1 THEN 12 ELSE 8 END AS time1,
+    CASE (c_custkey // 5) % 3 WHEN 2 THEN 21 ELSE 17 END AS time2
+  FROM customer)"""
+
+# Road flags of past incidents per 0.1 degree cell.
+HIST_CTE = """hist AS (
+  SELECT floor(latitude * 10.0E0) AS cx, floor(longitude * 10.0E0) AS cy,
+    bool_or(has_junction) AS hj, bool_or(has_crossing) AS hc FROM staged GROUP BY 1, 2),
+flagged AS (
+  SELECT s.*, coalesce(h.hj, false) AS hj, coalesce(h.hc, false) AS hc FROM samples s
+  LEFT JOIN hist h ON h.cx = floor(s.lat * 10.0E0) AND h.cy = floor(s.lon * 10.0E0))"""
+
 
 def haversine_sql(lat1, lon1, lat2, lon2):
     a = (f"(pow(sin(radians({lat2} - {lat1}) / 2), 2) + cos(radians({lat1})) * cos(radians({lat2}))"
@@ -590,15 +628,17 @@ def r_up(x, n):
 
 
 def segscores_cte(hour, dow, weather="'Clear'", temp="70.0", vis="10.0", name="segscores"):
-    score = rule_sql(vis, "0.0", weather, "false", "false", str(hour), f"{dow} IN (0, 6)")
-    return f"""{name} AS (
-  SELECT s.*, {hour} AS hour, {dow} AS day_of_week, {score} AS risk_score FROM samples s),
+    score = rule_sql(vis, "0.0", weather, "hj", "hc", str(hour), f"{dow} IN (0, 6)")
+    return f"""{HIST_CTE},
+{name} AS (
+  SELECT s.*, {hour} AS hour, {dow} AS day_of_week, {score} AS risk_score FROM flagged s),
 {name}_l AS (
   SELECT *, {level4_sql('risk_score')} AS risk_level, GREATEST(risk_score, 1 - risk_score) AS confidence
   FROM {name})"""
 
 
 ROUTE_BASE = (WAYPOINTS_CTE, SEG_CTE, SAMPLES_CTE)
+RISK_BASE = (*BASE, *ROUTE_BASE)
 
 
 def with_rec(*ctes, body):
@@ -625,14 +665,14 @@ FROM (SELECT DISTINCT trip_id, route_id FROM wp) r LEFT JOIN (
             CASE WHEN risk_score > 0.6 THEN segment_index END) AS first_danger_level
   FROM segscores_l GROUP BY trip_id, route_id) a ON a.trip_id = r.trip_id AND a.route_id = r.route_id"""
 
-ORACLE["route_risk"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body=ROUTE_RISK_BODY)
+ORACLE["route_risk"] = with_rec(*RISK_BASE, segscores_cte(17, 5), body=ROUTE_RISK_BODY)
 
-ORACLE["danger_zones"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5, "'Fog'", "70.0", "3.0"), body=f"""
+ORACLE["danger_zones"] = with_rec(*RISK_BASE, segscores_cte(17, 5, "'Clear'", "70.0", "3.0"), body=f"""
 SELECT trip_id, route_id, segment_index AS segment, {r_up('risk_score', 3)} AS risk,
   printf('(%.5f, %.5f)', lat, lon) AS location, risk_level
 FROM segscores_l WHERE risk_score > 0.6""")
 
-ORACLE["route_advice"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5),
+ORACLE["route_advice"] = with_rec(*RISK_BASE, segscores_cte(17, 5),
                                   "rr AS (" + ROUTE_RISK_BODY + ")", body=f"""
 , rk AS (
   SELECT trip_id, route_id, {r_up('overall_risk', 3)} AS risk_score,
@@ -653,13 +693,14 @@ SELECT trip_id, route_id, risk_score, risk_level, safety_score, max_risk, min_ri
 FROM rk2""")
 
 
-def hourly_cte(hours, date_dow=5):
+def hourly_cte(hours):
     hl = ", ".join(str(h) for h in hours)
-    score = rule_sql("10.0", "0.0", "'Clear'", "false", "false", "h.hour", f"{date_dow} IN (0, 6)")
-    return f"""firsts AS (SELECT trip_id, MIN(route_id) AS route_id FROM wp GROUP BY trip_id),
+    score = rule_sql("10.0", "0.0", "'Clear'", "s.hj", "s.hc", "h.hour", "a.dow IN (0, 6)")
+    return f"""{HIST_CTE}, {ASKED_CTE},
+firsts AS (SELECT trip_id, MIN(route_id) AS route_id FROM wp GROUP BY trip_id),
 hsc AS (
   SELECT s.trip_id, s.route_id, s.segment_index, h.hour, {score} AS risk_score
-  FROM samples s JOIN firsts f ON s.trip_id = f.trip_id AND s.route_id = f.route_id,
+  FROM flagged s JOIN firsts f ON s.trip_id = f.trip_id AND s.route_id = f.route_id JOIN asked a ON a.trip_id = s.trip_id,
        (SELECT CAST(unnest([{hl}]) AS INTEGER) AS hour) h),
 hsc_l AS (SELECT *, {level4_sql('risk_score')} AS risk_level FROM hsc),
 hourly0 AS (
@@ -676,43 +717,43 @@ hourly AS (
   FROM hourly0)"""
 
 
-ORACLE["departure_hours"] = with_rec(*ROUTE_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
+ORACLE["departure_hours"] = with_rec(*RISK_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
 SELECT trip_id, route_id, hour, time_label, safety_score, risk_score, risk_level, segments_analyzed,
-  danger_zones_count FROM hourly""")
+  danger_zones_count FROM hourly JOIN asked USING (trip_id) WHERE hour BETWEEN earliest AND latest""")
 
-ORACLE["departure_times"] = with_rec(*ROUTE_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
+ORACLE["departure_times"] = with_rec(*RISK_BASE, hourly_cte([6, 9, 12, 15, 18, 21]), body="""
 , b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score DESC, pos) AS rb,
-          ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score ASC, pos DESC) AS rw FROM hourly)
+          ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score ASC, pos DESC) AS rw
+        FROM hourly JOIN asked USING (trip_id) WHERE hour BETWEEN earliest AND latest)
 SELECT x.trip_id, x.time_label AS best_time, y.time_label AS worst_time,
   x.safety_score AS best_safety_score, y.safety_score AS worst_safety_score,
   CASE WHEN y.safety_score > 0 THEN floor(((x.safety_score - y.safety_score) / y.safety_score * 100) * 10.0 + 0.5) / 10.0
        ELSE 0.0 END AS improvement_pct
 FROM b x JOIN b y ON x.trip_id = y.trip_id AND x.rb = 1 AND y.rw = 1""")
 
-ORACLE["compare_times"] = with_rec(*ROUTE_BASE, hourly_cte([8, 17]), body=f"""
-SELECT *, CASE WHEN safer = 'time1' THEN 'Departing at 08:00 AM is safer by ' || CAST(safety_difference AS VARCHAR)
-                  || ' safety points compared to 05:00 PM.'
-             WHEN safer = 'time2' THEN 'Departing at 05:00 PM is safer by ' || CAST(safety_difference AS VARCHAR)
-                  || ' safety points compared to 08:00 AM.'
-             ELSE 'Both departure times have the same safety score (' || CAST(time1_safety AS VARCHAR) || ').' END
-  AS recommendation FROM (
-SELECT trip_id, '08:00 AM' AS time1_label, '05:00 PM' AS time2_label,
-  MAX(CASE WHEN hour = 8 THEN safety_score END) AS time1_safety,
-  MAX(CASE WHEN hour = 17 THEN safety_score END) AS time2_safety,
-  MAX(CASE WHEN hour = 8 THEN risk_score END) AS time1_risk,
-  MAX(CASE WHEN hour = 17 THEN risk_score END) AS time2_risk,
-  CASE WHEN MAX(CASE WHEN hour = 8 THEN safety_score END) > MAX(CASE WHEN hour = 17 THEN safety_score END) THEN 'time1'
-       WHEN MAX(CASE WHEN hour = 17 THEN safety_score END) > MAX(CASE WHEN hour = 8 THEN safety_score END) THEN 'time2'
-       ELSE 'equal' END AS safer,
-  {r_up('abs(MAX(CASE WHEN hour = 8 THEN safety_score END) - MAX(CASE WHEN hour = 17 THEN safety_score END))', 1)}
-    AS safety_difference
-FROM hourly GROUP BY trip_id) c""")
-
-ORACLE["best_window"] = with_rec(*ROUTE_BASE, hourly_cte(list(range(6, 23))), body=f"""
+_CLOCK = "printf('%02d:00 %s', CASE WHEN {0} % 12 = 0 THEN 12 ELSE {0} % 12 END, CASE WHEN {0} < 12 THEN 'AM' ELSE 'PM' END)"
+
+ORACLE["compare_times"] = with_rec(*RISK_BASE, hourly_cte([8, 12, 17, 21]), body=f"""
+, two AS (
+  SELECT h.trip_id, {_CLOCK.format('CAST(a.time1 AS INTEGER)')} AS time1_label, {_CLOCK.format('CAST(a.time2 AS INTEGER)')} AS time2_label,
+    MAX(CASE WHEN hour = a.time1 THEN safety_score END) AS time1_safety,
+    MAX(CASE WHEN hour = a.time2 THEN safety_score END) AS time2_safety,
+    MAX(CASE WHEN hour = a.time1 THEN risk_score END) AS time1_risk,
+    MAX(CASE WHEN hour = a.time2 THEN risk_score END) AS time2_risk
+  FROM hourly h JOIN asked a ON a.trip_id = h.trip_id GROUP BY h.trip_id, a.time1, a.time2),
+c AS (
+  SELECT *, CASE WHEN time1_safety > time2_safety THEN 'time1' WHEN time2_safety > time1_safety THEN 'time2' ELSE 'equal' END AS safer,
+    {r_up('abs(time1_safety - time2_safety)', 1)} AS safety_difference FROM two)
+SELECT *, CASE WHEN safer = 'equal' THEN 'Both departure times have the same safety score (' || CAST(time1_safety AS VARCHAR) || ').'
+     ELSE 'Departing at ' || CASE WHEN safer = 'time1' THEN time1_label ELSE time2_label END || ' is safer by '
+          || CAST(safety_difference AS VARCHAR) || ' safety points compared to '
+          || CASE WHEN safer = 'time1' THEN time2_label ELSE time1_label END || '.' END AS recommendation FROM c""")
+
+ORACLE["best_window"] = with_rec(*RISK_BASE, hourly_cte(list(range(6, 23))), body=f"""
 , pairs AS (
   SELECT trip_id, hour, LEAD(hour) OVER (PARTITION BY trip_id ORDER BY hour) AS next_hour,
     (safety_score + LEAD(safety_score) OVER (PARTITION BY trip_id ORDER BY hour)) / 2 AS avg_safety
-  FROM hourly),
+  FROM hourly JOIN asked USING (trip_id) WHERE hour >= window_from),
 best AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY avg_safety DESC, hour) AS r
          FROM pairs WHERE next_hour IS NOT NULL)
 SELECT trip_id, {hour_label_sql('hour')} AS window_start, {hour_label_sql('next_hour + 1')} AS window_end,
@@ -721,7 +762,7 @@ SELECT trip_id, {hour_label_sql('hour')} AS window_start, {hour_label_sql('next_
     || ' (avg safety score ' || CAST({r_up('avg_safety', 1)} AS VARCHAR) || '/100).' AS recommendation
 FROM best WHERE r = 1""")
 
-ORACLE["extreme_segments"] = with_rec(*ROUTE_BASE, segscores_cte(17, 5), body="""
+ORACLE["extreme_segments"] = with_rec(*RISK_BASE, segscores_cte(17, 5), body="""
 SELECT trip_id, route_id, segment_index, risk_score,
   CASE WHEN top_rank <= 3 THEN top_rank END AS top_rank,
   CASE WHEN bottom_rank <= 3 THEN bottom_rank END AS bottom_rank FROM (
@@ -869,7 +910,7 @@ rw AS (
   FROM pw p JOIN dom d ON d.trip_id = p.trip_id AND d.r = 1 JOIN warn x ON x.trip_id = p.trip_id
   GROUP BY p.trip_id)"""
 
-RW_BASE = (WAYPOINTS_CTE, OBS_CTE, DEPARTURES_CTE, ROUTE_PTS_CTE,
+RW_BASE = (CORRIDOR_CTE, OBS_CTE, DEPARTURES_CTE, ROUTE_PTS_CTE,
            asof_sql("rpts", ["point_id", "trip_id", "seq", "lat", "lon", "ts"]), ROUTE_WX_CTE)
 
 ORACLE["route_weather"] = with_ctes(*RW_BASE, body="SELECT * FROM rw")
@@ -1055,9 +1096,13 @@ _SPARK_TYPE = ("CASE t WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHE
                "WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(t) END")
 
 ORACLE["feature_summary"] = with_ctes(*FEAT, ENCODED_CTE, "features AS (" + FEATURES_BODY + ")", body=(
-    f"SELECT \"column\", {_SPARK_TYPE} AS type, null_count FROM (\n" + "\nUNION ALL\n".join(
+    f"SELECT \"column\", {_SPARK_TYPE} AS type, null_count, CAST(NULL AS BIGINT) AS rows, CAST(NULL AS DOUBLE) AS share_pct FROM (\n"
+    + "\nUNION ALL\n".join(
         f"""SELECT '{c}' AS "column", (SELECT typeof({c}) FROM features LIMIT 1) AS t,
-  CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count FROM features""" for c in _FEATURE_COLS) + ") x"))
+  CAST(COUNT(*) - COUNT({c}) AS BIGINT) AS null_count FROM features""" for c in _FEATURE_COLS) + ") x"
+    + """
+UNION ALL SELECT 'is_high_severity = ' || CAST(is_high_severity AS VARCHAR), 'class', 0, COUNT(*),
+  COUNT(*) * 100.0E0 / SUM(COUNT(*)) OVER () FROM features GROUP BY is_high_severity"""))
 
 # X1 request path emits exactly the batch request scores.
 ORACLE["streaming_request_scores"] = ORACLE["request_scores"]
@@ -1097,3 +1142,71 @@ ORACLE["schema_listing"] = with_ctes(*BASE, body=(
         f"""SELECT CAST({i} AS INTEGER) AS position, '{c}' AS "column", (SELECT typeof("{c}") FROM staged LIMIT 1) AS t,
   CAST(COUNT(*) - COUNT("{c}") AS BIGINT) AS null_count FROM staged""" for i, c in enumerate(STAGED_COLUMNS))
     + ") x"))
+
+
+# --- model, split and failed routes: rows that hold whatever was learned -----------------
+
+_SPLIT = """SELECT accident_id, is_high_severity,
+    CASE WHEN ROW_NUMBER() OVER (PARTITION BY is_high_severity ORDER BY h, accident_id)
+              > n - (n * 40 + 100) // 200 THEN 'test' ELSE 'train' END AS split
+  FROM (SELECT *, md5(accident_id || ':42') AS h, COUNT(*) OVER (PARTITION BY is_high_severity) AS n
+        FROM (SELECT accident_id, CAST(is_high_severity AS INTEGER) AS is_high_severity FROM src) a) b"""
+
+ORACLE["stratified_split"] = with_ctes(*BASE, SOURCE_CTE, body=_SPLIT)
+
+ORACLE["gbt_checks"] = with_ctes(*BASE, SOURCE_CTE, body=f"""
+SELECT accident_id, split, true AS is_probability, true AS level_follows, true AS prediction_follows,
+  true AS confidence_follows, true AS same_from_raw FROM ({_SPLIT}) s""")
+
+ORACLE["gbt_metrics_check"] = with_ctes(*BASE, SOURCE_CTE, body=f"""
+SELECT COUNT(*) AS test_samples, CAST(SUM(is_high_severity) AS BIGINT) AS positive_samples,
+  CAST(SUM(1 - is_high_severity) AS BIGINT) AS negative_samples, 'GBTClassifier' AS model_type,
+  CAST(33 AS INTEGER) AS feature_count, true AS metrics_as_saved, true AS has_time, true AS auc_in_range
+FROM ({_SPLIT}) s WHERE split = 'test'""")
+
+_DISPLAY = "array_to_string([upper(w[1]) || w[2:] FOR w IN string_split(feature, '_')], ' ')"
+ORACLE["importance_check"] = f"""
+SELECT feature, {_DISPLAY} AS display_name, true AS ranked, true AS sums_to_one
+FROM (SELECT unnest({[c for c in _FEATURE_COLS if c not in ('accident_id', 'is_high_severity')]}) AS feature) f"""
+
+ORACLE["model_request_checks"] = with_ctes(*BASE, REQ_CTE, VREQ_CTE, body="""
+SELECT request_id, n_errors = 0 AS valid, true AS scored_if_valid, true AS is_probability, true AS confidence_follows,
+  true AS level_follows, true AS factors_follow FROM vreq""")
+
+ORACLE["model_route_checks"] = with_rec(*ROUTE_BASE, body="""
+SELECT trip_id, route_id, COUNT(*) AS segments_scored, true AS are_probabilities, true AS in_order, true AS safety_follows,
+  true AS danger_follows, true AS level_follows, true AS danger_counted FROM samples GROUP BY trip_id, route_id""")
+
+RAW_CTE = """raw AS (
+  SELECT trip_id, route_id, seq,
+    CASE WHEN route_id % 17 = 3 AND seq = 30 THEN 'n/a' WHEN route_id % 19 = 4 AND seq = 10 THEN NULL
+         WHEN route_id % 23 = 5 AND seq = 0 THEN '95.5' ELSE CAST(lat AS VARCHAR) END AS lat, lon FROM all_wp),
+bad AS (
+  SELECT trip_id, route_id, seq, CASE WHEN lat IS NULL THEN 'point ' || seq || ': coordinate missing'
+         WHEN TRY_CAST(lat AS DOUBLE) IS NULL THEN 'point ' || seq || ': coordinate is no number'
+         WHEN abs(TRY_CAST(lat AS DOUBLE)) > 90 THEN 'point ' || seq || ': coordinate off the globe' END AS error FROM raw),
+failed AS (SELECT trip_id, route_id, arg_min(error, seq) AS error FROM bad WHERE error IS NOT NULL GROUP BY trip_id, route_id),
+wp AS (SELECT * FROM all_wp WHERE route_id NOT IN (SELECT route_id FROM failed))"""
+
+ORACLE["route_outcomes"] = with_rec(
+    *BASE, WAYPOINTS_CTE.replace("wp AS (", "all_wp AS (", 1), RAW_CTE, SEG_CTE, SAMPLES_CTE, segscores_cte(17, 5),
+    "rr AS (" + ROUTE_RISK_BODY + ")", body=f"""
+, rk AS (
+  SELECT trip_id, route_id, {r_up('overall_risk', 3)} AS risk_score,
+    {level4_sql('overall_risk', 'MEDIUM')} AS risk_level, {r_up('safety_score', 1)} AS safety_score,
+    {r_up('max_risk', 3)} AS max_risk, {r_up('min_risk', 3)} AS min_risk, segments_scored AS segments_analyzed,
+    CAST(NULL AS VARCHAR) AS error FROM rr
+  UNION ALL SELECT trip_id, route_id, 0.5E0, 'UNKNOWN', 50.0E0, 0.5E0, 0.5E0, 0, error FROM failed),
+rk2 AS (
+  SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY trip_id ORDER BY safety_score DESC, route_id) AS INTEGER) AS rank,
+    MAX(safety_score) OVER (PARTITION BY trip_id) - safety_score AS gap_to_best,
+    FIRST(risk_level) OVER (PARTITION BY trip_id ORDER BY safety_score DESC, route_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS best_level
+  FROM rk)
+SELECT trip_id, route_id, risk_score, risk_level, safety_score, max_risk, min_risk, segments_analyzed, error,
+  rank, gap_to_best,
+  CASE WHEN error IS NOT NULL THEN 'Scoring failed - use with caution' WHEN best_level = 'UNKNOWN' THEN NULL
+       WHEN rank = 1 THEN 'Recommended - Safest option'
+       WHEN gap_to_best > 10 THEN printf('Higher risk - %.1f points less safe', gap_to_best)
+       WHEN gap_to_best > 5 THEN 'Slightly higher risk' ELSE 'Similar safety level' END AS recommendation
+FROM rk2""")

@@ -79,9 +79,72 @@ def incidents_from_events(spark: SparkSession, sf_dir: str, events: DataFrame) -
     )
 
 
+def dirty_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw incidents with problems planted on fixed id residues, for the
+    quality checks: repeated and missing ids, severities outside 1..4, places
+    outside the country, missing and future start times."""
+    raw = incidents(spark, sf_dir)
+    eid = F.col("ID").cast("bigint")
+    changed = {
+        "ID": F.when(eid % 401 == 0, None).when(eid % 307 == 0, (eid - 1).cast("string")).otherwise(F.col("ID")),
+        "Severity": F.when(eid % 103 == 0, None).when(eid % 109 == 0, 5).when(eid % 113 == 0, 0).otherwise(F.col("Severity")),
+        "Start_Lat": F.when(eid % 127 == 0, F.lit(60.0)).otherwise(F.col("Start_Lat")),
+        "Start_Lng": F.when(eid % 131 == 0, F.lit(-20.0)).otherwise(F.col("Start_Lng")),
+        "Start_Time": F.when(eid % 137 == 0, None).when(eid % 139 == 0, "2031-05-06 07:08:09").otherwise(F.col("Start_Time")),
+    }
+    return raw.select(*[changed.get(c, F.col(f"`{c}`")).alias(c) for c in raw.columns])
+
+
 def waypoints(spark: SparkSession, sf_dir: str, points_per_route: int = 60) -> DataFrame:
     """Exploded routes ``(trip_id, route_id, seq, lat, lon)``.
 
+    Every customer is a route; five consecutive customer keys form a trip. A
+    trip starts where the incidents of user trip_id + 1 lie. Routes 0 and 3 lead
+    through these incidents, route 1 runs 0.2 km beside route 0 (a near-
+    duplicate), routes 2 and 4 lead around them. Points come from a generator
+    (no join), so the table grows with ``customer``.
+    """
+    k = F.col("c_custkey")
+    user = F.floor(k / 5) + 1
+    pts = (load_table(spark, sf_dir, "customer")
+           .select(k, F.explode(F.sequence(F.lit(0), F.lit(points_per_route - 1))).alias("seq")))
+    s, r = F.col("seq"), k % 5
+    beside = (F.when(r == 1, F.lit(1.0) / 512).when(r == 2, F.lit(0.125)).when(r == 3, F.lit(50.0) / 128)
+              .when(r == 4, F.lit(0.25)).otherwise(F.lit(0.0)))
+    return pts.select(
+        F.floor(k / 5).alias("trip_id"), k.alias("route_id"), s.cast("int").alias("seq"),
+        (_d(25 + user % 24) + _d(s) / 128 + beside).alias("lat"),
+        (_d(-124 + (user * 7) % 57) + _d(s) / 64).alias("lon"))
+
+
+def raw_waypoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``waypoints`` as they arrive, coordinates as text, some of them broken:
+    a word (route_id % 17 = 3, point 30), a gap (route_id % 19 = 4, point 10), a
+    latitude off the globe (route_id % 23 = 5, point 0)."""
+    w = waypoints(spark, sf_dir)
+    k, s = F.col("route_id"), F.col("seq")
+    lat = (F.when((k % 17 == 3) & (s == 30), "n/a").when((k % 19 == 4) & (s == 10), None)
+           .when((k % 23 == 5) & (s == 0), "95.5").otherwise(F.col("lat").cast("string")))
+    return w.select("trip_id", "route_id", "seq", lat.alias("lat"), F.col("lon").cast("string").alias("lon"))
+
+
+def trip_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the traveller of each trip asks for: a date (seven weekdays in
+    turn), the hours between which to leave, the hour from which to search the
+    best window, and two hours to compare."""
+    t = F.col("trip_id")
+    by = lambda a, b, c: F.when(t % 3 == 0, a).when(t % 3 == 1, b).otherwise(c)
+    trips = load_table(spark, sf_dir, "customer").select(F.floor(F.col("c_custkey") / 5).alias("trip_id")).distinct()
+    return trips.select(
+        "trip_id", F.date_add(F.lit("2024-02-02").cast("date"), (t % 7).cast("int")).alias("date"),
+        by(6, 9, 18).alias("earliest"), by(21, 15, 21).alias("latest"), by(6, 12, 17).alias("window_from"),
+        by(8, 12, 8).alias("time1"), by(17, 17, 21).alias("time2"))
+
+
+def corridor_waypoints(spark: SparkSession, sf_dir: str, points_per_route: int = 60) -> DataFrame:
+    """Routes ``(trip_id, route_id, seq, lat, lon)`` along the corridor of the
+    weather stations, for the weather operators.
+
     Every customer is a route; three consecutive customer keys form a trip.
     Each route gets ``points_per_route`` points from a generator (no join),
     so the table grows with ``customer``. Route 0 of a trip is distinct,
@@ -106,7 +169,7 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weather observations (flattened weather payload).
 
     Every event is a reading taken at one of 60 stations placed on the
-    route corridor of ``waypoints`` (station = user_id mod 60); purchases
+    route corridor of ``corridor_waypoints`` (station = user_id mod 60); purchases
     carry an unknown code (-> default category).
     """
     e = load_table(spark, sf_dir, "events")
