@@ -208,8 +208,8 @@ def numeric_summary(df: DataFrame, cols: list, exact: bool = True, distributed:
     One aggregation computes every column's moments (partial aggregates
     merge per task, nothing is collected) and ``stack`` turns the single row
     into one row per column. Quartiles are exact: by default through
-    ``quantiles.exact_quantiles_multi`` (distributed histogram refinement,
-    no per-value counters in one task); ``distributed=False`` uses Spark's
+    ``quantiles.exact_quantiles_multi`` (rank selection over one range-
+    partitioned write, no per-value counters in one task); ``distributed=False`` uses Spark's
     ``percentile`` aggregate (fine for low-cardinality columns) and
     ``exact=False`` the bounded ``percentile_approx`` sketch.
     """

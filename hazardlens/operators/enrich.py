@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hazardlens.functions import columns as C
+from hazardlens.operators.running import running_last
 
 # Defaults used when a reading is missing or unusable.
 DEFAULT_WEATHER = {
@@ -136,47 +137,36 @@ def event_props(events: DataFrame, key: str = "k") -> DataFrame:
 # J4 --------------------------------------------------------------------------------
 
 def freshest_weather(points: DataFrame, readings: DataFrame, max_age_minutes: int = MAX_AGE_MINUTES,
-                     digits: int = GRID_DIGITS, bucket_minutes: int | None = None) -> DataFrame:
+                     digits: int = GRID_DIGITS, parts: int | None = None) -> DataFrame:
     """Bounded as-of join: for each point, the newest reading in the same grid
     cell taken strictly before the point's time and at most
-    ``max_age_minutes`` earlier; defaults when there is none.
+    ``max_age_minutes`` earlier; nulls when there is none.
 
     ``points``: (point_id, lat, lon, ts). ``readings``: (obs_id, lat, lon,
     obs_ts, <reading columns>). No candidate pairs are formed: points and
-    readings are unioned, partitioned by (cell, time bucket) and scanned in
-    time order, each point taking the last reading seen. A reading is
-    copied into the following buckets that its validity reaches, so a
-    partition holds at most one validity window of a cell and a hot cell is
-    split across buckets.
+    readings are unioned, put in the order of (cell, time) by range partitions
+    and scanned once, each point taking the last reading seen. A partition
+    passes its newest reading on to the next ones, so a cell or a half hour with
+    any share of all rows spans as many tasks as its rows need. ``parts`` is the
+    number of ranges (default: the session's shuffle partitions).
     """
-    bucket_minutes = bucket_minutes or max_age_minutes
-    copies = int(math.ceil(max_age_minutes / bucket_minutes))
-    per_bucket = bucket_minutes * 60_000_000
     val_cols = [c for c in readings.columns if c not in ("lat", "lon")]
     cell = [C.grid_key("lat", digits).alias("__clat"), C.grid_key("lon", digits).alias("__clon")]
-
     pt_type = T.StructType([points.schema[c] for c in points.columns])
-    r = readings.select(*cell, F.col("obs_ts").alias("__t"), F.lit(1).alias("__kind"),
-                        F.lit(None).cast(pt_type).alias("__pt"),
-                        F.struct(*val_cols).alias("__obs"),
-                        F.explode(F.sequence(F.lit(0), F.lit(copies))).alias("__shift"))
-    r = r.withColumn("__b", F.floor(C.epoch_micros_ntz("__t") / per_bucket).cast("long")
-                     + F.col("__shift")).drop("__shift")
-    p = points.select(*cell, F.col("ts").alias("__t"), F.lit(0).alias("__kind"),
-                      F.struct(*points.columns).alias("__pt"),
-                      F.lit(None).cast(r.schema["__obs"].dataType).alias("__obs"),
-                      F.floor(C.epoch_micros_ntz("ts") / per_bucket).cast("long").alias("__b"))
-    u = r.unionByName(p)
+    obs = F.struct(C.grid_key("lat", digits).alias("__olat"), C.grid_key("lon", digits).alias("__olon"), *val_cols)
+    r = readings.select(*cell, F.col("obs_ts").alias("__t"), F.lit(1).alias("__kind"), F.col("obs_id").cast("long").alias("__id"),
+                        F.lit(None).cast(pt_type).alias("__pt"), obs.alias("__obs"))
+    p = points.select(*cell, F.col("ts").alias("__t"), F.lit(0).alias("__kind"), F.xxhash64(*points.columns).alias("__id"),
+                      F.struct(*points.columns).alias("__pt"), F.lit(None).cast(r.schema["__obs"].dataType).alias("__obs"))
     # Points sort before readings at the same instant (strictly-earlier rule);
     # equal-time readings resolve by obs_id.
-    w = (Window.partitionBy("__clat", "__clon", "__b")
-         .orderBy("__t", "__kind", F.col("__obs.obs_id"))
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    seen = u.withColumn("__last", F.last("__obs", ignorenulls=True).over(w)).where(F.col("__kind") == 0)
-    fresh = F.col("__last.obs_ts") >= F.col("__t") - F.make_dt_interval(mins=F.lit(max_age_minutes))
-    picked = seen.select("__pt", F.when(fresh, F.col("__last")).alias("__obs"))
-    return picked.select(*[F.col(f"__pt.{c}").alias(c) for c in points.columns],
-                         *[F.col(f"__obs.{c}").alias(c) for c in val_cols])
+    order = ["__clat", "__clon", "__t", "__kind", "__id"]
+    seen = running_last(r.unionByName(p), order, "__obs", "__last", parts).where(F.col("__kind") == 0)
+    last = F.col("__last")
+    fresh = ((last["__olat"] == F.col("__clat")) & (last["__olon"] == F.col("__clon"))
+             & (last["obs_ts"] >= F.col("__t") - F.make_dt_interval(mins=F.lit(max_age_minutes))))
+    return seen.select(*[F.col(f"__pt.{c}").alias(c) for c in points.columns],
+                       *[F.when(fresh, last[c]).alias(c) for c in val_cols])
 
 
 def point_weather(points: DataFrame, observations: DataFrame, **kw) -> DataFrame:

@@ -95,7 +95,7 @@ def fit_imputer(df: DataFrame, exact: bool = True, distributed: bool = True) ->
 
     Pass 1 counts nulls of every candidate column in one aggregation; only
     columns with nulls are then summarised, as the reference does. Medians
-    are exact - by distributed histogram refinement (default) or Spark's
+    are exact - by rank selection over ranges (default) or Spark's
     ``percentile`` aggregate (``distributed=False``) - or sketch-based with
     ``exact=False``.
     """

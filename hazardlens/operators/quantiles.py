@@ -1,15 +1,10 @@
 """Exact quantiles without gathering a column in one task.
 
-``percentile``/``median`` keep one counter per distinct value and merge
-them all in a single final task. Here each round is one distributed
-aggregation: the rows still inside every target's value interval are
-counted per (target, bucket) with ``buckets`` equal-width buckets; the
-driver reads those counts (at most targets x buckets rows), narrows each
-target to the bucket holding its rank, and stops once a target's interval
-holds a single distinct value or at most ``fetch_limit`` rows, which are
-then fetched and ranked exactly. Each round divides the interval width by
-``buckets``, so a 64-bit double needs a handful of rounds at most. Several
-columns are handled in the same rounds.
+``percentile``/``median`` keep one counter per distinct value and merge them
+all in a single final task. Here equal values are counted first (a hot value
+is one row), the (column, value, count) rows are written once by ranges, and
+their running counts say which value holds which rank: one job writes, one
+reads, whatever the data. All columns take part in the same two.
 
 Interpolation matches Spark's ``percentile``: position (n-1)p between the
 values at the lower and upper ranks.
@@ -17,107 +12,44 @@ values at the lower and upper ranks.
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _bucket(lo: float, hi: float, buckets: int) -> Column:
-    """Monotone bucket index of v inside [lo, hi]."""
-    v = F.col("v")
-    w = (hi - lo) / buckets
-    if not math.isfinite(lo) or not math.isfinite(hi) or not math.isfinite(w) or w == 0.0:
-        # Infinite ends or a width below double resolution: split into the
-        # low end, the high end and everything between.
-        return F.when(v == lo, 0).when(v == hi, buckets - 1).otherwise(buckets // 2)
-    return F.least(F.floor((v - F.lit(lo)) / F.lit(w)).cast("int"), F.lit(buckets - 1))
-
-
-def _values_at_ranks(vals: DataFrame, targets: dict, buckets: int, fetch_limit: int) -> dict:
-    """vals: (g, v) with non-null doubles; targets: {(g, rank): (lo, hi, rows below lo)}.
-
-    A bucket index is a monotone function of v, so the rows of one bucket
-    are exactly the rows between that bucket's own min and max: the next
-    interval comes from the data, never from recomputed edges."""
-    state, out = dict(targets), {}
-    while state:
-        for key, (lo, hi, _) in list(state.items()):
-            if lo == hi:                      # a single distinct value left
-                out[key] = lo
-                del state[key]
-        if not state:
-            break
-        items = list(state.items())
-        keys = [F.when((F.col("g") == g) & (F.col("v") >= lo) & (F.col("v") <= hi),
-                       F.struct(F.lit(i).alias("t"), _bucket(lo, hi, buckets).alias("b")))
-                for i, ((g, _), (lo, hi, _)) in enumerate(items)]
-        rows = (vals.select("g", "v", F.explode(F.filter(F.array(*keys), lambda x: x.isNotNull())).alias("k"))
-                .groupBy("k.t", "k.b")
-                .agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("mn"), F.max("v").alias("mx"))
-                .collect())                   # at most targets x buckets rows
-        per = {}
-        for row in rows:
-            per.setdefault(row["t"], []).append((row["b"], row["c"], row["mn"], row["mx"]))
-        fetch = []
-        for i, ((g, r), (_, _, below)) in enumerate(items):
-            acc = below
-            for _, c, mn, mx in sorted(per.get(i, [])):
-                if acc + c > r:
-                    if mn == mx or c > fetch_limit:
-                        state[(g, r)] = (mn, mx, acc)
-                    else:
-                        del state[(g, r)]
-                        fetch.append((g, r, mn, mx, acc))
-                    break
-                acc += c
-        if fetch:
-            # One job fetches every small bucket of this round (each holds at
-            # most fetch_limit rows); each target then ranks its own bucket.
-            ranges = {(g, mn, mx) for g, _, mn, mx, _ in fetch}
-            cond = None
-            for g, mn, mx in ranges:
-                c = (F.col("g") == g) & (F.col("v") >= mn) & (F.col("v") <= mx)
-                cond = c if cond is None else cond | c
-            got = vals.where(cond).select("g", "v").collect()
-            for g, r, mn, mx, acc in fetch:
-                vs = sorted(x["v"] for x in got if x["g"] == g and mn <= x["v"] <= mx)
-                out[(g, r)] = vs[r - acc]
-    return out
-
-
-def exact_quantiles_multi(df: DataFrame, cols: list, probs: list, buckets: int = 1024,
-                          fetch_limit: int = 20_000) -> dict:
+from hazardlens.operators.running import running_sums
+
+
+def rank_values(df: DataFrame, cols: list, probs: list) -> DataFrame:
+    """(g, p, lower, upper, position): per column number and probability, the
+    values at the ranks around position (n-1)p and that position."""
+    pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v")) for i, c in enumerate(cols)])
+    counts = (df.select(F.inline(pairs)).where(F.col("v").isNotNull() & ~F.isnan("v"))
+              .groupBy("g", "v").agg(F.count(F.lit(1)).alias("c")))
+    placed = running_sums(counts, [F.col("g"), F.col("v")], {"upto": "c"})
+    # Running counts start with the columns before: subtract what they hold.
+    sizes = placed.groupBy("g").agg(F.min(F.col("upto") - F.col("c")).alias("start"), F.max("upto").alias("end"))
+    asked = sizes.select("g", "start", F.explode(F.array(*[F.lit(float(p)) for p in probs])).alias("p"),
+                         (F.col("end") - F.col("start")).alias("n"))
+    asked = asked.withColumn("position", (F.col("n") - 1) * F.col("p"))
+    found = placed.join(asked, "g")  # a handful of rows per column on the right
+    holds = lambda rank: (F.col("start") + rank >= F.col("upto") - F.col("c")) & (F.col("start") + rank < F.col("upto"))
+    low, high = holds(F.floor("position")), holds(F.ceil("position"))
+    return (found.where(low | high).groupBy("g", "p", "position")
+            .agg(F.min(F.when(low, F.col("v"))).alias("lower"), F.max(F.when(high, F.col("v"))).alias("upper")))
+
+
+def exact_quantiles_multi(df: DataFrame, cols: list, probs: list) -> dict:
     """{column: [quantile per prob]} (nulls and NaN ignored; None if empty)."""
-    pairs = F.array(*[F.struct(F.lit(i).alias("g"), F.col(c).cast("double").alias("v"))
-                      for i, c in enumerate(cols)])
-    vals = (df.select(F.explode(pairs).alias("p")).select("p.g", "p.v")
-            .where(F.col("v").isNotNull() & ~F.isnan("v")))
-    stats = {r["g"]: r for r in vals.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).collect()}
-    targets = {}
-    for g in stats:
-        n = stats[g]["n"]
-        for p in probs:
-            pos = (n - 1) * p
-            for r in {int(math.floor(pos)), int(math.ceil(pos))}:
-                targets[(g, r)] = (float(stats[g]["lo"]), float(stats[g]["hi"]), 0)
-    at = _values_at_ranks(vals, targets, buckets, fetch_limit)
-    out = {}
-    for g, c in enumerate(cols):
-        if g not in stats:
-            out[c] = [None for _ in probs]
-            continue
-        n, res = stats[g]["n"], []
-        for p in probs:
-            pos = (n - 1) * p
-            lo, hi = int(math.floor(pos)), int(math.ceil(pos))
-            res.append(at[(g, lo)] if lo == hi else (hi - pos) * at[(g, lo)] + (pos - lo) * at[(g, hi)])
-        out[c] = res
+    out = {c: [None] * len(probs) for c in cols}
+    for r in rank_values(df, cols, sorted(set(probs))).collect():  # columns x probs rows
+        low = int(r["position"])
+        part = r["position"] - low
+        value = r["lower"] if part == 0 else (low + 1 - r["position"]) * r["lower"] + part * r["upper"]
+        for i, p in enumerate(probs):
+            if p == r["p"]:
+                out[cols[r["g"]]][i] = value
     return out
 
 
-def exact_quantiles(df: DataFrame, col: str, probs: list, buckets: int = 1024,
-                    fetch_limit: int = 20_000) -> list:
+def exact_quantiles(df: DataFrame, col: str, probs: list) -> list:
     """Exact quantiles of one column (nulls ignored); None for an empty column."""
-    return exact_quantiles_multi(df, [col], probs, buckets, fetch_limit)[col]
+    return exact_quantiles_multi(df, [col], probs)[col]

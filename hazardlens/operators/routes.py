@@ -538,6 +538,41 @@ def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM, wp: DataFram
     return by_shape.unionByName(by_line).distinct()
 
 
+def keep_distinct_routes(sig: DataFrame, threshold_km: float = SIMILAR_KM, initial_count: int = 1,
+                         max_routes: int = MAX_ROUTES) -> DataFrame:
+    """D3/R10/L6 straight from route signatures, without a table of similar
+    pairs: the result of ``dedup_routes``.
+
+    Each round keeps the next route of every trip and compares the routes
+    still in play with that one route only: an equi-join on the trip whose
+    right side has one row per trip. A trip of n alike routes costs n rows a
+    round, not n * n. (Identical polylines have identical sample points, so
+    the distance test covers them.) Rounds are cut by checkpoints.
+    """
+    checkpoint_dir(sig.sparkSession)
+    points = [f"{c}_{int(f * 100)}" for f in SIMILAR_FRACTIONS for c in ("lat", "lon")]
+    left = sig.select("trip_id", "route_id", *points, F.lit(False).alias("similar")).checkpoint()
+    kept = None
+    for rank in range(1, max_routes + 1):
+        # The first routes are kept as they come; later ones only if unlike all kept.
+        first = (left.groupBy("trip_id").agg(F.min_by(F.struct("route_id", *points), "route_id").alias("__k"))
+                 .select("trip_id", *[F.col(f"__k.{c}").alias(f"__{c}") for c in ("route_id", *points)]))
+        chosen = first.select("trip_id", F.lit(rank).alias("route_rank"), F.col("__route_id").alias("route_id"))
+        kept = chosen if kept is None else kept.unionByName(chosen)
+        if rank == max_routes:
+            break
+        near = F.lit(True)
+        for f in SIMILAR_FRACTIONS:
+            s = int(f * 100)
+            near = near & (C.planar_km(f"lat_{s}", f"lon_{s}", f"__lat_{s}", f"__lon_{s}") <= threshold_km)
+        left = (left.join(first, "trip_id").where(F.col("route_id") > F.col("__route_id"))
+                .select("trip_id", "route_id", *points, (F.col("similar") | F.coalesce(near, F.lit(False))).alias("similar")))
+        if rank >= initial_count:
+            left = left.where(~F.col("similar"))
+        left = left.checkpoint()
+    return kept.select("trip_id", F.col("route_rank").cast("int").alias("route_rank"), "route_id")
+
+
 def dedup_routes(sig: DataFrame, pairs: DataFrame, initial_count: int = 1,
                  max_routes: int = MAX_ROUTES) -> DataFrame:
     """The first ``initial_count`` routes of a trip (by id) are kept

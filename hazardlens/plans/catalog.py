@@ -31,6 +31,7 @@ from hazardlens.operators import serving as SV
 from hazardlens.session import scratch_path
 from hazardlens.sources import io as IO
 from hazardlens.sources.tables import load_table
+from hazardlens.plans import warehouse as WH
 from hazardlens.streaming import stream as ST
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
@@ -410,9 +411,7 @@ def q_similar(spark, sf_dir):
 
 @query("dedup_routes")
 def q_dedup(spark, sf_dir):
-    wp = FX.waypoints(spark, sf_dir)
-    sig = R.route_signatures(wp)
-    return R.dedup_routes(sig, R.similar_pairs(sig, wp=wp))
+    return R.keep_distinct_routes(R.route_signatures(FX.waypoints(spark, sf_dir)))
 
 
 # --- enrichment -------------------------------------------------------------------
@@ -645,6 +644,27 @@ def q_stream_requests(spark, sf_dir):
     return ST.streaming_request_scores(spark, sf_dir)
 
 
+@query("streaming_model_scores")
+def q_stream_model(spark, sf_dir):
+    """The saved pipeline on a stream of requests, two sinks read back."""
+    model, _ = _model(spark, sf_dir)
+    return ST.streaming_model_scores(spark, sf_dir, model)
+
+
+@query("streaming_model_checks")
+def q_stream_model_checks(spark, sf_dir):
+    """Every streamed request with its validity and errors, and that the stream
+    gave it what the batch query gives."""
+    model, _ = _model(spark, sf_dir)
+    batch = SV.predict_requests(model, _validated(spark, sf_dir)).select(
+        "request_id", *[F.col(c).alias(f"__{c}") for c in ("risk_score", "risk_level", "confidence")])
+    both = ST.streaming_model_scores(spark, sf_dir, model).join(batch, "request_id", "full")
+    same = F.lit(True)
+    for c in ("risk_score", "risk_level", "confidence"):
+        same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return both.select("request_id", "valid", "errors", same.alias("same_as_batch"))
+
+
 @query("hourly_incident_window")
 def q_hourly_incidents(spark, sf_dir):
     return ST.hourly_incident_window(spark, sf_dir)
@@ -673,7 +693,38 @@ def q_csv_roundtrip(spark, sf_dir):
 
 @query("prefix_sample")
 def q_prefix(spark, sf_dir):
-    return IO.prefix_sample(FX.incidents(spark, sf_dir), 1000)
+    return IO.prefix_sample(FX.incidents(spark, sf_dir), 1000, order=[F.col("ID").cast("bigint")]).select(
+        "ID", "Severity", "Start_Time", "State", "City")
+
+
+@query("csv_mixed_headers")
+def q_csv_mixed(spark, sf_dir):
+    """Two folders of files with the 46 columns in different orders, some
+    rows not parseable; sound and rejected rows per State and in all."""
+    base = _scratch(spark, "csv-mixed")
+    wide = FX.wide_incidents(spark, sf_dir)
+    half = F.col("ID").cast("bigint") % 2 == 0
+    IO.write_csv(wide.where(half), f"{base}/a")
+    IO.write_csv(wide.where(~half).select(*[f"`{c}`" for c in reversed(wide.columns)]), f"{base}/b")
+    rows, rejected = IO.read_csv_folder(spark, base)
+    counts = rows.groupBy("State").agg(F.count(F.lit(1)).alias("rows"), F.sum("Severity").alias("severity"),
+                                       F.count_if("Crossing").alias("crossings"), F.count("Start_Lat").alias("places"))
+    bad = rejected.agg(F.lit("rejected").alias("State"), F.count(F.lit(1)).alias("rows"), F.lit(0).cast("long").alias("severity"),
+                       F.count_if(F.col("line").contains("north")).alias("crossings"), F.lit(0).cast("long").alias("places"))
+    return counts.unionByName(bad)
+
+
+@query("analytics_views")
+def q_analytics_views(spark, sf_dir):
+    """The warehouse published to the catalog; rows and a total of each
+    of the seven views, read by name with SQL."""
+    prefix = f"hl_{uuid.uuid4().hex[:8]}_"
+    WH.publish_warehouse(spark, FX.incidents(spark, sf_dir), _scratch(spark, "warehouse"), prefix)
+    total = {"top_risk_locations": "total_accidents", "hourly_risk_profile": "total_accidents", "day_of_week_analysis": "total_accidents",
+             "weather_risk_ranking": "accident_count", "state_summary": "total_accidents", "rush_hour_impact": "total_accidents",
+             "high_risk_segments": "accident_count"}
+    parts = [f"SELECT '{v}' AS view, count(*) AS rows, sum({c}) AS total FROM {prefix}analytics.{v}" for v, c in total.items()]
+    return spark.sql(" UNION ALL ".join(parts))
 
 
 @query("schema_listing")

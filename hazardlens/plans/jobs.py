@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 from hazardlens.operators import analytics as A
 from hazardlens.operators import features as FE
 from hazardlens.operators import model as ML
+from hazardlens.operators import serving as SV
 from hazardlens.operators import quality as Q
 from hazardlens.operators import staging as S
 from hazardlens.operators import summaries as SM
@@ -50,11 +51,11 @@ def run_warehouse(spark: SparkSession, sf_dir: str, base: str, gbt_iter: int = 1
     }
     for name, v in views.items():
         v.createOrReplaceTempView(f"analytics_{name}")
-    IO.write_parquet(FE.feature_table(staged), f"{base}/features/accident_features")
+    model, split = SV.fit_risk_pipeline(staged, gbt_iter)
+    IO.write_parquet(split, f"{base}/features/accident_features")
     feats = spark.read.parquet(f"{base}/features/accident_features")
-    model, names = ML.train_gbt(feats, max_iter=gbt_iter)
-    metrics = ML.metrics_dict(ML.evaluate(model, feats))
-    ML.save_model(model, f"{base}/models/risk_model", metrics, names)
+    SV.save_risk_pipeline(spark, model, feats, f"{base}/models/risk_model")
+    metrics = ML.model_metadata(spark, f"{base}/models/risk_model").first().metrics
     return {"quality": [r.asDict() for r in report], "metrics": metrics, "layers": paths}
 
 

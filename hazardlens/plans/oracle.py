@@ -1210,3 +1210,29 @@ SELECT trip_id, route_id, risk_score, risk_level, safety_score, max_risk, min_ri
        WHEN gap_to_best > 10 THEN printf('Higher risk - %.1f points less safe', gap_to_best)
        WHEN gap_to_best > 5 THEN 'Slightly higher risk' ELSE 'Similar safety level' END AS recommendation
 FROM rk2""")
+
+ORACLE["streaming_model_checks"] = with_ctes(*BASE, REQ_CTE, VREQ_CTE, body="""
+SELECT request_id, n_errors = 0 AS valid, errors, true AS same_as_batch FROM vreq""")
+
+# --- sources and the catalogued warehouse ---------------------------------------------------
+
+ORACLE["prefix_sample"] = with_ctes(INCIDENTS_CTE, body="""
+SELECT "ID", "Severity", "Start_Time", "State", "City" FROM incidents ORDER BY CAST("ID" AS BIGINT) LIMIT 1000""")
+
+ORACLE["csv_mixed_headers"] = with_ctes(INCIDENTS_CTE, body="""
+, m AS (SELECT *, CAST("ID" AS BIGINT) % 53 = 0 OR CAST("ID" AS BIGINT) % 59 = 0 AS bad FROM incidents)
+SELECT "State", COUNT(*) AS rows, CAST(SUM("Severity") AS BIGINT) AS severity,
+  CAST(COUNT(CASE WHEN "Crossing" THEN 1 END) AS BIGINT) AS crossings, COUNT("Start_Lat") AS places
+FROM m WHERE NOT bad GROUP BY "State"
+UNION ALL SELECT 'rejected', COUNT(*), 0, COUNT(CASE WHEN CAST("ID" AS BIGINT) % 59 = 0 THEN 1 END), 0 FROM m WHERE bad""")
+
+
+def _counted(view, column):
+    body = ORACLE[view]
+    return f"SELECT '{view}' AS view, COUNT(*) AS rows, CAST(SUM({column}) AS BIGINT) AS total FROM ({body}) t"
+
+
+ORACLE["analytics_views"] = "\nUNION ALL\n".join(_counted(v, c) for v, c in [
+    ("top_risk_locations", "total_accidents"), ("hourly_risk_profile", "total_accidents"), ("day_of_week_analysis", "total_accidents"),
+    ("weather_risk_ranking", "accident_count"), ("state_summary", "total_accidents"), ("rush_hour_impact", "total_accidents"),
+    ("high_risk_segments", "accident_count")])

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hazardlens.sources.io import RAW_COLUMNS
 from hazardlens.sources.tables import load_table
 
 # Nation is the fixed 25-row TPC-H dimension: safe to broadcast at any scale.
@@ -79,6 +80,17 @@ def incidents_from_events(spark: SparkSession, sf_dir: str, events: DataFrame) -
     )
 
 
+def wide_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw incidents as text in all 46 columns of the accident files (those
+    without a source are empty), with values no type holds: a severity in words
+    (id % 53 = 0) and a latitude in words (id % 59 = 0)."""
+    raw = incidents(spark, sf_dir)
+    eid = F.col("ID").cast("bigint")
+    changed = {"Severity": F.when(eid % 53 == 0, "severe"), "Start_Lat": F.when(eid % 59 == 0, "north")}
+    text = lambda c: F.col(f"`{c}`").cast("string") if c in raw.columns else F.lit(None).cast("string")
+    return raw.select(*[F.coalesce(changed.get(c, F.lit(None)), text(c)).alias(c) for c in RAW_COLUMNS])
+
+
 def dirty_incidents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw incidents with problems planted on fixed id residues, for the
     quality checks: repeated and missing ids, severities outside 1..4, places

@@ -113,6 +113,59 @@ def streaming_request_scores(spark: SparkSession, sf_dir: str, run_id: str | Non
     return spark.read.parquet(out)
 
 
+SCORED = ["request_id", "risk_score", "risk_level", "confidence", "contributing_factors"]
+REJECTED = ["request_id", "errors", "risk_score", "risk_level", "confidence"]
+
+
+def write_scored(rows: DataFrame, base: str, batch: int) -> None:
+    """The valid requests of one micro-batch, under its own number."""
+    rows.where("valid").select(*SCORED).write.mode("overwrite").parquet(os.path.join(base, "scored", f"batch={batch}"))
+
+
+def write_rejected(rows: DataFrame, base: str, batch: int) -> None:
+    """The rejected requests of one micro-batch, with their errors."""
+    rows.where("not valid").select(*REJECTED).write.mode("overwrite").parquet(os.path.join(base, "rejected", f"batch={batch}"))
+
+
+def score_request_stream(requests: DataFrame, model, base: str, trigger: dict | None = None) -> None:
+    """X1 with the trained model: requests arriving as a stream are defaulted,
+    validated and scored by the loaded pipeline; valid and rejected ones go to
+    two sinks, ``base/scored`` and ``base/rejected``.
+
+    One function writes both sinks of a micro-batch. Each writes under the
+    batch's number and replaces what is there, so a batch that is replayed
+    after a failure between the two leaves the same files as one that was not.
+    """
+    from hazardlens.operators import requests as RQ
+    from hazardlens.operators import serving as SV
+
+    def write(rows: DataFrame, batch: int) -> None:
+        done = SV.predict_requests(model, RQ.validate_requests(rows)).persist()
+        try:
+            write_scored(done, base, batch)
+            write_rejected(done, base, batch)
+        finally:
+            done.unpersist()
+
+    q = (requests.writeStream.option("checkpointLocation", os.path.join(base, "checkpoint"))
+         .foreachBatch(write).trigger(**(trigger or {"availableNow": True})).start())
+    q.awaitTermination()
+
+
+def streaming_model_scores(spark: SparkSession, sf_dir: str, model, run_id: str | None = None,
+                           max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run ``score_request_stream`` over all requests and read both sinks back:
+    request_id, valid, errors, risk_score, risk_level, confidence. With a
+    ``run_id`` a rerun goes on where the last one stopped."""
+    base = os.path.join(checkpoint_dir(spark), "streams", f"model-scores-{run_id or uuid.uuid4().hex[:12]}")
+    ev = events_stream(spark, sf_dir, max_files_per_trigger)
+    score_request_stream(FX.prediction_requests(S.stage_incidents(FX.incidents_from_events(spark, sf_dir, ev))), model, base)
+    columns = ["request_id", "risk_score", "risk_level", "confidence"]
+    scored = spark.read.parquet(os.path.join(base, "scored")).select(*columns, F.lit(True).alias("valid"), F.lit("").alias("errors"))
+    rejected = spark.read.parquet(os.path.join(base, "rejected")).select(*columns, F.lit(False).alias("valid"), "errors")
+    return scored.unionByName(rejected).select("request_id", "valid", "errors", "risk_score", "risk_level", "confidence")
+
+
 def hourly_event_profile_stream(events: DataFrame, watermark: str = WATERMARK,
                                 window: str = WINDOW) -> DataFrame:
     """X2 transform: per (hour window, event type) count and value sum, with a

@@ -5,6 +5,7 @@ import math
 from datetime import datetime
 
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from hazardlens.operators import routes as R
 
@@ -143,6 +144,47 @@ def _brute_dedup(ids, similar, initial=1, cap=3):
     return kept[:cap]
 
 
+def _signatures(spark, rows):
+    names = [f"{c}_{q}" for q in (25, 50, 75) for c in ("lat", "lon")]
+    return spark.createDataFrame([(t, r, *([float(x)] * 6)) for t, r, x in rows], "trip_id long, route_id long, " + ", ".join(f"{n} double" for n in names))
+
+
+def test_distinct_routes_match_greedy_loop(spark):
+    """Without a table of pairs: the greedy loop's result, for chains of routes
+    that are similar to their neighbours only, and several initial counts."""
+    import random
+    rnd = random.Random(3)
+    km = 1 / 111 / 2 ** 0.5
+    rows = [(t, r, rnd.randrange(30) * km * 0.6) for t in range(5) for r in range(14)] + [(9, 1, 0.0)]
+    for initial in (1, 2, 3):
+        got = {}
+        for r in R.keep_distinct_routes(_signatures(spark, rows), initial_count=initial).orderBy("route_rank").collect():
+            got.setdefault(r.trip_id, []).append(r.route_id)
+        for t in {x[0] for x in rows}:
+            mine = [x for x in rows if x[0] == t]
+            similar = {(a[1], b[1]) for a in mine for b in mine if a[1] < b[1] and abs(a[2] - b[2]) * 2 ** 0.5 * 111 <= 1.0}
+            assert got[t] == _brute_dedup([x[1] for x in mine], similar, initial), (t, initial)
+
+
+def test_trip_of_alike_routes_makes_no_pairs(spark):
+    """10,000 alike routes of one trip: every join makes at most one row per route."""
+    sig = _signatures(spark, [(1, r, 5.0 if r < 9990 else 8.0 + r) for r in range(10_000)])
+    sizes, whole = [], DataFrame.checkpoint
+
+    def counted(df, *args, **kw):
+        out = whole(df, *args, **kw)
+        sizes.append(out.count())
+        return out
+
+    DataFrame.checkpoint = counted
+    try:
+        got = [r.route_id for r in R.keep_distinct_routes(sig).orderBy("route_rank").collect()]
+    finally:
+        DataFrame.checkpoint = whole
+    assert got == [0, 9990, 9991]
+    assert sizes == [10_000, 10, 9]
+
+
 def test_dedup_rounds_match_greedy_loop(spark):
     import random
     rnd = random.Random(7)

@@ -1,4 +1,4 @@
-"""As-of join against brute force (and invariance to the bucket split), and
+"""As-of join against brute force (and invariance to the range split), and
 late-data handling of the watermarked hourly stream."""
 
 import os
@@ -24,14 +24,14 @@ def _brute(points, obs, max_age=timedelta(minutes=30)):
     return out
 
 
-def test_asof_matches_brute_force_and_bucket_split(spark):
+def test_asof_matches_brute_force_and_range_split(spark):
     pts = FX.query_points(spark, SMALL)
     obs = FX.observations(spark, SMALL)
     want = _brute([r.asDict() for r in pts.collect()], [r.asDict() for r in obs.collect()])
-    for bucket in (None, 5, 7):
+    for parts in (None, 1, 23):
         got = {r.point_id: r.obs_id for r in
-               EN.freshest_weather(pts, obs, bucket_minutes=bucket).select("point_id", "obs_id").collect()}
-        assert got == want, bucket
+               EN.freshest_weather(pts, obs, parts=parts).select("point_id", "obs_id").collect()}
+        assert got == want, parts
     assert any(v is not None for v in want.values()) and any(v is None for v in want.values())
 
 
@@ -91,6 +91,36 @@ def test_asof_excludes_same_instant_and_stale(spark):
     assert got == {10: 4, 11: None}
 
 
+def test_asof_spreads_a_hot_cell(spark):
+    """Nine tenths of all rows in one cell and half an hour: no range holds
+    more than a twentieth of them, and readings are carried over the ranges."""
+    from hazardlens.operators import running
+    t0 = datetime(2024, 1, 1, 12, 0, 0)
+    at = lambda i: F.lit(t0) + F.make_dt_interval(secs=i)
+    rows = spark.range(20_000)
+    i = F.col("id")
+    lat = F.when(i % 10 == 0, (40 + i % 50).cast("double")).otherwise(F.lit(30.0))
+    # In the hot cell a single early reading serves points for half an hour.
+    obs = spark.createDataFrame([(1, 30.0, 0.0, t0, 9.0)], "obs_id long, lat double, lon double, obs_ts timestamp_ntz, temp_k double") \
+        .union(rows.where("id % 10 = 0").select(i + 2, lat, F.lit(0.0), at((i % 1700).cast("int")).cast("timestamp_ntz"), F.lit(1.0)))
+    pts = rows.where("id % 10 <> 0").select(i.alias("point_id"), lat.alias("lat"), F.lit(0.0).alias("lon"),
+                                            at((1 + i % 1799).cast("int")).cast("timestamp_ntz").alias("ts"))
+    kept = {}
+    whole = running._ranged
+
+    def ranged(df, order, parts=None):
+        kept["sizes"] = whole(df, order, parts)
+        return kept["sizes"]
+
+    running._ranged = ranged
+    try:
+        got = EN.freshest_weather(pts, obs, parts=64)
+        assert got.where("obs_id = 1").count() == 18_000 == got.count()
+    finally:
+        running._ranged = whole
+    assert max(r["count"] for r in kept["sizes"].groupBy("__pid").count().collect()) < 0.05 * 20_001
+
+
 def test_windows_hold_every_event(spark, tmp_path):
     """Open windows are read back too, and a window fed by several batches
     keeps its newest state."""
