@@ -3,7 +3,7 @@
 A document's set holds its distinct 5-word shingles. Two permutations make
 the whole signature: the first spreads the set over a universe of
 ``UNIVERSE`` places, the second, shifted circularly by k places, ranks them
-for coordinate k. Bands of ``ROWS`` coordinates are bucketed; buckets give
+for coordinate k. The universe has at least 16 places per shingle of the longest text. Bands of ``ROWS`` coordinates are bucketed; buckets give
 candidates, and candidates are confirmed by the exact Jaccard similarity of
 their full sets.
 
@@ -13,6 +13,10 @@ joins groups of near copies without expanding them into pairs. Only classes
 that still stand outside their bucket's main component are compared with the
 rest of the bucket, each pair once, if it shares a second band; where more
 than ``SPLIT`` classes stand outside, the bucket is split by that second band.
+Where the main component has more than ``SPLIT`` classes in a bucket, no pairs
+are made: classes outside and classes of the component meet in a grid of
+bounded blocks, which compares the full sets of those that share two bands and
+returns one link per outside class and block, since only components are asked for.
 Shingles that no other candidate holds bound what two sets can share; pairs
 that cannot reach the threshold by this bound are not made. A pair at the threshold misses all bands with a chance below 2e-6, and shares
 fewer than two with one below 3e-5; at 0.8 both are below 2e-7.
@@ -27,18 +31,20 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, map_batches, mix64, narrowed, range_hashes, stored, table, window_hashes, word_hashes
+from .common import BROADCAST_KEYS, WORD, map_batches, mix64, narrowed, range_hashes, stored, table, window_hashes, word_hashes
 from .graph import components
 
 SHINGLE = 5
 THRESHOLD = 0.75
 ROWS, BANDS = 5, 50
-UNIVERSE = 1 << 20
+UNIVERSE = 1 << 20       # places at least
 SPLIT = 64
+BLOCK = 512              # classes of a block of the grid
+BLOCK_SHINGLES = 1 << 20  # and their shingles together, on average
 SEED = 20240229
 
 
@@ -53,11 +59,12 @@ def shingle_set(text: str | None) -> np.ndarray:
 class Circulant:
     """Signatures from two permutations."""
 
-    def __init__(self, rows: int = ROWS, bands: int = BANDS):
+    def __init__(self, universe: int = UNIVERSE, rows: int = ROWS, bands: int = BANDS):
         rng = np.random.default_rng(SEED)
+        self.universe, self.shift = universe, np.uint64(64 - (universe.bit_length() - 1))
         self.first = np.uint64(int(rng.integers(1 << 62)) * 2 + 1)
         self.length = rows * bands
-        second = rng.permutation(UNIVERSE).astype(np.int32)
+        second = rng.permutation(universe).astype(np.int32)
         ring = np.concatenate([second, second[:self.length]])
         # Row i holds the ranks of place i under all shifts.
         self.shifted = np.lib.stride_tricks.sliding_window_view(ring, self.length)
@@ -65,8 +72,8 @@ class Circulant:
         self.weights = rng.integers(1 << 62, size=rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
-        places = mix64(shingles * self.first) >> np.uint64(44)
-        out = np.full(self.length, UNIVERSE, np.int32)
+        places = mix64(shingles * self.first) >> self.shift
+        out = np.full(self.length, self.universe, np.int32)
         for at in range(0, len(places), 2048):
             np.minimum(out, self.shifted[places[at:at + 2048].astype(np.int64)].min(axis=0), out=out)
         return out
@@ -86,10 +93,19 @@ _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n"
 _SET = T.StructType([T.StructField("c", T.LongType()), T.StructField("set", T.BinaryType())])
 
 
+def universe_of(docs: DataFrame) -> int:
+    """A power of two of at least 16 times the shingles that a text can have,
+    by the longest text's bytes: every word but the last takes two or more."""
+    longest = docs.agg(F.max(F.octet_length("text"))).first()[0] or 0
+    return max(UNIVERSE, 1 << (8 * longest).bit_length())
+
+
 def signed(docs: DataFrame) -> DataFrame:
     """(doc_id, n, c, bands): set size, class of equal sets, band keys."""
+    universe = universe_of(docs)
+
     def make():
-        hasher = Circulant()
+        hasher = Circulant(universe)
         none = np.zeros(0, np.int64)
 
         def run(cols):
@@ -174,15 +190,16 @@ def _own_shingles(sets: DataFrame) -> DataFrame:
 
 
 def _rest(members: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs of classes that share a bucket, are not in one component, and
-    were not compared with each other as leaders."""
+    """Pairs of classes that share a bucket, are not in one component, and were
+    not compared with each other as leaders; and the classes left for the grid."""
     m = members.join(label.withColumnRenamed("node", "c"), "c", "left")
     m = m.withColumn("component", F.coalesce("component", "c"))
     sizes = m.groupBy("key", "component").agg(F.count(F.lit(1)).alias("k"))
     main = sizes.groupBy("key").agg(F.max_by("component", F.struct("k", "component")).alias("main"),
-                                    F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"))
-    main = main.where("parts > 1 and k > 2").select("key", "main")
-    m = m.join(main, "key").select("key", "c", "n", "lead", "any", "component", (F.col("component") != F.col("main")).alias("out"))
+                                    F.max("k").alias("in_main"), F.count(F.lit(1)).alias("parts"), F.sum("k").alias("k"))
+    main = main.where("parts > 1 and k > 2").select("key", "main", F.col("in_main").alias("in_main"))
+    m = m.join(main, "key").select("key", "c", "n", "lead", "any", "component", (F.col("component") != F.col("main")).alias("out"),
+                                   "main", (F.col("in_main") > SPLIT).alias("big"))
     m = stored(m, "minhash-mixed")
     some = sets.join(m.select("c").distinct(), "c", "left_semi")
     m = m.join(_own_shingles(some), "c", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0))).drop("own")
@@ -195,7 +212,7 @@ def _rest(members: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFr
            & (100 * most >= 75 * (F.col("x.n") + F.col("y.n") - most)))
 
     def pairs(rows: DataFrame, first) -> DataFrame:
-        met = rows.where("out").alias("x").join(rows.alias("y"), "key").where(new & first)
+        met = rows.where("out").alias("x").join(rows.where("out or not big").alias("y"), "key").where(new & first)
         return met.select(*_ordered("x.c", "y.c"))
 
     once = pairs(m.where(F.col("outside") <= SPLIT), (F.element_at(shared, 1) == F.col("key")) & (F.size(shared) > 1))
@@ -204,7 +221,47 @@ def _rest(members: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFr
     second = (m.where(F.col("outside") > SPLIT).withColumn("band", F.explode(later))
               .withColumn("first", F.col("key")).withColumn("key", F.xxhash64("key", "band")))
     twice = pairs(second, (F.element_at(shared, 1) == F.col("x.first")) & (F.get(shared, F.lit(1)) == F.col("x.band")))
-    return once.union(twice).distinct()
+    grid = m.where("big").select(F.col("main").alias("g"), "c", "n", "out", "bands").distinct()
+    return once.union(twice).distinct(), grid
+
+
+def _compare(xs: pa.Table, ys: pa.Table) -> pa.Table:
+    """Of two blocks, one link for each class of the first that has any."""
+    out: list[list] = [[], []]
+    if xs.num_rows and ys.num_rows:
+        order = np.argsort(ys["c"].to_numpy(), kind="stable")
+        ids, n = ys["c"].to_numpy()[order], ys["n"].to_numpy()[order]
+        found = [np.frombuffer(b, np.uint64) for b in ys["set"].to_pylist()]
+        found = [found[i] for i in order]
+        bands = lambda t: np.array(t["bands"].to_pylist(), np.int64)
+        theirs = bands(ys)[order]
+        for c, k, own, data in zip(xs["c"].to_pylist(), xs["n"].to_pylist(), bands(xs), xs["set"].to_pylist()):
+            fits = ((theirs == own).sum(1) > 1) & (100 * n >= 75 * k) & (100 * k >= 75 * n) & (ids != c)
+            mine = np.frombuffer(data, np.uint64)
+            for j in np.flatnonzero(fits):
+                at = np.searchsorted(mine, found[j])
+                at[at == len(mine)] = 0
+                shared = int((mine[at] == found[j]).sum())
+                if 100 * shared >= 75 * (k + int(n[j]) - shared):
+                    out[0].append(min(c, int(ids[j])))
+                    out[1].append(max(c, int(ids[j])))
+                    break
+    return pa.table([pa.array(o, pa.int64()) for o in out], names=["a", "b"])
+
+
+def _grid_links(grid: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the classes outside a large component ``g`` and its own."""
+    rows = grid.join(sets, "c")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int")
+    sizes = grid.groupBy("g").agg(blocks.alias("_b"))  # for both sides alike: large enough for the larger one
+    rows = rows.join(sizes, "g")
+    own = F.pmod(F.xxhash64("c"), F.col("_b")).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.col("_b") - 1))
+    columns = [F.col(c).alias(c) for c in ("g", "c", "n", "bands", "set")]
+    xs = rows.where("out").select(*columns, own.alias("i"), every.alias("j"))
+    ys = rows.where("not out").select(*columns, every.alias("i"), own.alias("j"))
+    keys = ["g", "i", "j"]
+    return xs.groupBy(*keys).cogroup(ys.groupBy(*keys)).applyInArrow(_compare, _LINK)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -227,9 +284,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = classes.select("c", "rep")
     wanted = reps.join(members.select("c").distinct(), "c")
     sets = stored(_sets(docs, wanted).dropDuplicates(["c"]), "minhash-sets")
-    links = stored(confirmed(first, sets), "minhash-links")
+    # Texts under one id are one document: their classes are linked as well.
+    own = rows.where("n > 0 and doc_id is not null").select("doc_id", "c")
+    several = stored(own.groupBy("doc_id").agg(F.min("c").alias("a"), F.max("c").alias("b")).where("a <> b").select("doc_id", "a"), "minhash-several")
+    alike = narrowed(own, several.select("doc_id"), ["doc_id"]).join(several, "doc_id").where("a <> c").select("a", F.col("c").alias("b"))
+    links = stored(confirmed(first, sets).union(alike), "minhash-links")
     label = components(links)
-    more = stored(confirmed(_rest(members, label, classes, sets), sets), "minhash-links")
+    pairs, grid = _rest(members, label, classes, sets)
+    more = stored(confirmed(pairs, sets).union(_grid_links(grid, sets)), "minhash-links")
     if not more.isEmpty():
         label = components(links.union(more))
     # A component's id is its smallest document id; classes stand for all their rows.
@@ -246,13 +308,19 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """All columns of the rows that stay: of each component the row of its
     smallest id, of rows that repeat this id the longest. Rows without an id
     or without words stay."""
-    verdict = (near_duplicates(docs).where("doc_id is not null").groupBy("doc_id")
-               .agg(F.max("kept").alias("_kept")).withColumnRenamed("doc_id", "_id"))
-    rows = docs.join(verdict, F.col("doc_id") == F.col("_id"), "left")
-    first = Window.partitionBy("doc_id").orderBy(F.length("text").desc(), "text")
-    rows = rows.withColumn("_row", F.row_number().over(first))
-    unlinked = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    return rows.where(unlinked | (F.col("_kept") & (F.col("_row") == 1))).select(*[F.col(c) for c in docs.columns])
+    # The whole row travels in one column, so no name can clash with its own.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    linked = F.col("doc_id").isNotNull() & F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("text").alias("text"), linked.alias("linked"))
+    found = near_duplicates(docs).where("doc_id is not null and n_shingles > 0").groupBy(F.col("doc_id").alias("id"))
+    found = stored(found.agg(F.max("kept").alias("kept"), F.count(F.lit(1)).alias("times")), "minhash-verdict")
+    # Texts are not shuffled for ids that occur once: few ids, by count, are dropped by a broadcast.
+    other = found.where("not kept or times > 1").select("id")
+    side = F.broadcast(other) if other.count() <= BROADCAST_KEYS else other
+    once = rows.where("linked").join(side, "id", "left_anti").select("row")
+    again = narrowed(rows.where("linked"), found.where("kept and times > 1").select("id"), ["id"])
+    again = again.groupBy("id").agg(F.max_by("row", F.struct(F.length("text"), "text")).alias("row")).select("row")
+    return rows.where("not linked").select("row").union(once).union(again).select("row.*")
 
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
