@@ -26,6 +26,7 @@ columns. Null ids give a null text; an id that the model lacks is an error.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
@@ -82,6 +83,7 @@ class PieceModel:
         self.scores: dict[str, float] = {}
         self.ids: dict[str, int] = {}
         self.raw = _piece_bytes(sp)
+        self.raw_sizes = np.array(list(map(len, self.raw)), np.int64)
         self.byte_ids = [0] * 256
         for i, raw in enumerate(self.raw):
             if sp.is_byte(i):
@@ -136,15 +138,18 @@ class Segmenter:
     def __init__(self, model: PieceModel):
         self.m = model
         self.searched: dict[tuple[str, int], list[Path]] = {}
+        self.unsound: set[tuple[str, int]] = set()  # searches with ids that do not decode to their part
         self._forget()
 
     def _forget(self) -> None:
-        """Empty the cache of words: their numbers, ids, scores and losses."""
+        """Empty the cache of words: their numbers, ids, scores, losses, and
+        whether the ids decode to the word."""
         self.words: dict[str, int] = {}
         self.names: list[str] = []
         self.flat = np.zeros(0, np.int32)
         self.starts = np.zeros(1, np.int64)
         self.scores = self.lost = np.zeros(0)
+        self.sound = np.zeros(0, bool)
 
     def forward(self, part: str) -> tuple[list[float], list[float], list[int]]:
         """Best and second-best score up to each position, and where the best piece begins."""
@@ -216,7 +221,7 @@ class Segmenter:
     def solve_many(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """``solve`` for distinct parts: all ids, where each part's ids begin
         (one entry more than parts), scores, and losses of the second paths."""
-        ids: list = [None] * len(parts)
+        solved = []  # (part numbers, their ids, ids per part)
         scores, losses = np.empty(len(parts)), np.empty(len(parts))
         lengths: dict[int, list[int]] = {}
         for k, p in enumerate(parts):
@@ -224,22 +229,28 @@ class Segmenter:
         for length, group in lengths.items():
             left = group
             if len(group) >= VECTOR_PARTS and length <= VECTOR_LENGTH:
-                got, best, loss, known = self._solve_length([parts[k] for k in group], length)
+                got, sizes, best, loss, known = self._solve_length([parts[k] for k in group], length)
                 at = np.array(group)
                 scores[at], losses[at] = best, loss
-                for k, x in zip(group, got):
-                    ids[k] = x
-                left = [k for k, ok in zip(group, known) if not ok]
+                solved.append((at[known], got[np.repeat(known, sizes)], sizes[known]))
+                left = at[~known].tolist()
+            ids = []
             for k in left:
-                ids[k], scores[k], losses[k] = self.solve(parts[k])
-        starts = np.zeros(len(parts) + 1, np.int64)
-        np.cumsum([len(x) for x in ids], out=starts[1:])
-        flat = np.fromiter(chain.from_iterable(ids), np.int32, starts[-1])
+                found, scores[k], losses[k] = self.solve(parts[k])
+                ids.append(found)
+            solved.append((np.array(left, np.int64), np.fromiter(chain.from_iterable(ids), np.int32), np.array(list(map(len, ids)), np.int64)))
+        counts = np.zeros(len(parts), np.int64)
+        for at, _, sizes in solved:
+            counts[at] = sizes
+        starts = np.concatenate([[0], np.cumsum(counts)])
+        flat = np.empty(starts[-1], np.int32)
+        for at, got, sizes in solved:
+            flat[_ragged(starts[at], sizes)] = got
         return flat, starts, scores, losses
 
     def _solve_length(self, parts: list[str], length: int):
-        """The forward pass for parts of one length, and the best paths' ids.
-        ``known`` is False for parts with characters that no piece has."""
+        """The forward pass for parts of one length, and the best paths' ids,
+        one part after the other, with the number of each part's ids. ``known`` is False for parts with characters that no piece has."""
         n = len(parts)
         codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).reshape(n, length).T.astype(np.uint64) + np.uint64(1)
         best = np.full((length + 1, n), -np.inf)
@@ -275,9 +286,10 @@ class Segmenter:
         while (at > 0).any():
             steps.append(np.where(at > 0, piece[at, rows], -1))
             at = np.where(at > 0, back[at, rows], 0)
-        ids = [[i for i in reversed(x) if i >= 0] for x in np.array(steps).T.tolist()]
+        ids = np.stack(steps[::-1], axis=1)
+        taken = ids >= 0
         with np.errstate(invalid="ignore"):
-            return ids, best[length], best[length] - second[length], known
+            return ids[taken], taken.sum(1), best[length], best[length] - second[length], known
 
     def _losses(self, part: str, chosen: tuple[int, ...], score: float, n: int) -> list[Path]:
         """Losses and ids of a part's best paths; the path that the forward
@@ -286,8 +298,12 @@ class Segmenter:
         if key not in self.searched:
             if len(self.searched) >= CACHED_SEARCHES:
                 self.searched.clear()
+                self.unsound.clear()
             rest = [p for p in self.n_best(part, n) if p[1] != chosen]
             self.searched[key] = [(0.0, chosen)] + [(score - s, ids) for s, ids in rest[:n - 1]]
+            raw = self.m.raw
+            if any(b"".join(map(raw.__getitem__, ids)) != part.encode() for _, ids in self.searched[key]):
+                self.unsound.add(key)
         return self.searched[key]
 
     def split(self, text: str) -> list[str]:
@@ -300,13 +316,17 @@ class Segmenter:
 
     def learn(self, words: list[str]) -> None:
         """Solve new words; a word's lattice is a chain of independent parts."""
-        parts: dict[str, int] = {}
-        made = []
+        made, counts = [], []
         for w in words:
-            made.append([parts.setdefault(p, len(parts)) for p in PART.findall(" " + w)])
+            found = PART.findall(" " + w)
+            counts.append(len(found))
+            made += found
+        parts = dict.fromkeys(made)
+        for k, p in enumerate(parts):
+            parts[p] = k
         flat, starts, scores, losses = self.solve_many(list(parts))
-        counts = np.fromiter(map(len, made), np.int64, len(made))
-        at = np.fromiter(chain.from_iterable(made), np.int64, counts.sum())
+        counts = np.array(counts, np.int64)
+        at = np.fromiter(map(parts.__getitem__, made), np.int64, len(made))
         firsts = np.cumsum(counts) - counts
         sizes = np.diff(starts)[at]
         ids = flat[_ragged(starts[at], sizes)]
@@ -317,9 +337,28 @@ class Segmenter:
         self.flat = np.concatenate([self.flat, ids])
         self.scores = np.concatenate([self.scores, np.add.reduceat(scores[at], firsts)])
         self.lost = np.concatenate([self.lost, np.minimum.reduceat(losses[at], firsts)])
+        self.sound = np.concatenate([self.sound, self._decode_to(words, ids, np.add.reduceat(sizes, firsts))])
+
+    def _decode_to(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether each word's ids, ``sizes`` of them, decode to blank + word."""
+        raw = self.m.raw
+        ends = np.cumsum(sizes)
+        lengths = np.add.reduceat(self.m.raw_sizes[ids], ends - sizes)
+        want = [f" {w}".encode() for w in words]
+        if lengths.tolist() == list(map(len, want)) and b"".join(map(raw.__getitem__, ids.tolist())) == b"".join(want):
+            return np.ones(len(words), bool)
+        found = (b"".join(map(raw.__getitem__, ids[e - s:e].tolist())) for e, s in zip(ends.tolist(), sizes.tolist()))
+        return np.array([a == b for a, b in zip(found, want)], bool)
 
     def encode_block(self, texts: list[str], n: int = 1) -> list[list[tuple[float, np.ndarray]]]:
         """For each text its ``n`` best segmentations, best first (fewer if there are fewer)."""
+        return [paths for paths, _ in self.checked_block(texts, n)]
+
+    def checked_block(self, texts: list[str], n: int = 1) -> list[tuple[list[tuple[float, np.ndarray]], bool]]:
+        """``encode_block`` with, for each text, whether all its segmentations
+        decode to it. A segmentation is the ids of the text's words in order,
+        so it does if each word's ids decode to the word and the words make up
+        the text; words are decoded once, when they are solved or searched."""
         split = [self.split(t) for t in texts]
         if len(self.names) > CACHED_WORDS:
             self._forget()
@@ -327,13 +366,13 @@ class Segmenter:
         if new:
             self.learn(new)
         out = []
-        for words in split:
+        for text, words in zip(texts, split):
             at = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
             sizes = self.starts[at + 1] - self.starts[at]
             ids = self.flat[_ragged(self.starts[at], sizes)]
             score = float(self.scores[at].sum())
-            more = self._alternatives(at, np.cumsum(sizes), ids, score, n) if n > 1 and words else []
-            out.append([(score, ids)] + more)
+            more, sound = self._alternatives(at, np.cumsum(sizes), ids, score, n) if n > 1 and words else ([], True)
+            out.append(([(score, ids)] + more, bool(sound and self.sound[at].all() and " ".join(words) == text)))
         return out
 
     def _alternatives(self, at, ends, ids, score, n):
@@ -362,7 +401,7 @@ class Segmenter:
                 pieces += [ids[upto:first], np.array(alternative, np.int32)]
                 upto = int(ends[k])
             result.append((score - lost, np.concatenate(pieces + [ids[upto:]])))
-        return result
+        return result, not any((" " + self.names[at[k]], n) in self.unsound for k in near)
 
     def encode(self, text: str | None, n: int = 1) -> list[Path]:
         return [(s, tuple(ids.tolist())) for s, ids in self.encode_block([text or ""], n)[0]]
@@ -444,25 +483,26 @@ def decoded(rows: DataFrame, ids: str = "ids", into: str = "text", model_path: s
 
 def encoded(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> DataFrame:
     """Per row: ids of the best segmentation, ids, scores, lengths and a digest
-    of the ``n`` best, and whether the ids returned decode to the text, each of them."""
+    of the ``n`` best, and whether all of them decode to the text."""
     arrow = to_arrow_schema(_FOUND)
 
     def run(batches):
         seg = Segmenter(PieceModel(model_path))
+        gc.set_threshold(200_000)  # its caches are large and hold no cycles
         for batch in batches:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _blocks(texts):
-                found = seg.encode_block(texts[a:b], n)
+                checked = seg.checked_block(texts[a:b], n)
+                found = [paths for paths, _ in checked]
                 sizes = list(map(len, found))
                 paths = [ids for x in found for _, ids in x]
                 inner = _lists(pa.array(np.concatenate(paths), pa.int32()), list(map(len, paths)), arrow.field(1).type.value_type)
-                back = iter(_decode(seg.m.raw, inner))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(a, b - a), _lists(inner, sizes, arrow.field(1).type),
                     _lists(pa.array([s for x in found for s, _ in x], pa.float64()), sizes, arrow.field(2).type),
                     pa.array([hashlib.sha256(b"".join(ids.astype("<i4").tobytes() + b"|" for _, ids in x)).hexdigest()
                               for x in found], pa.string()),
-                    pa.array([all([next(back) == t for _ in range(k)]) for t, k in zip(texts[a:b], sizes)], pa.bool_())],
+                    pa.array([sound for _, sound in checked], pa.bool_())],
                     schema=arrow)
 
     found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)

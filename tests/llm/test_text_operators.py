@@ -92,6 +92,20 @@ def test_n_best_ids_are_returned_and_decoded(spark, segmenter, docs):
     assert collections.Counter((r["doc_id"], r["text"]) for r in back) == texts
 
 
+def test_round_trip_is_checked_against_the_pieces():
+    """A piece that stands for other bytes is noticed in the best and in other segmentations."""
+    broken = o1.Segmenter(o1.PieceModel(o1.MODEL_PATH))
+    texts = ["the cat", "sat on", "", "  two  blanks "]
+    assert [ok for _, ok in broken.checked_block(texts, 3)] == [True] * 4
+    best = set(broken.encode("the cat")[0][1])
+    others = {i for _, ids in broken.encode("the cat", 3)[1:] for i in ids} - best
+    for i in (max(best), max(others)):
+        broken = o1.Segmenter(o1.PieceModel(o1.MODEL_PATH))
+        broken.m.raw[i] = b"x" * len(broken.m.raw[i])
+        assert broken.checked_block(texts, 3)[0][1] is False
+    assert broken.checked_block(texts[2:3], 3)[0][1] is True
+
+
 def test_decode_any_table_of_ids(spark, segmenter):
     ids = list(segmenter.encode("the cat 文 x")[0][1])
     table = spark.createDataFrame([(1, ids, "a"), (2, [], "b"), (3, None, "c")], "k long, p array<int>, text string")
