@@ -4,15 +4,21 @@ A bounded sample (``SAMPLE`` vectors, chosen by a hash of the id) gives a
 neighbour graph, which is split into balanced parts by recursive bisection.
 A small network learns to tell a vector's part, its targets being the parts
 of its neighbours. Every row is filed under its ``FILED_UNDER`` most probable
-parts; a query visits its most probable parts (``PROBE_SHARE`` of all) and is
-reranked there by the inner product in double precision. Parts are held in blocks of bounded size, and
-queries in slices, so no task holds a whole part.
+parts; a query visits its ``VISITS`` most probable parts, at any size of the
+table, and is reranked there by the inner product in double precision. Parts are
+held in blocks of bounded size, and queries in slices, so no task holds a whole
+part.
+
+The search goes in rounds: first one block of a query's likeliest part, then
+eight times as many blocks of it until the part is done, then all other visits.
+The worst of the best so far is a floor; later rounds return only rows at or
+above it, ties included, so the rows returned per query do not grow with the table.
 
 Vectors that are null or zero, hold a null or non-finite component, or have
 another length than most take no part, as queries or as candidates; rows
 without an id neither. A query's own id is no candidate. Equal scores go by
-smaller id. Fewer rows than ``MIN_PARTS`` neighbourhoods need have one part
-and are searched exactly. An
+smaller id. Tables so small that they have no more than
+``VISITS`` parts are searched exactly. An
 empty table gives an empty result. Extra columns are dropped.
 """
 
@@ -30,12 +36,13 @@ from pyspark.sql import types as T
 from .common import map_batches, stored, table
 
 SAMPLE = 8192
-PART_ROWS = 1000     # rows a part should have, while the sample allows as many parts
-MIN_PARTS, MAX_PARTS = 8, 256
+PART_ROWS = 64       # rows a part should have, up to the largest number of parts
+MIN_PARTS, MAX_PARTS = 8, 64
 NEIGHBOURS = 12
 HIDDEN = 128
-FILED_UNDER = 2      # parts that hold a row
-PROBE_SHARE = 0.6    # share of the parts a query visits
+FILED_UNDER = 3      # parts that hold a row
+VISITS = 18          # parts that a query visits
+WIDER = 8            # blocks of one round for each block of the round before
 BLOCK = 8192         # rows of one block of a part
 SLICE = 4096         # queries of one slice
 SEED = 11
@@ -165,8 +172,9 @@ _FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("v
                        T.StructField("score", T.DoubleType())])
 
 
-def filed(rows: DataFrame, router: Router | None, visits: int) -> DataFrame:
-    """Rows with their vectors as bytes and their ``visits`` likeliest parts."""
+def filed(rows: DataFrame, router: Router | None, visits: int, kind: str = "<f8") -> DataFrame:
+    """Rows with their vectors as bytes (numbers of ``kind``, which must hold
+    them exactly) and their ``visits`` likeliest parts, likeliest first."""
     def make():
         def run(cols):
             x = np.array(cols["v"], dtype=float)
@@ -174,49 +182,39 @@ def filed(rows: DataFrame, router: Router | None, visits: int) -> DataFrame:
                 parts = [[0]] * len(x)
             else:
                 parts = np.argsort(-router.logits(x), axis=1, kind="stable")[:, :visits].tolist()
-            return {"vec_id": cols["vec_id"], "v": [r.tobytes() for r in x], "parts": parts}
+            return {"vec_id": cols["vec_id"], "v": [r.tobytes() for r in x.astype(kind)], "parts": parts}
         return run
 
     return map_batches(rows, make, _FILED)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=float).reshape(len(column), -1)
-
+def _matrix(column, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).astype(float).reshape(len(column), -1)
 
-def search(rows: DataFrame, is_query, top: int, probe_share: float = PROBE_SHARE) -> DataFrame:
-    """(query_id, rank, vec_id, score): each query's ``top`` nearest."""
-    good = stored(usable(rows), "ann-usable")
-    router, parts = train(good)
-    probes = max(1, math.ceil(parts * probe_share))
-    index = stored(filed(good, router, FILED_UNDER).select("vec_id", "v", F.explode("parts").alias("part")), "ann-index")
-    asked = filed(good.where(is_query), router, probes).select(F.col("vec_id").alias("query_id"), "v", F.explode("parts").alias("part"))
-    asked = stored(asked, "ann-queries")
-    # A part is a grid of blocks by slices; a cell meets in one task.
-    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    shares = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
-    grid = sizes.join(shares, "part")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    own = lambda key, n: F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.col(n)).cast("int")
-    left = asked.join(grid, "part").select("query_id", "v", "part", own("query_id", "slices").alias("slice"), every("blocks").alias("block"))
-    right = index.join(grid, "part").select("vec_id", "v", "part", own("vec_id", "blocks").alias("block"), every("slices").alias("slice"))
 
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
+def _cell(top: int, kind: str):
+    """Of a slice of queries and a block of rows, the rows that are among the
+    ``top`` of the block and not below the query's floor."""
+    def run(q: pa.Table, c: pa.Table) -> pa.Table:
         out: list[list] = [[], [], []]
         if q.num_rows and c.num_rows:
             ids = c.column("vec_id").to_numpy()
             order = np.argsort(ids, kind="stable")
-            ids, y = ids[order], _matrix(c.column("v"))[order]
-            queries, x = q.column("query_id").to_numpy(), _matrix(q.column("v"))
+            ids, y = ids[order], _matrix(c.column("v"), kind)[order]
+            queries, x = q.column("query_id").to_numpy(), _matrix(q.column("v"), kind)
+            floors = q.column("floor").to_numpy()  # nan: none yet
             for at in range(0, len(x), 512):
                 s = x[at:at + 512] @ y.T
                 s[queries[at:at + 512, None] == ids[None, :]] = -np.inf
-                k = min(top, s.shape[1])
-                floor = -np.partition(-s, k - 1, axis=1)[:, k - 1]
-                for i, row in enumerate(s):
-                    # Ties and rounding of the block product: everything near the last place is scored again.
-                    near = np.flatnonzero((row >= floor[i] - 1e-9 * (1 + abs(floor[i]))) & (row > -np.inf)) if floor[i] > -np.inf \
-                        else np.flatnonzero(row > -np.inf)
+                floor = floors[at:at + 512].copy()
+                none = np.isnan(floor)
+                if none.any():
+                    k = min(top, s.shape[1])
+                    floor[none] = -np.partition(-s[none], k - 1, axis=1)[:, k - 1]
+                # Ties and rounding of the block product: everything near the floor is scored again.
+                least = np.where(np.isfinite(floor), floor - 1e-9 * (1 + np.abs(floor)), floor)
+                for i in np.flatnonzero((s >= least[:, None]).any(axis=1)):
+                    near = np.flatnonzero((s[i] >= least[i]) & (s[i] > -np.inf))
                     exact = (y[near] * x[at + i]).sum(axis=1)
                     best = np.lexsort((ids[near], -exact))[:top]
                     out[0].append(np.full(len(best), queries[at + i], np.int64))
@@ -226,12 +224,54 @@ def search(rows: DataFrame, is_query, top: int, probe_share: float = PROBE_SHARE
         return pa.table([pa.array(np.concatenate(o) if o else np.zeros(0, k)) for o, k in zip(out, kinds)],
                         names=["query_id", "vec_id", "score"])
 
-    keys = ["part", "block", "slice"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(cell, _FOUND)
+    return run
+
+
+def _best(found: DataFrame, top: int) -> DataFrame:
+    """The ``top`` rows of each query; a row met in two parts counts once."""
     by = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))  # of rows met in two parts
-    return (found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
-            .select("query_id", "rank", "vec_id", "score"))
+    once = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return once.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= top)
+
+
+def search(rows: DataFrame, is_query, top: int, visits: int = VISITS) -> DataFrame:
+    """(query_id, rank, vec_id, score): each query's ``top`` nearest."""
+    kind = "<f4" if rows.schema["embedding"].dataType.elementType == T.FloatType() else "<f8"
+    good = stored(usable(rows), "ann-usable")
+    router, parts = train(good)
+    index = filed(good, router, FILED_UNDER, kind).select("vec_id", "v", F.explode("parts").alias("part"))
+    index = stored(index, "ann-index")
+    asked = filed(good.where(is_query), router, min(parts, visits), kind).select(
+        F.col("vec_id").alias("query_id"), "v", F.posexplode("parts").alias("visit", "part"))
+    asked = stored(asked, "ann-queries")
+    # A part is a grid of blocks by slices; a cell meets in one task.
+    sizes = index.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    shares = asked.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / SLICE).cast("int").alias("slices"))
+    grid = stored(sizes.join(shares, "part"), "ann-grid")
+    own = lambda key, n: F.pmod(F.xxhash64(F.lit(SEED), F.col(key)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = asked.join(grid, "part").select("query_id", "v", "visit", "part", own("query_id", "slices").alias("slice"), every("blocks").alias("block"))
+    right = index.join(grid, "part").select("vec_id", "v", "part", own("vec_id", "blocks").alias("block"), every("slices").alias("slice"))
+    keys = ["part", "block", "slice"]
+    widest = grid.agg(F.max("blocks")).first()[0] or 0
+    done, upto, best = 0, 1, None
+    while True:
+        last = done >= widest
+        part = left.where((F.col("visit") > 0) if last else (F.col("visit") == 0) & F.col("block").between(done, upto - 1))
+        block = right if last else right.where(F.col("block").between(done, upto - 1))
+        if best is None:
+            part = part.withColumn("floor", F.lit(float("nan")))
+        else:
+            floors = best.where(F.col("rank") == top).select(F.col("query_id").alias("_q"), F.col("score").alias("_floor"))
+            part = (part.join(floors, F.col("query_id") == F.col("_q"), "left")
+                    .withColumn("floor", F.coalesce("_floor", F.lit(float("nan")))).drop("_q", "_floor"))
+        found = part.groupBy(*keys).cogroup(block.groupBy(*keys)).applyInArrow(_cell(top, kind), _FOUND)
+        if best is not None:
+            found = found.unionByName(best.select("query_id", "vec_id", "score"))
+        if last:
+            return _best(found, top).select("query_id", "rank", "vec_id", "score")
+        best = stored(_best(found, top), "ann-best")
+        done, upto = upto, upto * WIDER
 
 
 def op10_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -568,22 +568,46 @@ def test_search_is_exact_on_few_rows_and_skips_bad_vectors(spark):
     assert o10.search(d.where("false"), F.col("vec_id") % 20 == 0, 20).count() == 0
 
 
-def test_search_recall(spark):
-    d = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
-    got = collections.defaultdict(set)
-    for r in rows(o10.op10_ann_search(spark, "/root/testdata/sf0.01")):
-        got[r["query_id"]].add(r["vec_id"])
+@pytest.mark.parametrize("folder", ["sf0.01", "sf0.1", "check_s"])
+def test_search_recall(spark, folder):
+    """500, 2,000 and 10,256 rows; at the last a query visits 18 of 64 parts."""
+    d = spark.read.parquet(f"/root/testdata/{folder}/embeddings.parquet")
+    got = collections.defaultdict(dict)
+    for r in rows(o10.op10_ann_search(spark, f"/root/testdata/{folder}")):
+        got[r["query_id"]][r["vec_id"]] = (r["rank"], r["score"])
     pdf = d.toPandas()
     x = np.array(pdf["embedding"].tolist(), dtype=float)
     ids = pdf["vec_id"].to_numpy()
+    place = {i: k for k, i in enumerate(ids)}
     hit = []
     for k in np.flatnonzero(ids % 20 == 0):
-        s = x @ x[k]
+        s = (x * x[k]).sum(axis=1)
         s[k] = -np.inf
-        hit.append(len(set(ids[np.argsort(-s)[:20]]) & got[ids[k]]) / 20)
+        found = got[ids[k]]
+        assert len(found) == 20 and sorted(r for r, _ in found.values()) == list(range(1, 21))
+        assert all(score == s[place[i]] for i, (_, score) in found.items())
+        hit.append(len(set(ids[np.argsort(-s)[:20]]) & set(found)) / 20)
     assert np.mean(hit) >= 0.9
 
 
+def test_rounds_of_small_blocks_find_the_same(spark, monkeypatch):
+    """Many blocks, many rounds, a vector that a third of the rows have, and
+    repeated ids: the rows found are those of one block per part."""
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal((900, 8)).astype(np.float32)
+    x[:300] = x[0]
+    data = [(i if i < 890 else i - 5, x[i].tolist()) for i in range(900)]
+    d = spark.createDataFrame(data, "vec_id long, embedding array<float>")
+    find = lambda: sorted((r["query_id"], r["rank"], r["vec_id"], r["score"])
+                          for r in rows(o10.search(d, F.col("vec_id") % 60 == 0, 20)))
+    whole = find()
+    monkeypatch.setattr(o10, "BLOCK", 16)
+    monkeypatch.setattr(o10, "SLICE", 2)
+    monkeypatch.setattr(o10, "WIDER", 2)
+    assert find() == whole
+    assert [v for q, _, v, _ in whole if q == 60] == [i for i in range(21) if i != 60][:20]
+
+
 def test_parts_are_balanced_and_smaller_than_a_random_cut():
     rng = np.random.default_rng(0)
     x = np.repeat(rng.standard_normal((16, 12)) * 3, 60, axis=0) + rng.standard_normal((960, 12))
