@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, table
+from .common import BROADCAST_KEYS, WORD, stored, table
 
 WEIGHTS = (3.0, 1.0, 2.0)  # repeating, by the sources' order
 SHARE = 1.5                # all targets together, as a share of all words
@@ -88,20 +88,32 @@ def mix(docs: DataFrame, keys: list[str], weights=WEIGHTS, share=SHARE, limit=LI
 
 
 def mixed(docs: DataFrame, **parameters) -> DataFrame:
-    """All columns of ``docs``, each row as often as the mix takes it."""
-    rows = docs.select("*", word_count().alias("_size"))
-    ids = rows.select("doc_id", "source", F.col("_size").alias("size"))
-    # Rows with the same id, source and size may share copies in any order.
-    taken = mix(ids, ["doc_id"], **parameters)
-    n = Window.partitionBy("doc_id", "source", "size").orderBy("copies")
-    left = taken.withColumn("_i", F.row_number().over(n)).select(
-        F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_n"), "_i", "copies")
-    m = Window.partitionBy("doc_id", "source", "_size").orderBy("text")
-    rows = rows.withColumn("_k", F.row_number().over(m))
-    same = (F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s"))
-            & (F.col("_size") == F.col("_n")) & (F.col("_k") == F.col("_i")))
-    out = rows.join(left, same).where("copies > 0").withColumn("_c", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return out.select(*[F.col(c) for c in docs.columns])
+    """All columns of ``docs``, each row as often as the mix takes it.
+
+    A row whose id no other has is found by its id: up to ``BROADCAST_KEYS``
+    such ids, by count, are broadcast, so texts are not shuffled. Only rows that
+    share an id, or have none, are numbered; those alike in id, source and size
+    may share copies in any order.
+    """
+    # The whole row travels in one column, so no name can clash with its own.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("id"), F.col("source").alias("of"), word_count().alias("words"))
+    taken = stored(mix(rows.select(F.col("id").alias("doc_id"), F.col("of").alias("source"), F.col("words").alias("size")),
+                       ["doc_id"], **parameters), "mix-taken")
+    by_id = taken.where("doc_id is not null").groupBy(F.col("doc_id").alias("id")).agg(
+        F.count(F.lit(1)).alias("times"), F.max("copies").alias("copies"))
+    single = stored(by_id.where("times = 1").select("id", "copies"), "mix-single")
+    side = F.broadcast(single) if single.count() <= BROADCAST_KEYS else single
+    out = rows.join(side, "id").select("row", "copies")
+    rest = taken.join(side, taken["doc_id"] == side["id"], "left_anti").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_of"), F.col("size").alias("_words"), "copies")
+    rest = rest.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_of", "_words").orderBy("copies")))
+    again = rows.join(side, "id", "left_anti")
+    again = again.withColumn("nth", F.row_number().over(Window.partitionBy("id", "of", "words").orderBy(F.xxhash64("row"))))
+    same = (F.col("id").eqNullSafe(F.col("_id")) & F.col("of").eqNullSafe(F.col("_of"))
+            & (F.col("words") == F.col("_words")) & (F.col("nth") == F.col("_nth")))
+    out = out.unionByName(again.join(rest, same).select("row", "copies"))
+    return out.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

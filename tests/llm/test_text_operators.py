@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -547,6 +548,49 @@ def test_mix_reaches_targets(spark, docs, empty):
     assert o9.mixed(empty).count() == 0
 
 
+def test_copies_are_boundaries_crossed(spark):
+    """A plain walk: one offset per source, a copy for every whole number that
+    the running sum of expected copies passes."""
+    rnd = random.Random(4)
+    data = [(i % 700, rnd.choice(["a", "a", "a", "b", None]), rnd.choice([0, 3, 40, 40, 900])) for i in range(1500)] + [(None, "a", 3)] * 3
+    d = spark.createDataFrame(data, "doc_id long, source string, size long")
+    got = collections.Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in rows(o9.mix(d, ["doc_id"])))
+    placed = rows(d.select("*", F.xxhash64(F.lit(17), "doc_id").alias("mark"), F.floor(F.log2(F.col("size") + 1.0) * 8).alias("class"),
+                           (F.pmod(F.xxhash64(F.lit(18), "source"), F.lit(1 << 52)) / float(1 << 52)).alias("offset")))
+    size = collections.Counter()
+    for r in placed:
+        size[r["source"]] += r["size"]
+    target = {r["source"]: r["target"] for r in rows(o9.source_targets(spark.createDataFrame(list(size.items()), "source string, source_size long")))}
+    want = collections.Counter()
+    for s in size:
+        mine = sorted((r for r in placed if r["source"] == s),
+                      key=lambda r: (r["class"], r["mark"] % o9.SLOTS, r["mark"], r["size"], r["doc_id"] is not None, r["doc_id"] or 0))
+        rate, upto = target[s] / size[s] if size[s] else 0.0, math.floor(mine[0]["offset"])
+        for i, r in enumerate(mine, 1):
+            before, upto = upto, math.floor(rate * i + r["offset"])
+            want[r["doc_id"], s, r["size"], upto - before] += 1
+    assert got == want
+
+
+def test_mixed_rows_are_those_taken(spark):
+    """Every text comes as often as its row is taken, rows with shared or
+    missing ids too, whatever their other columns are called."""
+    names = ["_size", "_d", "_s", "_n", "_i", "_k", "_c", "row", "id", "of", "words", "copies", "nth", "times"]
+    rnd = random.Random(6)
+    data = [(None if i % 50 == 0 else i % 160, " ".join(["w"] * rnd.choice((0, 1, 7, 7, 60))), rnd.choice("ab"), *[i] * len(names)) for i in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    out = o9.mixed(d)
+    assert out.columns == d.columns
+    got = rows(out)
+    assert all(len({r[n] for n in names}) == 1 for r in got)
+    words = lambda t: len(t.split())
+    found = collections.Counter((r["doc_id"], r["source"], words(r["text"])) for r in got)
+    taken = collections.Counter()
+    for r in rows(o9.mix(d.select("doc_id", "source", o9.word_count().alias("size")), ["doc_id"])):
+        taken[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    assert found == +taken and max(collections.Counter(r["row"] for r in got).values()) <= 2
+
+
 # 10: nearest neighbours
 
 def test_search_is_exact_on_few_rows_and_skips_bad_vectors(spark):
