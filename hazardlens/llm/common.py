@@ -46,6 +46,21 @@ def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
     return rows.join(side, on, "left_semi")
 
 
+SLICE_ROWS = 1000  # rows turned into Python values at a time
+
+
+def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``SLICE_ROWS`` rows. Workers are reused by later
+    tasks and stages, so memory that Arrow no longer needs is given back."""
+    for b in batches:
+        if b.num_rows <= SLICE_ROWS:
+            yield b
+        else:
+            for at in range(0, b.num_rows, SLICE_ROWS):
+                yield b.slice(at, SLICE_ROWS)
+        pa.default_memory_pool().release_unused()
+
+
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: T.StructType) -> DataFrame:
     """``mapInArrow`` over dicts of Python lists.
 
@@ -57,7 +72,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
-        for b in batches:
+        for b in slices(batches):
             cols = fn({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                       for f, c in ((f, cols[f.name]) for f in arrow)]

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import table
+from .common import slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -489,7 +489,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> D
     def run(batches):
         seg = Segmenter(PieceModel(model_path))
         gc.set_threshold(200_000)  # its caches are large and hold no cycles
-        for batch in batches:
+        for batch in slices(batches):
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in _blocks(texts):
                 checked = seg.checked_block(texts[a:b], n)
