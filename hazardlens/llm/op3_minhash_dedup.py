@@ -325,3 +325,25 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op3_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+# DuckDB twin: all shared shingles, links at the threshold, smallest id reachable.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+                      WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS shingles FROM d),
+e AS (SELECT doc_id, unnest(shingles) AS h, len(shingles) AS n FROM s),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM e a JOIN e b ON a.h = b.h AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT x, x FROM sides UNION SELECT r.x, b.y FROM reach r JOIN sides b ON b.x = r.y),
+least AS (SELECT x, min(y) AS c FROM reach GROUP BY x)
+SELECT s.doc_id, len(shingles)::BIGINT AS n_shingles, coalesce(least.c, s.doc_id) AS component_id,
+       coalesce(least.c, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN least ON least.x = s.doc_id
+"""

@@ -177,4 +177,25 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(table(spark, sf_dir, "documents"))
+    return deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "n_factors")
+
+
+# DuckDB twin: all 35-word windows, those that start twice, the words they cover.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (
+  SELECT id, unnest([md5(array_to_string(w[i:i + 34], ' ')) FOR i IN range(1, len(w) - 33)]) AS h,
+         generate_subscripts(range(1, len(w) - 33), 1) AS i FROM d WHERE len(w) >= 35),
+dup AS (SELECT h FROM win GROUP BY h HAVING count(*) > 1),
+cov AS (SELECT DISTINCT id, unnest(range(i, i + 35)) AS j FROM win SEMI JOIN dup ON win.h = dup.h),
+words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS j FROM d),
+marked AS (SELECT words.id, words.j, word, cov.j IS NOT NULL AS gone FROM words LEFT JOIN cov ON cov.id = words.id AND cov.j = words.j),
+runs AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY id ORDER BY j), false) AS starts FROM marked),
+out AS (
+  SELECT id, count(CASE WHEN gone THEN 1 END) AS n_removed, count(CASE WHEN starts THEN 1 END) AS n_factors,
+         string_agg(CASE WHEN NOT gone THEN word END, ' ' ORDER BY j) AS kept
+  FROM runs GROUP BY id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256,
+       coalesce(n_factors, 0)::BIGINT AS n_factors
+FROM d LEFT JOIN out ON out.id = d.id
+"""

@@ -34,5 +34,6 @@ QUERIES = {
 
 # The other queries train models, search lattices or walk graphs; their tests
 # hold them against brute force.
-ORACLE = {"op8_url_filters": o8.ORACLE_SQL, "op11_source_audit": o11.ORACLE_SQL,
+ORACLE = {"op3_minhash_dedup": o3.ORACLE_SQL, "op7_substring_dedup": o7.ORACLE_SQL, "op8_url_filters": o8.ORACLE_SQL,
+          "op11_source_audit": o11.ORACLE_SQL,
           "op12_merkle_manifest": o12.ORACLE_SQL, "op13_warc": o13.ORACLE_SQL}
