@@ -3,6 +3,7 @@ intermediate tables, an Arrow batch wrapper and 64-bit word hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -49,16 +50,24 @@ def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 SLICE_ROWS = 1000  # rows turned into Python values at a time
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers live on after a task,
+    and what they keep counts against the executor."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most ``SLICE_ROWS`` rows. Workers are reused by later
-    tasks and stages, so memory that Arrow no longer needs is given back."""
+    """Batches of at most ``SLICE_ROWS`` rows."""
     for b in batches:
         if b.num_rows <= SLICE_ROWS:
             yield b
         else:
             for at in range(0, b.num_rows, SLICE_ROWS):
                 yield b.slice(at, SLICE_ROWS)
-        pa.default_memory_pool().release_unused()
+            give_back()
 
 
 def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schema: T.StructType) -> DataFrame:
@@ -77,6 +86,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
             arrays = [c if isinstance(c, pa.Array) else pa.array(c, type=f.type)
                       for f, c in ((f, cols[f.name]) for f in arrow)]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        fn = b = cols = arrays = None
+        give_back()
 
     return df.mapInArrow(run, schema)
 

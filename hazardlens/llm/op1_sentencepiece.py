@@ -39,14 +39,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import slices, table
+from .common import give_back, slices, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
-BLOCK_CHARS = 2_000_000   # characters whose parts are solved together; a longer text is a block of its own
+BLOCK_CHARS = 1_000_000   # characters whose parts are solved together; a longer text is a block of its own
 VECTOR_PARTS = 48         # as many parts of one length or more are solved together
 VECTOR_LENGTH = 32        # up to this length
-CACHED_WORDS = 300_000    # words whose segmentation a task keeps
+CACHED_WORDS = 150_000    # words whose segmentation a task keeps
 CACHED_SEARCHES = 20_000  # words whose alternatives a task keeps
 UNKNOWN_PENALTY = 10.0
 DECODED_ROWS = 1000       # rows decoded together
@@ -504,6 +504,8 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> D
                               for x in found], pa.string()),
                     pa.array([sound for _, sound in checked], pa.bool_())],
                     schema=arrow)
+        seg = found = checked = paths = inner = texts = None
+        give_back()
 
     found = docs.select("doc_id", "text").mapInArrow(run, _FOUND)
     best = F.element_at("n_best_ids", 1)
