@@ -527,14 +527,13 @@ def q_gbt_metrics_check(spark, sf_dir):
     model are those of the loaded model on these rows."""
     base = _model_path(spark, sf_dir)
     now = ML.evaluate(SV.booster(SV.load_risk_pipeline(f"{base}/model")), spark.read.parquet(f"{base}/features"))
-    then = ML.model_metadata(spark, f"{base}/model").select("metrics", "saved_at", "feature_count", "model_type")
+    then = ML.model_metadata(spark, f"{base}/model").first()  # one small row
     same = F.lit(True)
     for c in now.columns:
-        same = same & (F.abs(F.col(c) - F.col("metrics")[c]) < 1e-9)
-    both = now.withColumn("__k", F.lit(1)).join(then.withColumn("__k", F.lit(1)), "__k")  # one row each
-    return both.select("test_samples", "positive_samples", "negative_samples", "model_type", "feature_count",
-                       same.alias("metrics_as_saved"), F.col("saved_at").isNotNull().alias("has_time"),
-                       F.col("roc_auc").between(0, 1).alias("auc_in_range"))
+        same = same & (F.abs(F.col(c) - F.lit(then.metrics[c])) < 1e-9)
+    return now.select("test_samples", "positive_samples", "negative_samples", F.lit(then.model_type).alias("model_type"),
+                      F.lit(then.feature_count).alias("feature_count"), same.alias("metrics_as_saved"),
+                      F.lit(then.saved_at is not None).alias("has_time"), F.col("roc_auc").between(0, 1).alias("auc_in_range"))
 
 
 @query("feature_importance")

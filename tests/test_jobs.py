@@ -16,7 +16,9 @@ def test_warehouse_job(spark):
         assert os.path.isdir(os.path.join(base, layer)), layer
     checks = {q["check"]: q["issue_count"] for q in out["quality"]}
     assert checks["required_columns"] == 0 and checks["nulls:Start_Lat"] > 0
-    assert 0.0 <= out["metrics"]["roc_auc"] <= 1.0
+    feats = spark.read.parquet(os.path.join(base, "features/accident_features"))
+    assert out["metrics"]["test_samples"] == feats.where("split = 'test'").count() > 0
+    assert out["metrics"]["positive_samples"] == feats.where("split = 'test' and is_high_severity = 1").count()
     raw_n = spark.read.parquet(os.path.join(base, "raw/accidents")).count()
     staged_n = spark.read.parquet(os.path.join(base, "staging/accidents")).count()
     assert 0 < staged_n < raw_n
