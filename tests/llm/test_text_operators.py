@@ -183,7 +183,9 @@ def test_names_reach_over_types_only():
 
 def test_literals_are_read_in_linear_time():
     for text in ("db_pwd=Zx9" * 30_000, 'db_pwd="' * 50_000, "db_pwd='\\" * 50_000, 'db_pwd="' + "<{$" * 50_000,
-                 "db_pwd" + "\t " * 100_000 + "=" + " " * 100_000, "a: [" + "b=" * 50_000, "a: b" * 50_000):
+                 "db_pwd" + "\t " * 100_000 + "=" + " " * 100_000, "a: [" + "b=" * 50_000, "a: b" * 50_000,
+                 "pwd=a::" * 50_000, "a." * 100_000 + "=" * 9, 'pwd="""' * 50_000, "pwd: |\n" * 50_000, "<pwd>" * 50_000 + "</pwd>",
+                 "".join(f"a{i}=a{i + 1}\n" for i in range(30_000)), "pwd=(" * 50_000, "pwd=\n" * 50_000, "pwd=Axxxx" * 30_000):
         began = time.process_time()
         o2.redact(text)
         assert time.process_time() - began < 20
@@ -192,6 +194,53 @@ def test_literals_are_read_in_linear_time():
         nested[i + 5:]) * 0.6 >= o2.THRESHOLD}
 
 
+SECRET = "Zx9!kLmP02qq"
+
+
+@pytest.mark.parametrize("code", ['os.environ["DB"]', "getpass.getpass()", "base64.b64decode(x)", "config.get_credentials",
+                                  "settings.DB_PASSWORD", 'std::getenv("X")', "user_supplied_password", "$DB_PASSWORD_PROD"])
+def test_code_references_are_no_literals(code):
+    for text in (f"db_pwd = {code}\n", f"credentials: {code}", f"db_pwd=auth={code}"):
+        assert not o2.literal_spans(text) and o2.redact(text) == text
+    jwt = "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0NTY3ODkwIn0.dozjgNryP4J3jVmNHl0w5N"
+    assert o2.redact(f"jwt: {jwt}") == "jwt: [SECRET]" and o2.redact(f"auth={SECRET}(") == "auth=[SECRET]("
+
+
+@pytest.mark.parametrize("text", [
+    f'db_pwd = K\nK = "{SECRET}"\n', f'db_pwd = a\na = b\nb = K\nK = "{SECRET}"', f'db_pwd = (\n  "{SECRET}"\n)', f'db_pwd = ("{SECRET}")',
+    f'db_pwd = \\\n   "{SECRET}"', f'db_pwd =\r\n "{SECRET}"', f'db_pwd = """{SECRET}"""', f"db_pwd = \'\'\'{SECRET}\'\'\'",
+    f"a:\n  db_pwd: |\n    {SECRET}\n  b: c", f"db_pwd: >-  # folded\n\n  {SECRET}", f"<pwd>{SECRET}</pwd>",
+    f'<x:db_pwd a="1">\n {SECRET}\n</x:db_pwd>', f'config["db_pwd"] = "{SECRET}"'])
+def test_places_of_literals(text):
+    at = text.index(SECRET)
+    assert o2.literal_spans(text) == {(at, at + len(SECRET))}
+    assert not o2.literal_spans(text.replace("db_pwd", "title").replace("pwd", "title"))
+
+
+def test_joined_literals_and_cycles_of_names():
+    text = f'db_pwd = (\n  "{SECRET[:6]}"\n  "{SECRET[6:]}"\n)'
+    assert [text[a:b] for a, b in sorted(o2.literal_spans(text))] == [SECRET[:6], SECRET[6:]]
+    assert not o2.literal_spans("db_pwd = a\na = b\nb = db_pwd\n")
+    text = f"a:\n  db_pwd: |\n    {SECRET}\n    {SECRET}\n  title: |\n    {SECRET}\n"
+    assert len(o2.literal_spans(text)) == 2
+
+
+def test_pass_phrases_are_words_without_a_sentence():
+    assert o2.redact('passphrase = "correct horse battery staple 9"') == 'passphrase = "[SECRET]"'
+    for text in ('passphrase = "please enter your passphrase"', 'title = "correct horse battery staple"', 'passphrase = "correct horse"'):
+        assert not o2.literal_spans(text)
+
+
+@pytest.mark.parametrize("size", [29, 4_200, 100_000])
+def test_names_and_placeholders_of_any_length(size):
+    key = (SECRET * size)[:size]
+    for text in (f'credentials = "Ab9${{x}}{key}"', f"credentials = Ab9...{key}", f'credentials = "{"x" * size}"', f"credentials = Ab9{'x' * size}"):
+        assert not o2.literal_spans(text)
+    assert o2.redact(f"credentials = {key}") == "credentials = [SECRET]"
+    for name in (f"passphrase_{'b' * size}", "a." * size + "db_pwd", f"{'b' * size}.db_pwd"):
+        assert o2.redact(f'{name} = "{key}"') == f'{name} = "[SECRET]"'
+
+
 def test_scan_odd_cases(docs, empty):
     got = rows(o2.scanned(docs))
     assert len(got) == docs.count()
