@@ -1,12 +1,20 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped into lines, one per block element. A line's weight is the
-length of its text outside links; lines inside menus, headers, footers,
-sidebars, notices, adverts, forms and comments weigh nothing, and where a
-page marks its article, so do lines outside it. Weights are summed over
-sliding windows of ``WINDOW`` lines: text begins where the sum surges above
-the threshold and ends where it dives to nothing. The lines with weight
-between a surge and its dive are kept.
+length of its text; lines inside menus, headers, footers, sidebars, notices,
+adverts, forms and comments weigh nothing, nor do lines made of links mostly.
+Weights are summed over sliding windows of ``WINDOW`` lines: text begins where
+the sum surges above the threshold and ends where it dives to nothing. The
+lines with weight between a surge and its dive are kept.
+
+Where a page marks its article (``article``, ``main``), the marked lines stand
+whole, and the heaviest window of marked lines is the threshold for the others:
+text outside the mark is kept where its windows surge above it, as on pages
+whose mark holds a teaser only. Where the text kept has no ``h1``, the last one
+before it belongs to it.
+
+A block stays one line of text when an inline element in it (a button, an
+advert) is left out.
 
 A class or id only suggests that an element is outside. Words behind
 with/no/has/without say nothing. An element that holds more than half of the
@@ -31,11 +39,11 @@ from pyspark.sql import types as T
 from .common import map_batches, table
 
 WINDOW = 3
-SURGE = 40  # characters in a window, where the page does not mark its article
+SURGE = 40  # characters in a window at least
 
 SKIPPED = frozenset("script style noscript template textarea select svg math iframe object canvas head title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-OUTSIDE = frozenset("nav footer aside form button dialog menu label fieldset datalist".split())
+OUTSIDE = frozenset("nav footer aside form button dialog menu fieldset datalist".split())
 BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog dir div dl dt fieldset
 figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option
 p pre search section summary table tbody td tfoot th thead tr ul""".split())
@@ -58,13 +66,16 @@ _SPLIT = re.compile(r"[\s_-]+|(?<=[a-z])(?=[A-Z])")
 
 
 class _Line:
-    __slots__ = ("parts", "linked", "outside", "main")
+    """Text of one block or, around inline elements that are left out, of a part of it."""
+    __slots__ = ("parts", "linked", "outside", "main", "block", "title")
 
-    def __init__(self, outside: bool, main: bool):
+    def __init__(self, outside: bool, main: bool, block: int, title: bool):
         self.parts: list[str] = []
         self.linked = 0
         self.outside = outside
         self.main = main
+        self.block = block
+        self.title = title
 
 
 class _Named:
@@ -113,34 +124,37 @@ def _kind(tag: str, attributes: str, in_main: bool) -> str:
 
 
 def lines(page: str) -> list[_Line]:
-    """The page's lines, one per block, with what surrounds them."""
+    """The page's lines, one per block or part of it, with what surrounds them."""
     out: list[_Line] = []
     stack: list[tuple[str, str]] = []
-    outside = main = links = 0
-    line = _Line(False, False)
+    outside = main = links = titles = block = 0
+    line = _Line(False, False, 0, False)
     named: list[_Named] = []
     within: list[_Named] = []
 
-    def turn() -> None:
-        nonlocal line
+    def turn(whole: bool = True) -> None:
+        nonlocal line, block
         if line.parts:
             out.append(line)
-        line = _Line(outside > 0, main > 0)
+        block += whole
+        line = _Line(outside > 0, main > 0, block, titles > 0)
 
     def leave() -> str:
-        nonlocal outside, main, links
+        nonlocal outside, main, links, titles
         if stack[-1][1] in ("outside", "notice", "layout"):
-            turn()  # text behind the element is not part of it
+            turn(stack[-1][0] in BLOCKS)  # text behind the element is not part of it
         tag, kind = stack.pop()
         outside -= kind == "outside"
         main -= kind == "main"
         links -= tag == "a"
+        titles -= tag == "h1"
         if kind in ("notice", "layout"):
             e = within.pop()
             e.end = len(out)
             if within and e.article:
                 within[-1].article = True
-        line.outside, line.main = line.outside if line.parts else outside > 0, line.main if line.parts else main > 0
+        if not line.parts:
+            line.outside, line.main, line.title = outside > 0, main > 0, titles > 0
         return tag
 
     at, end = 0, len(page)
@@ -199,17 +213,18 @@ def lines(page: str) -> list[_Line]:
         kind = _kind(tag, attributes, main > 0)
         stack.append((tag, kind))
         if kind in ("outside", "notice", "layout"):  # an inline element outside the article has a line of its own
-            turn()
+            turn(False)
         outside += kind == "outside"
         main += kind == "main"
         links += tag == "a"
+        titles += tag == "h1"
         if kind in ("notice", "layout"):
             within.append(_Named(len(out), kind == "notice"))
             named.append(within[-1])
         elif kind == "main" and within:
             within[-1].article = True
         if tag in BLOCKS or kind == "outside":
-            turn()
+            turn(tag in BLOCKS)
     turn()
     while stack:
         leave()
@@ -245,28 +260,37 @@ def _leave_out(found: list[_Line], named: list[_Named]) -> None:
 
 def extract(page: str | None) -> str:
     """The article's blocks, one per line."""
-    rows = []
-    for x in lines(page or ""):
-        text = " ".join(_html.unescape("".join(x.parts)).split())
-        if text:
-            rows.append((text, x))
-    marked = any(x.main and not x.outside for _, x in rows)
-    if marked:
-        weights = [len(t) if x.main and not x.outside else 0 for t, x in rows]
+    found = lines(page or "")
+    raw = [_html.unescape("".join(x.parts)) for x in found]
+    rows = [(i, len(" ".join(t.split())), x) for i, (t, x) in enumerate(zip(raw, found)) if t and not t.isspace()]
+    marked = [n if x.main and not x.outside else 0 for _, n, x in rows]
+    free = [0 if x.main or x.outside or 2 * x.linked > n else n for _, n, x in rows]
+    ranges = _surges(marked, 0)
+    heaviest = max(_windows(marked), default=0)
+    if heaviest:
+        ranges += _surges(free, max(SURGE, heaviest))
     else:
-        weights = [0 if x.outside or 2 * x.linked > len(t) else len(t) for t, x in rows]
-    return "\n".join(rows[i][0] for a, b in _surges(weights, 0 if marked else SURGE) for i in range(a, b) if weights[i])
-
-
-def _surges(weights: list[int], threshold: int) -> list[tuple[int, int]]:
-    """Line ranges from surge to dive. Where no window passes the threshold,
-    the one range with the heaviest windows stands."""
-    n = len(weights)
-    sums = [sum(weights[i:i + WINDOW]) for i in range(n)]
-    if not n or max(sums) == 0:
-        return []
-    limit = threshold if max(sums) > threshold else 0
-    found, i = [], 0
+        sums = max(_windows(free), default=0)
+        ranges = _surges(free, SURGE if sums > SURGE else 0)  # a page of few words is its heaviest windows
+    kept = {rows[k][0] for a, b in ranges for k in range(a, b) if marked[k] or free[k]}
+    if heaviest and not any(found[i].title for i in kept):
+        titles = [i for i, _, x in rows if x.title and not x.outside and i < min(kept)]
+        kept.update(i for i in titles if found[i].block == found[titles[-1]].block)
+    blocks: dict[int, list[str]] = {}
+    for i, x in enumerate(found):
+        if i in kept or raw[i].isspace():
+            blocks.setdefault(x.block, []).append(raw[i])
+    return "\n".join(t for t in (" ".join("".join(parts).split()) for parts in blocks.values()) if t)
+
+
+def _windows(weights: list[int]) -> list[int]:
+    return [sum(weights[i:i + WINDOW]) for i in range(len(weights))]
+
+
+def _surges(weights: list[int], limit: int) -> list[tuple[int, int]]:
+    """Line ranges from surge to dive."""
+    sums = _windows(weights)
+    found, i, n = [], 0, len(weights)
     while i < n:
         if weights[i] and sums[i] > limit:
             j = i

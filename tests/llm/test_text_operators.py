@@ -477,7 +477,32 @@ def test_notices_do_not_wrap_a_page():
     assert o6.extract(f'<div class="ad">{long}</div>') == o6.extract(f'<article><div class="ad">{long}</div></article>') == ""
     assert o6.extract(f'<article>{long}</article><div class="related"><article>teaser</article></div>') == ("words " * 200).strip()
     assert o6.extract('<div class="comments"><article><p>a</p></article></div>') == "a"
-    assert o6.extract('<article><p>a <span class="ad">buy</span> b</article>') == "a\nb"
+    assert o6.extract('<article><p>a <span class="ad">buy</span> b</article>') == "a b"
+
+
+def test_a_block_stays_one_line():
+    for html, want in (("<p>Press <label>Start</label> and <button>Go</button> now</p>", "Press Start and now"),
+                       ("<p>a<button>x</button> <button>y</button>b</p><p>c</p>", "a b\nc"),
+                       ('<p>a<span class="ad">x<div>y</div></span>b</p>', "a\nb"),
+                       ("<p>a <button>x</button></p><p><button>y</button> b</p>", "a\nb"),
+                       ('<form><label>Name</label></form><p>a <span class="share">s</span>b <i>c</i></p>', "a b c"),
+                       ('<span>a<div class="ad">x</span>b', "a\nb")):
+        assert o6.extract(f"<article>{html}</article>") == want
+        assert o6.extract(f"<body><p>{'text ' * 20}</p>{html}</body>").split("\n")[1:] == want.split("\n")
+
+
+def test_windows_decide_outside_the_mark():
+    body = "".join(f"<p>{c} " + "long text of the page " * 12 + "</p>" for c in "abcd")
+    lines = ["".join(f"{c} " + "long text of the page " * 12).strip() for c in "abcd"]
+    teaser = "<article><h2>Teaser</h2><p>See also.</p></article>"
+    menu = '<div class="menu"><p>Home or not</p></div><ul><li><a href=x>A link as long as a paragraph of the page is</a></li></ul>'
+    assert o6.extract(menu + body + teaser).split("\n") == lines + ["Teaser", "See also."]
+    assert o6.extract(teaser + menu + body).split("\n") == ["Teaser", "See also."] + lines
+    stray = "<div>" + "A stray block. " * 9 + "</div>"
+    for page in (stray + menu + f"<article>{body}</article>", f"<article>{body}</article>" + stray + menu, f"<main>{body}</main>" + stray * 3):
+        assert o6.extract(page).split("\n") == lines
+    assert o6.extract(f"<header><h1>Site</h1></header><h1>Title <i>x</i></h1><div>By me</div><article>{body}</article>").split("\n") == ["Title x"] + lines
+    assert o6.extract(f"<h1>Site</h1><article><h1>Title</h1>{body}</article>").split("\n") == ["Title"] + lines
 
 
 def test_extract_rows(spark):
