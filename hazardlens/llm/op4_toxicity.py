@@ -10,7 +10,9 @@ normalised by length and a logistic curve maps them to a score.
 Terms (word beginnings and whole words), weights, exceptions and the curve
 are learned from a bounded sample of labelled rows: at most
 ``MAX_TRAINING_ROWS`` rows whose crc32(doc_id as text) mod 5 is not 0, so
-the lexicon is bounded too and is sent to all tasks. Everything is scored.
+the lexicon is bounded too and is sent to all tasks. ``train`` keeps the
+``max_terms`` strongest terms and as many exception phrases, the commonest
+first. Everything is scored.
 
 Null and empty texts have no hits and get the curve's value for none. Null
 labels are left out of training; without labels of both classes every score
@@ -156,7 +158,8 @@ def _counted(rows: DataFrame, words_of) -> DataFrame:
     return map_batches(rows, make, _COUNTS).groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
-def train(docs: DataFrame, labels: DataFrame) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_terms: int = MAX_TERMS) -> Model:
+    """The model of the bounded sample, with at most ``max_terms`` terms and exception phrases each."""
     rows = stored(training_rows(docs, labels), "toxicity-sample")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -166,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     ratio = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n_clean + 1.0))
     found = (counts.where(F.col("toxic") >= F.lit(min(MIN_TOXIC_DOCS, max(2, n_toxic // 20)))).withColumn("w", ratio)
              .where(F.col("w") >= MIN_LOG_ODDS)
-             .orderBy((F.col("w") * F.sqrt("toxic")).desc(), "term").limit(MAX_TERMS).collect())
+             .orderBy((F.col("w") * F.sqrt("toxic")).desc(), "term").limit(max_terms).collect())
     # A longer beginning stays only if it says clearly more than a shorter one.
     terms: dict[str, float] = {}
     for r in sorted(found, key=lambda r: (len(r["term"]), r["term"])):
@@ -177,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     matcher = Matcher(terms, frozenset())
     phrases = _counted(rows, lambda t: {p for f in (fold(t),) for s, _, _ in matcher.hits(f) for p in matcher.phrases(f, s)})
     exceptions = frozenset(r["term"] for r in phrases.where("toxic = 0 and clean >= 3")
-                           .orderBy(F.col("clean").desc(), "term").limit(MAX_TERMS).collect())
+                           .orderBy(F.col("clean").desc(), "term").limit(max_terms).collect())
     points = _points(rows, terms, exceptions)
     return Model(terms, exceptions, *_fit(points[:, :-1], points[:, -1]))
 
