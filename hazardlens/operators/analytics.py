@@ -142,6 +142,18 @@ def value_distribution(df: DataFrame, col: str, value_alias: str = "value",
             .orderBy(value_alias))
 
 
+def shares(df: DataFrame, dimensions: dict[str, str]) -> DataFrame:
+    """count and percent of all rows per value of each dimension (name -> column),
+    values as text. One pass over ``df``: every row is counted once a dimension,
+    combined before the shuffle; each dimension's counts sum to the number of rows.
+    """
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("dimension"), F.col(c).cast("string").alias("value"))
+                              for name, c in dimensions.items()]))
+    agg = df.select(each).groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("n"))
+    total = agg.agg((F.sum("n") / len(dimensions)).alias("n")).scalar()
+    return agg.withColumn("pct", F.col("n").cast("double") * 100.0 / total)
+
+
 # A12 -----------------------------------------------------------------------
 
 def top_categories(df: DataFrame, col: str, k: int = 10, value_alias: str = "value") -> DataFrame:

@@ -108,7 +108,9 @@ def weather_payloads(obs: DataFrame, corrupt_every: int = 7) -> DataFrame:
 def parse_route_payloads(df: DataFrame, payload: str = "payload") -> DataFrame:
     """Directions JSON -> flat route record from its first leg; rows missing a
     required key (leg, distance, duration, polyline) are dropped."""
-    parsed = df.withColumn("_json", F.from_json(F.col(payload), ROUTE_PAYLOAD_SCHEMA))  # once per row
+    # A generator is not merged with the columns and filter above it: each payload is parsed once.
+    parsed = df.select(*[c for c in df.columns if c != payload],
+                       F.explode(F.array(F.from_json(F.col(payload), ROUTE_PAYLOAD_SCHEMA))).alias("_json"))
     p = F.col("_json")
     leg = F.element_at(p["legs"], 1)
     out = parsed.select(
