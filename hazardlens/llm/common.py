@@ -48,6 +48,15 @@ def narrowed(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
 
 
 SLICE_ROWS = 1000  # rows turned into Python values at a time
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session's Arrow batches hold ``SLICE_ROWS`` rows at most: buffers
+    outside the heap are as large as a batch of texts, on both sides of a
+    worker's pipe, and a task keeps them. A smaller setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_ROWS)) <= SLICE_ROWS:
+        spark.conf.set(BATCH_ROWS, str(SLICE_ROWS))
 
 
 def give_back() -> None:
@@ -78,6 +87,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict], dict]], schem
     Integers stay exact and nulls stay None.
     """
     arrow = to_arrow_schema(schema)
+    small_batches(df.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import give_back, slices, table
+from .common import give_back, slices, small_batches, table
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 N_BEST = 3
@@ -485,6 +485,7 @@ def encoded(docs: DataFrame, model_path: str = MODEL_PATH, n: int = N_BEST) -> D
     """Per row: ids of the best segmentation, ids, scores, lengths and a digest
     of the ``n`` best, and whether all of them decode to the text."""
     arrow = to_arrow_schema(_FOUND)
+    small_batches(docs.sparkSession)
 
     def run(batches):
         seg = Segmenter(PieceModel(model_path))
