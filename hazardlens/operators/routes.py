@@ -14,6 +14,9 @@ Partitioning notes (1000-executor scale):
   stream through one linear pass; a task holds a batch, never a route.
 * Candidate hours are generated with ``explode`` (no join), and scoring
   happens once per (route, hour, segment).
+* Waypoints come from a generator, which the optimizer takes for as small as
+  its input: joins of waypoints, and of tables with a row per route, carry a
+  join hint, so neither is ever sent whole to the driver and to every executor.
 """
 
 from __future__ import annotations
@@ -56,7 +59,7 @@ def segment_distances(wp: DataFrame) -> DataFrame:
     """Each waypoint with the great-circle miles from its predecessor (null at seq 0)."""
     prev = wp.select(F.col("route_id").alias("__r"), (F.col("seq") + 1).alias("__s"),
                      F.col("lat").alias("__plat"), F.col("lon").alias("__plon"))
-    j = wp.join(prev, (wp.route_id == prev.__r) & (wp.seq == prev.__s), "left")
+    j = wp.join(prev.hint("merge"), (wp.route_id == prev.__r) & (wp.seq == prev.__s), "left")
     return j.select(*wp.columns,
                     C.haversine_miles("__plat", "__plon", "lat", "lon").alias("dist_mi"))
 
@@ -252,7 +255,7 @@ def route_risk(routes: DataFrame, seg_scores: DataFrame, keys=("trip_id", "route
                 F.count(F.when(F.col("risk_score") > DANGER_THRESHOLD, 1)).alias("danger_zones"),
                 F.min_by("risk_level", F.when(F.col("risk_score") > DANGER_THRESHOLD,
                                               F.col("segment_index"))).alias("first_danger_level")))
-    j = routes.select(*keys).distinct().join(agg, keys, "left")
+    j = routes.select(*keys).distinct().join(agg.hint("merge"), keys, "left")
     r6 = lambda c: C.round_half_away(c, 6)  # noqa: E731  (mean of many floats: 6 digits)
     return j.select(*keys,
                     F.coalesce(r6("overall_risk"), F.lit(0.0)).alias("overall_risk"),
@@ -472,7 +475,7 @@ def route_signatures(wp: DataFrame) -> DataFrame:
     n = wp.groupBy("trip_id", "route_id").agg(
         F.count(F.lit(1)).alias("n"),
         F.bit_xor(F.xxhash64("seq", "lat", "lon")).alias("polyline_hash"))
-    j = wp.join(n, ["trip_id", "route_id"])
+    j = wp.join(n.hint("merge"), ["trip_id", "route_id"])
     idx = {f: F.floor(F.col("n") * f).cast("int") for f in SIMILAR_FRACTIONS}
     pick = lambda f, c: F.max(F.when(F.col("seq") == idx[f], F.col(c)))
     return j.where(F.col("seq").isin(*idx.values())).groupBy(
@@ -485,13 +488,15 @@ def identical_polylines(sig: DataFrame, wp: DataFrame) -> DataFrame:
 
     Candidates share (n, fingerprint); each candidate is verified point by
     point with an equi-join on (pair, seq), so a fingerprint collision can
-    never produce a false pair."""
+    never produce a false pair. Only the points of candidates are paired."""
     a = sig.select("trip_id", F.col("route_id").alias("route_a"), "n", "polyline_hash")
     b = sig.select("trip_id", F.col("route_id").alias("route_b"), "n", "polyline_hash")
-    cand = a.join(b, ["trip_id", "n", "polyline_hash"]).where(F.col("route_a") < F.col("route_b"))
-    pa = wp.select(F.col("route_id").alias("route_a"), "seq", F.col("lat").alias("la"), F.col("lon").alias("oa"))
-    pb = wp.select(F.col("route_id").alias("route_b"), "seq", F.col("lat").alias("lb"), F.col("lon").alias("ob"))
-    same = (cand.join(pa, "route_a").join(pb, ["route_b", "seq"])
+    cand = a.join(b.hint("merge"), ["trip_id", "n", "polyline_hash"]).where(F.col("route_a") < F.col("route_b"))
+    either = cand.select(F.explode(F.array("route_a", "route_b")).alias("route_id")).distinct()
+    points = wp.join(either.hint("merge"), "route_id", "left_semi")
+    pa = points.select(F.col("route_id").alias("route_a"), "seq", F.col("lat").alias("la"), F.col("lon").alias("oa"))
+    pb = points.select(F.col("route_id").alias("route_b"), "seq", F.col("lat").alias("lb"), F.col("lon").alias("ob"))
+    same = (cand.join(pa.hint("merge"), "route_a").join(pb.hint("merge"), ["route_b", "seq"])
             .where((F.col("la") == F.col("lb")) & (F.col("oa") == F.col("ob")))
             .groupBy("trip_id", "route_a", "route_b", "n").agg(F.count(F.lit(1)).alias("m")))
     return same.where(F.col("m") == F.col("n")).select("trip_id", "route_a", "route_b")
@@ -505,8 +510,11 @@ def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM, wp: DataFram
     over the 3 x 3 neighbouring cells, cells being at least ``threshold_km``
     wide, so any pair within the threshold shares a key; identical
     polylines come from ``identical_polylines`` when the waypoints ``wp``
-    are given (otherwise by fingerprint alone).
+    are given (otherwise by fingerprint alone). The signatures are read by all
+    of these joins and written once, cut by a checkpoint.
     """
+    checkpoint_dir(sig.sparkSession)
+    sig = sig.checkpoint()
     cell = threshold_km / C.KM_PER_DEGREE
     base = sig.withColumn("__cx", F.floor(F.col("lat_50") / cell).cast("long")) \
               .withColumn("__cy", F.floor(F.col("lon_50") / cell).cast("long"))
@@ -517,7 +525,7 @@ def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM, wp: DataFram
                      (F.col("__cx") + F.col("o.dx")).alias("__kx"),
                      (F.col("__cy") + F.col("o.dy")).alias("__ky")))
     a = base.select(*[F.col(c).alias(f"a_{c}") for c in base.columns])
-    cand = a.join(probe, (F.col("a_trip_id") == F.col("b_trip_id"))
+    cand = a.join(probe.hint("merge"), (F.col("a_trip_id") == F.col("b_trip_id"))
                   & (F.col("a___cx") == F.col("__kx")) & (F.col("a___cy") == F.col("__ky"))
                   & (F.col("a_route_id") < F.col("b_route_id")))
     near = None
@@ -533,7 +541,7 @@ def similar_pairs(sig: DataFrame, threshold_km: float = SIMILAR_KM, wp: DataFram
     else:
         pa = sig.select("trip_id", F.col("route_id").alias("route_a"), "n", "polyline_hash")
         pb = sig.select("trip_id", F.col("route_id").alias("route_b"), "n", "polyline_hash")
-        by_line = (pa.join(pb, ["trip_id", "n", "polyline_hash"])
+        by_line = (pa.join(pb.hint("merge"), ["trip_id", "n", "polyline_hash"])
                    .where(F.col("route_a") < F.col("route_b")).select("trip_id", "route_a", "route_b"))
     return by_shape.unionByName(by_line).distinct()
 
@@ -565,7 +573,7 @@ def keep_distinct_routes(sig: DataFrame, threshold_km: float = SIMILAR_KM, initi
         for f in SIMILAR_FRACTIONS:
             s = int(f * 100)
             near = near & (C.planar_km(f"lat_{s}", f"lon_{s}", f"__lat_{s}", f"__lon_{s}") <= threshold_km)
-        left = (left.join(first, "trip_id").where(F.col("route_id") > F.col("__route_id"))
+        left = (left.join(first.hint("merge"), "trip_id").where(F.col("route_id") > F.col("__route_id"))
                 .select("trip_id", "route_id", *points, (F.col("similar") | F.coalesce(near, F.lit(False))).alias("similar")))
         if rank >= initial_count:
             left = left.where(~F.col("similar"))
