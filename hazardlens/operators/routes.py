@@ -74,63 +74,59 @@ def route_lengths(wp: DataFrame) -> DataFrame:
 
 # R1 / W4 / W5 --------------------------------------------------------------
 
-def _next_hits(d: np.ndarray, lo: int, hi: int, travelled: float, interval: float) -> tuple[list, float]:
-    """Positions in [lo, hi) where the distance since the last one reaches the
-    interval, and the distance left at the end. Sums run in row order."""
-    hits, at, width = [], lo, 16
-    while at < hi:
-        end = min(at + width, hi)
-        total = np.add.accumulate(np.concatenate(([travelled], d[at:end])))[1:]
-        reached = total >= interval
-        k = int(reached.argmax())
-        if reached[k]:
-            hits.append(at + k)
-            travelled, at, width = 0.0, at + k + 1, 16
-        else:
-            travelled, at, width = float(total[-1]), end, 2 * width
-    return hits, travelled
-
-
 _SAMPLED = ["trip_id", "route_id", "segment_index", "seq", "lat", "lon"]
 
 
 def _sampler(interval: float):
     """Walks sorted waypoints batch by batch; only the state of the route at
-    hand is carried on, whatever its length."""
+    hand is carried on, whatever its length. The walk notes the positions to
+    keep, and the rows there are taken from the batch at once."""
     def run(batches):
-        first = kept = last = None
-        index, travelled, out = 0, 0.0, []
-
-        def keep(row):
-            nonlocal index, kept
-            out.append((row[0], row[1], index, *row[2:]))
-            index, kept = index + 1, row
-
-        def close():
-            if last is not None and not (last[3] == kept[3] and last[4] == kept[4]):
-                keep(last)
-
+        first = last = None    # first point not yet kept; last point of the route, unless it was kept
+        at_kept, index, travelled = (None, None), 0, 0.0
         for pdf in batches:
-            nth, d = pdf["nth"].to_numpy(), pdf["d"].to_numpy(dtype="float64", na_value=np.nan)
-            values = [pdf[c].array for c in ("trip_id", "route_id", "seq", "lat", "lon")]
-            edges = np.union1d(np.flatnonzero(nth == 1), [0, len(pdf)]).tolist() if len(pdf) else []
-            for lo, hi in zip(edges, edges[1:]):
-                if nth[lo] == 1:
+            nth, d = pdf["nth"].tolist(), pdf["d"].to_numpy(dtype="float64", na_value=np.nan).tolist()
+            lat, lon = pdf["lat"].tolist(), pdf["lon"].tolist()
+            head, kept, indices = [], [], []   # rows of earlier batches come before those of this one
+
+            def keep(i):
+                nonlocal index, at_kept
+                if isinstance(i, tuple):
+                    head.append((i[0], i[1], index, *i[2:]))
+                    at_kept = i[3], i[4]
+                else:
+                    kept.append(i)
+                    indices.append(index)
+                    at_kept = lat[i], lon[i]
+                index += 1
+
+            def point(i):
+                return (lat[i], lon[i]) if not isinstance(i, tuple) else i[3:]
+
+            def close():
+                if last is not None and not (point(last)[0] == at_kept[0] and point(last)[1] == at_kept[1]):
+                    keep(last)
+
+            for i in range(len(pdf)):
+                if nth[i] == 1:
                     close()
-                    first, kept, last = tuple(v[lo] for v in values), None, None
-                    index, travelled, lo = 0, 0.0, lo + 1
-                if lo == hi:
+                    first, last, index, travelled = i, None, 0, 0.0
                     continue
-                if kept is None:
+                if first is not None:
                     keep(first)
-                hits, travelled = _next_hits(d, lo, hi, travelled, interval)
-                for i in hits:
-                    keep(tuple(v[i] for v in values))
-                last = tuple(v[hi - 1] for v in values)
-            yield pd.DataFrame(out, columns=_SAMPLED)
-            out.clear()
-        close()
-        yield pd.DataFrame(out, columns=_SAMPLED)
+                    first = None
+                travelled += d[i]
+                if travelled >= interval:
+                    keep(i)
+                    travelled = 0.0
+                last = i
+            whole = lambda i: i if i is None or isinstance(i, tuple) else tuple(
+                pdf[c].array[i] for c in ("trip_id", "route_id", "seq", "lat", "lon"))
+            first, last = whole(first), whole(last)
+            yield pd.DataFrame(head, columns=_SAMPLED)
+            yield pdf.iloc[kept].assign(segment_index=indices)[_SAMPLED]
+        if last is not None and not (last[3] == at_kept[0] and last[4] == at_kept[1]):
+            yield pd.DataFrame([(last[0], last[1], index, *last[2:])], columns=_SAMPLED)
 
     return run
 
