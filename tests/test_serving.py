@@ -174,3 +174,20 @@ def test_no_advice_when_a_failed_route_ranks_first(spark):
     failed = spark.createDataFrame([(1, 2, "broken")], "trip_id long, route_id long, error string")
     got = _by_id(R.route_advice(risk, failed), "route_id", "rank", "recommendation", "segments_analyzed")
     assert got == {2: (1, R.ADVICE_FAILED, 0), 1: (2, None, 5)}
+
+
+def test_training_rows_are_dealt_evenly(spark, monkeypatch):
+    """Rows that come in one partition reach the learner spread over all cores."""
+    rows = (spark.range(400).coalesce(1).selectExpr(
+        "CAST(id AS STRING) AS accident_id", "CAST(id % 24 AS INT) AS hour", "CAST(id % 7 AS DOUBLE) AS distance_mi",
+        "CAST(id % 2 AS INT) AS is_high_severity", "IF(id % 5 = 0, 'test', 'train') AS split"))
+    sizes, fit = [], ML.Pipeline.fit
+
+    def seen(pipe, train, *args):
+        sizes.extend(train.groupBy(F.spark_partition_id()).count().toPandas()["count"])
+        return fit(pipe, train, *args)
+
+    monkeypatch.setattr(ML.Pipeline, "fit", seen)
+    ML.train_gbt(rows, max_iter=1)
+    cores = spark.sparkContext.defaultParallelism
+    assert sum(sizes) == 320 and len(sizes) == cores and max(sizes) <= 320 / cores + 1
