@@ -15,8 +15,8 @@ Partitioning notes (1000-executor scale):
 * Candidate hours are generated with ``explode`` (no join), and scoring
   happens once per (route, hour, segment).
 * Waypoints come from a generator, which the optimizer takes for as small as
-  its input: joins of waypoints, and of tables with a row per route, carry a
-  join hint, so neither is ever sent whole to the driver and to every executor.
+  its input: joins with lengths, signatures and risks of routes carry a join
+  hint, so that waypoints and routes are not sent whole to every executor.
 """
 
 from __future__ import annotations
