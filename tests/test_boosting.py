@@ -84,3 +84,23 @@ def test_split_ranks_only_rows_at_the_end_of_a_class(spark, monkeypatch):
         order = sorted((i for i in ids if i[0] == str(k)), key=lambda i: (hashlib.md5(f"{i}:42".encode()).hexdigest(), i))
         train = len(order) - int(len(order) * 0.2 + 0.5)
         assert {r.accident_id for r in got if r.is_high_severity == k and r.split == "train"} == set(order[:train])
+
+
+def _flagged(spark):
+    flags = [f"CAST(id % {n} = 0 AS INT) AS {c}" for n, c in enumerate((c for c in FE.FEATURE_ORDER if c.startswith("has_")), 2)]
+    return spark.range(900).selectExpr("CAST(id AS STRING) AS accident_id", "CAST(id % 24 AS INT) AS hour", "IF(id % 7 = 0, NULL, id % 50 / 4.0D) AS latitude",
+                                       *flags, "CAST(pmod(hash(id, 5), 3) = 0 AS INT) AS is_high_severity", "IF(id % 5 = 0, 'test', 'train') AS split")
+
+
+def test_training_builds_no_vector_of_a_row(spark, monkeypatch):
+    """Columns give the trees that the assembled vectors give, nulls among them."""
+    rows = _flagged(spark)
+    names = [c for c in FE.FEATURE_ORDER if c in rows.columns]
+    settings = dict(labelCol="is_high_severity", featuresCol="features", maxDepth=3, maxIter=3, seed=42)
+    vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows)
+    want = B.HistogramGBTClassifier(**settings).fit(vectors)
+    got = B.HistogramGBTClassifier(**settings).fit_columns(rows, names)
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(got) == trees(want) and "If" in trees(got)
+    monkeypatch.setattr(VectorAssembler, "transform", None)
+    assert ML.train_gbt(rows, max_iter=1)[1] == names
