@@ -92,6 +92,22 @@ def _flagged(spark):
                                        *flags, "CAST(pmod(hash(id, 5), 3) = 0 AS INT) AS is_high_severity", "IF(id % 5 = 0, 'test', 'train') AS split")
 
 
+def test_trees_read_dense_features(spark, monkeypatch):
+    """Scoring hands the trees dense rows, with the scores of the pipeline as it is."""
+    rows = _flagged(spark)
+    model, _ = ML.train_gbt(rows, max_iter=2)
+    want = {r.accident_id: r.p for r in model.transform(rows).select("accident_id", vector_to_array("probability")[1].alias("p")).collect()}
+    kinds, transform = [], GBTClassificationModel.transform
+
+    def seen(self, df):
+        kinds.append({type(r.features).__name__ for r in df.select("features").collect()})
+        return transform(self, df)
+
+    monkeypatch.setattr(GBTClassificationModel, "transform", seen)
+    got = {r.accident_id: r.risk_score for r in ML.score_model(model, rows).collect()}
+    assert kinds == [{"DenseVector"}] and got == want and len(set(want.values())) > 2
+
+
 def test_training_builds_no_vector_of_a_row(spark, monkeypatch):
     """Columns give the trees that the assembled vectors give, nulls among them."""
     rows = _flagged(spark)
