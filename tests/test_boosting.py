@@ -115,8 +115,15 @@ def test_training_builds_no_vector_of_a_row(spark, monkeypatch):
     settings = dict(labelCol="is_high_severity", featuresCol="features", maxDepth=3, maxIter=3, seed=42)
     vectors = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep").transform(rows)
     want = B.HistogramGBTClassifier(**settings).fit(vectors)
-    got = B.HistogramGBTClassifier(**settings).fit_columns(rows, names)
+    got = B.HistogramGBTClassifier(**settings).of_columns(names).fit(vectors)
     trees = lambda m: m.toDebugString.split("\n", 1)[1]
     assert trees(got) == trees(want) and "If" in trees(got)
-    monkeypatch.setattr(VectorAssembler, "transform", None)
-    assert ML.train_gbt(rows, max_iter=1)[1] == names
+    plans, boosted = [], B.HistogramGBTClassifier._boosted
+
+    def seen(self, rows, *args):
+        plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return boosted(self, rows, *args)
+
+    monkeypatch.setattr(B.HistogramGBTClassifier, "_boosted", seen)
+    ML.train_gbt(rows, max_iter=1)
+    assert len(plans) == 1 and "InMemoryRelation" in plans[0] and "UDF" not in plans[0]
